@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +63,25 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = 1 << 21) -> Iterator[
                 ids, out, held = [], [], 0
     if ids:
         yield ids, out
+
+
+def text_arrays(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) as :func:`slices` gives them, but as arrays of about ``size`` bytes."""
+    ids: list[pa.Array] = []
+    held: list[pa.Array] = []
+    total = 0
+    for batch in batches:
+        lengths = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype("int64")
+        at = 0
+        ends = lengths.cumsum()
+        while at < len(ends):
+            stop = max(at + 1, int(ends.searchsorted(ends[at] - lengths[at] + size - total)))
+            ids.append(batch.column(0)[at:stop])
+            held.append(batch.column(1)[at:stop].fill_null(""))
+            total += int(ends[stop - 1] - ends[at] + lengths[at])
+            if total >= size:
+                yield pa.concat_arrays(ids), pa.concat_arrays(held)
+                ids, held, total = [], [], 0
+            at = stop
+    if ids:
+        yield pa.concat_arrays(ids), pa.concat_arrays(held)

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, staged, texts
-from .tokens import word_ids
+from .common import partitions, staged, text_arrays, texts
+from .tokens import with_end, word_ids
 
 LENGTH = 4096
 
@@ -61,15 +61,18 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 2, length
     null and empty texts have the end id alone."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = word_ids(tokenizer), b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
-        for ids, some in slices(batches):
-            rows: list[tuple] = []
-            for i, raw in zip(ids, coder.encode(some)):
-                raw += end
-                n = len(raw) // 4
-                rows += [(i, a, min(length, n - a), zlib.crc32(raw[4 * a : 4 * (a + length)]), n) for a in range(0, n, length)]
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        coder = word_ids(tokenizer)
+        for names, some in text_arrays(batches):
+            ids, bounds = with_end(*coder.encode(some), end_id)
+            view = memoryview(ids.astype("<u4").tobytes())
+            sizes = np.diff(bounds)
+            cuts = -(-sizes // length)
+            of = np.repeat(np.arange(len(sizes)), cuts)
+            start = (np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * length
+            took = np.minimum(length, sizes[of] - start)
+            at = 4 * (bounds[:-1][of] + start)
+            crc = [zlib.crc32(view[a : a + n]) for a, n in zip(at.tolist(), (4 * took).tolist())]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), pa.array(start), pa.array(took), pa.array(crc, pa.int64()), pa.array(sizes[of])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return texts(docs).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 

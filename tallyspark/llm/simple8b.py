@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, staged, texts, work_dir
-from .tokens import word_ids
+from .common import partitions, staged, text_arrays, texts, work_dir
+from .tokens import with_end, word_ids
 
 MAGIC = b"TSIM8B01"
 #: Ids in a word and bits of each, by selector; selector 0 is the escape.
@@ -160,9 +160,9 @@ class Segment:
     words: np.ndarray
 
     @classmethod
-    def of(cls, doc_ids: list[int], ids: list[bytes], block: int = BLOCK) -> Segment:
-        words, offsets = encode(np.frombuffer(b"".join(ids), dtype="<u4"), block)
-        return cls(np.asarray(doc_ids, dtype="<i8"), np.asarray([len(x) // 4 for x in ids], dtype="<u8"), block, offsets, words)
+    def of(cls, doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> Segment:
+        words, offsets = encode(ids, block)
+        return cls(np.asarray(doc_ids, dtype="<i8"), np.asarray(sizes, dtype="<u8"), block, offsets, words)
 
     def dump(self) -> bytes:
         head = np.asarray([self.block, len(self.doc_ids), int(self.sizes.sum()), len(self.offsets) - 1, len(self.words)], dtype="<u8")
@@ -219,27 +219,25 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, coder = TaskContext.get().partitionId(), word_ids(tokenizer)
-        end = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
-        names: list[int] = []
-        held: list[bytes] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = before = seq = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal names, held, size, before, seq
+            nonlocal held, size, before, seq
             path = f"{folder}/part-{part:06d}-{seq:05d}.s8b"
-            put(path, Segment.of(names, held).dump())
+            names, sizes, ids = (np.concatenate(x) for x in zip(*held))
+            put(path, Segment.of(names, sizes, ids).dump())
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [path], "before": [before], "n_docs": [len(names)], "n_ids": [size]})
-            before, seq, names, held, size = before + size, seq + 1, [], [], 0
+            before, seq, held, size = before + size, seq + 1, [], 0
             return row
 
-        for ids, some in slices(batches):
-            for i, raw in zip(ids, coder.encode(some)):
-                names.append(i)
-                held.append(raw + end)
-                size += len(held[-1]) // 4
+        for names, some in text_arrays(batches):
+            ids, bounds = with_end(*coder.encode(some), end_id)
+            held.append((names.to_numpy(zero_copy_only=False), np.diff(bounds), ids))
+            size += len(ids)
             if size >= segment:
                 yield close()
-        if names:
+        if held:
             yield close()
 
     ordered = texts(docs).repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")

@@ -10,13 +10,19 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Most pieces that a worker remembers; beyond it the memory is emptied and filled again. Results don't depend on it.
-REMEMBERED = 600_000
-#: Longest run of characters that is split at once.
-STRIDE = 1 << 22
+#: Most words of each of the two generations that a worker remembers. Results don't depend on it.
+REMEMBERED = 400_000
+#: Signs, a Latin word, signs: parts that the vocabulary file's rule splits in any case (no apostrophe before the word, which could take its first letters).
+_PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
 
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+
+def _lowered(texts: pa.Array) -> pa.Array:
+    """Lower case where that is the vocabulary file's own: letters up to ÿ. Texts that may name a special token, which is matched as written, stay."""
+    stay = pc.match_substring_regex(texts, r"<\||[^\x00-\xff]")
+    return pc.if_else(stay, texts, pc.utf8_lower(texts))
 
 
 class WordIds:
@@ -33,68 +39,96 @@ class WordIds:
         self.closes = np.zeros(size, bool)
         for token, i in self.full.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
-        self.marks = {p: self._bytes(self.full.encode(p, add_special_tokens=False).ids) for p in ("", ".", ",")}
-        self.pieces: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.pieces) + len(missing) > REMEMBERED:
-            self.pieces.clear()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        plain: list[tuple[str, str, str]] = []
-        for piece in missing:
-            if m := _PLAIN.fullmatch(piece):
-                plain.append((piece, m[1].lower(), m[2]))
-            else:
-                self.pieces[piece] = self._bytes(self.full.encode(piece, add_special_tokens=False).ids)
-        new = list({word for _, word, _ in plain if word not in self.known})
+    def _plain(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of lower-case Latin words. Words of the older generation that are met again move to the younger one."""
+        young, old = self.young, self.old
+        if len(young) > REMEMBERED:
+            self.old, self.young = young, {}
+            young, old = self.young, self.old
+        out, new = {}, []
+        for w in words:
+            ids = young.get(w)
+            if ids is None:
+                ids = old.get(w)
+                if ids is None:
+                    new.append(w)
+                    continue
+                young[w] = ids
+            out[w] = ids
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             ids = np.asarray(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) != len(part):  # a model whose words don't all close: ask for each
-                self.known.update((w, self._bytes(self.full.encode(w, add_special_tokens=False).ids)) for w in part)
-                continue
-            raw, begin = ids.tobytes(), 0
-            for word, end in zip(part, (ends * 4).tolist()):
-                self.known[word] = raw[begin:end]
-                begin = end
-        for piece, word, mark in plain:
-            self.pieces[piece] = self.known[word] + self.marks[mark]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        runs, owner = [], []
-        for k, text in enumerate(texts):
-            begin = 0
-            while len(text) - begin > STRIDE and (cut := text.find(" ", begin + STRIDE)) > 0:
-                runs.append(text[begin:cut])
-                owner.append(k)
-                begin = cut
-            runs.append(text[begin:] if begin else text)
-            owner.append(k)
-        split = [r.replace("\n", " ").split(" ") for r in runs]
-        get = self.pieces.get
-        got = [list(map(get, s)) for s in split]
-        late = [k for k, g in enumerate(got) if None in g]
-        if late:
-            self._learn({p for k in late for p, g in zip(split[k], got[k]) if g is None})
-            for k in late:
-                try:
-                    got[k] = list(map(self.pieces.__getitem__, split[k]))
-                except KeyError:  # the memory was emptied meanwhile
-                    self._learn({p for p in split[k] if p not in self.pieces})
-                    got[k] = [self.pieces[p] for p in split[k]]
-        if len(runs) == len(texts):
-            return [b"".join(g) for g in got]
-        out: list[list[bytes]] = [[] for _ in texts]
-        for k, g in zip(owner, got):
-            out[k].append(b"".join(g))
-        return [b"".join(o) for o in out]
+                got = {w: self._bytes(self.full.encode(w, add_special_tokens=False).ids) for w in part}
+            else:
+                raw, stops = ids.tobytes(), (ends * 4).tolist()
+                got = {w: raw[a:b] for w, a, b in zip(part, [0, *stops], stops)}
+            out.update(got)
+            young.update(got)
+        return out
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different blank-separated pieces."""
+        parts: list[tuple[str, str, str, str]] = []
+        other: list[str] = []
+        out: dict[str, bytes] = {}
+        young = self.young.get
+        for piece in pieces:
+            if (ids := young(piece)) is not None:  # a lower-case word
+                out[piece] = ids
+            elif piece.isalpha() and piece.isascii():
+                parts.append((piece, "", piece.lower(), ""))
+            elif "<|" not in piece and (m := _PLAIN.fullmatch(piece)):
+                parts.append((piece, m[1], m[2].lower(), m[3]))
+            else:
+                other.append(piece)
+        words = self._plain({p[2] for p in parts if p[2]})
+        words[""] = b""
+        signs = self.signs
+        if len(signs) > REMEMBERED:
+            signs = self.signs = {"": b""}
+        for piece, before, word, after in parts:
+            if before or after:
+                for sign in (before, after):
+                    if sign not in signs:
+                        signs[sign] = self._bytes(self.full.encode(sign, add_special_tokens=False).ids)
+                out[piece] = signs[before] + words[word] + signs[after] if word else self._bytes(self.full.encode(piece, add_special_tokens=False).ids) if before and after else signs[before] or signs[after]
+            else:
+                out[piece] = words[word]
+        for piece, got in zip(other, self.full.encode_batch_fast(other, add_special_tokens=False)):
+            out[piece] = self._bytes(got.ids)
+        return [out[p] for p in pieces]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and each text's first place among them, with the end. What the texts share is looked up once, so a few
+        megabytes at a time are best."""
+        split = pc.split_pattern(pc.replace_substring(_lowered(texts.cast(pa.large_string())), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        ids = self._ids(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        each = sizes[codes]
+        total = np.concatenate(([0], np.cumsum(each)))
+        out = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - total[:-1], each) + np.arange(total[-1])]
+        bounds = split.offsets.to_numpy()
+        return out, total[bounds - bounds[0]]
+
+
+def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """``end_id`` after the ids of each text."""
+    if end_id is None:
+        return ids, bounds
+    return np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
 
 
 @lru_cache(maxsize=2)

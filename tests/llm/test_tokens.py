@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,6 +28,12 @@ def crc(ids):
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
 
+def ids(coder, *texts):
+    got, bounds = coder.encode(pa.array(texts, pa.string()))
+    assert len(bounds) == len(texts) + 1 and bounds[-1] == len(got)
+    return got.tolist()
+
+
 def odd_documents():
     long = " ".join(f"word{k} Élan, thing." for k in range(3000))
     return [(7, "Hello world. hello World", "x", "y"), (2, None, None, None), (3, "", "a", "b"), (5, long, "", ""), (9, "Hello world. hello World", "x", "y"), (11, "one two", "", None), (11, "one two", "", None), (12, "日本語 ... it's <|endoftext|> \x01 ß İ ﬁ 42", "", ""), (None, "nobody", "", "")]
@@ -36,7 +43,7 @@ def odd_documents():
 @given(st.text(alphabet=st.one_of(st.sampled_from("abcXYZ .,'\n\té́İΣ 012-"), st.characters(codec="utf-8")), max_size=60))
 def test_ids_equal_the_library(text):
     c, p = test_ids_equal_the_library.pair
-    assert np.frombuffer(c.encode([text])[0], "<u4").tolist() == p.encode(text, add_special_tokens=False).ids
+    assert ids(c, text) == p.encode(text, add_special_tokens=False).ids
 
 
 @pytest.fixture(autouse=True, scope="module")
@@ -44,12 +51,6 @@ def _pair(coder, plain):
     test_ids_equal_the_library.pair = (coder, plain)
 
 
-def test_long_texts_are_cut_at_blanks(coder, plain, monkeypatch):
-    monkeypatch.setattr("tallyspark.llm.tokens.STRIDE", 10)
-    text = "some words. that go on\nand on for a while " * 5
-    assert np.frombuffer(coder.encode([text, "x"])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
-
-
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50_000), st.integers(0, 2**64 - 1)), max_size=400), st.sampled_from([1, 7, 64, 1024]))
 def test_round_trip(ids, block):
@@ -58,9 +59,8 @@ def test_round_trip(ids, block):
 
 
 def test_segment_decodes_single_blocks():
-    ids = [np.arange(k, dtype="<u4").tobytes() for k in (0, 5, 3000, 1)]
-    seg = simple8b.Segment.load(simple8b.Segment.of([1, 2, 3, 4], ids, block=64).dump())
-    whole = np.frombuffer(b"".join(ids), "<u4")
+    whole = np.concatenate([np.arange(k, dtype="<u4") for k in (0, 5, 3000, 1)])
+    seg = simple8b.Segment.load(simple8b.Segment.of([1, 2, 3, 4], [0, 5, 3000, 1], whole, block=64).dump())
     assert seg.ids().tolist() == whole.tolist() and seg.ids(700, 905).tolist() == whole[700:905].tolist()
     assert len(seg.words) * 8 < whole.nbytes
 
