@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, packing, simple8b
+from . import decontam, neardup, packing, repeats, simple8b
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def op1_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
@@ -36,6 +40,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simple8b": op1_simple8b,
+    "op6_repeats": op6_repeats,
     "op8_automaton": op8_automaton,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
