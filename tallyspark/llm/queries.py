@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, neardup, packing, repeats, simple8b
+from . import decontam, mil, neardup, packing, repeats, simple8b, toxic
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -22,6 +22,14 @@ def op1_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
 
 
+def op2_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("attention")
+
+
+def op5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -40,6 +48,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simple8b": op1_simple8b,
+    "op2_mil": op2_mil,
+    "op5_segments": op5_segments,
     "op6_repeats": op6_repeats,
     "op8_automaton": op8_automaton,
     "op9_minhash": op9_minhash,
