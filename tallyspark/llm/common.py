@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +89,46 @@ def text_arrays(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Itera
             at = stop
     if ids:
         yield pa.concat_arrays(ids), pa.concat_arrays(held)
+
+
+def put(uri: str, raw: bytes) -> None:
+    """A file, whole or not at all; a repeated task writes the same bytes under the same name."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(os.path.dirname(path), recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(part) as out:
+        out.write(raw)
+    fs.move(part, path)
+
+
+def fetch(uri: str) -> bytes:
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_stream(path) as f:
+        return f.read()
+
+
+#: Words of 64 bits in a filter of numbers: a fixed size, whatever the input. It may let more through than it was made of, never less.
+FILTER = 1 << 20
+
+
+def number_filter(rows: DataFrame, value: str, uri: str) -> str:
+    """Write the filter of the column ``value`` (long) to ``uri``."""
+    word = F.shiftrightunsigned(F.col(value), 6).bitwiseAND(FILTER - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(value).bitwiseAND(63).cast("int"))
+    got = rows.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    bits = np.zeros(FILTER, dtype=np.int64)
+    bits[got.column("w").to_numpy()] = got.column("b").to_numpy()
+    put(uri, bits.astype("<i8").tobytes())
+    return uri
+
+
+@lru_cache(maxsize=2)
+def _bits(uri: str) -> np.ndarray:
+    return np.frombuffer(fetch(uri), dtype="<u8")
+
+
+def passing(uri: str, values: np.ndarray) -> np.ndarray:
+    """Which of ``values`` (64-bit) may be in the filter."""
+    values = values.view(np.uint64)
+    one = np.uint64
+    return (_bits(uri)[((values >> one(6)) & one(FILTER - 1)).astype(np.int64)] >> (values & one(63)) & one(1)).astype(bool)

@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, texts, work_dir
-from .simple8b import fetch, put
+from .common import fetch, put, slices, staged, texts, work_dir
 
 WINDOW = 10
 #: Item words in one automaton. More items give more automata, which each task goes through one after another.

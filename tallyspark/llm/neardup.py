@@ -17,15 +17,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, staged, texts
+from .common import number_filter, passing, slices, staged, texts, work_dir
+from .wordhash import SPACED, Words, mixed
 
 SKETCH = 64
 #: Shared retained values of two sets with similarity 0.8, both larger than the sketch: fewer have a chance of 7e-12.
@@ -33,40 +32,31 @@ SHARED = 25
 #: Estimates of a pair with similarity 0.8 that fall below this have a chance of 2e-9.
 ESTIMATE = 0.5
 #: Rounds of comparison with leaders before lists are worked off.
-ROUNDS = 2
-REMEMBERED = 1 << 20
-
+ROUNDS = 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_FOLD = np.uint64(0xBF58476D1CE4E5B9)
-
-
-@lru_cache(maxsize=1)
-def _hashes() -> dict[bytes, int]:
-    return {}
-
-
-def shingles(text: str, words: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct runs of ``words`` words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; of the whole sequence if it is shorter."""
-    known = _hashes()
-    split = text.encode("utf-8", "surrogatepass").lower().split()
-    if not split:
-        return np.zeros(0, np.uint64)
-    got = list(map(known.get, split))
-    if None in got:
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in {w for w, g in zip(split, got) if g is None}:
-            known[w] = xxhash.xxh64_intdigest(w)
-        got = [known[w] if g is None else g for w, g in zip(split, got)]
-    each = np.asarray(got, dtype=np.uint64)
-    n = min(words, len(each))
-    out = np.zeros(len(each) - n + 1, dtype=np.uint64)
-    for k in range(n):
-        out = (out ^ each[k : len(each) - n + 1 + k]) * _MIX
-        out ^= out >> np.uint64(29)
-        out *= _FOLD
-        out ^= out >> np.uint64(32)
-    return np.unique(out)
+
+
+def shingles(texts: list[str], words: int) -> list[np.ndarray]:
+    """For each text the sorted 64-bit hashes of its distinct runs of ``words`` words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; of the whole sequence if it is
+    shorter."""
+    every = Words.of([t.encode("utf-8", "surrogatepass") for t in texts], SPACED)
+    each = every.hashes()
+
+    def chained(parts: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(parts[0]), dtype=np.uint64)
+        for p in parts:
+            out = mixed((out ^ p) * _MIX)
+        return out
+
+    n = len(each) - words + 1
+    runs = chained([each[k : k + n] for k in range(words)]) if n > 0 else each[:0]
+    out = []
+    for a, b in zip(every.first[:-1].tolist(), every.first[1:].tolist()):
+        if b - a >= words:
+            out.append(np.unique(runs[a : b - words + 1]))
+        else:
+            out.append(chained([each[k : k + 1] for k in range(a, b)]) if b > a else each[:0])
+    return out
 
 
 def least_shared(n: int, k: int = SKETCH, shared: int = SHARED) -> int:
@@ -75,10 +65,10 @@ def least_shared(n: int, k: int = SKETCH, shared: int = SHARED) -> int:
 
 
 def union_estimate(a: bytes, b: bytes, k: int = SKETCH) -> float:
-    """Similarity as the share of the ``k`` smallest values of both sketches that both have."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    """Similarity as the share of the ``k`` smallest values of both sketches, given by their upper 32 bits, that both have."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
     union = np.union1d(x, y)[:k]
-    return np.isin(union, np.intersect1d(x, y, assume_unique=True), assume_unique=True).sum() / max(1, len(union))
+    return np.isin(union, np.intersect1d(x, y)).sum() / max(1, len(union))
 
 
 def sketched(docs: DataFrame, words: int, k: int = SKETCH) -> DataFrame:
@@ -86,7 +76,7 @@ def sketched(docs: DataFrame, words: int, k: int = SKETCH) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, some in slices(batches):
-            sets = [shingles(t, words) for t in some]
+            sets = shingles(some, words)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
@@ -180,15 +170,26 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, k: int =
     classes = staged(known.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "op9-classes")
     lists = staged(postings(classes, k), "op9-postings")
     lists = lists.join(lists.groupBy("value").count().where("count > 1").select("value"), "value", "left_semi")
-    listed = lists.select("rep").distinct()
-    sketches = classes.join(listed, "rep", "left_semi").select("rep", "sketch")
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([(np.frombuffer(x, "<u8") >> np.uint64(32)).astype("<u4").tobytes() for x in batch.column("sketch").to_pylist()], pa.binary())], ["rep", "sketch"])
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, some in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shingles(t, words).astype("<u8").tobytes() for t in some], pa.binary())], ["rep", "hashes"])
+    sketches = classes.select("rep", "sketch").mapInArrow(short, "rep long, sketch binary").join(lists.select("rep").distinct(), "rep", "left_semi")
+    sketches = staged(sketches, "op9-short")
+    folder = work_dir(docs.sparkSession, "op9-filters")
+    source = texts(docs)
+
+    def sets(pairs: DataFrame, turn: int) -> DataFrame:
+        """(rep, hashes) of the full sets of the documents in ``pairs``, from their texts again. A filter of fixed size says which texts are worth it."""
+        uri = number_filter(pairs.select(F.explode(F.array("a", "b")).alias("rep")), "rep", f"{folder}/{turn}")
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = passing(uri, batch.column("doc_id").to_numpy(zero_copy_only=False))
+                for ids, some in slices(iter([batch.filter(pa.array(keep, pa.bool_()))])):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([h.astype("<u8").tobytes() for h in shingles(some, words)], pa.binary())], ["rep", "hashes"])
 
-    wanted = texts(docs).join(listed.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    sets = staged(wanted.mapInArrow(whole, "rep long, hashes binary").dropDuplicates(["rep"]), "op9-sets")
+        return source.mapInArrow(whole, "rep long, hashes binary")
 
     edges = labels = None
 
@@ -209,7 +210,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, k: int =
         stars = own.join(lead, "value").where("label <> lead.of").groupBy(F.col("rep").alias("a"), F.col("lead.id").alias("b")).agg(F.count("*").alias("shared"))
         near = estimated(stars.select("a", "b"), sketches, ESTIMATE)
         best = near.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
-        edges, labels = linked(confirmed(best, sets, percent), edges)
+        best = staged(best, "op9-best")
+        edges, labels = linked(confirmed(best, sets(best, turn), percent), edges)
 
     # What is left: members outside the main component of a list, against all members of other components.
     own = staged(labelled(lists), "op9-labelled")
@@ -219,7 +221,8 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, k: int =
     minor = split.where("label <> main").select("value", F.col("rep").alias("a"), F.col("label").alias("la"))
     other = split.select("value", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("main"))
     pairs = minor.join(other, "value").where("la <> lb and (lb = main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges, labels = linked(confirmed(staged(estimated(pairs, sketches, ESTIMATE), "op9-candidates").select("a", "b"), sets, percent), edges)
+    pairs = staged(estimated(pairs, sketches, ESTIMATE), "op9-candidates").select("a", "b")
+    edges, labels = linked(confirmed(pairs, sets(pairs, ROUNDS), percent), edges)
 
     reps = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component_id"))
     out = known.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left")

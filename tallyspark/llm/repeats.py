@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, staged, texts, work_dir
-from .simple8b import fetch, put
+from .common import number_filter, partitions, passing, staged, texts, work_dir
 
 LENGTH = 100
 GRAM = 16
@@ -30,8 +29,6 @@ GRAM = 16
 PIECES = 12_000
 #: Anchors with more different pieces are divided by a hash of each window.
 HOT = 4 * PIECES
-#: Words of 64 bits in the filter of repeated anchors. It may let more through at any size of the input, never less.
-FILTER = 1 << 20
 #: Bytes that are hashed at once.
 STRIDE = 1 << 20
 
@@ -190,30 +187,6 @@ def runs_of(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, cut + 1)].tolist(), starts[np.append(cut, len(starts) - 1)].tolist()))
 
 
-@lru_cache(maxsize=2)
-def _bits(uri: str) -> np.ndarray:
-    return np.frombuffer(fetch(uri), dtype="<u8")
-
-
-def _filter(rows: DataFrame, value: str, folder: str, name: str) -> str:
-    """A file with the bits of all ``value``; FILTER words, whatever the number of rows."""
-    word = F.shiftrightunsigned(F.col(value), 6).bitwiseAND(FILTER - 1)
-    got = rows.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(value).bitwiseAND(63).cast("int"))).alias("b")).toArrow()
-    bits = np.zeros(FILTER, dtype=np.int64)
-    bits[got.column("w").to_numpy()] = got.column("b").to_numpy()
-    put(f"{folder}/{name}", bits.astype("<i8").tobytes())
-    return f"{folder}/{name}"
-
-
-def _in(uri: str, values: np.ndarray) -> np.ndarray:
-    return (_bits(uri)[((values >> _U(6)) & _U(FILTER - 1)).astype(np.int64)] >> (values & _U(63)) & _U(1)).astype(bool)
-
-
-def _spot(doc: np.ndarray, first: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return _mixed(doc.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + first.astype(np.uint64))
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(doc_id, begin, end) of bytes that windows with an earlier occurrence cover; spans of a document may overlap."""
     spark = docs.sparkSession
@@ -225,12 +198,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(pieces(group, length)[0].view(np.int64))], ["anchor"])
 
     often = docs.mapInArrow(low, "anchor long").groupBy("anchor").count().where("count > 1")
-    common = _filter(often, "anchor", folder, "anchors")
+    common = number_filter(often, "anchor", f"{folder}/anchors")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in units(batches, length):
             anchor, doc, first, n, at, raw = pieces(group, length)
-            keep = _in(common, anchor)
+            keep = passing(common, anchor)
             anchor, doc, first, n, at = (x[keep] for x in (anchor, doc, first, n, at))
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(prints(raw, at, n + length - 1).view(np.int64)), pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int32())], ["anchor", "print", "doc_id", "first", "n"])
 
@@ -238,12 +211,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     whole = staged(places.groupBy("anchor", "print").agg(F.min(F.struct("doc_id", "first")).alias("lead"), F.count("*").alias("copies")), "op6-pieces")
     mixed = whole.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     split = staged(whole.join(mixed, "anchor").select("anchor", "print", "kinds", F.col("lead.doc_id").alias("doc_id"), F.col("lead.first").alias("first")), "op6-mixed")
-    spots = _filter(split.select(F.col("anchor").alias("v")), "v", folder, "mixed")
+    spots = number_filter(split, "anchor", f"{folder}/mixed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in units(batches, length):
             anchor, doc, first, n, at, raw = pieces(group, length)
-            keep = _in(spots, anchor)
+            keep = passing(spots, anchor)
             anchor, doc, first, n, at = (x[keep] for x in (anchor, doc, first, n, at))
             held = raw.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array([held[a : a + k + length - 1] for a, k in zip(at.tolist(), n.tolist())], pa.binary())], ["anchor", "doc_id", "first", "bytes"])

@@ -10,20 +10,17 @@ bits), its number of ids, word offset of each block and one of the end, words. A
 
 from __future__ import annotations
 
-import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, staged, text_arrays, texts, work_dir
+from .common import fetch, partitions, put, staged, text_arrays, texts, work_dir
 from .tokens import with_end, word_ids
 
 MAGIC = b"TSIM8B01"
@@ -193,22 +190,6 @@ class Segment:
         return out[begin - first * self.block : end - first * self.block].astype(np.uint32)
 
 
-def put(uri: str, raw: bytes) -> None:
-    """Whole or not at all; a repeated task writes the same bytes under the same name."""
-    fs, path = pafs.FileSystem.from_uri(uri)
-    fs.create_dir(os.path.dirname(path), recursive=True)
-    part = f"{path}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(part) as out:
-        out.write(raw)
-    fs.move(part, path)
-
-
-def fetch(uri: str) -> bytes:
-    fs, path = pafs.FileSystem.from_uri(uri)
-    with fs.open_input_stream(path) as f:
-        return f.read()
-
-
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = 1, segment: int = SEGMENT) -> DataFrame:
     """Write ``docs`` (doc_id, text) to files below ``folder`` in ascending doc_id order; returns (part, seq, path, before, n_docs, n_ids), a row for each
     file, where ``before`` counts the ids of earlier files of the same part.

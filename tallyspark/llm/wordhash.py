@@ -16,6 +16,10 @@ _BACK = pow(_BASE, -1, 2**64)
 LETTERS = np.asarray([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 0 for c in range(256)], dtype=np.uint8)
 
 
+#: The same for words between white space; a zero byte is a letter like others.
+SPACED = np.asarray([0 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c or 255 for c in range(256)], dtype=np.uint8)
+
+
 @lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -40,11 +44,11 @@ class Words:
     sums: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[bytes]) -> Words:
+    def of(cls, texts: list[bytes], table: np.ndarray = LETTERS) -> Words:
         raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
         sizes = np.asarray([len(t) + 1 for t in texts], dtype=np.int64)
         offsets = np.concatenate(([0], np.cumsum(sizes))) if len(texts) else np.zeros(1, np.int64)
-        normal = LETTERS[raw]
+        normal = table[raw]
         inside = np.concatenate(([False], normal > 0, [False]))
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         begin, end = edges[::2], edges[1::2]
