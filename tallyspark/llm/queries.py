@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, mil, neardup, packing, repeats, simple8b, toxic
+from . import decontam, hosts, mil, neardup, packing, repeats, rules, secrets, simple8b, toxic
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +27,20 @@ def op2_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("attention")
 
 
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def page_outcomes(labels: DataFrame) -> DataFrame:
+    """Labels as outcomes of pages: both tables number the same crawl, and a page is bad if its number is marked low or toxic."""
+    return labels.select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull(), 0).alias("bad"))
+
+
+def op4_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(table(spark, sf_dir, "pages"), page_outcomes(table(spark, sf_dir, "labels"))).drop("bad_rate", "bound")
+
+
 def op5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
 
@@ -34,6 +49,10 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(table(spark, sf_dir, "documents"), secrets.fit(secrets.made_findings(spark)))
+
+
 def op8_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
@@ -49,8 +68,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simple8b": op1_simple8b,
     "op2_mil": op2_mil,
+    "op3_rules": op3_rules,
+    "op4_hosts": op4_hosts,
     "op5_segments": op5_segments,
     "op6_repeats": op6_repeats,
+    "op7_secrets": op7_secrets,
     "op8_automaton": op8_automaton,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,

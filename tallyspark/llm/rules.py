@@ -115,7 +115,8 @@ def _grow(x: np.ndarray, bad: np.ndarray, names: list[str]) -> Rule:
                     best = (float(gain[j]), Condition(name, above, float(cuts[j])))
         if best[1] is None:
             break
-        rule += (best[1],)
+        # A tighter condition on the same side takes the place of the earlier one.
+        rule = (*(c for c in rule if (c.statistic, c.above) != (best[1].statistic, best[1].above)), best[1])
         inside &= _holds((best[1],), x, names)
     return rule
 
