@@ -1,7 +1,7 @@
 """Operator 6: remove byte strings that occur earlier, by the suffixes of a collection sorted column by column.
 
 A document's 100-byte windows are cut into pieces: consecutive windows with the same anchor, the least of a hash over the
-window's 16-byte grams. Equal windows have equal anchors, so only pieces under one anchor can share a window, and pieces under
+window's grams. Equal windows have equal anchors, so only pieces under one anchor can share a window, and pieces under
 an anchor that occurs once share none. Equal pieces under an anchor are one piece with a first place.
 
 The pieces under one anchor are a collection whose suffixes are put in order by inserting one symbol of each piece per round,
@@ -24,18 +24,18 @@ from pyspark.sql import functions as F
 from .common import number_filter, partitions, passing, staged, texts, work_dir
 
 LENGTH = 100
-GRAM = 16
+GRAM = 32
 #: Pieces whose suffixes are put in order together.
-PIECES = 12_000
+PIECES = 3_000
 #: Anchors with more different pieces are divided by a hash of each window.
-HOT = 4 * PIECES
+HOT = 50_000
 #: Bytes that are hashed at once.
 STRIDE = 1 << 20
 
 _U = np.uint64
 _RNG = np.random.default_rng(6)
 _OF_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
-_STEP = {n: int(_RNG.integers(1, 2**62, dtype=np.uint64)) * 2 + 1 for n in (1, 2, 4, 8)}
+_STEP = {n: int(_RNG.integers(1, 2**62, dtype=np.uint64)) * 2 + 1 for n in (1, 2, 4, 8, 16, 32)}
 _BASE = int(_RNG.integers(1, 2**62, dtype=np.uint64)) * 2 + 1
 _BACK = pow(_BASE, -1, 2**64)
 
@@ -116,50 +116,51 @@ def prints(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray
 
 
 def ordered_suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, common prefix with the one before, symbol before as byte + 1, 0 at a text's begin) of all suffixes in order, the empty ones first.
+    """(text, start, common prefix with the one before up to 255, symbol before as byte + 1, 0 at a text's begin) of all suffixes in order, the empty ones first.
 
     Round j inserts the suffix of length j + 1 of each text that has one: its place follows from the symbol before the suffix of length j, as a
     stable order of the symbols is the order of the suffixes that they begin.
     """
     m = len(texts)
     sizes = np.asarray([len(t) for t in texts], dtype=np.int64)
-    begin = np.cumsum(sizes) - sizes
-    symbols = np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int16) + 1
-    if symbols.size and symbols.max() > 255:
-        raise ValueError("text must be UTF-8")
-    symbols = symbols.astype(np.uint8)
-    text, start = np.arange(m), sizes.copy()
-    before = np.where(sizes > 0, symbols[np.maximum(begin + sizes - 1, 0)], 0).astype(np.uint8) if symbols.size else np.zeros(m, np.uint8)
-    common = np.zeros(m, dtype=np.int16)
-    fresh = np.ones(m, dtype=bool)
-    while (fresh & (before > 0)).any():
-        order = np.argsort(before, kind="stable")[int((before == 0).sum()) :]
-        newest = fresh[order]
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    joined = np.frombuffer(b"\xff".join(texts) + b"\xff", dtype=np.uint8)  # a byte that UTF-8 doesn't have
+    symbols = joined + np.uint8(1)  # so a text's end, and what stands before its begin, is 0
+    at = (begin + sizes).astype(np.int32)
+    before = symbols[at - 1]
+    common = np.zeros(m, dtype=np.uint8)
+    newest = np.ones(m, dtype=bool)
+    while True:
+        order = np.argsort(before, kind="stable")[np.count_nonzero(before == 0) :]
+        newest = newest[order]
+        mine = np.flatnonzero(newest)
+        if not len(mine):
+            break
+        # Neighbours of which one is new: one symbol more than the suffixes behind them, whose least common prefix is between.
+        touched = np.unique(np.concatenate((mine, mine + 1)))
+        touched = touched[(touched > 0) & (touched < len(order))]
+        left, right = order[touched - 1], order[touched]
+        same = np.flatnonzero(before[left] == before[right])
+        value = np.zeros(len(touched), np.uint8)
+        if len(same):
+            by = same[np.argsort(left[same])]
+            pair = np.empty(2 * len(by), np.int64)
+            pair[::2], pair[1::2] = left[by] + 1, right[by] + 1
+            least = np.minimum.reduceat(np.append(common, np.uint8(0)), pair)[::2]
+            value[by] = np.minimum(least, 254) + np.uint8(1)
+        source = order[mine]
         fresh = np.concatenate((np.zeros(m, bool), newest))
-        old_text, old_start, old_common, old_before = text, start, common, before
-        text, start = np.empty(len(fresh), np.int64), np.empty(len(fresh), np.int64)
-        common, before = np.empty(len(fresh), np.int16), np.empty(len(fresh), np.uint8)
         kept = ~fresh
-        text[kept], start[kept], common[kept], before[kept] = old_text, old_start, old_common, old_before
-        source = order[newest]
-        text[fresh], start[fresh] = old_text[source], old_start[source] - 1
-        at = start[fresh]
-        before[fresh] = np.where(at > 0, symbols[np.maximum(begin[text[fresh]] + at - 1, 0)], 0)
-        # Neighbours of which one is new: one symbol more than the suffixes behind them, whose least common prefix is between.
-        touched = np.flatnonzero(newest[1:] | newest[:-1]) + 1
-        same = old_before[order[touched]] == old_before[order[touched - 1]]
-        value = np.zeros(len(touched), np.int16)
-        low, high = order[touched[same] - 1] + 1, order[touched[same]]
-        if len(low):
-            by = np.argsort(low, kind="stable")
-            pair = np.empty(2 * len(low), np.int64)
-            pair[::2], pair[1::2] = low[by], high[by] + 1
-            least = np.empty(len(low), np.int16)
-            least[by] = np.minimum.reduceat(np.append(old_common, np.int16(0)), pair)[::2]
-            value[same] = least + 1
+        old_at, old_before, old_common = at, before, common
+        at, before, common = np.empty(len(fresh), np.int32), np.empty(len(fresh), np.uint8), np.empty(len(fresh), np.uint8)
+        at[kept], before[kept], common[kept] = old_at, old_before, old_common
+        new_at = old_at[source] - np.int32(1)
+        at[m + mine], before[m + mine] = new_at, symbols[new_at - 1]
         common[m] = 0
         common[m + touched] = value
-    return text, start, common, before
+        newest = fresh
+    text = np.searchsorted(begin, at, side="right") - 1
+    return text, at - begin[text], common, before
 
 
 def repeated_windows(texts: list[bytes], doc: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

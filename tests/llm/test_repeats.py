@@ -56,11 +56,11 @@ def check(spark, docs, length, **more):
 
 
 def test_against_all_windows(spark):
-    check(spark, sample(random.Random(1)), 30)
+    check(spark, sample(random.Random(1)), 40)
 
 
 def test_hot_anchors_and_parts(spark, monkeypatch):
-    check(spark, sample(random.Random(2)), 20, hot=2)
+    check(spark, sample(random.Random(2)), 34, hot=2)
 
 
 def test_parts_of_long_texts():
