@@ -180,4 +180,6 @@ def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs``, with their columns, that neither the base rules nor the list rejects."""
     names = docs.columns
     spare = docs.select(*(F.col(f"`{n}`").alias(f"__c{k}") for k, n in enumerate(names)), F.col("text").alias("__text"))
-    return with_statistics(spare, "__text").where(~base_failed() & verdict(rules)).select(*(F.col(f"__c{k}").alias(n) for k, n in enumerate(names)))
+    # The row number is not deterministic, which keeps the filter from being pushed down and its statistics from being worked out for each array element.
+    judged = with_statistics(spare, "__text").withColumns({"__kept": ~base_failed() & verdict(rules), "__row": F.monotonically_increasing_id()})
+    return judged.where(F.col("__kept") & (F.col("__row") >= 0)).select(*(F.col(f"__c{k}").alias(n) for k, n in enumerate(names)))

@@ -190,7 +190,7 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 def findings(docs: DataFrame, forest: list[Node], limit: float = 0.5) -> DataFrame:
     """doc_id, place (word position from 0), masked (first four characters), length, score, secret: a row for each candidate in each row of ``docs``. Null and
     empty texts have none."""
-    rows = with_candidates(texts(docs)).select("doc_id", F.explode("__found").alias("f"))
+    rows = with_candidates(texts(docs)).select("doc_id", F.explode_outer("__found").alias("f")).where("f is not null")  # outer: else a filter on the array's size would be pushed down
     core = F.regexp_extract("f.word", CORE, 0)
     rows = rows.select("doc_id", F.col("f.place").cast("long").alias("place"), F.concat(F.substring(core, 1, 4), F.lit("…")).alias("masked"), F.length(core).cast("long").alias("length"), *(c.cast("double").alias(f"__{n}") for n, c in features(F.col("f.word"), F.col("f.before"), F.col("f.after")).items()))
     return rows.withColumn("score", probability(forest, lambda n: F.col(f"__{n}"))).select("doc_id", "place", "masked", "length", "score", (F.col("score") >= limit).alias("secret"))
