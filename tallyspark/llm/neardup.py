@@ -5,7 +5,7 @@ A document is the set of its word shingles, as 64-bit hashes. Equal sets form a
 estimates their similarity, and the full sets decide.
 
 Lists hold only what a similar pair can't avoid to share. Two sets of similarity 0.8 share at least ``least_shared`` retained
-values (for sets no larger than the sketch by counting, else but for a chance below 1e-10), so among each sketch's values in
+values (for sets no larger than the sketch by counting, else but for a chance below 1e-9), so among each sketch's values in
 order of frequency, all but the ``least_shared - 1`` most frequent suffice. Values that only one class has fill these places
 first and need no list, so very frequent values hardly ever get one.
 
@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from .common import number_filter, passing, slices, staged, texts, work_dir
 from .wordhash import SPACED, Words, mixed
 
-SKETCH = 64
-#: Shared retained values of two sets with similarity 0.8, both larger than the sketch: fewer have a chance of 7e-12.
-SHARED = 25
+SKETCH = 128
+#: Shared retained values of two sets with similarity 0.8, both larger than the sketch: fewer have a chance of 3e-10.
+SHARED = 70
 #: Estimates of a pair with similarity 0.8 that fall below this have a chance of 2e-9.
-ESTIMATE = 0.5
+ESTIMATE = 0.55
 #: Rounds of comparison with leaders before lists are worked off.
-ROUNDS = 1
+ROUNDS = 3
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,6 +72,23 @@ def union_estimate(a: bytes, b: bytes, k: int = SKETCH) -> float:
     return np.isin(union, np.intersect1d(x, y)).sum() / max(1, len(union))
 
 
+def union_estimates(a: list[bytes], b: list[bytes], k: int = SKETCH) -> np.ndarray:
+    """:func:`union_estimate` of many pairs at once, by sorting both sketches of each pair in one row."""
+    none = np.uint32(2**32 - 1)
+    out = np.empty(len(a))
+    for at in range(0, len(a), 4096):
+        rows = np.full((min(4096, len(a) - at), 2 * k), none, dtype=np.uint32)
+        for side, some in ((0, a[at : at + 4096]), (k, b[at : at + 4096])):
+            sizes = np.asarray([len(x) // 4 for x in some])
+            rows[:, side : side + k][np.arange(k) < sizes[:, None]] = np.frombuffer(b"".join(some), "<u4")
+        rows.sort(axis=1)
+        again = (rows[:, 1:] == rows[:, :-1]) & (rows[:, 1:] != none)
+        new = np.concatenate((rows[:, :1] != none, (rows[:, 1:] != rows[:, :-1]) & (rows[:, 1:] != none)), axis=1)
+        rank = np.cumsum(new, axis=1)
+        out[at : at + len(rows)] = (again & (rank[:, 1:] <= k)).sum(axis=1) / np.maximum(1, np.minimum(k, rank[:, -1]))
+    return out
+
+
 def sketched(docs: DataFrame, words: int, k: int = SKETCH) -> DataFrame:
     """doc_id, n_shingles, set_key (null for the empty set), sketch (bytes)."""
 
@@ -133,7 +151,7 @@ def estimated(pairs: DataFrame, sketches: DataFrame, floor: float) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            est = np.asarray([union_estimate(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())])
+            est = union_estimates(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())
             keep = pa.array(est >= floor, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(est[est >= floor], pa.float64())], ["a", "b", "estimate"])
 
@@ -203,9 +221,9 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, k: int =
         return all_edges, components(all_edges)
 
     for turn in range(ROUNDS):
-        # One leader to a list; another order of leaders in each turn.
+        # One leader to a list, others in each turn; lists with the same members have different leaders.
         own = labelled(lists)
-        order = F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep").alias("id"), F.col("label").alias("of"))
+        order = F.struct(F.xxhash64("rep", "value", F.lit(turn)), F.col("rep").alias("id"), F.col("label").alias("of"))
         lead = own.groupBy("value").agg(F.min(order).alias("lead"), F.count("*").alias("n")).where("n > 1")
         stars = own.join(lead, "value").where("label <> lead.of").groupBy(F.col("rep").alias("a"), F.col("lead.id").alias("b")).agg(F.count("*").alias("shared"))
         near = estimated(stars.select("a", "b"), sketches, ESTIMATE)

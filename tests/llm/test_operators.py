@@ -1,0 +1,200 @@
+import hashlib
+import random
+import re
+import string
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tallyspark.llm import decontam, hosts, mil, rules, secrets, toxic
+
+SCHEMA = "doc_id long, text string, host string, quality string"
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+ODD = [(1, None), (2, ""), (3, " \n \t"), (4, "x"), (5, "word " * 3000), (6, "same text here"), (6, "same text here"), (None, "no id")]
+
+
+def frame(spark, docs):
+    return spark.createDataFrame([(i, t, "h", "q") for i, t in docs], SCHEMA)
+
+
+# Benchmark decontamination
+
+
+def hits(text, items, window):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    words, hit, found = split(text), set(), set()
+    for name, item in items:
+        w = split(item)
+        n = min(window, len(w))
+        spots = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+        for k in range(len(words) - n + 1 if n else 0):
+            if tuple(words[k : k + n]) in spots:
+                hit.update(range(k, k + n))
+                found.add(str(name))
+    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+
+
+@pytest.mark.parametrize("block", [15, 100_000])
+def test_decontamination(spark, block):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice(["ab", "cd", "Éf", "g7", "hi,"]) for _ in range(n))
+    items = [(k, text(rng.randint(1, 14))) for k in range(2, 30)] + [(30, None), (31, ""), (32, "cd"), (2, text(12)), (None, "ab ab ab ab")]
+    items = [i for i in items if i[1] is None or len(i[1]) > 16 or i[0] is None]
+    docs = [(k, text(rng.randint(0, 60))) for k in range(100, 130)] + ODD
+    got = decontam.matches(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), window=10, block_words=block).collect()
+    want = [(i, *hits(t, [x for x in items if x[0] is not None], 10)) for i, t in docs if i is not None]
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == sorted(want)
+
+
+def test_cut():
+    assert decontam.cut("Keep this, a b c and that.", [(2, 5)], 2, 0.9) == "Keep this,  and that."
+    assert decontam.cut("a b c", [(0, 3)], 1, 0.5) is None
+    assert decontam.cut("a b c d e", [(0, 1)], 2, 0.5) == "a b c d e"
+
+
+def test_no_items(spark):
+    got = decontam.matches(frame(spark, ODD), spark.createDataFrame([], "item_id long, text string")).collect()
+    assert len(got) == 7 and not any(r["contaminated"] for r in got)
+
+
+# Quality rules
+
+
+def statistics(text):
+    t = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    covered = {j for k in range(len(w) - 4) if n[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_statistics(spark):
+    rng = random.Random(3)
+    docs = [(k, "".join(rng.choice(["a ", "b\n", "É# ", "<x> ", "a b a b a b ", "\t"]) for _ in range(rng.randint(0, 60)))) for k in range(10, 60)] + ODD
+    got = rules.judge(frame(spark, docs), []).collect()
+    want = []
+    for i, t in docs:
+        if i is not None:
+            s = statistics(t)
+            failed = s[0] < 10 or 100 * s[4] > 20 * s[0]
+            want.append((i, *s, failed, not failed))
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert rules.accepted(frame(spark, docs), []).columns == ["doc_id", "text", "host", "quality"]
+    assert rules.accepted(frame(spark, [d for d in docs if d[0]]), []).count() == sum(w[-1] for w in want)
+
+
+def test_decision_list(spark):
+    docs = [(k, f"{'WORD# ' * 30}" if k % 3 == 0 else " ".join(f"word{j * k}" for j in range(30))) for k in range(300)]
+    labels = spark.createDataFrame([(k, int(k % 3 != 0), 0) for k in range(0, 300, 2)] + [(None, 1, 0), (4, None, 1), (9999, 0, 0)], "doc_id long, quality int, toxic int")
+    learnt = rules.fit(frame(spark, docs), labels)
+    assert learnt and all(len(r) for r in learnt)
+    kept = {r["doc_id"]: r["kept"] for r in rules.judge(frame(spark, docs), learnt).collect()}
+    assert kept == {k: k % 3 != 0 for k in range(300)}
+    assert rules.fit(frame(spark, docs), labels.limit(0)) == []
+
+
+# Host reputation
+
+
+def test_hosts(spark):
+    urls = ["http://A.example.net/en/1", "http://x.net/", "http://x.net", "https://B.example.com/de/2?x", "http://q.org/fr/#a", "http://bad.example.com/a", "no url", None, "ftp://u@H:80/p;q?r", "a://b://c", "http://good.example.org/x"]
+    pages = [(k, u, "") for k, u in enumerate(urls)] + [(100 + k, "http://bad.example.com/p", "") for k in range(40)] + [(200 + k, "http://good.example.org/p", "") for k in range(40)]
+    bad = [(100 + k, 1) for k in range(40)] + [(200 + k, 0) for k in range(40)] + [(5, None), (None, 1), (7777, 1)]
+    got = {r["page_id"]: r for r in hosts.judge(spark.createDataFrame(pages, "page_id long, url string, bad string"), spark.createDataFrame(bad, "page_id long, bad int")).collect()}
+    assert len(got) == len(pages)
+    assert [(got[k]["host"], got[k]["path"], got[k]["rule"]) for k in range(11)] == [("a.example.net", "/en/1", "example.net/en/"), ("x.net", "/", "net/"), ("x.net", "", None), ("b.example.com", "/de/2", "example.com/de/"), ("q.org", "/fr/", "org/fr/"), ("bad.example.com", "/a", None), ("", "", None), ("", "", None), ("u@h:80", "/p;q", None), ("b:", "//c", None), ("good.example.org", "/x", None)]
+    assert [got[k]["verdict"] for k in (0, 1, 3, 4, 5, 10)] == ["allow", "block", "block", "allow", "block", "allow"]
+    assert got[5]["bound"] > 0.8 and got[10]["bad_rate"] < 0.2
+    none = hosts.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int"))
+    assert none.count() == 0
+
+
+# Toxicity
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(-4, 4), max_size=12))
+def test_maximal_segments(scores):
+    at = [k for k, s in enumerate(scores) if s]
+    got = [(a, b) for _, a, b in toxic.maximal_segments(at, [float(scores[k]) for k in at], 0.0)]
+    # All maximal segments by definition: the best stretch, then the same left and right of it.
+    def best(lo, hi):
+        top = None
+        for a in range(lo, hi):
+            for b in range(a, hi):
+                s = sum(scores[a : b + 1])
+                if s > 0 and (top is None or (s, a - b) > (top[0], top[1] - top[2])):
+                    top = (s, a, b)
+        return [] if top is None else best(lo, top[1]) + [top[1:]] + best(top[2] + 1, hi)
+
+    assert sum(sum(scores[a : b + 1]) for a, b in got) == sum(sum(scores[a : b + 1]) for a, b in best(0, len(scores)))
+
+
+def labelled(n):
+    rng = random.Random(1)
+    docs, labels = [], []
+    for k in range(n):
+        t = [rng.choice("red green blue some word here and there now then".split()) for _ in range(rng.randint(5, 200))]
+        bad = k % 5 == 0
+        if bad:
+            for _ in range(3):
+                t.insert(rng.randrange(len(t)), rng.choice(["nastyword", "awfulthing", "vilestuff"]))
+        docs.append((k, " ".join(t)))
+        if k % 2 == 0:
+            labels.append((k, int(k % 7 != 0), int(bad)))
+    return docs, labels
+
+
+def test_toxicity(spark):
+    docs, labels = labelled(900)
+    got = toxic.toxicity(frame(spark, [*docs, (5000, None), (5001, "")]), spark.createDataFrame([*labels, (None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")).collect()
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1
+        assert r["predicted"] == int(r["doc_id"] < 900 and r["doc_id"] % 5 == 0)
+    text = dict(docs)
+    for r in got:
+        for p in r["passages"] or []:
+            assert text[r["doc_id"]].encode()[p["begin"] : p["end"]].split()[0] in (b"nastyword", b"awfulthing", b"vilestuff")
+    assert toxic.toxicity(frame(spark, docs[:3]), spark.createDataFrame([], "doc_id long, quality int, toxic int")).where("predicted = 1").count() == 0
+
+
+# Quality classifier
+
+
+def test_gradients_fall():
+    rng = np.random.default_rng(0)
+    bags = [rng.normal(0, 1, (rng.integers(1, 6), mil.FEATURES)) for _ in range(300)]
+    y = np.asarray([float(b[:, 0].max() > 1) for b in bags])
+    bounds = np.concatenate(([0], np.cumsum([len(b) for b in bags])))
+    score, attention = mil.predict(mil.train(np.concatenate(bags), bounds, y, epochs=300), np.concatenate(bags), bounds)
+    assert ((score > 0.5) == y).mean() > 0.9
+    assert np.allclose(np.add.reduceat(attention, bounds[:-1]), 1)
+
+
+def test_quality(spark):
+    rng = random.Random(2)
+    docs = [(k, " ".join((rng.choice("abc") * 4 + "%%%" * (k % 4 == 0)) for _ in range(rng.randint(20, 300)))) for k in range(600)]
+    labels = spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(600)] + [(None, 0, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    got = mil.quality(frame(spark, [*docs, *ODD[:2]]), labels).collect()
+    assert len(got) == 602 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    right = [r["predicted"] == int(r["doc_id"] % 4 != 0) for r in got if r["held_out"] and r["doc_id"] > 2]
+    assert sum(right) / len(right) > 0.97
+
+
+# Secrets
+
+
+def test_secrets(spark):
+    forest = secrets.fit(secrets.made_findings(spark))
+    docs = [(1, 'so token = "3c4226790fc3f8022bcc4434e93601b2005f1325" it was'), (2, "the card 4464761703690345 here"), (3, "see https://www.example.com/images/201234/photo"), (4, "use secret: Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MA now"), *[(10 + i, t) for i, t in ODD if i]]
+    found = {r["doc_id"]: r["secret"] for r in secrets.findings(frame(spark, docs), forest).collect()}
+    assert found == {1: True, 2: False, 3: False, 4: True}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(frame(spark, docs), forest).collect()}
+    assert clean[1] == 'so token = "[SECRET]" it was' and clean[4] == "use secret: [SECRET] now"
+    assert all(clean[i] == t for i, t in docs if i not in (1, 4))
+    assert secrets.findings(frame(spark, []), forest).count() == 0
