@@ -287,9 +287,9 @@ def available(s: SparkSession, d: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 11 != 0, F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 40).cast("int"))).alias("available"))
 
 
-CUT = F.lit("1998-07-01").cast("date")
-add("asof_included", f"WITH {AVAILABLE} SELECT id, available FROM a WHERE available <= DATE '1998-07-01'", lambda s, d: factors.cutoff(available(s, d), F.col("available"), CUT)[0])
-add("asof_excluded", f"WITH {AVAILABLE} SELECT id, available, CASE WHEN available IS NULL THEN 'availability unknown' ELSE 'available after the cut-off' END AS reason FROM a WHERE available IS NULL OR available > DATE '1998-07-01'", lambda s, d: factors.cutoff(available(s, d), F.col("available"), CUT)[1])
+CUT = "1998-07-01"
+add("asof_included", f"WITH {AVAILABLE} SELECT id, available FROM a WHERE available <= DATE '1998-07-01'", lambda s, d: factors.cutoff(available(s, d), F.col("available"), F.lit(CUT).cast("date"))[0])
+add("asof_excluded", f"WITH {AVAILABLE} SELECT id, available, CASE WHEN available IS NULL THEN 'availability unknown' ELSE 'available after the cut-off' END AS reason FROM a WHERE available IS NULL OR available > DATE '1998-07-01'", lambda s, d: factors.cutoff(available(s, d), F.col("available"), F.lit(CUT).cast("date"))[1])
 add(
     "lookahead_violations",
     "SELECT count(*) FILTER (l_shipdate > o_orderdate + INTERVAL 60 DAY)::BIGINT AS late_factor, count(*) FILTER (l_shipdate < o_orderdate)::BIGINT AS early_window, count(*) FILTER (l_linenumber < l_quantity)::BIGINT AS early_return, count(*)::BIGINT AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
