@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import candles, factors, ledgers, returns, risk
+from ..operators import backtest, candles, factors, ledgers, returns, risk, solve
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,6 +229,46 @@ add(
     lambda s, d: risk.recovery(v.ret(s, d), "1997-03-01", "1998-06-30", "asset"),
 )
 
+
+def alloc_all(s: SparkSession, d: str) -> DataFrame:
+    """All allocation methods on the shrunk covariance of the three flags, which the driver holds as a 3 x 3 matrix."""
+    rows = risk.ledoit_wolf(v.ret(s, d)).collect()
+    names = sorted({r["i"] for r in rows})
+    cov = np.zeros((len(names), len(names)))
+    for r in rows:
+        cov[names.index(r["i"]), names.index(r["j"])] = r["v"]
+    found, _ = solve.allocations(cov)
+    return s.createDataFrame([(m, a, float(w)) for m, ws in found.items() for a, w in zip(names, ws)], "method string, asset string, w double")
+
+
+def hac(s: SparkSession, d: str) -> DataFrame:
+    rows = v.ret(s, d).groupBy("date").pivot("asset", ["A", "N", "R"]).agg(F.first("r")).orderBy("date").collect()
+    x = np.asarray([[r["N"], r["R"]] for r in rows])
+    got = solve.hac_regression(np.asarray([r["A"] for r in rows]), x)
+    return s.createDataFrame([(n, float(b), float(e)) for n, b, e in zip(("alpha", "N", "R"), [got["alpha"], *got["beta"]], got["error"])], "term string, beta double, error double")
+
+
+def daily_path(s: SparkSession, d: str) -> DataFrame:
+    return v.ret(s, d).withColumn("path", F.lit("demo"))
+
+
+add("alloc_all", None, alloc_all)
+add("hac_regression", None, hac)
+add("backtest_quarterly", None, lambda s, d: backtest.backtest(daily_path(s, d), EQUAL, rate=0.001, rebalance="quarterly"))
+add("backtest_threshold", None, lambda s, d: backtest.backtest(daily_path(s, d), EQUAL, rate=0.001, threshold=0.1))
+# A ledger that is never traded again is the buy-and-hold path: the first purchase is free of cost at rate 0.
+add("backtest_hold", f"WITH {RET}, p AS (SELECT date, 10 + sum(30 * nav) AS value FROM path GROUP BY date) SELECT date, {r('value', 'value / 100 AS nav')} FROM p", lambda s, d: backtest.backtest(daily_path(s, d), EQUAL).select("date", "value", "nav"))
+# Traded back to its weights every day at no cost, the portfolio's return is the mean of the returns.
+add("backtest_daily", f"WITH {RET}, p AS (SELECT date, sum(0.3 * r) AS g FROM ret GROUP BY date) SELECT date, {r('100 * exp(sum(ln(1 + g)) OVER (ORDER BY date)) AS value', 'exp(sum(ln(1 + g)) OVER (ORDER BY date)) AS nav')} FROM p", lambda s, d: backtest.backtest(daily_path(s, d), EQUAL, every=1).select("date", "value", "nav"))
+add("trial_audit", "SELECT o_orderstatus AS status, count(*)::BIGINT AS n, count(*) FILTER (o_orderkey % 9 = 0)::BIGINT AS selected, count(*) FILTER (o_orderkey % 5 = 0 OR o_orderkey % 7 = 0)::BIGINT AS leaks FROM orders GROUP BY 1", lambda s, d: factors.trial_audit(trials(s, d)))
+
+
+def trials(s: SparkSession, d: str) -> DataFrame:
+    """Orders as trials: every fifth trains beyond its test's start, every seventh touched the test."""
+    o, key, date = v.table(s, d, "orders"), F.col("o_orderkey"), F.to_date("o_orderdate")
+    return o.select(F.col("o_orderstatus").alias("status"), (key % 9 == 0).alias("selected"), (key % 7 == 0).alias("test_touched"), F.when(key % 5 == 0, F.date_add(date, 40)).otherwise(date).alias("train_end"), F.date_add(date, 10).alias("label_end"), F.date_add(date, 30).alias("test_start"))
+
+
 # Factor panels
 add("panel_ic", f"WITH {PANEL} SELECT signal_date, n::BIGINT AS n, {r('ic', 'rank_ic', 'spread')} FROM info", lambda s, d: factors.information(v.panel(s, d)))
 add("panel_buckets", f"WITH {PANEL} SELECT signal_date, bucket::BIGINT AS bucket, count(*)::BIGINT AS n, {r('avg(fwd) AS fwd')} FROM bucketed GROUP BY ALL", lambda s, d: factors.bucket_returns(v.panel(s, d)))
