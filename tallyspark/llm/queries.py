@@ -79,6 +79,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_hosts": r"""
+        WITH u AS (SELECT page_id, url, strpos(url, '://') AS sep FROM pages),
+        rest AS (SELECT page_id, CASE WHEN sep > 0 THEN substr(url, sep + 3) ELSE '' END AS t FROM u),
+        p AS (SELECT page_id, translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(t, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+        rules(rule, verdict, rh, rp) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
+        fits AS (SELECT DISTINCT page_id, host, path, rule, verdict FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+        best AS (SELECT page_id, arg_max(rule, (length(rule), rule)) AS rule, arg_max(verdict, (length(rule), rule)) AS verdict FROM fits GROUP BY page_id),
+        known AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY 1),
+        h AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k FROM p LEFT JOIN known USING (page_id) GROUP BY host),
+        hd AS (SELECT *, CASE WHEN regexp_extract(host, '[^.]+[.][^.]+$') <> '' THEN regexp_extract(host, '[^.]+[.][^.]+$') ELSE host END AS domain FROM h),
+        d AS (SELECT domain, regexp_extract(domain, '[^.]*$') AS suffix, sum(n) AS n, sum(k) AS k FROM hd GROUP BY domain),
+        s AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (sum(k) + 1) / (sum(n) + 2) FROM h) AS m FROM d GROUP BY suffix),
+        s0 AS (SELECT 1 / least(greatest(coalesce((sum(n * (k / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.0001), 0.0001), 0.9) - 1 AS w FROM s WHERE n > 0),
+        dm AS (SELECT d.*, (s.k + w * m) / (s.n + w) AS m FROM d JOIN s USING (suffix), s0),
+        s1 AS (SELECT 1 / least(greatest(coalesce((sum(n * (k / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.0001), 0.0001), 0.9) - 1 AS w FROM dm WHERE n > 0),
+        hm AS (SELECT hd.host, hd.n, hd.k, (dm.k + w * m) / (dm.n + w) AS m FROM hd JOIN dm USING (domain), s1),
+        s2 AS (SELECT 1 / least(greatest(coalesce((sum(n * (k / n - m) ** 2) - sum(m * (1 - m))) / nullif(sum(m * (1 - m) * (n - 1)), 0), 0.0001), 0.0001), 0.9) - 1 AS w FROM hm WHERE n > 0),
+        ab AS (SELECT host, k + w * m AS a, n - k + w * (1 - m) AS b FROM hm, s2),
+        bound AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) AS low FROM ab)
+        SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+        FROM p LEFT JOIN best USING (page_id) LEFT JOIN bound USING (host)
+    """,
+    "op9_minhash": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, sh FROM (
+                SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS sh FROM w WHERE len(w) > 0
+            )
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 80 * (nx.n + ny.n - k)),
+        edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach AS (SELECT x AS doc_id, y AS other FROM edges UNION SELECT r.doc_id, e.y FROM reach r JOIN edges e ON e.x = r.other),
+        low AS (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, coalesce(low, d.doc_id) >= d.doc_id AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+    """,
     "op8_automaton": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
