@@ -215,5 +215,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     documents are left out; without any, all documents get the same low score."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     held = part_of(F.col("doc_id"), 3) == 1
-    model = fit(texts(docs).where(~held).join(known, "doc_id"))
+    # Merged at every size, not broadcast where labels happen to be few: labels grow with the documents.
+    model = fit(texts(docs).where(~held).join(known.hint("merge"), "doc_id"))
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "passages")
