@@ -156,3 +156,37 @@ def bootstrap_rows(spark, n: int, paths: int, horizon: int, length: float, seed:
     jumps = cells.withColumn("begin", F.max(start).over(w)).withColumn("at", F.when(F.col("begin") == F.col("step"), F.floor(u("start") * n)))
     origin = F.last("at", ignorenulls=True).over(w)
     return jumps.select("path", "step", F.pmod(origin + F.col("step") - F.col("begin"), F.lit(n)).cast("int").alias("row_ix"))
+
+
+def sign_changes(flows: DataFrame, *keys: str) -> DataFrame:
+    """Per key: changes of sign of the daily sums, and whether they are conventional (out first, in last, one change)."""
+    days = flows.groupBy(*keys, "date").agg(F.sum("amount").alias("a")).where("a <> 0")
+    turns = days.withColumn("turn", (F.signum("a") != F.lag(F.signum("a")).over(by_date(*keys))).cast("int"))
+    out = turns.groupBy(*keys).agg(F.coalesce(F.sum("turn"), F.lit(0)).alias("changes"), F.min_by("a", "date").alias("first"), F.max_by("a", "date").alias("last"))
+    return out.select(*keys, "changes", ((F.col("changes") == 1) & (F.col("first") < 0) & (F.col("last") > 0)).alias("conventional"))
+
+
+def exit_cash(flows: DataFrame, *keys: str) -> DataFrame:
+    """Per case of (date, kind, amount): what went out and came in, the multiple of both, changes of sign, and the rate of return where flows are conventional."""
+    paid, got = F.sum(F.when(F.col("amount") < 0, -F.col("amount"))), F.sum(F.when(F.col("amount") > 0, F.col("amount")))
+    totals = flows.groupBy(*keys).agg(paid.alias("paid"), got.alias("received"), F.sum("amount").alias("net"))
+    out = totals.join(sign_changes(flows, *keys), list(keys)).join(xirr(flows, *keys), list(keys), "left")
+    return out.select(*keys, "paid", "received", "net", (F.col("received") / F.nullif(F.col("paid"), F.lit(0.0))).alias("multiple"), "changes", F.when(F.col("conventional"), F.col("xirr")).alias("xirr"))
+
+
+def under_scenarios(flows: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Flows (owner, date, amount, kind) under each scenario (scenario, income_multiplier, change_from, extra_haircut, delay_days): income after a date is
+    multiplied, sales lose the haircut and settle later. Scenarios are few and broadcast; nothing else is multiplied."""
+    income, sale = F.col("kind") == "income", F.col("kind") == "sale"
+    amount = F.when(income & (F.col("date") >= F.col("change_from")), F.col("amount") * F.col("income_multiplier")).when(sale, F.col("amount") * (1 - F.least(F.lit(1.0), F.col("extra_haircut")))).otherwise(F.col("amount"))
+    date = F.when(sale, F.date_add("date", F.col("delay_days"))).otherwise(F.col("date"))
+    return flows.crossJoin(F.broadcast(scenarios)).select("scenario", "owner", "kind", date.alias("date"), amount.alias("amount"))
+
+
+def scheduled(nav: DataFrame, planned: DataFrame, amount: float, fee: float, *, longest: int | None = None) -> DataFrame:
+    """Contributions of ``amount`` on planned dates, each at the first nav on or after it: (date, paid, units, value) for each date with nav. The fee is part of the amount."""
+    buys = first_on_or_after(planned, nav.select("date"), longest).where("used is not null").groupBy(F.col("used").alias("date")).agg(F.count("*").alias("k"))
+    days = nav.join(buys, "date", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    units = F.sum(F.col("k") * amount / (1 + fee) / F.col("nav")).over(w)
+    return days.select("date", (F.sum("k").over(w) * amount).alias("paid"), units.alias("units"), (units * F.col("nav")).alias("value"))

@@ -389,6 +389,47 @@ add(
     lambda s, d: cents(ledgers.observed(v.valuations(s, d), "owner"), "net_flow", "opening", "ending", "profit"),
 )
 
+EXIT = "x0 AS (SELECT o_custkey AS owner, o_orderdate::DATE AS date, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE -o_totalprice END AS amount FROM orders)"
+
+
+def exits(s: SparkSession, d: str) -> DataFrame:
+    o = v.table(s, d, "orders")
+    return o.select(F.col("o_custkey").alias("owner"), F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") * 2).otherwise(-F.col("o_totalprice")).alias("amount"))
+
+
+add(
+    "exit_cash",
+    f"""WITH {EXIT}, dd AS (SELECT owner, date, sum(amount) AS a FROM x0 GROUP BY ALL HAVING sum(amount) <> 0), t AS (SELECT *, CASE WHEN sign(a) <> lag(sign(a)) OVER (PARTITION BY owner ORDER BY date) THEN 1 ELSE 0 END AS turn FROM dd), c AS (SELECT owner, sum(turn) AS changes FROM t GROUP BY owner)
+    SELECT owner, round(sum(-amount) FILTER (amount < 0), 2) AS paid, round(sum(amount) FILTER (amount > 0), 2) AS received, round(sum(amount), 2) + 0.0 AS net, {r('sum(amount) FILTER (amount > 0) / sum(-amount) FILTER (amount < 0) AS multiple')}, max(changes)::BIGINT AS changes FROM x0 JOIN c USING (owner) GROUP BY owner""",
+    lambda s, d: cents(ledgers.exit_cash(exits(s, d), "owner").drop("xirr"), "paid", "received", "net"),
+)
+SCENARIOS = [("normal", 1.0, "1997-01-01", 0.0, 0), ("stress", 0.6, "1997-04-01", 0.2, 10), ("late", 1.0, "1997-01-01", 0.0, 45)]
+
+
+def scenario_flows(s: SparkSession, d: str) -> DataFrame:
+    o = v.table(s, d, "orders").where(F.year("o_orderdate") == 1997)
+    kind = F.when(F.col("o_orderstatus") == "F", "income").when(F.col("o_orderstatus") == "O", "sale").otherwise("spending")
+    flows = o.select(F.col("o_orderpriority").alias("owner"), F.to_date("o_orderdate").alias("date"), kind.alias("kind"), F.when(kind == "spending", -F.col("o_totalprice")).otherwise(F.col("o_totalprice")).alias("amount"))
+    cases = s.createDataFrame(SCENARIOS, "scenario string, income_multiplier double, change_from string, extra_haircut double, delay_days int").withColumn("change_from", F.to_date("change_from"))
+    return ledgers.under_scenarios(flows, cases).where(F.year("date") == 1997)
+
+
+add(
+    "cash_scenarios",
+    """WITH sc(scenario, m, since, h, dl) AS (VALUES ('normal', 1.0, DATE '1997-01-01', 0.0, 0), ('stress', 0.6, DATE '1997-04-01', 0.2, 10), ('late', 1.0, DATE '1997-01-01', 0.0, 45)),
+    f AS (SELECT o_orderpriority AS owner, o_orderdate::DATE AS date, o_orderstatus AS st, o_totalprice AS p FROM orders WHERE year(o_orderdate) = 1997),
+    x AS (SELECT scenario, owner, CASE WHEN st = 'O' THEN date + dl ELSE date END AS date, CASE WHEN st = 'F' THEN p * CASE WHEN date >= since THEN m ELSE 1 END WHEN st = 'O' THEN p * (1 - h) ELSE -p END AS a FROM f, sc)
+    SELECT scenario, owner, count(*)::BIGINT AS n, round(sum(a), 2) + 0.0 AS amount FROM x WHERE year(date) = 1997 GROUP BY ALL""",
+    lambda s, d: cents(scenario_flows(s, d).groupBy("scenario", "owner").agg(F.count("*").alias("n"), F.sum("amount").alias("amount")), "amount"),
+)
+add(
+    "dca_ledger",
+    f"""WITH {RET}, nv AS (SELECT date, nav FROM path WHERE asset = 'A'), pl AS (SELECT m::DATE AS d FROM unnest(generate_series(TIMESTAMP '1995-02-01', TIMESTAMP '2001-06-01', INTERVAL 1 MONTH)) g(m)),
+    b AS (SELECT used AS date, count(*) AS k FROM (SELECT (SELECT min(date) FROM nv WHERE date >= d) AS used FROM pl) WHERE used IS NOT NULL GROUP BY 1), u AS (SELECT nv.date, nav, sum(coalesce(k, 0)) OVER (ORDER BY nv.date) AS ks, sum(coalesce(k, 0) * 100 / 1.015 / nav) OVER (ORDER BY nv.date) AS units FROM nv LEFT JOIN b ON b.date = nv.date)
+    SELECT date, {r('ks * 100 AS paid', 'units', 'units * nav AS value')} FROM u""",
+    lambda s, d: ledgers.scheduled(risk.nav_path(v.ret(s, d).where("asset = 'A'"), "asset").select("date", "nav"), s.range(1).select(F.explode(F.expr("sequence(date'1995-02-01', date'2001-06-01', interval 1 month)")).alias("date")), 100.0, 0.015),
+)
+
 # Candles
 add("candle_metrics", f"WITH {BARS} SELECT security, at, {r('open', 'high', 'low', 'close')}, volume::BIGINT AS volume, {r('span', 'body', 'upper', 'lower', 'sign', 'body_ratio')} FROM m", lambda s, d: candles.metrics(v.bars(s, d)))
 RULES = f"""{BARS}, l AS (SELECT *, lag(open) OVER w AS o1, lag(close) OVER w AS c1, lag(body) OVER w AS b1, lag(body_ratio) OVER w AS r1, lag(sign) OVER w AS s1, lag(open, 2) OVER w AS o2, lag(close, 2) OVER w AS c2, lag(body_ratio, 2) OVER w AS r2, lag(sign, 2) OVER w AS s2, lag(close, 1) OVER w / lag(close, 3) OVER w - 1 AS t1, lag(close, 2) OVER w / lag(close, 4) OVER w - 1 AS t2, lag(close, 3) OVER w / lag(close, 5) OVER w - 1 AS t3 FROM m WINDOW w AS (PARTITION BY security ORDER BY at)),
