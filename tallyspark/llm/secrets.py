@@ -24,6 +24,8 @@ SAMPLE = 6_000
 MARK = "[SECRET]"
 
 CORE = "[A-Za-z0-9_+/=.~-]{%d,}" % SHORTEST
+#: Between two runs of a word: what stands up to the first of these goes with the run before, what follows it with the run after.
+BREAK = ",;&|"
 #: Words that names, paths and placeholders are made of.
 WORDS = (
     "about access account address admin alpha android application archive array assets author backup banner beta binary block board branch browser bucket build button cache camera canvas change channel "
@@ -177,18 +179,34 @@ def fit(findings: DataFrame, sample: int = SAMPLE) -> list[Node]:
     return train(np.asarray([[r[n] for n in FEATURES] for r in rows], dtype=float).reshape(-1, len(FEATURES)), np.asarray([r["secret"] for r in rows], dtype=float))
 
 
+def _runs(parts: Column) -> Column:
+    """The candidates of a word (f, cores, rests), one for each run of key characters: the run with what stands beside it in the word, and its neighbours, of which the nearest runs of the word are the first."""
+    f, cores, rests = parts["f"], parts["cores"], parts["rests"]
+    last = F.size(cores) - 1
+
+    def run(core: Column, k: Column) -> Column:
+        left, right = F.get(rests, k), F.get(rests, k + 1)
+        left = F.when(k > 0, F.regexp_replace(left, f"^[^{BREAK}]*[{BREAK}]", "")).otherwise(left)
+        right = F.when(k < last, F.regexp_extract(right, f"^[^{BREAK}]*", 0)).otherwise(right)
+        return F.struct(f["place"].alias("place"), F.concat(left, core, right).alias("word"), F.concat_ws(" ", f["before"], F.get(cores, k - 1)).alias("before"), F.concat_ws(" ", F.get(cores, k + 1), f["after"]).alias("after"))
+
+    return F.when(last == 0, F.array(f)).otherwise(F.transform(cores, run))
+
+
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with __found: for each candidate word its place among the words, the word and its neighbours."""
+    """``docs`` with __found: for each candidate the place of its word among the words, the run with what stands beside it in the word, and its neighbours."""
     words = F.split(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES)), r"[\x20\x09-\x0D]+")
     held = docs.withColumn("__words", words)
     at = F.transform("__words", lambda w, i: F.when((F.length(w) >= SHORTEST) & w.rlike("[0-9]") & w.rlike(CORE), i))
     held = held.withColumn("__at", F.filter(at, lambda i: i.isNotNull()))
     near = lambda i, *steps: F.concat_ws(" ", *(F.get("__words", i + s) for s in steps))
-    return held.withColumn("__found", F.transform("__at", lambda i: F.struct(i.alias("place"), F.get("__words", i).alias("word"), near(i, -3, -2, -1).alias("before"), near(i, 1, 2).alias("after")))).drop("__words", "__at")
+    held = held.withColumn("__found", F.transform("__at", lambda i: F.struct(i.alias("place"), F.get("__words", i).alias("word"), near(i, -3, -2, -1).alias("before"), near(i, 1, 2).alias("after"))))
+    parts = F.transform("__found", lambda f: F.struct(f.alias("f"), F.regexp_extract_all(f["word"], F.lit(CORE), F.lit(0)).alias("cores"), F.split(f["word"], CORE, -1).alias("rests")))
+    return held.withColumn("__found", F.flatten(F.transform(parts, _runs))).drop("__words", "__at")
 
 
 def findings(docs: DataFrame, forest: list[Node], limit: float = 0.5) -> DataFrame:
-    """doc_id, place (word position from 0), masked (first four characters), length, score, secret: a row for each candidate in each row of ``docs``. Null and
+    """doc_id, place (word position from 0, the same for all candidates of a word), masked (first four characters), length, score, secret: a row for each candidate in each row of ``docs``. Null and
     empty texts have none."""
     rows = with_candidates(texts(docs)).select("doc_id", F.explode_outer("__found").alias("f")).where("f is not null")  # outer: else a filter on the array's size would be pushed down
     core = F.regexp_extract("f.word", CORE, 0)
@@ -204,6 +222,7 @@ def redacted(docs: DataFrame, forest: list[Node], limit: float = 0.5) -> DataFra
     vector = F.transform("__found", lambda f: F.struct(F.regexp_extract(f["word"], CORE, 0).alias("core"), *(c.cast("double").alias(n) for n, c in features(f["word"], f["before"], f["after"]).items())))
     held = held.withColumn("__vectors", vector)
     sure = F.transform(F.filter("__vectors", lambda v: probability(forest, lambda n: v[n]) >= limit), lambda v: v["core"])
-    clean = F.aggregate(sure, F.col("__text"), lambda t, s: F.replace(t, s, F.lit(MARK)))
+    longest = F.array_sort(F.array_distinct(sure), lambda a, b: F.length(b) - F.length(a))  # else one that is part of another would leave the rest of it
+    clean = F.aggregate(longest, F.col("__text"), lambda t, s: F.replace(t, s, F.lit(MARK)))
     held = held.withColumn("__clean", F.when(F.size("__vectors") > 0, clean).otherwise(F.col("__text")))
     return held.select(*(F.col("__clean" if n == "text" else f"__c{k}").alias(n) for k, n in enumerate(names)))

@@ -198,3 +198,21 @@ def test_secrets(spark):
     assert clean[1] == 'so token = "[SECRET]" it was' and clean[4] == "use secret: [SECRET] now"
     assert all(clean[i] == t for i, t in docs if i not in (1, 4))
     assert secrets.findings(frame(spark, []), forest).count() == 0
+
+
+A, B = "3c4226790fc3f8022bcc4434e93601b2005f1325", "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MA"
+
+
+@pytest.mark.parametrize(
+    ("text", "clean", "found"),
+    [
+        (f"see https://www.example.com/cb?token={B} now", "see https://www.example.com/cb?[SECRET] now", [False, True]),
+        (f'so {{"token":"{A}","secret":"{B}"}} it', 'so {"token":"[SECRET]","secret":"[SECRET]"} it', [True, True]),
+        (f'so {{"sha1":"{A[::-1]}","commit":"{A}","secret":"{B}"}} it', f'so {{"sha1":"{A[::-1]}","commit":"{A}","secret":"[SECRET]"}} it', [False, False, True]),
+        (f"secret: {B}:{B}x7", "secret: [SECRET]:[SECRET]", [True, True]),
+    ],
+)
+def test_each_run_of_a_word_is_a_candidate(spark, text, clean, found):
+    forest = secrets.fit(secrets.made_findings(spark))
+    assert sorted(r["secret"] for r in secrets.findings(frame(spark, [(1, text)]), forest).collect()) == sorted(found)
+    assert secrets.redacted(frame(spark, [(1, text)]), forest).first()["text"] == clean
