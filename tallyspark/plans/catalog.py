@@ -187,12 +187,13 @@ k AS (SELECT *, max(s) OVER (PARTITION BY path ORDER BY step) AS b FROM j), boot
 add("boot_indices", f"WITH {BOOT} SELECT path::BIGINT AS path, step::BIGINT AS step, row_ix::BIGINT AS row_ix FROM boot", lambda s, d: ledgers.bootstrap_rows(s, 500, 200, 60, 10.0, 11))
 
 
-def boot_paths(s: SparkSession, d: str) -> DataFrame:
-    first = v.ret(s, d).where("asset = 'A'").orderBy("date").limit(500)
+def boot_paths(s: SparkSession, d: str, horizon: int | None = None) -> DataFrame:
+    """Paths drawn from all returns of A, of ``horizon`` steps or else as many as there are returns."""
     from pyspark.sql import Window
 
-    rows = first.withColumn("row_ix", F.row_number().over(Window.orderBy("date")) - 1).select("row_ix", "r")
-    drawn = ledgers.bootstrap_rows(s, 500, 200, 60, 10.0, 11).join(F.broadcast(rows), "row_ix")
+    rows = v.ret(s, d).where("asset = 'A'").withColumn("row_ix", F.row_number().over(Window.orderBy("date")) - 1).select("row_ix", "r")
+    n = max(1, rows.count())
+    drawn = ledgers.bootstrap_rows(s, n, 200, horizon or n, 10.0, 11).join(F.broadcast(rows), "row_ix")
     path = risk.drawdown_path(drawn.withColumnRenamed("step", "date"), "path")
     each = path.groupBy("path").agg(F.max("underwater").alias("mdd"), (F.product(1 + F.col("r")) - 1).alias("held"), F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"))
     return each
@@ -200,7 +201,7 @@ def boot_paths(s: SparkSession, d: str) -> DataFrame:
 
 BOOTED = f"""{BOOT}, rows AS (SELECT r, row_number() OVER (ORDER BY date) - 1 AS row_ix FROM ret WHERE asset = 'A'), drawn AS (SELECT path, step, r, exp(sum(ln(1 + r)) OVER (PARTITION BY path ORDER BY step)) AS nav FROM boot JOIN rows USING (row_ix)),
 dd AS (SELECT *, 1 - nav / greatest(1, max(nav) OVER (PARTITION BY path ORDER BY step)) AS u FROM drawn), each AS (SELECT path, max(u) AS mdd, exp(sum(ln(1 + r))) - 1 AS held, avg(r) AS m, stddev_samp(r) AS sd FROM dd GROUP BY path)"""
-add("boot_quantiles", f"WITH {RET}, {BOOTED} SELECT {r('quantile_cont(mdd, 0.95) AS p95', 'quantile_cont(mdd, 0.99) AS p99', 'avg((mdd > 0.1)::INT) AS exceeds', 'quantile_cont(held, 0.5) AS median')} FROM each", lambda s, d: boot_paths(s, d).agg(F.percentile("mdd", F.lit(0.95)).alias("p95"), F.percentile("mdd", F.lit(0.99)).alias("p99"), F.avg((F.col("mdd") > 0.1).cast("double")).alias("exceeds"), F.percentile("held", F.lit(0.5)).alias("median")))
+add("boot_quantiles", f"WITH {RET}, {BOOTED} SELECT {r('quantile_cont(mdd, 0.95) AS p95', 'quantile_cont(mdd, 0.99) AS p99', 'avg((mdd > 0.1)::INT) AS exceeds', 'quantile_cont(held, 0.5) AS median')} FROM each", lambda s, d: boot_paths(s, d, 60).agg(F.percentile("mdd", F.lit(0.95)).alias("p95"), F.percentile("mdd", F.lit(0.99)).alias("p99"), F.avg((F.col("mdd") > 0.1).cast("double")).alias("exceeds"), F.percentile("held", F.lit(0.5)).alias("median")))
 add("boot_sharpe", f"WITH {RET}, {BOOTED} SELECT {r('quantile_cont(m / sd, 0.025) AS low', 'quantile_cont(m / sd, 0.975) AS high')} FROM each", lambda s, d: boot_paths(s, d).agg(F.percentile(F.col("m") / F.col("sd"), F.lit(0.025)).alias("low"), F.percentile(F.col("m") / F.col("sd"), F.lit(0.975)).alias("high")))
 SEGMENTS = "seg AS (SELECT period, segment, v / sum(v) OVER (PARTITION BY period) AS wp, q / sum(q) OVER (PARTITION BY period) AS wb, rp, rb FROM (SELECT year(l_shipdate) AS period, l_returnflag AS segment, sum(l_extendedprice) AS v, sum(l_quantity) AS q, avg(l_discount) AS rp, avg(l_tax) AS rb FROM lineitem GROUP BY ALL)), br AS (SELECT s.period, sum((wp - wb) * (rb - t.b)) AS allocation, sum(wb * (rp - rb)) AS selection, sum((wp - wb) * (rp - rb)) AS interaction, sum(wp * rp) AS p, max(t.b) AS b FROM seg s JOIN (SELECT period, sum(wb * rb) AS b FROM seg GROUP BY period) t USING (period) GROUP BY s.period)"
 add("brinson_period", f"WITH {SEGMENTS} SELECT period::BIGINT AS period, {r('allocation', 'selection', 'interaction', 'p', 'b')} FROM br", lambda s, d: ledgers.brinson(v.segments(s, d)))

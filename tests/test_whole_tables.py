@@ -2,7 +2,10 @@
 
 import datetime as dt
 
-from tallyspark.operators import factors
+import numpy as np
+import pytest
+
+from tallyspark.operators import factors, ledgers
 from tallyspark.plans import catalog
 from tallyspark.plans import views as v
 
@@ -37,3 +40,26 @@ def test_overlaps_carries_the_latest_end(spark):
     spans = [(day(0), day(9)), (day(2), day(3)), (day(8), day(8)), (day(9), day(9)), (day(9), day(12)), (day(9), day(14)), (day(20), day(21)), (day(20), day(22))]
     got = factors.overlaps(spark.createDataFrame(spans, "start date, end date")).collect()
     assert {(r["start"], r["end"]): r["overlaps"] for r in got} == flags(spans) and len(got) == len(spans)
+
+
+def drawn(spark, horizon=None):
+    """Returns on the 200 paths drawn from all returns of A."""
+    r = np.asarray([x["r"] for x in v.ret(spark, TABLES).where("asset = 'A'").orderBy("date").collect()])
+    cells = ledgers.bootstrap_rows(spark, len(r), 200, horizon or len(r), 10.0, 11).orderBy("path", "step").collect()
+    return r[[c["row_ix"] for c in cells]].reshape(200, -1), len(r)
+
+
+def test_bootstrap_draws_from_all_returns(spark):
+    paths, n = drawn(spark, 60)
+    nav = np.cumprod(1 + paths, axis=1)
+    falls = (1 - nav / np.maximum(1, np.maximum.accumulate(nav, axis=1))).max(axis=1)
+    row = catalog.QUERIES["boot_quantiles"](spark, TABLES).first()
+    want = {"p95": np.quantile(falls, 0.95), "p99": np.quantile(falls, 0.99), "exceeds": (falls > 0.1).mean(), "median": np.median(nav[:, -1] - 1)}
+    assert n != 500 and row.asDict() == pytest.approx(want, abs=2e-7)
+
+
+def test_sharpe_interval_is_of_paths_as_long_as_the_returns(spark):
+    paths, n = drawn(spark)
+    ratios = paths.mean(axis=1) / paths.std(axis=1, ddof=1)
+    row = catalog.QUERIES["boot_sharpe"](spark, TABLES).first()
+    assert paths.shape == (200, n) and row.asDict() == pytest.approx({"low": np.quantile(ratios, 0.025), "high": np.quantile(ratios, 0.975)}, abs=2e-7)
