@@ -325,7 +325,7 @@ AVAILABLE = "a AS (SELECT o_orderkey AS id, o_orderdate::DATE AS d, CASE WHEN o_
 
 
 def available(s: SparkSession, d: str) -> DataFrame:
-    o = v.table(s, d, "orders").where(F.year("o_orderdate") == 1998)
+    o = v.table(s, d, "orders")
     return o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 11 != 0, F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 40).cast("int"))).alias("available"))
 
 
@@ -355,10 +355,15 @@ days AS (SELECT owner, d::DATE AS date FROM (SELECT DISTINCT owner FROM f), unne
 led AS (SELECT owner, date, coalesce(net, 0) AS net, 1000000 + sum(coalesce(net, 0)) OVER (PARTITION BY owner ORDER BY date) AS balance FROM days LEFT JOIN f USING (owner, date))"""
 
 
+def span(flows: DataFrame) -> DataFrame:
+    """One row: the least and the greatest date."""
+    return flows.agg(F.min("date").alias("least"), F.max("date").alias("greatest"))
+
+
 def cash(s: SparkSession, d: str) -> DataFrame:
-    o = v.table(s, d, "orders").where(F.year("o_orderdate") == 1997)
+    o = v.table(s, d, "orders")
     flows = o.select(F.col("o_orderpriority").alias("owner"), F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(-F.col("o_totalprice")).alias("amount"))
-    days = flows.select("owner").distinct().select("owner", F.explode(F.sequence(F.lit("1997-01-01").cast("date"), F.lit("1997-12-31").cast("date"))).alias("date"))
+    days = flows.select("owner").distinct().crossJoin(F.broadcast(span(flows))).select("owner", F.explode(F.sequence("least", "greatest")).alias("date"))
     return ledgers.cash_ledger(flows, days, F.lit(1_000_000.0), "owner")
 
 
@@ -408,11 +413,12 @@ SCENARIOS = [("normal", 1.0, "1997-01-01", 0.0, 0), ("stress", 0.6, "1997-04-01"
 
 
 def scenario_flows(s: SparkSession, d: str) -> DataFrame:
-    o = v.table(s, d, "orders").where(F.year("o_orderdate") == 1997)
+    """Flows of all orders; what settles after the greatest date isn't cash yet."""
+    o = v.table(s, d, "orders")
     kind = F.when(F.col("o_orderstatus") == "F", "income").when(F.col("o_orderstatus") == "O", "sale").otherwise("spending")
     flows = o.select(F.col("o_orderpriority").alias("owner"), F.to_date("o_orderdate").alias("date"), kind.alias("kind"), F.when(kind == "spending", -F.col("o_totalprice")).otherwise(F.col("o_totalprice")).alias("amount"))
     cases = s.createDataFrame(SCENARIOS, "scenario string, income_multiplier double, change_from string, extra_haircut double, delay_days int").withColumn("change_from", F.to_date("change_from"))
-    return ledgers.under_scenarios(flows, cases).where(F.year("date") == 1997)
+    return ledgers.under_scenarios(flows, cases).join(F.broadcast(span(flows)), F.col("date").between(F.col("least"), F.col("greatest"))).drop("least", "greatest")
 
 
 add(

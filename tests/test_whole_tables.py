@@ -63,3 +63,54 @@ def test_sharpe_interval_is_of_paths_as_long_as_the_returns(spark):
     ratios = paths.mean(axis=1) / paths.std(axis=1, ddof=1)
     row = catalog.QUERIES["boot_sharpe"](spark, TABLES).first()
     assert paths.shape == (200, n) and row.asDict() == pytest.approx({"low": np.quantile(ratios, 0.025), "high": np.quantile(ratios, 0.975)}, abs=2e-7)
+
+
+def orders(spark):
+    day = lambda x: x.date() if isinstance(x, dt.datetime) else x
+    return [(r["o_orderkey"], day(r["o_orderdate"]), r["o_orderpriority"], r["o_orderstatus"], float(r["o_totalprice"])) for r in v.table(spark, TABLES, "orders").collect()]
+
+
+def test_cutoff_parts_all_orders(spark):
+    cut, known = dt.date(1998, 7, 1), {}
+    for key, date, *_ in orders(spark):
+        known[key] = date + dt.timedelta(days=key % 40) if key % 11 else None
+    got = [{r["id"]: r["available"] for r in catalog.QUERIES[q](spark, TABLES).collect()} for q in ("asof_included", "asof_excluded")]
+    assert got[0] == {k: a for k, a in known.items() if a and a <= cut} and got[1] == {k: a for k, a in known.items() if not a or a > cut}
+
+
+def test_cash_knows_all_flows(spark):
+    every = orders(spark)
+    first, last = min(x[1] for x in every), max(x[1] for x in every)
+    net = {}
+    for _, date, owner, status, price in every:
+        net[owner, date] = net.get((owner, date), 0.0) + (price if status == "F" else -price)
+    want, gaps = {}, {}
+    for owner in {x[2] for x in every}:
+        balance = 1_000_000.0
+        for k in range((last - first).days + 1):
+            date = first + dt.timedelta(days=k)
+            balance += net.get((owner, date), 0.0)
+            want[owner, date] = balance
+            if balance < 0:
+                at, amount, peak = gaps.get(owner, (date, -balance, 0.0))
+                gaps[owner] = at, amount, max(peak, -balance)
+    got = {(r["owner"], r["date"]): r["balance"] for r in catalog.QUERIES["cash_daily_ledger"](spark, TABLES).collect()}
+    assert got == pytest.approx(want, abs=0.02)
+    for r in catalog.QUERIES["cash_first_gap"](spark, TABLES).collect():
+        at, amount, peak = gaps.get(r["owner"], (None, None, 0.0))
+        assert r["first_gap"] == at and r["first_amount"] == pytest.approx(amount, abs=0.02) and r["peak_gap"] == pytest.approx(peak, abs=0.02) and r["ending"] == pytest.approx(want[r["owner"], last], abs=0.02)
+
+
+def test_scenarios_know_all_flows(spark):
+    every = orders(spark)
+    last, want = max(x[1] for x in every), {}
+    for name, times, since, haircut, delay in catalog.SCENARIOS:
+        for _, date, owner, status, price in every:
+            at = date + dt.timedelta(days=delay if status == "O" else 0)
+            amount = price * (times if date >= dt.date.fromisoformat(since) else 1) if status == "F" else price * (1 - haircut) if status == "O" else -price
+            if at <= last:
+                n, total = want.get((name, owner), (0, 0.0))
+                want[name, owner] = n + 1, total + amount
+    got = {(r["scenario"], r["owner"]): (r["n"], r["amount"]) for r in catalog.QUERIES["cash_scenarios"](spark, TABLES).collect()}
+    assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in want.items()}
+    assert {k: x[1] for k, x in got.items()} == pytest.approx({k: x[1] for k, x in want.items()}, abs=0.02)
