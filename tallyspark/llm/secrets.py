@@ -1,6 +1,7 @@
 """Operator 7: secrets in texts, with a random forest that removes false findings, in DataFrame expressions only.
 
-Candidates are long runs of key characters with a digit. A forest over their length, changes of character class, coverage by
+Candidates are long runs of key characters in words with a digit, and values of eight or more characters of any kind that follow
+an assignment or a neighbour that speaks for a secret. A forest over their length, changes of character class, coverage by
 dictionary words, path shape and neighbouring words tells secrets from card numbers, digests, paths and placeholders. It is
 trained from labelled findings and written out as one Spark expression.
 """
@@ -18,6 +19,8 @@ from .common import SPACES, texts
 
 #: Least length of a candidate.
 SHORTEST = 16
+#: Least length of a value that its neighbours make a candidate.
+NAMED = 8
 TREES, DEPTH, LEAF = 15, 5, 5
 #: Labelled findings that the forest is trained on.
 SAMPLE = 6_000
@@ -44,6 +47,12 @@ WORDS = (
 FOR = r"(?i)(^|[^a-z])(key|apikey|api_key|token|secret|password|passwd|pwd|auth|bearer|credential|credentials|authorization|access_key|private)([^a-z]|$)"
 AGAINST = r"(?i)(^|[^a-z])(commit|sha|sha1|sha256|md5|hash|digest|checksum|uuid|guid|revision|version|card|phone|order|invoice|isbn|serial|tracking|id)([^a-z]|$)"
 
+#: A value assigned within a word, links left out; the end of a word after which a value stands; a value's quotes and what encloses it.
+INSIDE = r"(?<=[A-Za-z0-9_][\"'`]{0,1}[=:])(?!//)(?:[\"'`][^\"'`]{%d,}[\"'`]|[^\"'`&;,<>=:][^\"'`&;,<>]{%d,})" % (NAMED, NAMED - 1)
+ASSIGNS = r"[=:][\"'`]?$"
+QUOTED = r"[\"'`]([^\"'`]{%d,})[\"'`]" % NAMED
+AROUND = r"^[\"'`(<\[{]+|[\"'`)>\]},;.:]+$"
+
 FEATURES = ("length", "digits", "upper", "hexadecimal", "only_digits", "distinct", "changes", "dictionary", "slashes", "dots", "quoted", "assigned", "neighbour_for", "neighbour_against", "in_word")
 
 
@@ -51,9 +60,8 @@ def _share(c: Column, kind: str) -> Column:
     return (F.length(c) - F.length(F.regexp_replace(c, f"[{kind}]+", ""))) / F.length(c)
 
 
-def features(word: Column, before: Column, after: Column) -> dict[str, Column]:
-    """Numbers about the candidate in ``word``; ``before`` and ``after`` are its neighbours as text."""
-    core = F.regexp_extract(word, CORE, 0)
+def features(core: Column, word: Column, before: Column, after: Column) -> dict[str, Column]:
+    """Numbers about the candidate ``core`` in ``word``; ``before`` and ``after`` are its neighbours as text."""
     size = F.greatest(F.length(core), F.lit(1))
     flag = lambda c: c.cast("double")
     return {
@@ -68,8 +76,8 @@ def features(word: Column, before: Column, after: Column) -> dict[str, Column]:
         "slashes": F.size(F.split(word, "/")) - 1.0,
         "dots": F.size(F.split(core, r"\.")) - 1.0,
         "quoted": flag(word.rlike(r"[\"'`]")),
-        "assigned": flag(F.concat_ws(" ", before, word).rlike(r"[=:]\s*[\"'`]?" + CORE)),
-        "neighbour_for": flag(F.concat_ws(" ", before, F.regexp_replace(word, CORE, " ")).rlike(FOR) | word.rlike(r"(?i)(key|token|secret|password|auth)[\"']?[=:]")),
+        "assigned": flag(F.concat_ws(" ", before, word).rlike(r"[=:]\s*[\"'`]?" + CORE) | F.concat_ws(" ", before, F.split_part(word, core, F.lit(1))).rlike(r"[=:]\s*[\"'`]?$")),
+        "neighbour_for": flag(F.concat_ws(" ", before, F.replace(word, core, F.lit(" "))).rlike(FOR) | word.rlike(r"(?i)(key|token|secret|password|auth)[\"']?[=:]")),
         "neighbour_against": flag(F.concat_ws(" ", before, after).rlike(AGAINST)),
         "in_word": (F.length(word) - F.length(core)).cast("double"),
     }
@@ -163,6 +171,27 @@ def made_findings(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
         (F.concat(F.lit("2024-0"), F.substring(num, 1, 1), F.lit("-11T10:20:3"), F.substring(num, 2, 1), F.lit("Z-backup")), prose, prose, 0),
         (F.concat(word, F.lit("."), F.substring(num, 1, 2), F.lit("@mail"), F.substring(num, 1, 1), F.lit(".example.com")), prose, prose, 0),
     ]
+    letters = F.translate(b64, "0123456789+/", "ghkmpqrtvxyz")
+    low, naming = F.translate(h, "0123456789", "ghkmopqrtu"), pick("password:", "passwd =", "pwd =", "secret:", "login password:", "token =")
+    plain = pick("status:", "name =", "title:", "as follows:", "mode =", "note:")
+    cases += [
+        (F.substring(b64, 7, 9), F.concat(prose, F.lit(" "), naming), prose, 1),
+        (quote(F.substring(b64, 2, 11)), F.concat(prose, F.lit(" "), naming), prose, 1),
+        (F.concat(F.substring(b64, 1, 4), F.lit("!"), F.substring(b64, 9, 3), pick("#", "@", "$", "%"), F.substring(b64, 15, 5)), F.concat(prose, F.lit(" "), naming), prose, 1),
+        (F.concat(pick("password=", "pwd=", "passwd:", "secret="), F.substring(b64, 1, 5), pick("!", "@", "$"), F.substring(b64, 9, 5)), prose, prose, 1),
+        (F.substring(letters, 1, 24), F.concat(prose, F.lit(" "), naming), prose, 1),
+        (quote(F.substring(low, 1, 14)), F.concat(prose, F.lit(" "), naming), prose, 1),
+        (quote(F.concat(F.substring(low, 1, 6), F.lit("-"), F.substring(low, 9, 5), F.lit("-"), F.substring(low, 17, 7))), F.concat(prose, F.lit(" "), naming), prose, 1),
+        (F.concat(prose, F.substring(low, 1, 9)), F.concat(prose, F.lit(" "), pick("password", "key", "secret", "token", "private", "the key is")), prose, 0),
+        (F.substring(low, 1, 10), F.concat(prose, F.lit(" "), naming), prose, 0),
+        (F.substring(low, 1, 11), F.concat(prose, F.lit(" "), plain), prose, 0),
+        (F.concat(F.initcap(F.substring(low, 1, 9)), F.lit(",")), F.concat(prose, F.lit(" "), plain), prose, 0),
+        (F.substring(b64, 3, 10), F.concat(prose, F.lit(" "), plain), prose, 0),
+        (quote(F.substring(low, 5, 12)), F.concat(prose, F.lit(" "), plain), prose, 0),
+        (F.substring(num, 1, 9), F.concat(prose, F.lit(" "), pick("order:", "id =", "invoice:", "amount:")), prose, 0),
+        (word, F.concat(prose, F.lit(" "), naming), prose, 0),
+        (F.concat(pick("status=", "name:", "mode=", "title="), F.substring(low, 1, 10)), prose, prose, 0),
+    ]
     out = None
     for k, (w, before, after, label) in enumerate(cases):
         case = F.struct(w.alias("word"), before.alias("before"), after.alias("after"), F.lit(label).alias("secret"))
@@ -172,15 +201,27 @@ def made_findings(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
 
 def fit(findings: DataFrame, sample: int = SAMPLE) -> list[Node]:
     """A forest from labelled findings (id, word, before, after, secret); the first ``sample`` by hash are used, those without a label or a candidate not."""
-    f = features(F.col("word"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))
-    few = findings.where(F.col("secret").isNotNull() & F.col("word").rlike(CORE)).orderBy(F.xxhash64("id"), "id").limit(sample)
+    word = F.col("word")
+    core = F.when(word.rlike(CORE), F.regexp_extract(word, CORE, 0)).otherwise(F.get(_values(word, F.lit(True)), F.lit(0)))
+    findings = findings.withColumn("core", core)
+    f = features(F.col("core"), word, F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))
+    few = findings.where(F.col("secret").isNotNull() & F.col("core").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = few.select("id", "secret", *(c.cast("double").alias(n) for n, c in f.items())).collect()
     rows.sort(key=lambda r: r["id"])
     return train(np.asarray([[r[n] for n in FEATURES] for r in rows], dtype=float).reshape(-1, len(FEATURES)), np.asarray([r["secret"] for r in rows], dtype=float))
 
 
+def _values(word: Column, named: Column) -> Column:
+    """The values assigned within a word, or else the word as a whole if it is ``named`` by what stands before it; without quotes, NAMED characters at least."""
+    inside = F.transform(F.regexp_extract_all(word, F.lit(INSIDE), F.lit(0)), lambda x: F.regexp_replace(x, AROUND, ""))
+    bare = F.when(word.rlike(QUOTED), F.regexp_extract(word, QUOTED, 1)).otherwise(F.regexp_replace(word, AROUND, ""))
+    every = F.when(word.rlike(INSIDE), inside).when(named, F.array(bare)).otherwise(F.array().cast("array<string>"))
+    return F.filter(every, lambda x: F.length(x) >= NAMED)
+
+
 def _runs(parts: Column) -> Column:
-    """The candidates of a word (f, cores, rests), one for each run of key characters: the run with what stands beside it in the word, and its neighbours, of which the nearest runs of the word are the first."""
+    """The candidates of a word (f, cores, rests, values): one for each run of key characters, the run with what stands beside it in the word, and its neighbours, of which the nearest runs of the
+    word are the first; and one for each value that no run holds."""
     f, cores, rests = parts["f"], parts["cores"], parts["rests"]
     last = F.size(cores) - 1
 
@@ -188,20 +229,29 @@ def _runs(parts: Column) -> Column:
         left, right = F.get(rests, k), F.get(rests, k + 1)
         left = F.when(k > 0, F.regexp_replace(left, f"^[^{BREAK}]*[{BREAK}]", "")).otherwise(left)
         right = F.when(k < last, F.regexp_extract(right, f"^[^{BREAK}]*", 0)).otherwise(right)
-        return F.struct(f["place"].alias("place"), F.concat(left, core, right).alias("word"), F.concat_ws(" ", f["before"], F.get(cores, k - 1)).alias("before"), F.concat_ws(" ", F.get(cores, k + 1), f["after"]).alias("after"))
+        return F.struct(f["place"].alias("place"), F.lit(False).alias("named"), core.alias("core"), F.concat(left, core, right).alias("word"), F.concat_ws(" ", f["before"], F.get(cores, k - 1)).alias("before"), F.concat_ws(" ", F.get(cores, k + 1), f["after"]).alias("after"))
 
-    return F.when(last == 0, F.array(f)).otherwise(F.transform(cores, run))
+    def value(core: Column) -> Column:
+        left = F.regexp_extract(F.split_part(f["word"], core, F.lit(1)), f"[^{BREAK}]*$", 0)
+        right = F.regexp_extract(F.split_part(f["word"], core, F.lit(2)), f"^[^{BREAK}]*", 0)
+        return F.struct(f["place"].alias("place"), F.lit(True).alias("named"), core.alias("core"), F.concat(left, core, right).alias("word"), f["before"].alias("before"), f["after"].alias("after"))
+
+    lone = F.filter(F.array_distinct(parts["values"]), lambda x: ~F.exists(cores, lambda c: F.contains(c, x)))
+    return F.concat(F.transform(cores, run), F.transform(lone, value))
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with __found: for each candidate the place of its word among the words, the run with what stands beside it in the word, and its neighbours."""
+    """``docs`` with __found: for each candidate the place of its word among the words, itself, what stands beside it in the word, and its neighbours."""
     words = F.split(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES)), r"[\x20\x09-\x0D]+")
     held = docs.withColumn("__words", words)
-    at = F.transform("__words", lambda w, i: F.when((F.length(w) >= SHORTEST) & w.rlike("[0-9]") & w.rlike(CORE), i))
-    held = held.withColumn("__at", F.filter(at, lambda i: i.isNotNull()))
     near = lambda i, *steps: F.concat_ws(" ", *(F.get("__words", i + s) for s in steps))
-    held = held.withColumn("__found", F.transform("__at", lambda i: F.struct(i.alias("place"), F.get("__words", i).alias("word"), near(i, -3, -2, -1).alias("before"), near(i, 1, 2).alias("after"))))
-    parts = F.transform("__found", lambda f: F.struct(f.alias("f"), F.regexp_extract_all(f["word"], F.lit(CORE), F.lit(0)).alias("cores"), F.split(f["word"], CORE, -1).alias("rests")))
+    long = lambda w: (F.length(w) >= SHORTEST) & w.rlike("[0-9]") & w.rlike(CORE)
+    named = lambda i: near(i, -1).rlike(ASSIGNS) | near(i, -2, -1).rlike(FOR)
+    at = F.transform("__words", lambda w, i: F.when((F.length(w) >= NAMED) & (long(w) | w.rlike(INSIDE) | named(i)), i))
+    held = held.withColumn("__at", F.filter(at, lambda i: i.isNotNull()))
+    held = held.withColumn("__found", F.transform("__at", lambda i: F.struct(i.alias("place"), F.get("__words", i).alias("word"), near(i, -3, -2, -1).alias("before"), near(i, 1, 2).alias("after"), named(i).alias("named"))))
+    none = F.array().cast("array<string>")
+    parts = F.transform("__found", lambda f: F.struct(f.alias("f"), F.when(long(f["word"]), F.regexp_extract_all(f["word"], F.lit(CORE), F.lit(0))).otherwise(none).alias("cores"), F.split(f["word"], CORE, -1).alias("rests"), _values(f["word"], f["named"]).alias("values")))
     return held.withColumn("__found", F.flatten(F.transform(parts, _runs))).drop("__words", "__at")
 
 
@@ -209,8 +259,8 @@ def findings(docs: DataFrame, forest: list[Node], limit: float = 0.5) -> DataFra
     """doc_id, place (word position from 0, the same for all candidates of a word), masked (first four characters), length, score, secret: a row for each candidate in each row of ``docs``. Null and
     empty texts have none."""
     rows = with_candidates(texts(docs)).select("doc_id", F.explode_outer("__found").alias("f")).where("f is not null")  # outer: else a filter on the array's size would be pushed down
-    core = F.regexp_extract("f.word", CORE, 0)
-    rows = rows.select("doc_id", F.col("f.place").cast("long").alias("place"), F.concat(F.substring(core, 1, 4), F.lit("…")).alias("masked"), F.length(core).cast("long").alias("length"), *(c.cast("double").alias(f"__{n}") for n, c in features(F.col("f.word"), F.col("f.before"), F.col("f.after")).items()))
+    core = F.col("f.core")
+    rows = rows.select("doc_id", F.col("f.place").cast("long").alias("place"), F.concat(F.substring(core, 1, 4), F.lit("…")).alias("masked"), F.length(core).cast("long").alias("length"), *(c.cast("double").alias(f"__{n}") for n, c in features(core, F.col("f.word"), F.col("f.before"), F.col("f.after")).items()))
     return rows.withColumn("score", probability(forest, lambda n: F.col(f"__{n}"))).select("doc_id", "place", "masked", "length", "score", (F.col("score") >= limit).alias("secret"))
 
 
@@ -219,10 +269,16 @@ def redacted(docs: DataFrame, forest: list[Node], limit: float = 0.5) -> DataFra
     names = docs.columns
     spare = docs.select(*(F.col(f"`{n}`").alias(f"__c{k}") for k, n in enumerate(names)), F.col("text").alias("__text"))
     held = with_candidates(spare, "__text")
-    vector = F.transform("__found", lambda f: F.struct(F.regexp_extract(f["word"], CORE, 0).alias("core"), *(c.cast("double").alias(n) for n, c in features(f["word"], f["before"], f["after"]).items())))
+    vector = F.transform("__found", lambda f: F.struct(f["core"].alias("core"), f["place"].alias("place"), f["named"].alias("named"), *(c.cast("double").alias(n) for n, c in features(f["core"], f["word"], f["before"], f["after"]).items())))
     held = held.withColumn("__vectors", vector)
-    sure = F.transform(F.filter("__vectors", lambda v: probability(forest, lambda n: v[n]) >= limit), lambda v: v["core"])
-    longest = F.array_sort(F.array_distinct(sure), lambda a, b: F.length(b) - F.length(a))  # else one that is part of another would leave the rest of it
-    clean = F.aggregate(longest, F.col("__text"), lambda t, s: F.replace(t, s, F.lit(MARK)))
+    held = held.withColumn("__sure", F.transform(F.filter("__vectors", lambda v: probability(forest, lambda n: v[n]) >= limit), lambda v: F.struct(v["core"].alias("core"), v["place"].alias("place"), v["named"].alias("named"))))
+    # Longest first: else one that is part of another would leave the rest of it.
+    cores = lambda found: F.array_sort(F.array_distinct(F.transform(found, lambda v: v["core"])), lambda a, b: F.length(b) - F.length(a))
+    masked = lambda text, found: F.aggregate(cores(found), text, lambda t, s: F.replace(t, s, F.lit(MARK)))
+    # Values may be common words elsewhere, so they are masked in their own words only.
+    words, gaps = F.regexp_extract_all("__text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.split("__text", r"[^\x20\x09-\x0D]+", -1)
+    own = F.transform(words, lambda w, i: masked(w, F.filter("__sure", lambda v: v["place"] == i)))
+    text = F.when(F.exists("__sure", lambda v: v["named"]), F.array_join(F.zip_with(gaps, own, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")).otherwise(F.col("__text"))
+    clean = masked(text, F.filter("__sure", lambda v: ~v["named"]))
     held = held.withColumn("__clean", F.when(F.size("__vectors") > 0, clean).otherwise(F.col("__text")))
     return held.select(*(F.col("__clean" if n == "text" else f"__c{k}").alias(n) for k, n in enumerate(names)))

@@ -216,3 +216,20 @@ def test_each_run_of_a_word_is_a_candidate(spark, text, clean, found):
     forest = secrets.fit(secrets.made_findings(spark))
     assert sorted(r["secret"] for r in secrets.findings(frame(spark, [(1, text)]), forest).collect()) == sorted(found)
     assert secrets.redacted(frame(spark, [(1, text)]), forest).first()["text"] == clean
+
+
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ('the password: "S3cr3tPw1" was', 'the password: "[SECRET]" was'),
+        ("so pwd = Tr0ub4dor&3xQ it", "so pwd = [SECRET] it"),
+        ("so password=Ab3!xY9@kLm2 it", "so password=[SECRET] it"),
+        ("the  secret: kQwZrtXvBnmPlKjHgFdSaYui\n now", "the  secret: [SECRET]\n now"),
+        ('{"user":"bob","password":"S3cr3tPw1"}', '{"user":"bob","password":"[SECRET]"}'),
+        ("the password protection and key features are private property", None),
+        ("as follows: something, title: mountains and status=finished", None),
+    ],
+)
+def test_values_that_neighbours_name_are_candidates(spark, text, clean):
+    forest = secrets.fit(secrets.made_findings(spark))
+    assert secrets.redacted(frame(spark, [(1, text)]), forest).first()["text"] == (clean or text)
