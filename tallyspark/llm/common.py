@@ -69,6 +69,17 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = 1 << 21) -> Iterator[
         yield ids, out
 
 
+def cut_batch(batch: pa.RecordBatch, column: int | str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices with about ``size`` bytes in the string ``column``; a longer text is a slice of its own."""
+    ends = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype("int64").cumsum()
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(ends.searchsorted(before + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def text_arrays(batches: Iterator[pa.RecordBatch], size: int = 1 << 22) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(ids, texts) as :func:`slices` gives them, but as arrays of about ``size`` bytes."""
     ids: list[pa.Array] = []
@@ -107,16 +118,20 @@ def fetch(uri: str) -> bytes:
         return f.read()
 
 
-#: Words of 64 bits in a filter of numbers: a fixed size, whatever the input. It may let more through than it was made of, never less.
-FILTER = 1 << 20
+#: Words of 64 bits in a filter of numbers, from few to very many numbers. A filter may let more through than it was made of, never less.
+FILTER_LEAST, FILTER_MOST = 1 << 14, 1 << 24
 
 
 def number_filter(rows: DataFrame, value: str, uri: str) -> str:
-    """Write the filter of the column ``value`` (long) to ``uri``."""
-    word = F.shiftrightunsigned(F.col(value), 6).bitwiseAND(FILTER - 1)
+    """Write the filter of the column ``value`` (long) to ``uri``, with 16 bits or more for each row up to 2^26 rows."""
+    size = FILTER_LEAST
+    need = rows.count() // 4
+    while size < min(need, FILTER_MOST):
+        size *= 2
+    word = F.shiftrightunsigned(F.col(value), 6).bitwiseAND(size - 1)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(value).bitwiseAND(63).cast("int"))
     got = rows.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
-    bits = np.zeros(FILTER, dtype=np.int64)
+    bits = np.zeros(size, dtype=np.int64)
     bits[got.column("w").to_numpy()] = got.column("b").to_numpy()
     put(uri, bits.astype("<i8").tobytes())
     return uri
@@ -129,6 +144,6 @@ def _bits(uri: str) -> np.ndarray:
 
 def passing(uri: str, values: np.ndarray) -> np.ndarray:
     """Which of ``values`` (64-bit) may be in the filter."""
-    values = values.view(np.uint64)
+    bits, values = _bits(uri), values.view(np.uint64)
     one = np.uint64
-    return (_bits(uri)[((values >> one(6)) & one(FILTER - 1)).astype(np.int64)] >> (values & one(63)) & one(1)).astype(bool)
+    return (bits[((values >> one(6)) & one(len(bits) - 1)).astype(np.int64)] >> (values & one(63)) & one(1)).astype(bool)

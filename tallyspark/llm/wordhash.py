@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,6 +22,21 @@ LETTERS = np.asarray([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c
 SPACED = np.asarray([0 if c == 32 or 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c or 255 for c in range(256)], dtype=np.uint8)
 
 
+#: Bytes of a text that are worked on at once.
+PART = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def parts(raw: bytes, size: int | None = None) -> Iterator[bytes]:
+    """``raw`` in parts of about ``size`` bytes that end behind white space, so that no word is cut; a longer word makes a longer part."""
+    at, size = 0, size or PART
+    while at < len(raw):
+        space = _SPACE.search(raw, min(at + size, len(raw)))
+        stop = space.end() if space else len(raw)
+        yield raw[at:stop]
+        at = stop
+
+
 @lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):

@@ -80,3 +80,37 @@ def test_estimates(pairs):
     want = [len([v for v in sorted(x | y)[:64] if v in x and v in y]) / max(1, min(64, len(x | y))) for x, y in pairs]
     assert neardup.union_estimates(a, b).tolist() == want
     assert [neardup.union_estimate(x, y) for x, y in zip(a, b)] == want
+
+
+def test_very_long_text(monkeypatch):
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abAB\u00e9") for _ in range(rng.randint(1, 9))) for _ in range(900))
+    for t in (text, "x" * 400, "x" * 400 + " y", "\t\n " * 200):
+        want = neardup.shingles([t], 5)[0].tolist()
+        with monkeypatch.context() as m:
+            m.setattr(neardup, "PART", 64)
+            assert neardup.shingles(["a b", t], 5)[1].tolist() == want
+
+
+def test_large_group(spark):
+    """Copies of one text with more and less changes: most are linked with the leader, the others must be told from all members."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(150)]
+    docs = []
+    for k in range(260):
+        t = list(base)
+        for _ in range(rng.choice((0, 3, 6, 8, 9, 10, 12, 20))):
+            t[rng.randrange(len(t))] = word()
+        docs.append((k, " ".join(t[: rng.choice((150, 150, 146, 135))])))
+    check(spark, docs, 2)
+
+
+def test_one_row_of_a_group(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(3, a, "v", "l"), (5, a, "v", "l"), (5, b, "v", "l"), (5, b, "v", "l"), (7, b + " more", "v", "l"), (8, c, "v", "l"), (8, a, "w", "l"), (None, a, "v", "l"), (9, "", "v", "l"), (10, None, "v", "l")]
+    got = neardup.deduplicated(spark.createDataFrame(rows, SCHEMA), 5)
+    assert got.columns == ["doc_id", "text", "value", "label"]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == sorted([(0, a), (3, a), (5, b), (8, c), (9, ""), (10, "")])
