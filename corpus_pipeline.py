@@ -7,7 +7,6 @@ columns they came with.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyspark.llm import decontam, neardup, packing, rules, secrets
 from tallyspark.llm.common import staged, table
@@ -20,9 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by five-word shingles of similarity 0.8 or more. Rows without an id go."""
-    kept = neardup.near_duplicates(docs, words=5).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
+    """One document, the one with the smallest id, of each group linked by five-word shingles of similarity 0.8 or more. Rows without an id stay."""
+    return neardup.deduplicated(docs, words=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
