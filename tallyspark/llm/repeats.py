@@ -7,27 +7,29 @@ an anchor that occurs once share none. Equal pieces under an anchor are one piec
 The pieces under one anchor are a collection whose suffixes are put in order by inserting one symbol of each piece per round,
 from the last column to the first. Each round updates the Burrows-Wheeler transform and the common prefixes of neighbours by
 passes over them in order. Windows that agree are then neighbours with a common prefix of 100 or more. A collection is read
-from a table sorted by anchor, so what one task holds is bounded by ``PIECES``.
+from a table sorted by anchor, so what one task holds is bounded. Pieces under an anchor that has more than ``HOT`` different ones are cut
+again by anchors of another hash, and again, until each collection is small enough: equal windows have equal anchors under every
+hash, so nothing is lost, and what remains is put in order in the same way.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_filter, partitions, passing, staged, texts, work_dir
+from .common import cut_batch, lean, number_filter, partitions, passing, staged, texts, work_dir
 
 LENGTH = 100
 GRAM = 32
 #: Pieces whose suffixes are put in order together.
 PIECES = 3_000
-#: Anchors with more different pieces are divided by a hash of each window.
+#: Different pieces that a collection under one anchor has at most.
 HOT = 50_000
 #: Bytes that are hashed at once.
 STRIDE = 1 << 20
@@ -51,13 +53,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def anchors(raw: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``length`` bytes, the least hash of its grams, and whether its first gram has it."""
+def anchors(raw: np.ndarray, length: int, gram: int = GRAM, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``length`` bytes, the least hash of its grams, and whether its first gram has it. Each ``level`` has a hash of its own."""
     h, n = _OF_BYTE[raw], 1
     while n < gram:
         h = h[:-n] * _U(_STEP[n]) + h[n:]
         n *= 2
-    low, n, width = _mixed(h), 1, length - gram + 1
+    low, n, width = _mixed(h ^ _U(level * 0x9E3779B97F4A7C15 % 2**64)), 1, length - gram + 1
     h = low
     while 2 * n <= width:
         low = np.minimum(low[:-n], low[n:])
@@ -84,14 +86,14 @@ def units(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tuple
         yield held
 
 
-def pieces(group: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
+def pieces(group: list[tuple[int, int, bytes]], length: int, level: int = 0) -> tuple[np.ndarray, ...]:
     """(anchor, doc_id, first window, windows, place in the joined bytes) of the pieces, and the joined bytes."""
     sizes = np.asarray([len(b) for _, _, b in group])
     raw = np.frombuffer(b"".join(b for _, _, b in group), dtype=np.uint8)
     none = np.zeros(0, np.int64)
     if len(raw) < length:
         return none.astype(np.uint64), none, none, none, none, raw
-    low, at_first = anchors(raw, length)
+    low, at_first = anchors(raw, length, level=level)
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(group)), sizes)[: len(low)]
     inside = np.arange(len(low)) + length <= ends[owner]
@@ -198,7 +200,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
         for group in units(batches, length):
             yield pa.RecordBatch.from_arrays([pa.array(pieces(group, length)[0].view(np.int64))], ["anchor"])
 
-    often = docs.mapInArrow(low, "anchor long").groupBy("anchor").count().where("count > 1")
+    often = docs.mapInArrow(lean(low), "anchor long").groupBy("anchor").count().where("count > 1")
     common = number_filter(often, "anchor", f"{folder}/anchors")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +210,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             anchor, doc, first, n, at = (x[keep] for x in (anchor, doc, first, n, at))
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(prints(raw, at, n + length - 1).view(np.int64)), pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int32())], ["anchor", "print", "doc_id", "first", "n"])
 
-    places = staged(docs.mapInArrow(placed, "anchor long, print long, doc_id long, first long, n int"), "op6-places")
+    places = staged(docs.mapInArrow(lean(placed), "anchor long, print long, doc_id long, first long, n int"), "op6-places")
     whole = staged(places.groupBy("anchor", "print").agg(F.min(F.struct("doc_id", "first")).alias("lead"), F.count("*").alias("copies")), "op6-pieces")
     mixed = whole.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     split = staged(whole.join(mixed, "anchor").select("anchor", "print", "kinds", F.col("lead.doc_id").alias("doc_id"), F.col("lead.first").alias("first")), "op6-mixed")
@@ -222,7 +224,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             held = raw.tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array([held[a : a + k + length - 1] for a, k in zip(at.tolist(), n.tolist())], pa.binary())], ["anchor", "doc_id", "first", "bytes"])
 
-    loaded = docs.mapInArrow(cut, "anchor long, doc_id long, first long, bytes binary").join(split, ["anchor", "doc_id", "first"])
+    loaded = docs.mapInArrow(lean(cut), "anchor long, doc_id long, first long, bytes binary").join(split, ["anchor", "doc_id", "first"])
     few = F.col("kinds") <= hot
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,25 +261,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             yield solve(pa.Table.from_batches(held))
 
     loaded = staged(loaded, "op6-bytes")
-    inside = loaded.where(few).repartition(partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(sort, "anchor long, print long, inside array<struct<begin:long,end:long>>")
+    inside = loaded.where(few).repartition(partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(lean(sort), "anchor long, print long, inside array<struct<begin:long,end:long>>")
     late = staged(inside, "op6-inside")
 
-    # Anchors with very many different pieces: each window by itself, under a hash of its bytes.
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for anchor, mark, doc, first, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "print", "doc_id", "first", "bytes"))):
-                n = len(raw) - length + 1
-                key = [hashlib.blake2b(raw[k : k + length], digest_size=16).digest() for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array([anchor] * n, pa.int64()), pa.array([mark] * n, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()), pa.array(range(n), pa.int64())], ["key", "anchor", "print", "doc_id", "at", "begin"])
-
     if split.where("kinds > %d" % hot).limit(1).count():
-        each = staged(loaded.where(~few).mapInArrow(windows, "key binary, anchor long, print long, doc_id long, at long, begin long"), "op6-windows")
-        lead = each.groupBy("key").agg(F.min(F.struct("doc_id", "at")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-        again = each.join(lead, "key").where(F.struct("doc_id", "at") != F.col("lead"))
-        many = again.groupBy("anchor", "print").agg(F.collect_list(F.struct("begin", (F.col("begin") + length).alias("end"))).alias("inside"))
-        late = late.unionByName(many)
+        deep = divided(loaded.where(~few).select("anchor", "print", F.lit(0).cast("long").alias("base"), F.col("anchor").alias("under"), "doc_id", "first", "bytes"), sort, length, hot)
+        late = late.unionByName(deep.groupBy("anchor", "print").agg(F.collect_list(F.struct("begin", "end")).alias("inside")))
 
-    known = whole.join(late, ["anchor", "print"], "left").where("copies > 1 or inside is not null").select("anchor", "print", "lead", "inside")
+    # Written down, so that the join with all places stands alone and a group of very many copies can be split.
+    known = staged(whole.join(late, ["anchor", "print"], "left").where("copies > 1 or inside is not null").select("anchor", "print", "lead", "inside"), "op6-known")
     hits = places.join(known, ["anchor", "print"])
     is_lead = F.struct("doc_id", "first") == F.col("lead")
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("begin"), (F.col("n") + length - 1).cast("long").alias("end")))
@@ -285,6 +277,40 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     return spans.select("doc_id", (F.col("first") + F.col("s.begin")).alias("begin"), (F.col("first") + F.col("s.end")).alias("end"))
 
 
+def divided(rows: DataFrame, sort: Callable, length: int, hot: int) -> DataFrame:
+    """(anchor, print, begin, end) of repeated windows inside pieces of crowded collections: ``rows`` (anchor, print, base, under, doc_id, first, bytes) are cut by anchors
+    of further levels, ``base`` is where a part begins in its piece. Equal parts under an anchor are one part with a first place, whose copies are repeats."""
+    spark, out, level = rows.sparkSession, [], 0
+    columns = ["anchor", "print", "base", "under", "mark", "doc_id", "first", "n", "bytes"]
+    while True:
+        level += 1
+
+        def cut(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in cut_batch(batch, "bytes"):
+                    low, row, first, n, at, raw = pieces([(k, 0, b) for k, b in enumerate(part.column("bytes").to_pylist())], length, level)
+                    held = raw.tobytes()
+                    of = {c: part.column(c).to_numpy()[row] for c in ("anchor", "print", "base", "under", "doc_id", "first")}
+                    under = _mixed((of["under"].view(np.uint64) ^ low) * _U(_BASE))
+                    cols = [of["anchor"], of["print"], of["base"] + first, under.view(np.int64), prints(raw, at, n + length - 1).view(np.int64), of["doc_id"], of["first"] + first, n]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([held[a : a + k + length - 1] for a, k in zip(at.tolist(), n.tolist())], pa.binary())], columns)
+
+        parts = staged(rows.mapInArrow(lean(cut), "anchor long, print long, base long, under long, mark long, doc_id long, first long, n long, bytes binary"), "op6-parts")
+        lead = parts.groupBy("under", "mark").agg(F.min(F.struct("doc_id", "first")).alias("lead"))
+        kinds = lead.groupBy("under").agg(F.count("*").alias("kinds"))
+        told = staged(parts.join(lead, ["under", "mark"]).join(kinds, "under").withColumn("leads", F.struct("doc_id", "first") == F.col("lead")), "op6-told")
+        out.append(told.where("not leads").select("anchor", "print", F.col("base").alias("begin"), (F.col("base") + F.col("n") + length - 1).alias("end")))
+        open_ = told.where("leads and kinds > 1")
+        small = open_.where(F.col("kinds") <= hot)
+        found = small.select(F.col("under").alias("anchor"), F.col("mark").alias("print"), "doc_id", "first", "bytes").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
+        found = staged(found.mapInArrow(lean(sort), "anchor long, print long, inside array<struct<begin:long,end:long>>"), "op6-inside")
+        inside = small.select("anchor", "print", "base", "under", "mark").join(found.select(F.col("anchor").alias("under"), F.col("print").alias("mark"), F.explode("inside").alias("s")), ["under", "mark"])
+        out.append(inside.select("anchor", "print", (F.col("base") + F.col("s.begin")).alias("begin"), (F.col("base") + F.col("s.end")).alias("end")))
+        rows = open_.where(F.col("kinds") > hot).select("anchor", "print", "base", "under", "doc_id", "first", "bytes")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+
+
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for begin, end in sorted((s["begin"], s["end"]) for s in spans or ()):
@@ -320,4 +346,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
             kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return texts(docs).join(spans, "doc_id", "left").mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:long,end:long>>")
+    return texts(docs).join(spans, "doc_id", "left").mapInArrow(lean(strip), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:long,end:long>>")
