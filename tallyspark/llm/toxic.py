@@ -5,7 +5,7 @@ to the whole training corpus. What isn't clearly toxic scores a little below zer
 (Ruzzo and Tompa). Segment scores of clean documents follow an extreme-value law, whose parameters turn a document's segments
 into evidence; a logistic curve over that evidence gives the score.
 
-Counts are kept for ``BUCKETS`` hash values, which bounds the model at any size of the vocabulary.
+Words and beginnings are told by 64-bit hashes and counted over all training documents; the model holds those that are clearly toxic.
 """
 
 from __future__ import annotations
@@ -19,10 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, texts
-from .wordhash import Words
+from .common import cut_batch, lean, slices, staged, texts
+from .wordhash import PART, Words, mixed, parts
 
-BUCKETS = 1 << 20
 #: Lengths in bytes of the word beginnings that are counted besides the word.
 STEMS = (4, 5, 6, 7, 8)
 #: Weight of the Dirichlet prior, in documents' words.
@@ -37,15 +36,15 @@ CALIBRATION_ROWS = 20_000
 FLOOR = 1.0
 
 
-def buckets(words: Words) -> np.ndarray:
-    """(words, 1 + stems) hash values below BUCKETS; -1 where a word is not longer than the stem."""
+def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, word) of the words and of their beginnings that are shorter than the word, word by word for each kind."""
     size = words.end - words.begin
-    out = np.full((len(size), 1 + len(STEMS)), -1, dtype=np.int64)
-    out[:, 0] = (words.hashes() >> np.uint64(44)).astype(np.int64)
-    for k, n in enumerate(STEMS, 1):
+    keys, of = [words.hashes()], [np.arange(len(size))]
+    for n in STEMS:
         longer = np.flatnonzero(size > n)
-        out[longer, k] = ((words.hashes(words.begin[longer] + n, longer) ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(44)).astype(np.int64)
-    return out
+        keys.append(mixed((words.hashes(words.begin[longer] + n, longer) ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xD6E8FEB86659FD93)))
+        of.append(longer)
+    return np.concatenate(keys), np.concatenate(of)
 
 
 def maximal_segments(at: list[int], scores: list[float], gap: float) -> list[tuple[float, int, int]]:
@@ -74,37 +73,66 @@ def maximal_segments(at: list[int], scores: list[float], gap: float) -> list[tup
 
 @dataclass
 class Model:
-    buckets: np.ndarray
+    #: Sorted hashes of what is clearly toxic, and its log-odds.
+    keys: np.ndarray
     odds: np.ndarray
     #: Of the extreme-value law.
     rate: float = 1.0
     size: float = 1.0
     curve: tuple[float, float, float] = (0.0, 0.0, -2.0)
 
-    def segments(self, texts: list[bytes]) -> list[tuple[int, list[tuple[float, int, int]], Words | None]]:
-        """(words, segments as (score, first word, last word)) of each text."""
-        words = Words.of(texts)
-        table = np.zeros(BUCKETS + 1, dtype=np.float32)
-        table[self.buckets] = self.odds
-        each = table[buckets(words)].max(axis=1, initial=0.0) if len(words.begin) else np.zeros(0)
-        marked = np.flatnonzero(each > 0)
-        bounds = np.searchsorted(marked, words.first)
-        out = []
-        for k in range(len(texts)):
-            mine = marked[bounds[k] : bounds[k + 1]]
-            found = maximal_segments((mine - words.first[k]).tolist(), each[mine].tolist(), NEUTRAL) if len(mine) else []
-            out.append((int(words.first[k + 1] - words.first[k]), [s for s in found if s[0] >= FLOOR], words))
+    def marked(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(place, log-odds) of the toxic words, in order."""
+        keys, of = features(words)
+        if not len(self.keys) or not len(keys):
+            return np.zeros(0, np.int64), np.zeros(0)
+        maybe = np.zeros(1 << 16, dtype=bool)  # by the upper bits, as few words are toxic
+        maybe[(self.keys >> np.uint64(48)).astype(np.int64)] = True
+        some = np.flatnonzero(maybe[(keys >> np.uint64(48)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+        same = self.keys[at] == keys[some]
+        each = np.zeros(len(words.begin))
+        np.maximum.at(each, of[some[same]], self.odds[at[same]])
+        place = np.flatnonzero(each > 0)
+        return place, each[place]
+
+    def segments(self, texts: list[bytes]) -> list[tuple[int, list[tuple[float, int, int, int, int]]]]:
+        """(words, segments as (score, first word, last word, begin and end byte)) of each text. A long text is cut into words part by part, its segments go over all."""
+        out: list = [None] * len(texts)
+        few = [k for k, t in enumerate(texts) if len(t) <= PART]
+        words = Words.of([texts[k] for k in few])
+        place, odds = self.marked(words)
+        bounds = np.searchsorted(place, words.first)
+        for j, k in enumerate(few):
+            mine = slice(bounds[j], bounds[j + 1])
+            out[k] = int(words.first[j + 1] - words.first[j]), self._found(place[mine] - words.first[j], odds[mine], words.begin[place[mine]] - words.offsets[j], words.end[place[mine]] - words.offsets[j])
+        for k, text in enumerate(texts):
+            if out[k] is None:
+                n = at = 0
+                held = []
+                for part in parts(text):
+                    words = Words.of([part])
+                    place, odds = self.marked(words)
+                    held.append((place + n, odds, words.begin[place] + at, words.end[place] + at))
+                    n, at = n + len(words.begin), at + len(part)
+                out[k] = n, self._found(*(np.concatenate(x) for x in zip(*held)))
         return out
 
-    def evidence(self, n: int, found: list[tuple[float, int, int]]) -> tuple[float, float]:
+    @staticmethod
+    def _found(place: np.ndarray, odds: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple[float, int, int, int, int]]:
+        nth = {int(p): k for k, p in enumerate(place.tolist())}
+        got = maximal_segments(place.tolist(), odds.tolist(), NEUTRAL) if len(place) else []
+        return [(s, a, b, int(begin[nth[a]]), int(end[nth[b]])) for s, a, b in got if s >= FLOOR]
+
+    def evidence(self, n: int, found: list[tuple]) -> tuple[float, float]:
         """How far the best segment and all segments lie above what chance gives in ``n`` words."""
         if not found:
             return 0.0, 0.0
         chance = math.log(self.size * max(n, 1))
-        each = [max(0.0, self.rate * s - chance) for s, _, _ in found]
+        each = [max(0.0, self.rate * s - chance) for s, *_ in found]
         return math.log1p(max(each)), math.log1p(sum(each))
 
-    def score(self, n: int, found: list[tuple[float, int, int]]) -> float:
+    def score(self, n: int, found: list[tuple]) -> float:
         a, b = self.evidence(n, found)
         x = self.curve[0] * a + self.curve[1] * b + self.curve[2]
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
@@ -124,20 +152,22 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return w
 
 
-def weighed(bucket: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> Model:
-    """Log-odds of the buckets that are clearly toxic."""
+def weighed(key: np.ndarray, toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean: float) -> Model:
+    """Log-odds of what is clearly toxic, from counts of documents and their sums over all features."""
     both = toxic + clean
-    prior = PRIOR * both / max(1.0, both.sum())
-    n1, n0 = toxic.sum() + PRIOR, clean.sum() + PRIOR
+    prior = PRIOR * both / max(1.0, all_toxic + all_clean)
+    n1, n0 = all_toxic + PRIOR, all_clean + PRIOR
     y1, y0 = toxic + prior, clean + prior
     odds = np.log(y1 / (n1 - y1)) - np.log(y0 / (n0 - y0))
     sure = (odds / np.sqrt(1 / (y1 + 0.5) + 1 / (y0 + 0.5)) >= SURE) & (toxic >= SEEN)
-    return Model(bucket[sure], np.minimum(odds[sure], MOST).astype(np.float32))
+    key, odds = key[sure], np.minimum(odds[sure], MOST)
+    order = np.argsort(key)
+    return Model(key[order], odds[order])
 
 
-def calibrated(model: Model, n: np.ndarray, found: list[list[tuple[float, int, int]]], y: np.ndarray) -> Model:
+def calibrated(model: Model, n: np.ndarray, found: list[list[tuple]], y: np.ndarray) -> Model:
     """Extreme-value parameters from clean documents, by moments, then the curve."""
-    best = np.asarray([max((s for s, _, _ in f), default=0.0) for f in found])
+    best = np.asarray([max((s for s, *_ in f), default=0.0) for f in found])
     clean = best[y == 0]
     spread = clean.std() if len(clean) > 1 else 0.0
     model.rate = float(np.clip(math.pi / math.sqrt(6) / max(spread, 1e-9), 0.2, 2.0))
@@ -151,39 +181,62 @@ def calibrated(model: Model, n: np.ndarray, found: list[list[tuple[float, int, i
 
 
 def fit(labelled: DataFrame) -> Model:
-    """A model from (doc_id, text, toxic 0/1). Counts are of documents that hold a word; the driver gets those of the buckets, no more than BUCKETS rows."""
+    """A model from (doc_id, text, toxic 0/1). Counts are of documents that hold a word. The driver gets those of words whose share of toxic documents is above the
+    corpus's and that ``SEEN`` toxic documents hold, which grow with the vocabulary of toxic passages only."""
     labelled = staged(labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "op5-labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, BUCKETS), dtype=np.int64)
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, ...]:
+            keys, where = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return keys, *(np.bincount(where, np.concatenate([h[k] for h in held]), len(keys)).astype(np.int64) for k in (1, 2))
+
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                words = Words.of([(t or "").encode() for t in part.column("text").to_pylist()])
+            for part in cut_batch(batch, "text"):
+                raw = [(t or "").encode() for t in part.column("text").to_pylist()]
                 label = part.column("toxic").to_numpy(zero_copy_only=False)
-                b = buckets(words)
-                of = np.repeat(words.text, b.shape[1])[b.reshape(-1) >= 0]
-                pairs = np.unique(of * BUCKETS + b.reshape(-1)[b.reshape(-1) >= 0])
-                for y in (0, 1):
-                    mine = pairs[label[pairs // BUCKETS] == y] % BUCKETS
-                    held[y] += np.bincount(mine, minlength=BUCKETS)
-        some = np.flatnonzero(held.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[1][some]), pa.array(held[0][some])], ["bucket", "toxic", "clean"])
-
-    counts = labelled.mapInArrow(count, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
-    order = np.argsort(counts.column("bucket").to_numpy())
-    model = weighed(*(counts.column(c).to_numpy()[order].astype(t) for c, t in (("bucket", np.int64), ("toxic", float), ("clean", float))))
+                for some, mine in ((raw, label), *(([p], label[k : k + 1]) for k, r in enumerate(raw) if len(r) > PART for p in parts(r))):
+                    # Parts of a long text count each for itself.
+                    words = Words.of([b"" if len(r) > PART and some is raw else r for r in some])
+                    keys, of = features(words)
+                    text = words.text[of]
+                    order = np.lexsort((text, keys))
+                    keys, text = keys[order], text[order]
+                    new = np.ones(len(keys), dtype=bool)
+                    new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+                    is_toxic = mine[text[new]] if new.any() else np.zeros(0, int)
+                    held.append((keys[new], is_toxic == 1, is_toxic == 0))
+                    size += int(new.sum())
+                    if size > 1 << 20:
+                        held = [merged()]
+                        size = len(held[0][0])
+                        if size > 1 << 19:
+                            yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), *map(pa.array, held[0][1:])], ["key", "toxic", "clean"])
+                            held, size = [], 0
+        if held:
+            last = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(last[0].view(np.int64)), *map(pa.array, last[1:])], ["key", "toxic", "clean"])
+
+    counts = labelled.mapInArrow(lean(count), "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = staged(counts, "op5-counts")
+    whole = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
+    n1, n0 = float(whole["toxic"] or 0), float(whole["clean"] or 0)
+    toxic = counts.where((F.col("toxic") >= SEEN) & (F.col("toxic") * n0 > F.col("clean") * n1)).toArrow()
+    model = weighed(toxic.column("key").to_numpy().view(np.uint64), *(toxic.column(c).to_numpy().astype(float) for c in ("toxic", "clean")), n1, n0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in cut_batch(batch, "text"):
                 got = model.segments([(t or "").encode() for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([g[0] for g in got], pa.int64()), pa.array([[s for s, _, _ in g[1]] for g in got], pa.list_(pa.float64()))], ["toxic", "n", "scores"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([g[0] for g in got], pa.int64()), pa.array([[s for s, *_ in g[1]] for g in got], pa.list_(pa.float64()))], ["doc_id", "toxic", "n", "scores"])
 
     some = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)  # small enough to broadcast
-    rows = labelled.join(F.broadcast(some), "doc_id").select("toxic", "text").mapInArrow(scan, "toxic int, n long, scores array<double>").toArrow()
-    found = [[(s, 0, 0) for s in x] for x in rows.column("scores").to_pylist()]
+    scanned = labelled.join(F.broadcast(some), "doc_id").mapInArrow(lean(scan), "doc_id long, toxic int, n long, scores array<double>")
+    once = scanned.groupBy("doc_id").agg(F.min(F.struct("toxic", "n", "scores")).alias("r"))  # a document that rows repeat is taken once
+    rows = once.orderBy("doc_id").select("r.*").toArrow()
+    found = [[(s,) for s in x] for x in rows.column("scores").to_pylist()]
     return calibrated(model, rows.column("n").to_numpy(), found, rows.column("toxic").to_numpy())
 
 
@@ -193,16 +246,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, some in slices(batches, 1 << 20):
-            raw = [t.encode() for t in some]
-            got = model.segments(raw)
-            spans = []
-            for k, (_, found, words) in enumerate(got):
-                w, o = int(words.first[k]), int(words.offsets[k])
-                spans.append([{"begin": int(words.begin[w + a]) - o, "end": int(words.end[w + b]) - o, "score": float(s)} for s, a, b in found])
+            got = model.segments([t.encode() for t in some])
+            spans = [[{"begin": begin, "end": end, "score": float(s)} for s, _, _, begin, end in found] for _, found in got]
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([model.score(n, f) for n, f, _ in got], pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "passages"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([model.score(n, f) for n, f in got], pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "passages"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double, passages array<struct<begin:long,end:long,score:double>>")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, score double, passages array<struct<begin:long,end:long,score:double>>")
 
 
 def part_of(doc_id: Column, parts: int) -> Column:
