@@ -1,7 +1,7 @@
 """Operator 2: document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of ``PASSAGE`` words. Each passage is encoded by shape statistics of its characters and words
-and a small layer; gated attention (a tanh branch times a sigmoid branch) weighs the passages; the weighted sum is scored. All
+A document is a bag of passages of ``PASSAGE`` words. Each passage is encoded by its words, hashed to ``WORDS`` places, by shape
+statistics of its characters, and a layer over both; gated attention (a tanh branch times a sigmoid branch) weighs the passages; the weighted sum is scored. All
 layers are learnt together from document labels.
 """
 
@@ -14,14 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import cut_batch, lean, slices, texts
 from .toxic import part_of
-from .wordhash import Words
+from .wordhash import PART, Words, parts
 
 PASSAGE = 64
 #: Labelled documents that the layers are learnt from, all passages of each.
 SAMPLE = 4_000
-HIDDEN, GATE = 12, 8
+HIDDEN, GATE = 16, 8
+#: Places of hashed words; two words share one with a chance of 1 / WORDS, and the layer learns what a place says about quality.
+WORDS = 256
+#: How strongly the weights of shapes and of words are held near zero.
+DECAY_SHAPE, DECAY_WORDS = 1e-5, 3e-2
 EPOCHS, RATE = 120, 0.03
 
 #: Classes of bytes.
@@ -29,11 +33,41 @@ LOWER, UPPER, DIGIT, BLANK, LINE, HIGH, STOP, SYMBOL, BANG, OTHER = range(10)
 _CLASS = np.full(256, OTHER, dtype=np.uint8)
 for _c, _of in ((b"abcdefghijklmnopqrstuvwxyz", LOWER), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", UPPER), (b"0123456789", DIGIT), (b" \t\r\x0b\x0c", BLANK), (b"\n", LINE), (bytes(range(128, 256)), HIGH), (b".,", STOP), (b"#*$%&|<>", SYMBOL), (b"!", BANG)):
     _CLASS[list(_c)] = _of
-FEATURES = 14
+SHAPES = 14
+FEATURES = SHAPES + WORDS
 
 
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(passages, FEATURES) and each text's first passage, with the end. A text without words is one passage."""
+    """(passages, FEATURES) and each text's first passage, with the end. A text without words is one passage; a long text is encoded part by part."""
+    if all(len(t) <= PART for t in texts):
+        return _encoded(texts)
+    each = [_encoded_long(t) if len(t) > PART else _encoded([t])[0] for t in texts]
+    return np.concatenate(each), np.concatenate(([0], np.cumsum([len(x) for x in each])))
+
+
+def _encoded_long(text: bytes) -> np.ndarray:
+    """Passages of one text. Behind the last whole passage of a part, its bytes go to the next part."""
+    out, rest, n = [], b"", 0
+    for part in parts(text, PART):
+        rest += part
+        words = Words.of([rest])
+        whole = (len(words.begin) - 1) // PASSAGE if len(words.begin) else 0  # the last one may go on
+        if whole:
+            cut = int(words.begin[whole * PASSAGE])
+            out.append(_encoded([rest[:cut]])[0])
+            n, rest = n + whole * PASSAGE, rest[cut:]
+        elif not len(words.begin):
+            rest = rest[-1:]  # without a word only shapes would be lost, of white space and signs
+    last = Words.of([rest])
+    n += len(last.begin)
+    if len(last.begin) or not out:
+        out.append(_encoded([rest])[0])
+    x = np.concatenate(out)
+    x[:, SHAPES - 1] = np.log1p(n)
+    return x
+
+
+def _encoded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words = Words.of(texts)
     per = np.diff(words.first)
     count = np.maximum(1, -(-per // PASSAGE))
@@ -42,10 +76,11 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), count)
     nth = np.arange(total) - bounds[:-1][owner]
     if not total:
-        return np.zeros((0, FEATURES)), bounds
+        return np.zeros((0, FEATURES), np.float32), bounds
     first_word = words.first[:-1][owner] + nth * PASSAGE
     begin = np.where(nth == 0, words.offsets[:-1][owner], words.begin[np.minimum(first_word, max(0, len(words.begin) - 1))] if len(words.begin) else 0)
     kinds = _CLASS[words.raw]
+    kinds[words.offsets[1:] - 1] = 255  # what stands between texts is of none
     by_class = np.stack([np.add.reduceat(kinds == k, begin, dtype=np.int64) for k in range(10)], axis=1).astype(float)
     size = np.maximum(1.0, by_class.sum(axis=1))
     passage = bounds[:-1][words.text] + (np.arange(len(words.text)) - words.first[:-1][words.text]) // PASSAGE
@@ -59,7 +94,9 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     again = np.zeros(len(hashes))
     again[1:] = (hashes[1:] == hashes[:-1]) & (passage[1:] == passage[:-1])
     letters = np.maximum(1.0, by_class[:, LOWER] + by_class[:, UPPER] + by_class[:, HIGH])
-    out = np.stack(
+    place = passage * WORDS + (hashes >> np.uint64(40)).astype(np.int64) % WORDS
+    said = np.bincount(place, minlength=total * WORDS).reshape(total, WORDS)
+    shape = np.stack(
         [
             by_class[:, UPPER] / letters,
             np.log1p(by_class[:, SYMBOL] / some),
@@ -78,7 +115,7 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ],
         axis=1,
     )
-    return out, bounds
+    return np.hstack((shape, np.sqrt(said / some[:, None]))).astype(np.float32), bounds
 
 
 def _layers(x: np.ndarray, of: np.ndarray, docs: int, p: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -91,15 +128,22 @@ def _layers(x: np.ndarray, of: np.ndarray, docs: int, p: dict[str, np.ndarray])
     return h, tan, sig, a, z, z @ p["c"] + p["d"]
 
 
+def _scaled(x: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean.astype(np.float32)) / std.astype(np.float32), -8, 8)
+
+
 def train(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> dict[str, np.ndarray]:
     """Scaling and layers from passages, each document's first passage (with the end) and its label 0 or 1."""
     docs = len(y)
     of = np.repeat(np.arange(docs), np.diff(bounds))
-    mean, std = x.mean(axis=0) if len(x) else np.zeros(FEATURES), x.std(axis=0) if len(x) else np.ones(FEATURES)
+    mean, std = (x.mean(axis=0, dtype=float), x.std(axis=0, dtype=float)) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
     std = np.where(std > 1e-9, std, 1.0)
-    x = np.clip((x - mean) / std, -8, 8)
+    std[SHAPES:] = np.maximum(std[SHAPES:], 0.05)  # rare words don't stand out by being rare
+    x = _scaled(x, mean, std)
+    decay = np.append(np.full(SHAPES, DECAY_SHAPE), np.full(WORDS, DECAY_WORDS))[:, None]
     rng = np.random.default_rng(seed)
     p = {n: rng.normal(0, 0.3, s) for n, s in (("w", (FEATURES, HIDDEN)), ("v", (HIDDEN, GATE)), ("u", (HIDDEN, GATE)), ("a", GATE), ("c", HIDDEN))}
+    p["w"][SHAPES:] /= 4
     p["b"], p["d"] = np.zeros(HIDDEN), np.zeros(1)
     if docs == 0:
         return p | {"mean": mean, "std": std}
@@ -115,7 +159,7 @@ def train(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int = EPOCHS
         dh = (a[:, None] * dz + d_tan @ p["v"].T + d_sig @ p["u"].T) * (1 - h**2)
         grads = {"w": x.T @ dh, "b": dh.sum(axis=0), "v": h.T @ d_tan, "u": h.T @ d_sig, "a": (tan * sig).T @ de, "c": z.T @ up, "d": np.asarray([up.sum()])}
         for n, g in grads.items():
-            g = g + 1e-4 * p[n] / 10
+            g = g + (decay if n == "w" else DECAY_SHAPE) * p[n]
             first[n] = 0.9 * first[n] + 0.1 * g
             second[n] = 0.999 * second[n] + 0.001 * g * g
             p[n] = p[n] - RATE * (first[n] / (1 - 0.9**t)) / (np.sqrt(second[n] / (1 - 0.999**t)) + 1e-8)
@@ -126,7 +170,7 @@ def predict(model: dict[str, np.ndarray], x: np.ndarray, bounds: np.ndarray) ->
     """(score of each document, attention of each passage)."""
     docs = len(bounds) - 1
     of = np.repeat(np.arange(docs), np.diff(bounds))
-    *_, a, _, logit = _layers(np.clip((x - model["mean"]) / model["std"], -8, 8), of, docs, model)
+    *_, a, _, logit = _layers(_scaled(x, model["mean"], model["std"]), of, docs, model)
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), a
 
 
@@ -136,16 +180,17 @@ def fit(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> dict[str, np
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in cut_batch(batch, "text"):
                 x, bounds = encode([(t or "").encode() for t in part.column("text").to_pylist()])
-                rows = [x[a:b].astype("<f8").tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                rows = [x[a:b].astype("<f4").tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "x"])
 
-    got = docs.join(F.broadcast(few), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(passages, "doc_id long, label int, x binary").toArrow().sort_by("doc_id")
-    bags = [np.frombuffer(b, "<f8").reshape(-1, FEATURES) for b in got.column("x").to_pylist()]
+    each = docs.join(F.broadcast(few), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(lean(passages), "doc_id long, label int, x binary")
+    once = each.groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("r"))  # a document that rows repeat is taken once
+    got = once.select("doc_id", "r.*").toArrow().sort_by("doc_id")
+    bags = [np.frombuffer(b, "<f4").reshape(-1, FEATURES) for b in got.column("x").to_pylist()]
     bounds = np.concatenate(([0], np.cumsum([len(b) for b in bags]))).astype(np.int64)
-    return train(np.concatenate(bags) if bags else np.zeros((0, FEATURES)), bounds, got.column("label").to_numpy().astype(float))
+    return train(np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32), bounds, got.column("label").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
@@ -157,7 +202,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             s, a = predict(model, x, bounds)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(a))], ["doc_id", "score", "attention"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double, attention array<double>")
+    return texts(docs).mapInArrow(lean(run), "doc_id long, score double, attention array<double>")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
