@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fetch, put, slices, staged, texts, work_dir
+from .common import cut_batch, fetch, lean, put, slices, staged, texts, work_dir
+from .wordhash import PART, Words, parts
 
 WINDOW = 10
 #: Item words in one automaton. More items give more automata, which each task goes through one after another.
@@ -27,12 +27,12 @@ BLOCK_WORDS = 100_000
 
 #: Upper-case A-Z to lower case; what can't stand in a word to a blank. Bytes from 128 are parts of other letters.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | bytes | None) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased, as UTF-8."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_NORMAL).split()
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    return raw.translate(_NORMAL).split()
 
 
 class Automaton:
@@ -105,10 +105,17 @@ class Automaton:
             self.link[new] = q if self.size[q] == self.size[p] + 1 else self._copy(p, q, a)
         return new
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers in this automaton; -1 for words that no item has."""
+        get = self.vocab.get
+        return np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words))
+
     def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Stretches [begin, end) of words that windows cover, disjoint and in order, and the items of those windows."""
-        get = self.vocab.get
-        known = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        return self.matched(self.numbers(words))
+
+    def matched(self, known: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
+        """:meth:`match` of words by their numbers."""
         edges = np.flatnonzero(np.diff(np.concatenate(([0], known >= 0, [0])).astype(np.int8)))
         spans: list[tuple[int, int]] = []
         states: set[int] = set()
@@ -149,7 +156,11 @@ class Automaton:
         return spans, found
 
 
-@lru_cache(maxsize=3)
+#: Automata that a task keeps; of more, each is loaded once for ``MANY`` characters of text.
+KEPT, FEW, MANY = 3, 1 << 21, 1 << 24
+
+
+@lru_cache(maxsize=KEPT)
 def _loaded(uri: str) -> Automaton:
     return pickle.loads(fetch(uri))
 
@@ -181,27 +192,34 @@ def build(items: DataFrame, id_col: str = "item_id", text_col: str = "text", win
     few = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null").distinct()
     chars = few.agg(F.sum(F.length("t"))).first()[0] or 0
     few = few.coalesce(1) if chars <= 8 * block_words else few.repartition(-(-chars // (8 * block_words)))
-    return sorted(r["path"] for r in staged(few.mapInArrow(make, "path string"), "op8-paths").collect())
+    return sorted(r["path"] for r in staged(few.mapInArrow(lean(make), "path string"), "op8-paths").collect())
 
 
-def _scan(paths: list[str], text: str) -> tuple[int, list[tuple[int, int]], list[str]]:
-    words = words_of(text)
-    spans: list[tuple[int, int]] = []
-    items: set[str] = set()
+def _scans(paths: list[str], some: list[str | None]) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
+    """(words, covered stretches, items) of each text. Each automaton is loaded once for all of them; a long text is cut into words part by part."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in some]
+    short = [words_of(r) if len(r) <= PART and len(paths) <= KEPT else None for r in raw]
+    count = [len(w) if w is not None else sum(len(words_of(p)) for p in parts(r)) for w, r in zip(short, raw)]
+    spans: list[list[tuple[int, int]]] = [[] for _ in some]
+    items: list[set[str]] = [set() for _ in some]
     for path in paths:
         automaton = _loaded(path)
-        some, found = automaton.match(words)
-        spans += some
-        items.update(automaton.names[k] for k in found)
-    if len(paths) > 1 and spans:
-        merged: list[tuple[int, int]] = []
-        for begin, end in sorted(spans):
-            if merged and begin <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
-            else:
-                merged.append((begin, end))
-        spans = merged
-    return len(words), spans, sorted(items)
+        for k, words in enumerate(short):
+            known = automaton.numbers(words) if words is not None else np.concatenate([automaton.numbers(words_of(p)) for p in (b"", *parts(raw[k]))])
+            more, found = automaton.matched(known)
+            spans[k] += more
+            items[k].update(automaton.names[j] for j in found)
+    return [(n, _joined(s) if len(paths) > 1 else s, sorted(i)) for n, s, i in zip(count, spans, items)]
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    merged: list[tuple[int, int]] = []
+    for begin, end in sorted(spans):
+        if merged and begin <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+        else:
+            merged.append((begin, end))
+    return merged
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -212,8 +230,8 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words
     paths = build(items, window=window, block_words=block_words)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, some in slices(batches):
-            got = [_scan(paths, t) for t in some]
+        for ids, some in slices(batches, FEW if len(paths) <= KEPT else MANY):
+            got = _scans(paths, some)
             hit = [sum(e - b for b, e in g[1]) for g in got]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -229,20 +247,26 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"],
             )
 
-    return texts(docs).mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<begin:long,end:long>>, items array<string>")
+    return texts(docs).mapInArrow(lean(scan), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<begin:long,end:long>>, items array<string>")
 
 
 def cut(text: str, spans: list[tuple[int, int]], longest: int, coverage: float) -> str | None:
     """``text`` without the stretches of at least ``longest`` words; None if covered words exceed the share ``coverage``."""
     raw = text.encode("utf-8", "surrogatepass")
-    places = [m.span() for m in _WORD.finditer(raw)]
-    if places and sum(e - b for b, e in spans) > coverage * len(places):
+    begins, ends, at = [], [], 0
+    for part in parts(raw):
+        words = Words.of([part])
+        begins.append(words.begin + at)
+        ends.append(words.end + at)
+        at += len(part)
+    begins, ends = np.concatenate(begins or [np.zeros(0, int)]), np.concatenate(ends or [np.zeros(0, int)])
+    if len(begins) and sum(e - b for b, e in spans) > coverage * len(begins):
         return None
     out, at = [], 0
     for b, e in spans:
         if e - b >= longest:
-            out.append(raw[at : places[b][0]])
-            at = places[e - 1][1]
+            out.append(raw[at : begins[b]])
+            at = int(ends[e - 1])
     out.append(raw[at:])
     return b"".join(out).decode("utf-8", "surrogatepass")
 
@@ -255,17 +279,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, longe
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, out = [], []
-            for k, text in enumerate(batch.column(at)):
-                text = text.as_py()
-                spans = _scan(paths, text)[1] if text else []
-                if spans:
-                    text = cut(text, spans, longest, coverage)
-                    if text is None:
+            for part in cut_batch(batch, at, FEW if len(paths) <= KEPT else MANY):
+                texts_ = part.column(at).to_pylist()
+                kept, out = [], []
+                for k, (text, (_, spans, _)) in enumerate(zip(texts_, _scans(paths, texts_))):
+                    if spans and (text := cut(text, spans, longest, coverage)) is None:
                         continue
-                kept.append(k)
-                out.append(text)
-            rest = pa.Table.from_batches([batch]).take(pa.array(kept, pa.int64())).set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
-            yield from rest.combine_chunks().to_batches()
+                    kept.append(k)
+                    out.append(text)
+                rest = pa.Table.from_batches([part]).take(pa.array(kept, pa.int64())).set_column(at, part.schema.field(at), pa.array(out, part.schema.field(at).type))
+                yield from rest.combine_chunks().to_batches()
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(lean(clean), docs.schema)
