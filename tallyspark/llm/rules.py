@@ -150,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # small enough to broadcast
     names = list(RATES)
-    rows = with_statistics(texts(docs).join(F.broadcast(few), "doc_id")).select("doc_id", "quality", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0).alias("prune"), *(rate(n).alias(n) for n in names)).collect()
+    rows = with_statistics(texts(docs).join(F.broadcast(few), "doc_id")).select("doc_id", "quality", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0).alias("prune"), *(rate(n).alias(n) for n in names))
+    rows = [r["r"] for r in rows.groupBy("doc_id").agg(F.min(F.struct(*rows.columns)).alias("r")).collect()]  # a document that rows repeat is taken once
     rows.sort(key=lambda r: r["doc_id"])
     x = np.asarray([[r[n] for n in names] for r in rows], dtype=float).reshape(-1, len(names))
     return learn(x, np.asarray([r["quality"] == 0 for r in rows], dtype=bool), np.asarray([r["prune"] for r in rows], dtype=bool), names)
