@@ -32,13 +32,17 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
-def page_outcomes(labels: DataFrame) -> DataFrame:
-    """Labels as outcomes of pages: both tables number the same crawl, and a page is bad if its number is marked low or toxic."""
-    return labels.select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull(), 0).alias("bad"))
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, bad): a page shows the document that the number at the end of its path names, and is bad if that document is labelled low or toxic."""
+    shown = F.regexp_extract(hosts.host_and_path(F.col("url"))[1], r"/([0-9]{1,18})[^/]*/?$", 1)
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull(), 0)
+    known = labels.select("doc_id", bad.alias("bad")).where("doc_id is not null and bad is not null").groupBy("doc_id").agg(F.max("bad").alias("bad"))
+    return pages.select("page_id", F.when(shown != "", shown).cast("long").alias("doc_id")).where("doc_id is not null").join(known, "doc_id").select("page_id", "bad")
 
 
 def op4_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hosts.judge(table(spark, sf_dir, "pages"), page_outcomes(table(spark, sf_dir, "labels"))).drop("bad_rate", "bound")
+    pages = table(spark, sf_dir, "pages")
+    return hosts.judge(pages, page_outcomes(pages, table(spark, sf_dir, "labels"))).drop("bad_rate", "bound")
 
 
 def op5_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +90,8 @@ SQL: dict[str, str] = {
         rules(rule, verdict, rh, rp) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'), ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
         fits AS (SELECT DISTINCT page_id, host, path, rule, verdict FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
         best AS (SELECT page_id, arg_max(rule, (length(rule), rule)) AS rule, arg_max(verdict, (length(rule), rule)) AS verdict FROM fits GROUP BY page_id),
-        known AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY 1),
+        shown AS (SELECT page_id, try_cast(regexp_extract(path, '/([0-9]{1,18})[^/]*/?$', 1) AS BIGINT) AS doc_id FROM p),
+        known AS (SELECT page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL THEN 0 END) AS bad FROM shown JOIN labels USING (doc_id) GROUP BY 1),
         h AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k FROM p LEFT JOIN known USING (page_id) GROUP BY host),
         hd AS (SELECT *, CASE WHEN regexp_extract(host, '[^.]+[.][^.]+$') <> '' THEN regexp_extract(host, '[^.]+[.][^.]+$') ELSE host END AS domain FROM h),
         d AS (SELECT domain, regexp_extract(domain, '[^.]*$') AS suffix, sum(n) AS n, sum(k) AS k FROM hd GROUP BY domain),
