@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import number_filter, passing, slices, staged, texts, work_dir
+from .common import lean, number_filter, passing, slices, staged, texts, work_dir
 from .wordhash import PART, SPACED, Words, mixed, parts
 
 SKETCH = 128
@@ -156,7 +156,7 @@ def sketched(docs: DataFrame, words: int, k: int = SKETCH) -> DataFrame:
                 ["doc_id", "crc", "n_shingles", "set_key", "sketch"],
             )
 
-    return texts(docs).mapInArrow(sketch, "doc_id long, crc long, n_shingles long, set_key binary, sketch binary")
+    return texts(docs).mapInArrow(lean(sketch), "doc_id long, crc long, n_shingles long, set_key binary, sketch binary")
 
 
 def postings(classes: DataFrame, k: int = SKETCH) -> DataFrame:
@@ -171,7 +171,7 @@ def postings(classes: DataFrame, k: int = SKETCH) -> DataFrame:
             rep, size, most = (np.repeat(x, sizes) for x in (batch.column("rep").to_numpy(zero_copy_only=False), sizes, most))
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(rep), pa.array(size, pa.int32()), pa.array(most, pa.int32())], ["value", "rep", "size", "most"])
 
-    every = classes.mapInArrow(spread, "value long, rep long, size int, most int")
+    every = classes.mapInArrow(lean(spread), "value long, rep long, size int, most int")
     often = every.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     listed = every.join(often, "value")
     nth = F.row_number().over(Window.partitionBy("rep").orderBy("df", "value"))
@@ -208,7 +208,7 @@ def estimated(pairs: DataFrame, sketches: DataFrame, k: int = SKETCH) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     of = lambda end: sketches.select(F.col("rep").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(judge, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(judge), "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -227,7 +227,7 @@ def short_sketches(classes: DataFrame, uri: str) -> DataFrame:
             upper = [(np.frombuffer(x, "<u8") >> np.uint64(32)).astype("<u4").tobytes() for x in some.column("sketch").to_pylist()]
             yield pa.RecordBatch.from_arrays([some.column("rep"), some.column("n_shingles"), pa.array(upper, pa.binary())], ["rep", "n", "sketch"])
 
-    return staged(classes.select("rep", "first_id", "n_shingles", "sketch").mapInArrow(short, "rep long, n long, sketch binary"), "op9-short")
+    return staged(classes.select("rep", "first_id", "n_shingles", "sketch").mapInArrow(lean(short), "rep long, n long, sketch binary"), "op9-short")
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -243,7 +243,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets.values())]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(sets.values())).view(np.int64)))], ["set_key", "hashes"])
 
-    rows = docs.mapInArrow(whole, "set_key binary, hashes array<long>").join(classes.select("set_key", "rep"), "set_key")
+    rows = docs.mapInArrow(lean(whole), "set_key binary, hashes array<long>").join(classes.select("set_key", "rep"), "set_key")
     return staged(rows.groupBy("set_key").agg(F.first("rep").alias("rep"), F.first("hashes").alias("hashes")).drop("set_key"), "op9-sets")
 
 

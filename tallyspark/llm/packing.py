@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, staged, text_arrays, texts
+from .common import lean, partitions, staged, text_arrays, texts
 from .tokens import with_end, word_ids
 
 LENGTH = 4096
@@ -74,7 +74,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 2, length
             crc = [zlib.crc32(view[a : a + n]) for a, n in zip(at.tolist(), (4 * took).tolist())]
             yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), pa.array(start), pa.array(took), pa.array(crc, pa.int64()), pa.array(sizes[of])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return texts(docs).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return texts(docs).mapInArrow(lean(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def ranked(pieces: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
 
     df = ranked(pieces)
     kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != "rank")
-    return df.mapInArrow(place, f"{kinds}, sequence_id long, offset long, padded_length long")
+    return df.mapInArrow(lean(place), f"{kinds}, sequence_id long, offset long, padded_length long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 2, length: int = LENGTH) -> DataFrame:

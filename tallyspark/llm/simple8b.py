@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fetch, partitions, put, staged, text_arrays, texts, work_dir
+from .common import fetch, lean, partitions, put, staged, text_arrays, texts, work_dir
 from .tokens import with_end, word_ids
 
 MAGIC = b"TSIM8B01"
@@ -222,7 +222,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
             yield close()
 
     ordered = texts(docs).repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    return staged(ordered.mapInArrow(write, "part int, seq int, path string, before long, n_docs long, n_ids long"), "op1-manifest")
+    return staged(ordered.mapInArrow(lean(write), "part int, seq int, path string, before long, n_docs long, n_ids long"), "op1-manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(view[4 * a : 4 * (a + n)]) for a, n in zip(begins.tolist(), sizes.tolist())]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(seg.doc_ids, pa.int64()), "start": pa.array(begins + base[row["part"]] + row["before"], pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return manifest.select("part", "path", "before").repartition(partitions(spark)).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("part", "path", "before").repartition(partitions(spark)).mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 1, folder: str | None = None) -> DataFrame:

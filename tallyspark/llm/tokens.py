@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Most words of each of the two generations that a worker remembers. Results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Signs, a Latin word, signs: parts that the vocabulary file's rule splits in any case (no apostrophe before the word, which could take its first letters).
 _PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
 
