@@ -233,3 +233,110 @@ def test_each_run_of_a_word_is_a_candidate(spark, text, clean, found):
 def test_values_that_neighbours_name_are_candidates(spark, text, clean):
     forest = secrets.fit(secrets.made_findings(spark))
     assert secrets.redacted(frame(spark, [(1, text)]), forest).first()["text"] == (clean or text)
+
+
+# Bounds, borders and brute force
+
+
+def test_hosts_of_both_kinds_are_decided_by_outcomes(spark):
+    """Pages show the documents that their paths name; one host's are bad, its neighbours' are not, and a host without outcomes follows its domain."""
+    from tallyspark.llm import queries
+
+    pages, labels = [], []
+    for k in range(300):
+        host = ("www.spam.example.com", "blog.good.example.org", "m.fine.example.org")[k % 3]
+        pages.append((k, f"https://{host}/en/{1000 + k}.html?x=1"))
+        labels.append((1000 + k, int(k % 3 != 0), 0) if k % 2 else (1000 + k, 1, int(k % 3 == 0)))
+    pages += [(900, "https://new.spam.test/en/5000"), (901, "https://www.spam.example.com/about"), (902, None)]
+    pages, labels = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([*labels, (None, 0, 0), (1001, None, None)], "doc_id long, quality int, toxic int")
+    outcomes = queries.page_outcomes(pages, labels)
+    assert outcomes.count() == 300
+    got = {r["page_id"]: (r["verdict"], r["host"]) for r in hosts.judge(pages, outcomes, rules=()).collect()}
+    assert {v for v, h in got.values() if h == "www.spam.example.com"} == {"block"}
+    assert {v for v, h in got.values() if h.endswith("example.org")} == {"allow"} and got[902][0] == "allow"
+
+
+def test_many_automata_are_loaded_once_for_many_texts(monkeypatch):
+    import pickle
+
+    items = [(f"i{k}", decontam.words_of(f"one{k} two{k} three{k}")) for k in range(5)]
+    stored = {f"p{k}": pickle.dumps(decontam.Automaton([it], 3)) for k, it in enumerate(items)}
+    loads = []
+    monkeypatch.setattr(decontam, "fetch", lambda uri: loads.append(uri) or stored[uri])
+    decontam._loaded.cache_clear()
+    texts = [f"x one{k % 5} two{k % 5} three{k % 5} y" for k in range(100)]
+    got = decontam._scans(sorted(stored), texts)
+    decontam._loaded.cache_clear()
+    assert len(loads) == 5 and [(n, s, i) for n, s, i in got] == [(5, [(1, 4)], [f"i{k % 5}"]) for k in range(100)]
+
+
+def test_long_texts_part_by_part(monkeypatch):
+    rng = random.Random(5)
+    text = " ".join(rng.choice(["Plain", "nastyword", "x#", "é", "1,2", "\n", "AGAIN"]) for _ in range(1500)).encode()
+    whole_x, whole_b = mil.encode([text, b"short one"])
+    model = toxic.Model(np.sort(toxic.features(toxic.Words.of([b"nastyword"]))[0]), np.full(6, 4.0))
+    whole_s = model.segments([text, b"a nastyword b"])
+    automaton = decontam.Automaton([("i", decontam.words_of("again plain"))], 2)
+    whole_m = automaton.match(decontam.words_of(text))
+    for module in (mil, toxic, decontam):
+        monkeypatch.setattr(module, "PART", 200)
+    monkeypatch.setattr(decontam, "parts", lambda raw, f=decontam.parts: f(raw, 200))
+    monkeypatch.setattr(toxic, "parts", lambda raw, f=toxic.parts: f(raw, 200))
+    x, b = mil.encode([text, b"short one"])
+    assert (b == whole_b).all() and np.allclose(x, whole_x)
+    assert [(n, [(round(s, 9), *r) for s, *r in f]) for n, f in model.segments([text, b"a nastyword b"])] == [(n, [(round(s, 9), *r) for s, *r in f]) for n, f in whole_s]
+    monkeypatch.setattr(decontam, "_loaded", lambda uri: automaton)
+    assert decontam._scans(["p"], [text.decode()])[0][1] == whole_m[0]
+    assert decontam.cut(text.decode(), whole_m[0], 1, 1.0) == "".join(_without(text.decode(), whole_m[0]))
+
+
+def _without(text, spans):
+    places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))]
+    at = 0
+    for b, e in spans:
+        yield text[at : places[b][0]]
+        at = places[e - 1][1]
+    yield text[at:]
+
+
+def test_attention_by_definition():
+    """Scores of one bag at a time, from the formulas."""
+    rng = np.random.default_rng(4)
+    bags = [rng.normal(size=(n, mil.FEATURES)) for n in (1, 3, 5)]
+    model = mil.train(np.concatenate(bags).astype(np.float32), np.asarray([0, 1, 4, 9]), np.asarray([0.0, 1.0, 1.0]), epochs=3)
+    score, attention = mil.predict(model, np.concatenate(bags).astype(np.float32), np.asarray([0, 1, 4, 9]))
+    at = 0
+    for k, bag in enumerate(bags):
+        h = np.tanh(np.clip((bag - model["mean"]) / model["std"], -8, 8) @ model["w"] + model["b"])
+        e = np.asarray([float((np.tanh(r @ model["v"]) / (1 + np.exp(-(r @ model["u"])))) @ model["a"]) for r in h])
+        a = np.exp(e) / np.exp(e).sum()
+        assert attention[at : at + len(bag)] == pytest.approx(a, rel=1e-4)
+        assert score[k] == pytest.approx(1 / (1 + np.exp(-((a[:, None] * h).sum(axis=0) @ model["c"] + model["d"][0]))), rel=1e-4)
+        at += len(bag)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(-4, 4), max_size=12))
+def test_segments_have_the_right_borders(scores):
+    """Segments as Ruzzo and Tompa define them: no part of one that is a prefix or suffix has a sum of zero or less, and none can be made longer without losing that."""
+    at = [k for k, s in enumerate(scores) if s]
+    got = [(a, b) for _, a, b in toxic.maximal_segments(at, [float(scores[k]) for k in at], 0.0)]
+    good = lambda a, b: all(sum(scores[a : k + 1]) > 0 for k in range(a, b + 1)) and all(sum(scores[k : b + 1]) > 0 for k in range(a, b + 1))
+    every = [(a, b) for a in range(len(scores)) for b in range(a, len(scores)) if good(a, b)]
+    maximal = [(a, b) for a, b in every if not any((c, d) != (a, b) and c <= a and b <= d for c, d in every)]
+    assert sorted(got) == sorted(maximal)
+
+
+def test_empty_tables(spark):
+    none, labels = frame(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert mil.quality(none, labels).count() == rules.judge(none, rules.fit(none, labels)).count() == toxic.toxicity(none, labels).count() == 0
+
+
+def test_repeated_rows_teach_once(spark):
+    docs = [(k, f"{'WORD# ' * 30}" if k % 3 == 0 else " ".join(f"word{j * k}" for j in range(30))) for k in range(60)]
+    labels = spark.createDataFrame([(k, int(k % 3 != 0), 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    once, often = frame(spark, docs), frame(spark, docs + [docs[0]] * 500)
+    assert rules.fit(once, labels) == rules.fit(often, labels)
+    known = labels.select("doc_id", "quality").withColumnRenamed("quality", "label")
+    a, b = mil.fit(once.select("doc_id", "text"), known), mil.fit(often.select("doc_id", "text"), known)
+    assert all(np.array_equal(a[n], b[n]) for n in a)
