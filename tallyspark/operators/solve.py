@@ -7,10 +7,15 @@ import statistics
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from .linear import minimise
 from .returns import InputError
 
 VALID = 1e-7
+#: Normal quantile of a 95 % interval.
+Z = 1.959963984540054
 
 
 @dataclass
@@ -61,8 +66,25 @@ class Limits:
         return out
 
 
-def _descend(gradient, value, limits: Limits, start: np.ndarray, rounds: int = 600) -> np.ndarray:
-    """Projected gradient with backtracking."""
+def feasible_point(limits: Limits) -> np.ndarray | None:
+    """Weights within the limits, by the linear programme over bounds, groups and the sum; None if there are none."""
+    n = len(limits.lower)
+    rows, right = [], []
+    for ix, lo, hi in limits.groups:
+        member = np.zeros(n)
+        member[ix] = 1.0
+        rows += [member, -member]
+        right += [hi - limits.lower[ix].sum(), limits.lower[ix].sum() - lo]
+    room = limits.upper - limits.lower
+    left = 1 - limits.lower.sum()
+    if (room < 0).any() or left < -1e-12:
+        return None
+    got = minimise(np.zeros(n), np.vstack([*rows, np.eye(n)]), np.concatenate([right, room]), np.ones((1, n)), np.asarray([left]))
+    return None if got is None else got + limits.lower
+
+
+def _descend(gradient, value, limits: Limits, start: np.ndarray, rounds: int = 3000) -> tuple[np.ndarray, bool]:
+    """Projected gradient with backtracking: the weights, and whether they stopped moving."""
     w, step, f = start, 1.0, value(start)
     for _ in range(rounds):
         g = gradient(w)
@@ -74,18 +96,20 @@ def _descend(gradient, value, limits: Limits, start: np.ndarray, rounds: int = 6
             step /= 2
         w, old, f = new, f, value(new)
         if np.abs(change).max() < 1e-12 or (old - f < 1e-16 * max(1.0, abs(f)) and np.abs(change).max() < 1e-9):
-            break
+            return w, True
         step *= 1.6
-    return w
+    return w, False
 
 
 def allocations(cov: np.ndarray, limits: Limits | None = None, views: dict | None = None) -> tuple[dict[str, np.ndarray], dict[str, str]]:
     """Weights by method, and why a method failed. Infeasible limits leave no candidates. ``views``: mean and risk aversion for the utility method."""
     n = len(cov)
     limits = limits or Limits.long_only(n)
+    if feasible_point(limits) is None:
+        return {}, {"all": "infeasible"}
     start = limits.project(np.full(n, 1 / n))
     if limits.broken(start) > VALID:
-        return {}, {"all": "infeasible"}
+        return {}, {"all": "no start within the limits was found"}
     scale = cov / (np.trace(cov) / n)
     sigma = np.sqrt(np.diag(scale))
 
@@ -108,7 +132,7 @@ def allocations(cov: np.ndarray, limits: Limits | None = None, views: dict | Non
 
     equal = "equal_weight" if np.allclose(start, 1 / n) else "constrained_equal_reference"
     found = {
-        equal: start,
+        equal: (start, True),
         "min_variance": _descend(lambda w: 2 * scale @ w, lambda w: float(w @ scale @ w), limits, start),
         "risk_parity": _descend(share_slope, share_gap, limits, start),
         "max_diversification": _descend(spread_slope, spread, limits, start),
@@ -116,8 +140,30 @@ def allocations(cov: np.ndarray, limits: Limits | None = None, views: dict | Non
     if views:
         mean, delta = np.asarray(views["mean"]), views["delta"]
         found["black_litterman"] = _descend(lambda w: delta * cov @ w - mean, lambda w: float(delta / 2 * w @ cov @ w - mean @ w), limits, start)
-    failed = {m: "limits are broken" for m, w in found.items() if not np.isfinite(w).all() or limits.broken(w) > VALID}
-    return {m: w for m, w in found.items() if m not in failed}, failed
+    failed = {m: "the solver did not converge" for m, (_, sure) in found.items() if not sure}
+    failed |= {m: "limits are broken" for m, (w, _) in found.items() if not np.isfinite(w).all() or limits.broken(w) > VALID}
+    return {m: w for m, (w, _) in found.items() if m not in failed}, failed
+
+
+def allocation_status(found: dict, failed: dict) -> str:
+    """infeasible without any candidate, degraded if a method failed, else ok."""
+    return "infeasible" if not found else "degraded" if failed else "ok"
+
+
+def shrunk(x: np.ndarray) -> tuple[np.ndarray, dict]:
+    """Population covariance of rows of returns, shrunk to its mean variance (Ledoit and Wolf 2004), with the weight of the target, conditions before and after and the least
+    eigenvalue."""
+    n, p = x.shape
+    c = x - x.mean(axis=0)
+    sample = c.T @ c / n
+    mean = np.trace(sample) / p
+    apart = ((sample - mean * np.eye(p)) ** 2).sum() / p
+    noise = max(0.0, ((c**2).T @ (c**2) / n - sample**2).sum() / (n * p))
+    weight = min(noise, apart) / apart if apart > 0 else 0.0
+    out = (1 - weight) * sample + weight * mean * np.eye(p)
+    before, after = np.linalg.eigvalsh(sample), np.linalg.eigvalsh(out)
+    ratio = lambda v: float(v[-1] / v[0]) if v[0] > 0 else math.inf
+    return out, {"shrinkage": float(weight), "condition_before": ratio(before), "condition_after": ratio(after), "least_eigenvalue": float(after[0]), "observations": n}
 
 
 def black_litterman(cov: np.ndarray, market: np.ndarray, p: np.ndarray, q: np.ndarray, omega: np.ndarray, tau: float, delta: float) -> tuple[np.ndarray, np.ndarray]:
@@ -160,14 +206,78 @@ def hac_regression(y: np.ndarray, x: np.ndarray, lags: int | None = None) -> dic
         "error": error,
         "t": t,
         "p": np.asarray([2 * norm.cdf(-abs(v)) for v in t]),
-        "low": beta - 1.959963984540054 * error,
-        "high": beta + 1.959963984540054 * error,
+        "low": beta - Z * error,
+        "high": beta + Z * error,
         "r2": 1 - ((y - full @ beta) ** 2).sum() / total if total > 0 else None,
         "inflation": inflation,
         "lags": lags,
     }
 
 
+def hac_moments(excess: DataFrame, factors: DataFrame, lags: int | None = None) -> tuple[dict, list[str]]:
+    """Sums that a regression of ``excess`` (date, y) on ``factors`` (date, asset, r) needs, by aggregates over the joined dates: only sums over pairs of factors and lags
+    reach the driver. A date that a side lacks raises."""
+    names = sorted(r["asset"] for r in factors.select("asset").distinct().collect())
+    wide = factors.groupBy("date").pivot("asset", names).agg(F.first("r"))
+    wide = wide.toDF("date", *(f"x{k}" for k in range(len(names))))
+    joined = excess.join(wide, "date", "full")
+    cols = ["y", *(f"x{k}" for k in range(len(names)))]
+    bad = joined.where(F.col("date").isNull() | F.greatest(*(F.col(c).isNull().cast("int") for c in cols)).cast("boolean"))
+    if not bad.isEmpty():
+        raise InputError("factors and returns must have the same dates")
+    terms = ["1D", *cols]
+    sums = joined.agg(*(F.sum(F.expr(f"{a} * {b}")).alias(f"s{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate(terms) if i <= j)).first()
+    n = int(sums["s0_0"] or 0)
+    return {"joined": joined, "sums": sums, "n": n, "lags": int(4 * (max(n, 1) / 100) ** (2 / 9)) if lags is None else lags}, names
+
+
+def hac_rows(excess: DataFrame, factors: DataFrame, lags: int | None = None) -> list[dict]:
+    """:func:`hac_regression` without the driver ever holding a series: cross products are aggregates, and products of residuals at each lag are aggregates over lagged rows in date
+    order. One row for each term, with status."""
+    got, names = hac_moments(excess, factors, lags)
+    k, n, q = len(names), got["n"], got["lags"]
+    if q < 0:
+        raise InputError("lags must not be negative")
+    if n <= k + 5:
+        return [{"term": None, "status": "insufficient_data"}]
+    s = lambda i, j: float(got["sums"][f"s{min(i, j)}_{max(i, j)}"])
+    at = [0, *range(2, k + 2)]  # the constant and the factors; 1 is y
+    gram = np.asarray([[s(i, j) for j in at] for i in at])
+    scale = np.sqrt(np.diag(gram))
+    if (scale <= 0).any() or np.linalg.matrix_rank(gram / np.outer(scale, scale), tol=1e-10) < k + 1:
+        return [{"term": None, "status": "invalid"}]
+    inverse = np.linalg.inv(gram)
+    beta = inverse @ np.asarray([s(1, i) for i in at])
+    told = F.col("y") - F.lit(float(beta[0]))
+    for j in range(k):
+        told = told - F.lit(float(beta[j + 1])) * F.col(f"x{j}")
+    rows = got["joined"].withColumn("u", told)
+    # In date order within ranges of dates: each range is joined with the rows before it that its lags reach.
+    moved = [F.col("u"), *(F.col("u") * F.col(f"x{j}") for j in range(k))]
+    scored = rows.select("date", *(m.alias(f"m{j}") for j, m in enumerate(moved)))
+    ordered = Window.orderBy("date")  # one row for each date: dates are few, whatever the table that returns come from
+    for lag in range(1, q + 1):
+        scored = scored.withColumns({f"m{j}_{lag}": F.lag(f"m{j}", lag).over(ordered) for j in range(k + 1)})
+    pairs = [(i, j, lag) for lag in range(q + 1) for i in range(k + 1) for j in range(k + 1)]
+    sums = scored.agg(*(F.sum(F.col(f"m{i}") * F.col(f"m{j}" if not lag else f"m{j}_{lag}")).alias(f"g{i}_{j}_{lag}") for i, j, lag in pairs)).first()
+    meat = np.zeros((k + 1, k + 1))
+    for lag in range(q + 1):
+        g = np.asarray([[sums[f"g{i}_{j}_{lag}"] or 0.0 for j in range(k + 1)] for i in range(k + 1)])
+        meat += g if not lag else (1 - lag / (q + 1)) * (g + g.T)
+    error = np.sqrt(np.diag(inverse @ meat @ inverse))
+    centred = np.asarray([[s(i, j) - s(0, i) * s(0, j) / n for j in at[1:]] for i in at[1:]])
+    inflation = np.diag(np.linalg.inv(centred)) * np.diag(centred)
+    total = s(1, 1) - s(0, 1) ** 2 / n
+    left = s(1, 1) - float(beta @ np.asarray([s(1, i) for i in at]))
+    norm = statistics.NormalDist()
+    status = "degraded" if (inflation > 10).any() else "ok"
+    out = []
+    for i, name in enumerate(["alpha", *names]):
+        t = float(beta[i] / error[i]) if error[i] > 0 else float("nan")
+        out.append({"term": name, "status": status, "beta": float(beta[i]), "error": float(error[i]), "t": t, "p": 2 * norm.cdf(-abs(t)), "low": float(beta[i] - Z * error[i]), "high": float(beta[i] + Z * error[i]), "inflation": float(inflation[i - 1]) if i else None, "r2": 1 - left / total if total > 0 else None, "lags": q})
+    return out
+
+
 def binomial_quantile(q: float, n: int, p: float) -> int:
     """The least k whose distribution function reaches q."""
     total = 0.0
@@ -213,11 +323,11 @@ def migration_diagnosis(current: np.ndarray, target: np.ndarray, cash: float, fe
         raise InputError("holdings must be worth something")
     if mode == "buy_only":
         gap = np.maximum(target * total - current, 0)
-        spend = min(cash / (1 + float(fee.max(initial=0.0))), gap.sum())
-        buys = gap * (spend / gap.sum() if gap.sum() > 0 else 0.0)
+        asked = float(gap @ (1 + fee))
+        buys = gap * (min(1.0, cash / asked) if asked > 0 else 0.0)
         cost = float((buys * fee).sum())
         return {"status": "ok", "trades": buys, "cost": cost, "cash": cash - buys.sum() - cost}
-    held, left, cost = rebalanced(current, cash, target, float(fee.max(initial=0.0)))
+    held, left, cost = rebalanced(current, cash, target, fee)
     if (locked & (held < current - 1e-9)).any():
         return {"status": "infeasible", "reason": "a locked holding would be sold"}
     return {"status": "ok", "trades": held - current, "cost": cost, "cash": left}
