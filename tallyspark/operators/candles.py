@@ -97,3 +97,42 @@ def rule_mapping(train: DataFrame) -> DataFrame:
     signals = spark.range(-1, 2).select(F.col("id").cast("int").alias("signal"))
     means = train.groupBy("signal").agg(F.avg("y").alias("own"))
     return signals.join(means, "signal", "left").join(F.broadcast(whole)).select("signal", F.coalesce("own", "overall").alias("y"))
+
+
+def event_study(found: DataFrame, outcomes: DataFrame, horizons: list[int], patterns: list[str]) -> DataFrame:
+    """Per pattern and horizon, all pairs, those without events too: n, mean, median, positive share, share in the pattern's direction (null for none), worst, best, mean excess over the
+    benchmark, how many benchmarks are known and missing, how many events are blocked or unknown to trade, and the first ids.
+
+    ``found`` has id, pattern, direction and execution (see :func:`tallyspark.operators.evidence.execution_status`); ``outcomes`` id, horizon, y and benchmark, which may be null."""
+    spark = found.sparkSession
+    cells = spark.createDataFrame([(p, h) for p in patterns for h in horizons], "pattern string, horizon int")
+    rows = found.join(outcomes, "id")
+    excess = F.col("y") - F.col("benchmark")
+    along = F.when(F.col("direction") != 0, (F.signum("y") == F.signum("direction")).cast("double"))
+    out = rows.groupBy("pattern", "horizon").agg(
+        F.count("*").alias("n"),
+        F.avg("y").alias("mean"),
+        F.percentile("y", F.lit(0.5)).alias("median"),
+        F.avg((F.col("y") > 0).cast("double")).alias("positive"),
+        F.avg(along).alias("aligned"),
+        F.min("y").alias("worst"),
+        F.max("y").alias("best"),
+        F.avg(excess).alias("excess"),
+        F.count("benchmark").alias("with_benchmark"),
+        F.count_if(F.col("benchmark").isNull()).alias("without_benchmark"),
+        F.count_if(F.col("execution") == "blocked").alias("blocked"),
+        F.count_if(F.col("execution") == "unknown").alias("unknown"),
+        F.min("id").alias("first_id"),
+    )
+    return cells.join(out, ["pattern", "horizon"], "left").fillna(0, ["n", "with_benchmark", "without_benchmark", "blocked", "unknown"])
+
+
+def omitted_horizons(outcomes: DataFrame, horizons: list[int]) -> DataFrame:
+    """(id, omitted): declared horizons that an id has no outcome for."""
+    seen = outcomes.groupBy("id").agg(F.collect_set("horizon").alias("seen"))
+    return seen.select("id", F.array_except(F.array(*(F.lit(h) for h in horizons)), "seen").alias("omitted"))
+
+
+def first_groups(study: DataFrame, n: int = 12) -> DataFrame:
+    """The first ``n`` cells that have events, by name and horizon: an order for reading, not a ranking."""
+    return study.where("n > 0").orderBy("pattern", "horizon").limit(n)

@@ -111,15 +111,89 @@ def mid_percentile(universe: DataFrame, target: Column) -> DataFrame:
 
 
 def neutral_scores(xsec: DataFrame, *keys: str) -> DataFrame:
-    """``xsec`` (security, industry, value) with z, the population z-score, and neutral, the z-score of what the industry mean leaves."""
-    every, own = Window.partitionBy(*keys), Window.partitionBy(*keys, "industry")
-    z = (F.col("value") - F.avg("value").over(every)) / F.nullif(F.stddev_pop("value").over(every), F.lit(0.0))
-    out = xsec.withColumn("z", z)
-    out = out.withColumn("rest", F.col("z") - F.avg("z").over(own))
-    return out.withColumn("neutral", (F.col("rest") - F.avg("rest").over(every)) / F.nullif(F.stddev_pop("rest").over(every), F.lit(0.0))).drop("rest")
+    """``xsec`` (security, industry, value) with z, the population z-score, and neutral, the z-score of what the industry mean leaves. Means and deviations are aggregates, so a
+    cross-section isn't gathered in one task. A null industry is one like others."""
+    of = xsec.withColumn("__i", F.coalesce(F.col("industry").cast("string"), F.lit("\0")))
+
+    def joined(df: DataFrame, stats: DataFrame, on: list[str]) -> DataFrame:
+        return df.join(stats, on) if on else df.crossJoin(stats)
+
+    on = list(keys)
+    out = joined(of, of.groupBy(*on).agg(F.avg("value").alias("__m"), F.stddev_pop("value").alias("__s")), on)
+    out = out.withColumn("z", (F.col("value") - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0)))
+    out = out.join(out.groupBy(*on, "__i").agg(F.avg("z").alias("__mz")), [*on, "__i"]).withColumn("__rest", F.col("z") - F.col("__mz"))
+    out = joined(out, out.groupBy(*on).agg(F.avg("__rest").alias("__mr"), F.stddev_pop("__rest").alias("__sr")), on)
+    return out.withColumn("neutral", (F.col("__rest") - F.col("__mr")) / F.nullif(F.col("__sr"), F.lit(0.0))).select(*(f"`{n}`" for n in xsec.columns), "z", "neutral")
 
 
 def trial_audit(trials: DataFrame) -> DataFrame:
     """Counts by status and of trials whose training reaches into the test, whose labels do, or that touched it."""
     leak = (F.col("train_end") >= F.col("test_start")) | (F.col("label_end") >= F.col("test_start")) | F.col("test_touched")
     return trials.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("selected")).alias("selected"), F.count_if(F.coalesce(leak, F.lit(True))).alias("leaks"))
+
+
+def prediction_metrics(scores: DataFrame, least: int = 3) -> DataFrame:
+    """(signal_date, n, mse, rank_ic) of predictions (signal_date, security, factor, fwd); the rank IC is null for fewer than ``least`` securities."""
+    ranked_ = scores.withColumns({"fr": average_rank("factor", "signal_date"), "yr": average_rank("fwd", "signal_date")})
+    out = ranked_.groupBy("signal_date").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("factor") - F.col("fwd"), F.lit(2))).alias("mse"), correlation("fr", "yr").alias("ic"))
+    return out.select("signal_date", "n", "mse", F.when(F.col("n") >= least, F.col("ic")).alias("rank_ic"))
+
+
+SCORE = "security string, status string, score double, inflation double, n_used int, n_excluded int"
+
+
+def multi_scores(rows: DataFrame, names: list[str], weights: dict[str, float], neutralize: bool = True, orthogonalize: bool = False, *keys: str) -> DataFrame:
+    """(keys, security, status, score, inflation, n_used, n_excluded) of cross-sections (keys, security, ``names``, industry, market_cap), a cross-section in one task.
+
+    Rows with a missing factor, or control where controls are used, are left out and counted. Factors are standardised, freed of industry and the logarithm of market cap by
+    least squares, standardised again, made orthogonal in their declared order if that is asked for, and weighted; the absolute weights sum to 1. ``inflation`` is the largest
+    variance inflation. Too few rows, a factor that doesn't vary, or controls that depend on each other give a status and no scores.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from .returns import InputError
+
+    if set(weights) != set(names) or abs(sum(map(abs, weights.values())) - 1) > 1e-8:
+        raise InputError("weights for each factor, whose absolute values sum to 1")
+    w = np.asarray([weights[n] for n in names])
+
+    def solve(one: pd.DataFrame) -> tuple[pd.DataFrame, str, np.ndarray | None, float | None]:
+        need = [*names, *(["industry", "market_cap"] if neutralize else [])]
+        used = one.dropna(subset=need).sort_values("security")
+        used = used[used["market_cap"] > 0] if neutralize else used
+        if len(used) <= len(names) + 5:
+            return used, "insufficient_data", None, None
+        x = used[names].to_numpy(dtype=float)
+        spread = x.std(axis=0)
+        if (spread <= 1e-12).any():
+            return used, "invalid", None, None
+        z = (x - x.mean(axis=0)) / spread
+        if neutralize:
+            kinds = sorted(used["industry"].unique())
+            control = np.column_stack([np.ones(len(used)), np.log(used["market_cap"].to_numpy(dtype=float)), *((used["industry"] == k).to_numpy(dtype=float) for k in kinds[1:])])
+            if np.linalg.matrix_rank(control) < control.shape[1] or len(used) <= control.shape[1] + 1:
+                return used, "invalid", None, None
+            z = z - control @ np.linalg.lstsq(control, z, rcond=None)[0]
+            if (z.std(axis=0) <= 1e-12).any():
+                return used, "invalid", None, None
+            z = z / z.std(axis=0)
+        if np.linalg.matrix_rank(np.column_stack([np.ones(len(z)), z])) < len(names) + 1:
+            return used, "invalid", None, None
+        inflation = float(np.diag(np.linalg.inv(np.corrcoef(z, rowvar=False).reshape(len(names), -1))).max())
+        if orthogonalize:
+            q, r = np.linalg.qr(z - z.mean(axis=0))
+            z = q * np.sign(np.diag(r)) * np.sqrt(len(z))
+        return used, "degraded" if inflation > 10 else "ok", z @ w, inflation
+
+    def run(one: pd.DataFrame) -> pd.DataFrame:
+        used, status, score, inflation = solve(one)
+        left = len(one) - len(used)
+        out = pd.DataFrame({"security": used["security"].astype(str), "status": status, "score": score if score is not None else None, "inflation": inflation, "n_used": len(used), "n_excluded": left}) if score is not None else pd.DataFrame({"security": [None], "status": [status], "score": [None], "inflation": [None], "n_used": [len(used)], "n_excluded": [left]})
+        for k in keys:
+            out[k] = one[k].iloc[0]
+        return out[[*keys, "security", "status", "score", "inflation", "n_used", "n_excluded"]]
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), SCORE])
+    return rows.groupBy(*keys).applyInPandas(run, schema)

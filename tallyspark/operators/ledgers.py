@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,25 +34,11 @@ def fixed_notional(periods: DataFrame, returns: DataFrame, trades: DataFrame, ca
 
 
 def lookthrough(holdings: DataFrame, root: str, depth: int = 10) -> DataFrame:
-    """(leaf, kind, w, reason): what a fund holds through funds, by a recursive query over the edge table (node, child, kind, weight).
-
-    A path stops, in this order, at a cycle, at ``depth``, at a fund without holdings; what stops so, and what a fund doesn't disclose, is unknown with its reason."""
-    spark = holdings.sparkSession
-    holdings.createOrReplaceTempView("__edges")
-    return spark.sql(f"""
-        WITH RECURSIVE nodes AS (SELECT node, 1D - sum(weight) AS short FROM __edges GROUP BY node),
-        walk AS (
-            SELECT '{root}' AS node, 'fund' AS kind, 1D AS w, array('{root}') AS path, 0 AS depth, CAST(NULL AS STRING) AS reason
-            UNION ALL
-            SELECT e.child, e.kind, w.w * e.weight, array_append(w.path, e.child), w.depth + 1,
-                   CASE WHEN e.kind <> 'fund' THEN NULL WHEN array_contains(w.path, e.child) THEN 'cycle' WHEN w.depth + 1 >= {depth} THEN 'depth_limit' WHEN n.node IS NULL THEN 'missing_child' END
-            FROM walk w JOIN __edges e ON e.node = w.node LEFT JOIN nodes n ON n.node = e.child
-            WHERE w.kind = 'fund' AND w.reason IS NULL AND e.weight <> 0
-        )
-        SELECT CASE WHEN kind = 'fund' THEN 'unknown' ELSE node END AS leaf, CASE WHEN kind = 'fund' THEN 'unknown' ELSE kind END AS kind, w, reason FROM walk WHERE kind <> 'fund' OR reason IS NOT NULL
-        UNION ALL
-        SELECT 'unknown', 'unknown', w.w * n.short, 'undisclosed' FROM walk w JOIN nodes n ON n.node = w.node WHERE w.kind = 'fund' AND w.reason IS NULL AND n.short > 1e-12
-    """)
+    """(leaf, kind, w, reason): what one fund holds through funds, see :func:`tallyspark.operators.exposure.paths`."""
+    from .exposure import paths
+
+    roots = holdings.sparkSession.createDataFrame([(root,)], "root string")
+    return paths(holdings, roots, depth).select("leaf", "kind", "w", "reason")
 
 
 def rollups(exposure: DataFrame) -> DataFrame:
@@ -85,13 +73,28 @@ def first_gap(ledger: DataFrame, *keys: str) -> DataFrame:
 
 
 def first_on_or_after(planned: DataFrame, dates: DataFrame, longest: int | None = None) -> DataFrame:
-    """``planned`` (date) with used, the first of ``dates`` on or after it, at most ``longest`` days later. One sorted pass over both, no join on a range."""
+    """``planned`` (date) with used, the first of ``dates`` on or after it, at most ``longest`` days later. Each month is sorted by itself; what a month doesn't have is the first
+    date of the months behind it, which are one row each."""
     both = planned.select("date", F.lit(1).alias("is_plan"), F.lit(None).cast("date").alias("d")).unionByName(dates.select("date", F.lit(0).alias("is_plan"), F.col("date").alias("d")))
-    w = Window.orderBy(F.desc("date"), "is_plan").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("used", F.last("d", ignorenulls=True).over(w)).where("is_plan = 1").select("date", "used")
+    both = both.withColumn("month", F.trunc("date", "MM"))
+    own = Window.partitionBy("month").orderBy(F.desc("date"), "is_plan").rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.orderBy(F.desc("month")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy("month").agg(F.min("d").alias("least")).select("month", F.last("least", ignorenulls=True).over(later).alias("next"))
+    out = both.withColumn("own", F.last("d", ignorenulls=True).over(own)).where("is_plan = 1").join(carried, "month").select("date", F.coalesce("own", "next").alias("used"))
     return out if longest is None else out.withColumn("used", F.when(F.datediff("used", "date") <= longest, F.col("used")))
 
 
+def last_on_or_before(planned: DataFrame, dates: DataFrame, oldest: int | None = None) -> DataFrame:
+    """``planned`` (date) with used, the last of ``dates`` on or before it, at most ``oldest`` days earlier, in the same way."""
+    both = planned.select("date", F.lit(1).alias("is_plan"), F.lit(None).cast("date").alias("d")).unionByName(dates.select("date", F.lit(0).alias("is_plan"), F.col("date").alias("d")))
+    both = both.withColumn("month", F.trunc("date", "MM"))
+    own = Window.partitionBy("month").orderBy("date", "is_plan").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy("month").agg(F.max("d").alias("greatest")).select("month", F.last("greatest", ignorenulls=True).over(earlier).alias("before"))
+    out = both.withColumn("own", F.last("d", ignorenulls=True).over(own)).where("is_plan = 1").join(carried, "month").select("date", F.coalesce("own", "before").alias("used"))
+    return out if oldest is None else out.withColumn("used", F.when(F.datediff("date", "used") <= oldest, F.col("used")))
+
+
 def xirr(flows: DataFrame, *keys: str) -> DataFrame:
     """Percent a year at which dated amounts (date, amount) are worth nothing, by 150 halvings on log(1 + r) in built-in expressions; null unless money first goes
     out and then comes back with one change of sign."""
@@ -112,6 +115,46 @@ def xirr(flows: DataFrame, *keys: str) -> DataFrame:
     return one.select(*keys, F.when(solvable, 100 * F.expm1(root)).alias("xirr"))
 
 
+ROOTS = "status string, value double, roots array<double>"
+
+
+def discount_roots(times: np.ndarray, amounts: np.ndarray) -> tuple[str, list[float]]:
+    """(status, rates) at which dated amounts are worth nothing: changes of sign of their worth on a grid of log(1 + r) from -20 to 20, each closed in by halving. ok with
+    one root, multiple_solutions with more, no_solution without."""
+    if not len(times) or times.max() <= 0 or not ((amounts > 0).any() and (amounts < 0).any()):
+        return "no_solution", []
+    worth = lambda y: np.exp(np.clip(-np.outer(y, times), -700, 700)) @ amounts
+    grid = np.linspace(-20, 20, 2001)
+    at = worth(grid)
+    exact = grid[:-1][at[:-1] == 0]
+    turn = np.flatnonzero((at[:-1] != 0) & (np.sign(at[:-1]) != np.sign(at[1:])))
+    low, high, sign = grid[turn], grid[turn + 1], np.sign(at[turn])
+    for _ in range(60):
+        mid = (low + high) / 2
+        same = np.sign(worth(mid)) == sign if len(mid) else np.zeros(0, bool)
+        low, high = np.where(same, mid, low), np.where(same, high, mid)
+    roots = np.unique(np.round(np.concatenate([exact, (low + high) / 2]), 10))
+    return ("ok" if len(roots) == 1 else "multiple_solutions" if len(roots) else "no_solution"), np.expm1(roots).tolist()
+
+
+def xirr_roots(flows: DataFrame, *keys: str) -> DataFrame:
+    """keys, status, value (where there is one root) and all roots of dated amounts (date, amount), as rates a year of 365.25 days. Amounts of a day are summed before they
+    reach Python, a key in one row."""
+    own = Window.partitionBy(*keys)
+    days = flows.groupBy(*keys, "date").agg(F.sum("amount").alias("amount")).withColumn("t", F.datediff("date", F.min("date").over(own)) / 365.25)
+    one = days.groupBy(*keys).agg(F.collect_list(F.struct("t", "amount")).alias("f"))
+
+    @F.pandas_udf(ROOTS)
+    def solved(f: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in f:
+            status, roots = discount_roots(np.asarray([r["t"] for r in x], dtype=float), np.asarray([r["amount"] for r in x], dtype=float))
+            rows.append((status, roots[0] if len(roots) == 1 else None, roots))
+        return pd.DataFrame(rows, columns=["status", "value", "roots"])
+
+    return one.withColumn("s", solved("f")).select(*keys, "s.status", "s.value", "s.roots")
+
+
 def observed(obs: DataFrame, *keys: str) -> DataFrame:
     """Time-weighted return, profit and net flow of valuations (date, before, flow, after)."""
     w = by_date(*keys)
@@ -190,3 +233,66 @@ def scheduled(nav: DataFrame, planned: DataFrame, amount: float, fee: float, *,
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     units = F.sum(F.col("k") * amount / (1 + fee) / F.col("nav")).over(w)
     return days.select("date", (F.sum("k").over(w) * amount).alias("paid"), units.alias("units"), (units * F.col("nav")).alias("value"))
+
+
+PLAN = "plan string, date date, units double, cash double, invested double, fees double, value double"
+
+
+def contributions(days: DataFrame, plans: DataFrame) -> DataFrame:
+    """A row for each plan and day: units, cash not yet reinvested, what was paid in and its fees, and value, in a path for each plan.
+
+    ``days`` has date, nav, planned (how often something is due), cash_per_unit, split and reinvest_date, the last three null without an event; ``plans`` plan, mode (amount or
+    units), distribution (reinvest or cash), amount and fee, which is part of what is paid. On a day the event comes first, for the units that were held, then what is due for
+    reinvestment, then contributions. Plans are few, each is one task.
+    """
+    rows = days.crossJoin(F.broadcast(plans))
+
+    def run(one: pd.DataFrame) -> pd.DataFrame:
+        one = one.sort_values("date")
+        p = one.iloc[0]
+        units = cash = paid = fees = 0.0
+        due: dict = {}
+        out = []
+        for date, nav, planned, dividend, split, later in zip(one["date"], one["nav"], one["planned"], one["cash_per_unit"], one["split"], one["reinvest_date"]):
+            got = units * (0.0 if pd.isna(dividend) else dividend)
+            units *= 1.0 if pd.isna(split) else split
+            cash += got
+            if got and p["distribution"] == "reinvest":
+                at = date if pd.isna(later) else later
+                due[at] = due.get(at, 0.0) + got
+            again = due.pop(date, 0.0)
+            units, cash = units + again / nav, cash - again
+            for _ in range(int(planned)):
+                gross = p["amount"] if p["mode"] == "amount" else p["amount"] * nav * (1 + p["fee"])
+                net = gross / (1 + p["fee"])
+                units, paid, fees = units + net / nav, paid + gross, fees + gross - net
+            out.append((p["plan"], date, units, cash, paid, fees, units * nav + cash))
+        return pd.DataFrame(out, columns=["plan", "date", "units", "cash", "invested", "fees", "value"])
+
+    return rows.groupBy("plan").applyInPandas(run, PLAN)
+
+
+def notional_status(holdings: DataFrame, returns: DataFrame, trades: DataFrame, cost_known: Column, *keys: str) -> DataFrame:
+    """(keys, status) of accounts that trade fixed amounts: blocked_or_unknown if a trade can't or may not be done, unknown if a return of a held security misses, unknown_cost
+    without a cost, else conditional_on_declared_inputs. ``holdings`` has keys, ix and security of what is held in a period, ``trades`` keys and can_trade. Only the last has figures."""
+    doubt = trades.groupBy(*keys).agg(F.count_if(~F.coalesce("can_trade", F.lit(False))).alias("doubts"))
+    gaps = holdings.join(returns, [*keys, "ix", "security"], "left").groupBy(*keys).agg(F.count_if(F.col("r").isNull()).alias("gaps"))
+    out = holdings.select(*keys).distinct().join(doubt, list(keys), "left").join(gaps, list(keys), "left").fillna(0, ["doubts", "gaps"])
+    status = F.when(F.col("doubts") > 0, "blocked_or_unknown").when(F.col("gaps") > 0, "unknown").when(cost_known, "conditional_on_declared_inputs").otherwise("unknown_cost")
+    return out.select(*keys, status.alias("status"))
+
+
+def net_drawdown(path: DataFrame, opening: float, *keys: str) -> DataFrame:
+    """(keys, max_drawdown) of net equity (keys, ix, net) from the opening amount on."""
+    high = F.greatest(F.lit(float(opening)), F.max("net").over(Window.partitionBy(*keys).orderBy("ix")))
+    return path.withColumn("fall", 1 - F.col("net") / high).groupBy(*keys).agg(F.max("fall").alias("max_drawdown"))
+
+
+def compared_paths(path: DataFrame, reference: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """(field, missing, extra, largest, agrees) of two paths (date and the same numbers): dates that a side lacks, the largest difference of each number."""
+    fields = [c for c in path.columns if c != "date"]
+    side = lambda df, tag: df.select("date", *(F.col(f).alias(f"{tag}_{f}") for f in fields), F.lit(True).alias(tag))
+    joined = side(path, "a").join(side(reference, "b"), "date", "full")
+    sums = joined.agg(F.count_if(F.col("a").isNull()).alias("missing"), F.count_if(F.col("b").isNull()).alias("extra"), *(F.max(F.abs(F.col(f"a_{f}") - F.col(f"b_{f}"))).alias(f) for f in fields))
+    each = sums.select("missing", "extra", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("largest")) for f in fields))).alias("s")).select("s.field", "missing", "extra", "s.largest")
+    return each.withColumn("agrees", (F.col("missing") == 0) & (F.col("extra") == 0) & F.coalesce(F.col("largest") <= tolerance, F.lit(False)))

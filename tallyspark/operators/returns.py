@@ -49,8 +49,13 @@ def common_dates(values: DataFrame) -> DataFrame:
 
 def total_return_index(nav: DataFrame, events: DataFrame) -> DataFrame:
     """(code, date, nav, index): cash per old unit is reinvested on its day, splits multiply units; an event on a day without nav raises."""
+    unique_rows(nav, "code", "date")
+    unique_rows(events, "code", "date")
     if not events.join(nav, ["code", "date"], "left_anti").isEmpty():
         raise InputError("an event falls on a date without nav")
+    first_day = nav.groupBy("code").agg(F.min("date").alias("date"))
+    if not events.join(first_day, ["code", "date"], "left_semi").isEmpty():
+        raise InputError("an event falls on the first date, before which nothing was held")
     joined = nav.join(events, ["code", "date"], "left")
     grown = joined.withColumn("units", F.product(F.coalesce("split", F.lit(1.0)) + F.coalesce("cash", F.lit(0.0)) / F.col("nav")).over(so_far("code")))
     first = F.first(F.col("units") * F.col("nav")).over(so_far("code"))
@@ -95,3 +100,30 @@ def split_by_position(returns: DataFrame, fraction: float) -> DataFrame:
         raise InputError("training needs 30 dates and testing 10")
     last = dates.orderBy("date").limit(cut).agg(F.max("date").alias("last_train"))
     return returns.join(F.broadcast(last)).withColumn("part", F.when(F.col("date") <= F.col("last_train"), "train").otherwise("test")).drop("last_train")
+
+
+def aligned(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """The join of two tables on date (and ``keys``) whose dates are the same set; a date that a side lacks raises, nothing is intersected or filled."""
+    on = [*keys, "date"]
+    sides = left.select(*on).distinct().withColumn("l", F.lit(1)).join(right.select(*on).distinct().withColumn("r", F.lit(1)), on, "full")
+    if not sides.where("l IS NULL OR r IS NULL").isEmpty():
+        raise InputError("both tables must have the same dates")
+    return left.join(right, on)
+
+
+def complete_months(dates: DataFrame) -> DataFrame:
+    """(year, n, covered): monthly dates cover a year with exactly twelve rows from January to December."""
+    years = dates.groupBy(F.year("date").alias("year")).agg(F.count("*").alias("n"), F.min("date").alias("a"), F.max("date").alias("b"))
+    return years.select("year", "n", ((F.col("n") == 12) & (F.month("a") == 1) & (F.month("b") == 12)).alias("covered"))
+
+
+def exact_sum(value: Column, digits: int = 12) -> Column:
+    """A sum that doesn't depend on the order of rows: in decimals, as a double."""
+    return F.sum(value.cast(f"decimal(38,{digits})")).cast("double")
+
+
+def unique_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` if no key is missing or repeated."""
+    if not rows.groupBy(*keys).count().where(" OR ".join(["count > 1", *(f"`{k}` IS NULL" for k in keys)])).isEmpty():
+        raise InputError(f"{keys} must name a row")
+    return rows

@@ -146,3 +146,8 @@ def recovery(returns: DataFrame, start: str, end: str, *keys: str) -> DataFrame:
     back = path.join(marked, list(keys)).where((F.col("date") > F.col("trough")) & (F.col("nav") >= F.col("high") - 1e-12)).groupBy(*keys).agg(F.min("date").alias("recovered"))
     out = marked.join(back, list(keys), "left")
     return out.select(*keys, "max_drawdown", "trough", "recovered", (F.datediff("recovered", "trough") / 30.4375).alias("months"), F.when(F.col("recovered").isNull(), "right_censored").otherwise("recovered").alias("status"))
+
+
+def rate_shock(duration: Column, convexity: Column, change: Column) -> Column:
+    """Part of its price that a bond gains when its yield changes: - duration * change + convexity * change^2 / 2."""
+    return -duration * change + 0.5 * convexity * change * change
