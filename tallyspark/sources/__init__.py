@@ -8,14 +8,14 @@ import io
 import json
 import math
 import os
-import shutil
 import uuid
+from decimal import Decimal
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.returns import InputError, pct_change, require
+from ..operators.returns import InputError, calendar_gaps, pct_change, require
 
 #: Bytes of the largest JSON input.
 LARGEST = 16 << 20
@@ -38,6 +38,8 @@ def read_wide(spark: SparkSession, path: str, kind: str = "returns") -> DataFram
         raise InputError("a wide table needs date and one asset at least")
     schema = ", ".join(f"`{n}` {'date' if n == 'date' else 'double'}" for n in names)
     wide = spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=True)
+    if not wide.groupBy("date").count().where("count > 1 OR date IS NULL").isEmpty():
+        raise InputError("a date is repeated or missing")
     value = "px" if kind == "prices" else "r"
     long = wide.unpivot("date", assets, "asset", value)
     bad = F.col(value).isNull() | F.isnan(value) | (F.abs(value) == float("inf"))
@@ -46,8 +48,16 @@ def read_wide(spark: SparkSession, path: str, kind: str = "returns") -> DataFram
     return require(long, not_finite=bad)
 
 
-def strict_json(raw: bytes) -> object:
-    """A JSON value; repeated keys, NaN, infinite and overflowing numbers and inputs over LARGEST bytes raise."""
+def local_input(path: str) -> bytes:
+    """The bytes of a regular local file of at most LARGEST bytes; links and other files raise."""
+    p = Path(path)
+    if p.is_symlink() or not p.is_file() or p.stat().st_size > LARGEST:
+        raise InputError(f"{path} is no regular file of up to {LARGEST} bytes")
+    return p.read_bytes()
+
+
+def strict_json(raw: bytes, exact: bool = False) -> object:
+    """A JSON value; repeated keys, NaN, infinite and overflowing numbers and inputs over LARGEST bytes raise. ``exact`` keeps fractions as decimals."""
     if len(raw) > LARGEST:
         raise InputError("the input is too large")
 
@@ -59,7 +69,7 @@ def strict_json(raw: bytes) -> object:
     def finite(text: str) -> float:
         if not math.isfinite(x := float(text)):
             raise InputError(f"{text} is not finite")
-        return x
+        return Decimal(text) if exact else x
 
     def refuse(text: str) -> None:
         raise InputError(f"{text} is not a number")
@@ -82,8 +92,37 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def sha256(raw: bytes) -> str:
+    return hashlib.sha256(raw).hexdigest()
+
+
 def digest(value: object) -> str:
-    return hashlib.sha256(canonical(value).encode()).hexdigest()
+    return sha256(canonical(value).encode())
+
+
+def read_factors(spark: SparkSession, path: str, panel: DataFrame) -> DataFrame:
+    """(date, asset, r) of factors in a wide CSV file, whose dates must be the panel's exactly."""
+    factors = read_wide(spark, path)
+    if not calendar_gaps(factors.select("date").distinct(), panel.select("date")).isEmpty():
+        raise InputError("factor dates must be the panel's dates exactly")
+    return factors
+
+
+def read_orders(spark: SparkSession, path: str, assets: list[str]) -> DataFrame:
+    """(date, asset, notional) of signed amounts in a wide CSV file with exactly the columns date and ``assets``, each date once."""
+    names = header_of(spark, path)
+    if sorted(names) != sorted(["date", *assets]):
+        raise InputError("orders need a column for each asset and no other")
+    schema = ", ".join(f"`{n}` {'date' if n == 'date' else 'double'}" for n in names)
+    wide = spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=True)
+    if not wide.groupBy("date").count().where("count > 1 OR date IS NULL").isEmpty():
+        raise InputError("a date is repeated or missing")
+    return require(wide.unpivot("date", list(assets), "asset", "notional"), not_finite=F.col("notional").isNull() | F.isnan("notional") | (F.abs("notional") == float("inf")))
+
+
+def file_digest(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256, length) of one file or of the files that a pattern names."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length")
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,25 +134,85 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verify(recorded: DataFrame, actual: DataFrame) -> DataFrame:
-    """(path, status) of files that are missing, changed or extra."""
+    """(path, status) of files that are missing, changed, extra, or outside the folder by their name."""
     j = recorded.select("path", F.col("sha256").alias("want")).join(actual.select("path", F.col("sha256").alias("got")), "path", "full")
-    status = F.when(F.col("got").isNull(), "missing").when(F.col("want").isNull(), "extra").when(F.col("want") != F.col("got"), "changed")
+    escapes = F.col("path").rlike(r"(^|/)\.\.(/|$)|^/")
+    status = F.when(escapes, "path_escape").when(F.col("got").isNull(), "missing").when(F.col("want").isNull(), "extra").when(F.col("want") != F.col("got"), "changed")
     return j.select("path", status.alias("status")).where("status is not null")
 
 
-def publish(tables: dict[str, DataFrame], receipt: dict, target: str) -> str:
-    """Tables as Parquet and a receipt with its digest in a new local folder, which appears whole or not at all; one that exists is never written over."""
-    if os.path.exists(target):
+def fresh_name(spark: SparkSession, target: str) -> str:
+    """``target``, or the first of target-2, target-3 and so on that isn't there."""
+    name, k = target, 2
+    while exists(spark, name):
+        name, k = f"{target.rstrip('/')}-{k}", k + 1
+    return name
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _fs(spark, path)
+    return fs.exists(at)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A text file in whatever store the path names."""
+    fs, at = _fs(spark, path)
+    out = fs.create(at, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
+def publish(tables: dict[str, DataFrame], receipt: dict, target: str, texts: dict[str, str] | None = None, formats: dict[str, str] | None = None) -> str:
+    """Tables and texts with a receipt in a new folder, which appears whole or not at all by one rename in its own store; one that exists is never written over.
+
+    ``target`` is a path of any store that Spark writes to, and must be one that driver and executors share. Tables are Parquet unless ``formats`` says csv or json; texts are files
+    by name. The receipt has the digest of each text and of itself.
+    """
+    if not tables and not texts:
+        raise InputError("nothing to publish")
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.getActiveSession()
+    target = target.rstrip("/")
+    target = target if "://" in target or target.startswith("file:") else f"file://{os.path.abspath(target)}"
+    if exists(spark, target):
         raise InputError(f"{target} exists")
     part = f"{target}.{uuid.uuid4().hex}.part"
+    fs, staged = _fs(spark, part)
     try:
         for name, df in tables.items():
-            df.write.parquet(f"file://{os.path.abspath(part)}/{name}")
-        Path(part).mkdir(parents=True, exist_ok=True)
-        Path(part, "receipt.json").write_text(canonical({**receipt, "digest": digest(receipt)}))
-        if os.path.exists(target):
+            kind = (formats or {}).get(name, "parquet")
+            writer = df.write.format(kind)
+            (writer.option("header", "true") if kind == "csv" else writer).save(f"{part}/{name}")
+        for name, text in (texts or {}).items():
+            put_text(spark, f"{part}/{name}", text)
+        told = {**receipt, "files": {n: sha256(t.encode()) for n, t in sorted((texts or {}).items())}, "tables": sorted(tables)}
+        put_text(spark, f"{part}/receipt.json", canonical({**told, "digest": digest(told)}))
+        if exists(spark, target) or not fs.rename(staged, _fs(spark, target)[1]):
             raise InputError(f"{target} exists")
-        os.rename(part, target)
     finally:
-        shutil.rmtree(part, ignore_errors=True)
+        if fs.exists(staged):
+            fs.delete(staged, True)
     return target
+
+
+def frozen(spark: SparkSession, target: str, expected: str | None = None) -> dict:
+    """The receipt of a published folder whose texts and digest agree, else an error."""
+    receipt = strict_json(get_text(spark, f"{target}/receipt.json").encode())
+    body = {k: v for k, v in receipt.items() if k != "digest"}
+    if receipt.get("digest") != digest(body) or (expected is not None and receipt["digest"] != expected):
+        raise InputError("the receipt's digest is another one")
+    for name, want in receipt["files"].items():
+        if not exists(spark, f"{target}/{name}") or sha256(get_text(spark, f"{target}/{name}").encode()) != want:
+            raise InputError(f"{name} is missing or changed")
+    return receipt
