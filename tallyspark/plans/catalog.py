@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import backtest, candles, factors, ledgers, returns, risk, solve
 from . import views as v
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-DIGITS = 7
+from .registry import QUERIES, SQL, add, r, rounded
 
 #: SQL of the views.
 RET = """daily AS (SELECT l_returnflag AS asset, l_shipdate::DATE AS date, sum(l_extendedprice * (1 - l_discount)) AS px FROM lineitem GROUP BY ALL),
@@ -35,21 +28,6 @@ walk AS (SELECT 'world' AS node, 'fund' AS kind, 1.0::DOUBLE AS w UNION ALL SELE
 POSITIONS = """pos AS (SELECT c_name AS security, CASE WHEN c_custkey % 7 <> 0 THEN n_name END AS issuer, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS industry, CASE c_mktsegment WHEN 'MACHINERY' THEN 'bond' WHEN 'FURNITURE' THEN 'cash' ELSE 'stock' END AS kind, c_acctbal AS amount, CASE WHEN c_custkey % 3 <> 0 THEN (c_custkey % 10)::DOUBLE END AS duration FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0)"""
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to DIGITS places, and no negative zero, as sums in another order differ in the last bits."""
-    return df.select(*((F.round(F.col(n), DIGITS) + F.lit(0.0)).alias(n) if t == "double" else F.col(n).cast("long").alias(n) if t in ("int", "bigint", "tinyint", "smallint") else F.col(n) for n, t in df.dtypes))
-
-
-def add(name: str, sql: str | None, query: Query) -> None:
-    QUERIES[name] = lambda spark, d: rounded(query(spark, d))
-    if sql:
-        SQL[name] = re.sub(r"\bat\b", '"at"', sql)  # a keyword there
-
-
-def r(*names: str) -> str:
-    return ", ".join(f"round(({e})::DOUBLE, {DIGITS}) + 0.0 AS {n}" for e, n in (x.rsplit(" AS ", 1) if " AS " in x else (x, x) for x in names))
-
-
 EQUAL = {"A": 0.3, "N": 0.3, "R": 0.3}
 
 
@@ -97,13 +75,13 @@ add(
 
 def nav_events(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     nav = risk.nav_path(v.ret(s, d), "asset").select(F.col("asset").alias("code"), "date", "nav")
-    first = nav.groupBy("code", F.trunc("date", "quarter").alias("q")).agg(F.min("date").alias("date"))
+    first = nav.groupBy("code", F.trunc("date", "quarter").alias("q")).agg(F.min("date").alias("date")).join(nav.groupBy("code").agg(F.min("date").alias("date")), ["code", "date"], "left_anti")
     return nav, first.select("code", "date", F.lit(0.01).alias("cash"), F.when(F.month("date") == 7, 2.0).otherwise(1.0).alias("split"))
 
 
 add(
     "total_return_index",
-    f"""WITH {RET}, q AS (SELECT asset, min(date) AS date FROM ret GROUP BY asset, date_trunc('quarter', date)),
+    f"""WITH {RET}, q AS (SELECT asset, min(date) AS date FROM ret GROUP BY asset, date_trunc('quarter', date) HAVING min(date) > (SELECT min(date) FROM ret)),
     u AS (SELECT p.asset, p.date, nav, exp(sum(ln(CASE WHEN q.date IS NULL THEN 1 ELSE (CASE WHEN month(p.date) = 7 THEN 2 ELSE 1 END) + 0.01 / nav END)) OVER (PARTITION BY p.asset ORDER BY p.date)) AS units FROM path p LEFT JOIN q ON q.asset = p.asset AND q.date = p.date)
     SELECT asset AS code, date, {r("ln(units * nav / first_value(nav) OVER (PARTITION BY asset ORDER BY date)) AS log_index")} FROM u""",
     lambda s, d: returns.total_return_index(*nav_events(s, d)).select("code", "date", F.ln("index").alias("log_index")),
@@ -182,8 +160,15 @@ def costs(s: SparkSession, d: str) -> DataFrame:
 
 
 U = "(('0x' || substr(md5('11:' || path || ':' || step || ':{t}'), 1, 8))::BIGINT / 4294967296.0)"
-BOOT = f"""cells AS (SELECT p AS path, h AS step FROM range(200) a(p), range(60) b(h)), j AS (SELECT path, step, CASE WHEN step = 0 OR {U.format(t='restart')} < 1 / 10.0 THEN step END AS s, floor({U.format(t='start')} * 500) AS u FROM cells),
-k AS (SELECT *, max(s) OVER (PARTITION BY path ORDER BY step) AS b FROM j), boot AS (SELECT k.path, k.step, ((o.u + k.step - k.b)::BIGINT % 500) AS row_ix FROM k JOIN k o ON o.path = k.path AND o.step = k.b)"""
+
+
+def boot_sql(n: str, horizon: str) -> str:
+    """Rows drawn out of ``n`` by 200 paths of ``horizon`` steps."""
+    return f"""cells AS (SELECT p AS path, h AS step FROM range(200) a(p), LATERAL (SELECT unnest(range({horizon})) AS h) b), j AS (SELECT path, step, CASE WHEN step = 0 OR {U.format(t='restart')} < 1 / 10.0 THEN step END AS s, floor({U.format(t='start')} * {n}) AS u FROM cells),
+k AS (SELECT *, max(s) OVER (PARTITION BY path ORDER BY step) AS b FROM j), boot AS (SELECT k.path, k.step, ((o.u + k.step - k.b)::BIGINT % {n}) AS row_ix FROM k JOIN k o ON o.path = k.path AND o.step = k.b)"""
+
+
+BOOT = boot_sql("500", "60")
 add("boot_indices", f"WITH {BOOT} SELECT path::BIGINT AS path, step::BIGINT AS step, row_ix::BIGINT AS row_ix FROM boot", lambda s, d: ledgers.bootstrap_rows(s, 500, 200, 60, 10.0, 11))
 
 
@@ -199,10 +184,17 @@ def boot_paths(s: SparkSession, d: str, horizon: int | None = None) -> DataFrame
     return each
 
 
-BOOTED = f"""{BOOT}, rows AS (SELECT r, row_number() OVER (ORDER BY date) - 1 AS row_ix FROM ret WHERE asset = 'A'), drawn AS (SELECT path, step, r, exp(sum(ln(1 + r)) OVER (PARTITION BY path ORDER BY step)) AS nav FROM boot JOIN rows USING (row_ix)),
+
+
+def booted_sql(horizon: str) -> str:
+    """Figures of 200 paths drawn out of all returns of A."""
+    n = "(SELECT count(*) FROM ret WHERE asset = 'A')"
+    return f"""{boot_sql(n, horizon or n)}, rows AS (SELECT r, row_number() OVER (ORDER BY date) - 1 AS row_ix FROM ret WHERE asset = 'A'), drawn AS (SELECT path, step, r, exp(sum(ln(1 + r)) OVER (PARTITION BY path ORDER BY step)) AS nav FROM boot JOIN rows USING (row_ix)),
 dd AS (SELECT *, 1 - nav / greatest(1, max(nav) OVER (PARTITION BY path ORDER BY step)) AS u FROM drawn), each AS (SELECT path, max(u) AS mdd, exp(sum(ln(1 + r))) - 1 AS held, avg(r) AS m, stddev_samp(r) AS sd FROM dd GROUP BY path)"""
-add("boot_quantiles", f"WITH {RET}, {BOOTED} SELECT {r('quantile_cont(mdd, 0.95) AS p95', 'quantile_cont(mdd, 0.99) AS p99', 'avg((mdd > 0.1)::INT) AS exceeds', 'quantile_cont(held, 0.5) AS median')} FROM each", lambda s, d: boot_paths(s, d, 60).agg(F.percentile("mdd", F.lit(0.95)).alias("p95"), F.percentile("mdd", F.lit(0.99)).alias("p99"), F.avg((F.col("mdd") > 0.1).cast("double")).alias("exceeds"), F.percentile("held", F.lit(0.5)).alias("median")))
-add("boot_sharpe", f"WITH {RET}, {BOOTED} SELECT {r('quantile_cont(m / sd, 0.025) AS low', 'quantile_cont(m / sd, 0.975) AS high')} FROM each", lambda s, d: boot_paths(s, d).agg(F.percentile(F.col("m") / F.col("sd"), F.lit(0.025)).alias("low"), F.percentile(F.col("m") / F.col("sd"), F.lit(0.975)).alias("high")))
+
+
+add("boot_quantiles", f"WITH {RET}, {booted_sql('60')} SELECT {r('quantile_cont(mdd, 0.95) AS p95', 'quantile_cont(mdd, 0.99) AS p99', 'avg((mdd > 0.1)::INT) AS exceeds', 'quantile_cont(held, 0.5) AS median')} FROM each", lambda s, d: boot_paths(s, d, 60).agg(F.percentile("mdd", F.lit(0.95)).alias("p95"), F.percentile("mdd", F.lit(0.99)).alias("p99"), F.avg((F.col("mdd") > 0.1).cast("double")).alias("exceeds"), F.percentile("held", F.lit(0.5)).alias("median")))
+add("boot_sharpe", f"WITH {RET}, {booted_sql('')} SELECT {r('quantile_cont(m / sd, 0.025) AS low', 'quantile_cont(m / sd, 0.975) AS high')} FROM each", lambda s, d: boot_paths(s, d).agg(F.percentile(F.col("m") / F.col("sd"), F.lit(0.025)).alias("low"), F.percentile(F.col("m") / F.col("sd"), F.lit(0.975)).alias("high")))
 SEGMENTS = "seg AS (SELECT period, segment, v / sum(v) OVER (PARTITION BY period) AS wp, q / sum(q) OVER (PARTITION BY period) AS wb, rp, rb FROM (SELECT year(l_shipdate) AS period, l_returnflag AS segment, sum(l_extendedprice) AS v, sum(l_quantity) AS q, avg(l_discount) AS rp, avg(l_tax) AS rb FROM lineitem GROUP BY ALL)), br AS (SELECT s.period, sum((wp - wb) * (rb - t.b)) AS allocation, sum(wb * (rp - rb)) AS selection, sum((wp - wb) * (rp - rb)) AS interaction, sum(wp * rp) AS p, max(t.b) AS b FROM seg s JOIN (SELECT period, sum(wb * rb) AS b FROM seg GROUP BY period) t USING (period) GROUP BY s.period)"
 add("brinson_period", f"WITH {SEGMENTS} SELECT period::BIGINT AS period, {r('allocation', 'selection', 'interaction', 'p', 'b')} FROM br", lambda s, d: ledgers.brinson(v.segments(s, d)))
 add(
@@ -242,19 +234,11 @@ def alloc_all(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(m, a, float(w)) for m, ws in found.items() for a, w in zip(names, ws)], "method string, asset string, w double")
 
 
-def hac(s: SparkSession, d: str) -> DataFrame:
-    rows = v.ret(s, d).groupBy("date").pivot("asset", ["A", "N", "R"]).agg(F.first("r")).orderBy("date").collect()
-    x = np.asarray([[r["N"], r["R"]] for r in rows])
-    got = solve.hac_regression(np.asarray([r["A"] for r in rows]), x)
-    return s.createDataFrame([(n, float(b), float(e)) for n, b, e in zip(("alpha", "N", "R"), [got["alpha"], *got["beta"]], got["error"])], "term string, beta double, error double")
-
-
 def daily_path(s: SparkSession, d: str) -> DataFrame:
     return v.ret(s, d).withColumn("path", F.lit("demo"))
 
 
 add("alloc_all", None, alloc_all)
-add("hac_regression", None, hac)
 add("backtest_quarterly", None, lambda s, d: backtest.backtest(daily_path(s, d), EQUAL, rate=0.001, rebalance="quarterly"))
 add("backtest_threshold", None, lambda s, d: backtest.backtest(daily_path(s, d), EQUAL, rate=0.001, threshold=0.1))
 # A ledger that is never traded again is the buy-and-hold path: the first purchase is free of cost at rate 0.
@@ -275,7 +259,7 @@ add("panel_ic", f"WITH {PANEL} SELECT signal_date, n::BIGINT AS n, {r('ic', 'ran
 add("panel_buckets", f"WITH {PANEL} SELECT signal_date, bucket::BIGINT AS bucket, count(*)::BIGINT AS n, {r('avg(fwd) AS fwd')} FROM bucketed GROUP BY ALL", lambda s, d: factors.bucket_returns(v.panel(s, d)))
 add("panel_summary", f"WITH {PANEL} SELECT count(rank_ic)::BIGINT AS n_dates, {r('avg(rank_ic) AS mean_rank_ic', 'stddev_samp(rank_ic) AS std_rank_ic', 'avg(spread) AS mean_spread', 'avg(rank_ic) / stddev_samp(rank_ic) AS icir')} FROM info", lambda s, d: factors.panel_summary(factors.information(v.panel(s, d))))
 add("group_weights", f"WITH {PANEL} SELECT signal_date, security, bucket::BIGINT AS bucket, {r('1.0 / count(*) OVER (PARTITION BY signal_date, bucket) AS w')} FROM bucketed", lambda s, d: factors.group_weights(v.panel(s, d)))
-add("series_overlap", "WITH w AS (SELECT l_orderkey AS id, min(l_shipdate)::DATE AS start, max(l_shipdate)::DATE AS e FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1) SELECT id, start, e AS \"end\", coalesce(start < max(e) OVER (ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS overlaps FROM (SELECT min(id) AS id, start, e FROM w GROUP BY start, e)", lambda s, d: factors.overlaps(windows(s, d)))
+add("series_overlap", "WITH w AS (SELECT l_orderkey AS id, min(l_shipdate)::DATE AS start, max(l_shipdate)::DATE AS e FROM lineitem GROUP BY 1) SELECT id, start, e AS \"end\", coalesce(start < max(e) OVER (ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS overlaps FROM (SELECT min(id) AS id, start, e FROM w GROUP BY start, e)", lambda s, d: factors.overlaps(windows(s, d)))
 
 
 def windows(s: SparkSession, d: str) -> DataFrame:
@@ -319,9 +303,9 @@ add("mid_percentile", "SELECT " + r("avg(CASE WHEN p_size < 25 THEN 100 WHEN p_s
 add(
     "zscore_neutral",
     "WITH z AS (SELECT p_partkey AS security, p_type AS industry, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER () AS z FROM part), n AS (SELECT *, z - avg(z) OVER (PARTITION BY industry) AS y FROM z) SELECT security, industry, " + r("z", "(y - avg(y) OVER ()) / stddev_pop(y) OVER () AS neutral") + " FROM n",
-    lambda s, d: factors.neutral_scores(v.table(s, d, "part").select(F.lit(1).alias("d"), F.col("p_partkey").alias("security"), F.col("p_type").alias("industry"), F.col("p_retailprice").alias("value")), "d").select("security", "industry", "z", "neutral"),
+    lambda s, d: factors.neutral_scores(v.table(s, d, "part").select(F.col("p_partkey").alias("security"), F.col("p_type").alias("industry"), F.col("p_retailprice").alias("value"))).select("security", "industry", "z", "neutral"),
 )
-AVAILABLE = "a AS (SELECT o_orderkey AS id, o_orderdate::DATE AS d, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate::DATE + (o_orderkey % 40)::INT END AS available FROM orders WHERE year(o_orderdate) = 1998)"
+AVAILABLE = "a AS (SELECT o_orderkey AS id, o_orderdate::DATE AS d, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate::DATE + (o_orderkey % 40)::INT END AS available FROM orders)"
 
 
 def available(s: SparkSession, d: str) -> DataFrame:
@@ -350,8 +334,8 @@ add(
 add("rate_scenarios", f"WITH {POSITIONS} SELECT scenario, {r('sum(-shock * duration * amount) AS change', 'sum(amount) FILTER (duration IS NOT NULL) AS covered', 'sum(amount) FILTER (duration IS NULL) AS unestimated')} FROM pos, (VALUES ('up', 0.01), ('down', -0.005)) x(scenario, shock) WHERE kind = 'bond' GROUP BY scenario", lambda s, d: ledgers.rate_scenarios(v.positions(s, d), s.createDataFrame([("up", 0.01), ("down", -0.005)], "scenario string, shock double")))
 
 # Cash
-CASH = """f AS (SELECT o_orderpriority AS owner, o_orderdate::DATE AS date, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END) AS net FROM orders WHERE year(o_orderdate) = 1997 GROUP BY ALL),
-days AS (SELECT owner, d::DATE AS date FROM (SELECT DISTINCT owner FROM f), unnest(generate_series(TIMESTAMP '1997-01-01', TIMESTAMP '1997-12-31', INTERVAL 1 DAY)) g(d)),
+CASH = """f AS (SELECT o_orderpriority AS owner, o_orderdate::DATE AS date, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END) AS net FROM orders GROUP BY ALL),
+days AS (SELECT owner, least + g.d::INT AS date FROM (SELECT DISTINCT owner FROM f), (SELECT min(date) AS least, max(date) AS greatest FROM f), LATERAL (SELECT unnest(range(0, greatest - least + 1)) AS d) g),
 led AS (SELECT owner, date, coalesce(net, 0) AS net, 1000000 + sum(coalesce(net, 0)) OVER (PARTITION BY owner ORDER BY date) AS balance FROM days LEFT JOIN f USING (owner, date))"""
 
 
@@ -405,9 +389,11 @@ def exits(s: SparkSession, d: str) -> DataFrame:
 
 add(
     "exit_cash",
-    f"""WITH {EXIT}, dd AS (SELECT owner, date, sum(amount) AS a FROM x0 GROUP BY ALL HAVING sum(amount) <> 0), t AS (SELECT *, CASE WHEN sign(a) <> lag(sign(a)) OVER (PARTITION BY owner ORDER BY date) THEN 1 ELSE 0 END AS turn FROM dd), c AS (SELECT owner, sum(turn) AS changes FROM t GROUP BY owner)
-    SELECT owner, round(sum(-amount) FILTER (amount < 0), 2) AS paid, round(sum(amount) FILTER (amount > 0), 2) AS received, round(sum(amount), 2) + 0.0 AS net, {r('sum(amount) FILTER (amount > 0) / sum(-amount) FILTER (amount < 0) AS multiple')}, max(changes)::BIGINT AS changes FROM x0 JOIN c USING (owner) GROUP BY owner""",
-    lambda s, d: cents(ledgers.exit_cash(exits(s, d), "owner").drop("xirr"), "paid", "received", "net"),
+    f"""WITH RECURSIVE {EXIT}, dd AS (SELECT owner, date, sum(amount) AS a FROM x0 GROUP BY ALL HAVING sum(amount) <> 0), t AS (SELECT *, CASE WHEN sign(a) <> lag(sign(a)) OVER (PARTITION BY owner ORDER BY date) THEN 1 ELSE 0 END AS turn, (date - min(date) OVER (PARTITION BY owner)) / 365.25 AS y FROM dd), c AS (SELECT owner, sum(turn) AS changes, arg_min(a, date) < 0 AND arg_max(a, date) > 0 AND sum(turn) = 1 AS able FROM t GROUP BY owner),
+    f AS MATERIALIZED (SELECT t.owner, y, a FROM t JOIN c ON c.owner = t.owner AND able), it AS (SELECT owner, 0 AS k, -20.0::DOUBLE AS lo, 20.0::DOUBLE AS hi FROM (SELECT owner FROM f GROUP BY owner HAVING sum(a * exp(20 * y)) > 0 AND sum(a * exp(-20 * y)) < 0) UNION ALL
+      SELECT it.owner, k + 1, CASE WHEN n.v > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN n.v > 0 THEN hi ELSE (lo + hi) / 2 END FROM it, LATERAL (SELECT sum(a * exp(-(it.lo + it.hi) / 2 * y)) AS v FROM f WHERE f.owner = it.owner) n WHERE k < 80)
+    SELECT owner, round(sum(-amount) FILTER (amount < 0), 2) AS paid, round(sum(amount) FILTER (amount > 0), 2) AS received, round(sum(amount), 2) + 0.0 AS net, {r('sum(amount) FILTER (amount > 0) / sum(-amount) FILTER (amount < 0) AS multiple')}, max(changes)::BIGINT AS changes, round(max(x.v), 4) + 0.0 AS xirr FROM x0 JOIN c USING (owner) LEFT JOIN (SELECT owner, 100 * (exp((lo + hi) / 2) - 1) AS v FROM it WHERE k = 80) x USING (owner) GROUP BY owner""",
+    lambda s, d: cents(ledgers.exit_cash(exits(s, d), "owner"), "paid", "received", "net").withColumn("xirr", F.round("xirr", 4)),
 )
 SCENARIOS = [("normal", 1.0, "1997-01-01", 0.0, 0), ("stress", 0.6, "1997-04-01", 0.2, 10), ("late", 1.0, "1997-01-01", 0.0, 45)]
 
@@ -424,9 +410,9 @@ def scenario_flows(s: SparkSession, d: str) -> DataFrame:
 add(
     "cash_scenarios",
     """WITH sc(scenario, m, since, h, dl) AS (VALUES ('normal', 1.0, DATE '1997-01-01', 0.0, 0), ('stress', 0.6, DATE '1997-04-01', 0.2, 10), ('late', 1.0, DATE '1997-01-01', 0.0, 45)),
-    f AS (SELECT o_orderpriority AS owner, o_orderdate::DATE AS date, o_orderstatus AS st, o_totalprice AS p FROM orders WHERE year(o_orderdate) = 1997),
+    f AS (SELECT o_orderpriority AS owner, o_orderdate::DATE AS date, o_orderstatus AS st, o_totalprice AS p FROM orders),
     x AS (SELECT scenario, owner, CASE WHEN st = 'O' THEN date + dl ELSE date END AS date, CASE WHEN st = 'F' THEN p * CASE WHEN date >= since THEN m ELSE 1 END WHEN st = 'O' THEN p * (1 - h) ELSE -p END AS a FROM f, sc)
-    SELECT scenario, owner, count(*)::BIGINT AS n, round(sum(a), 2) + 0.0 AS amount FROM x WHERE year(date) = 1997 GROUP BY ALL""",
+    SELECT scenario, owner, count(*)::BIGINT AS n, round(sum(a), 2) + 0.0 AS amount FROM x WHERE date <= (SELECT max(date) FROM f) GROUP BY ALL""",
     lambda s, d: cents(scenario_flows(s, d).groupBy("scenario", "owner").agg(F.count("*").alias("n"), F.sum("amount").alias("amount")), "amount"),
 )
 add(
