@@ -61,10 +61,17 @@ def _give_back() -> None:
         pass
 
 
-def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``work`` for ``mapInArrow``, which gives free memory back when a task's batches are done."""
+#: What workers remember from task to task: (whose it is, how to forget it).
+REMEMBERED: list[tuple[str, Callable[[], None]]] = []
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for ``mapInArrow``, which gives free memory back when a task's batches are done, and before that what the worker remembers for others than ``owner``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whose, forget in REMEMBERED:
+            if whose != owner:
+                forget()
         try:
             yield from work(batches)
         finally:
@@ -144,10 +151,11 @@ def fetch(uri: str) -> bytes:
 FILTER_LEAST, FILTER_MOST = 1 << 14, 1 << 24
 
 
-def number_filter(rows: DataFrame, value: str, uri: str) -> str:
-    """Write the filter of the column ``value`` (long) to ``uri``, with 16 bits or more for each row up to 2^26 rows."""
+def number_filter(rows: DataFrame, value: str, uri: str, expected: int | None = None) -> str:
+    """Write the filter of the column ``value`` (long) to ``uri``, with 16 bits or more for each row up to 2^26 rows. Rows are counted unless their number is ``expected``, which is
+    for rows that cost much to work out twice."""
     size = FILTER_LEAST
-    need = rows.count() // 4
+    need = (rows.count() if expected is None else expected) // 4
     while size < min(need, FILTER_MOST):
         size *= 2
     word = F.shiftrightunsigned(F.col(value), 6).bitwiseAND(size - 1)

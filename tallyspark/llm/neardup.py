@@ -306,7 +306,7 @@ def judged(docs: DataFrame, words: int, percent: int = 80, k: int = SKETCH) -> D
 
     both = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("rep"))
     members = long_.select("rep")
-    sketches = short_sketches(classes, number_filter(ends(both(pairs), members), "first_id", work_dir(docs.sparkSession, "op9-filter")))
+    sketches = short_sketches(classes, number_filter(staged(ends(both(pairs), members), "op9-ends"), "first_id", work_dir(docs.sparkSession, "op9-filter")))
     near = staged(estimated(pairs, sketches, k), "op9-candidates")
     sets = full_sets(texts(docs), staged(ends(both(near), members), "op9-listed"), words)
     labels = components(confirmed(near, sets, percent))

@@ -74,7 +74,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 2, length
             crc = [zlib.crc32(view[a : a + n]) for a, n in zip(at.tolist(), (4 * took).tolist())]
             yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), pa.array(start), pa.array(took), pa.array(crc, pa.int64()), pa.array(sizes[of])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return texts(docs).mapInArrow(lean(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return texts(docs).mapInArrow(lean(cut, "tokens"), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def ranked(pieces: DataFrame) -> DataFrame:

@@ -201,7 +201,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(pieces(group, length)[0].view(np.int64))], ["anchor"])
 
     often = docs.mapInArrow(lean(low), "anchor long").groupBy("anchor").count().where("count > 1")
-    common = number_filter(often, "anchor", f"{folder}/anchors")
+    # A piece begins about every 35 bytes, so at most a 70th of the bytes is the number of anchors that two pieces have.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    common = number_filter(often, "anchor", f"{folder}/anchors", expected=size // 64)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in units(batches, length):

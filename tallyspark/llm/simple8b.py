@@ -222,7 +222,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
             yield close()
 
     ordered = texts(docs).repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    return staged(ordered.mapInArrow(lean(write), "part int, seq int, path string, before long, n_docs long, n_ids long"), "op1-manifest")
+    return staged(ordered.mapInArrow(lean(write, "tokens"), "part int, seq int, path string, before long, n_docs long, n_ids long"), "op1-manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:

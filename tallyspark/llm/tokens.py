@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 #: Most words of each of the two generations that a worker remembers. Results don't depend on it.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 #: Signs, a Latin word, signs: parts that the vocabulary file's rule splits in any case (no apostrophe before the word, which could take its first letters).
 _PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
 
@@ -135,3 +137,6 @@ def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int | None) -> tuple[n
 def word_ids(path: str) -> WordIds:
     """One per worker process and vocabulary."""
     return WordIds(path)
+
+
+common.REMEMBERED.append(("tokens", word_ids.cache_clear))
