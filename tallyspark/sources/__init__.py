@@ -12,6 +12,8 @@ import uuid
 from decimal import Decimal
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,7 +173,10 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def get_text(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()["value"]
+    try:
+        return spark.read.text(path, wholetext=True).first()["value"]
+    except (Py4JJavaError, PySparkException) as e:  # missing, or the store's own checksum doesn't fit
+        raise InputError(f"{path} can't be read whole") from e
 
 
 def publish(tables: dict[str, DataFrame], receipt: dict, target: str, texts: dict[str, str] | None = None, formats: dict[str, str] | None = None) -> str:
