@@ -151,9 +151,9 @@ def _walk(rows: pd.DataFrame, rules: Rules, assets: list[str]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["path", "date", "value", "cash", "flow", "cost", "turnover", "r", "nav", "weights", "trades"])
 
 
-def days(panel: DataFrame, assets: list[str], flows: DataFrame | None = None, orders: DataFrame | None = None, schedule: DataFrame | None = None) -> DataFrame:
+def days(panel: DataFrame, assets: list[str], flows: DataFrame | dict | None = None, orders: DataFrame | None = None, schedule: DataFrame | None = None) -> DataFrame:
     """(path, date, r, flow, order, planned): a row for each day of a path, with arrays in the order of ``assets``. ``panel`` has path, date, asset and r; ``flows``
-    date and amount, ``orders`` date, asset and notional, ``schedule`` date, asset and w, each with path or for all paths. A missing or repeated cell, an amount that isn't
+    date and amount (or a dict of them), ``orders`` date, asset and notional, ``schedule`` date, asset and w, each with path or for all paths. A missing or repeated cell, an amount that isn't
     finite, a total loss, an unknown asset, and what falls on a day that the panel doesn't have raise."""
     known = F.array(*map(F.lit, assets))
 
@@ -172,6 +172,9 @@ def days(panel: DataFrame, assets: list[str], flows: DataFrame | None = None, or
     require(base, repeated_cell=F.col("twice"), missing_cell=F.exists("r", lambda x: x.isNull()))
     base = base.drop("twice")
 
+    if isinstance(flows, dict):
+        flows = panel.sparkSession.createDataFrame([(str(d), float(x)) for d, x in flows.items()], "date string, amount double").withColumn("date", F.to_date("date")) if flows else None
+
     def attach(base: DataFrame, more: DataFrame | None, name: str) -> DataFrame:
         if more is None:
             return base.withColumn(name, F.lit(0.0) if name == "flow" else F.lit(None).cast("array<double>"))

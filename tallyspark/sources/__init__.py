@@ -170,6 +170,8 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+    if at.toUri().getScheme() in (None, "file"):  # a local store's checksum file would tell of later changes before a digest does
+        Path(at.toUri().getPath()).with_name(f".{at.getName()}.crc").unlink(missing_ok=True)
 
 
 def get_text(spark: SparkSession, path: str) -> str:
