@@ -28,11 +28,9 @@ from .common import cut_batch, lean, number_filter, partitions, passing, staged,
 LENGTH = 100
 GRAM = 32
 #: Pieces whose suffixes are put in order together.
-PIECES = 3_000
+PIECES = 1_500
 #: Different pieces that a collection under one anchor has at most.
 HOT = 50_000
-#: Level of the hash by which a collection's pieces are cut once more.
-ALONE = 1_000
 #: Bytes that are hashed at once.
 STRIDE = 1 << 20
 
@@ -141,8 +139,10 @@ def ordered_suffixes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
         if not len(mine):
             break
         # Neighbours of which one is new: one symbol more than the suffixes behind them, whose least common prefix is between.
-        touched = np.unique(np.concatenate((mine, mine + 1)))
-        touched = touched[(touched > 0) & (touched < len(order))]
+        near = np.zeros(len(order) + 1, dtype=bool)
+        near[mine] = near[mine + 1] = True
+        near[0] = near[-1] = False
+        touched = np.flatnonzero(near)
         left, right = order[touched - 1], order[touched]
         same = np.flatnonzero(before[left] == before[right])
         value = np.zeros(len(touched), np.uint8)
@@ -184,22 +184,6 @@ def repeated_windows(texts: list[bytes], doc: np.ndarray, first: np.ndarray, len
     return text[late][other], start[late][other]
 
 
-def shared_windows(texts: list[bytes], group: np.ndarray, doc: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`repeated_windows` within each ``group``. The texts are first cut by the anchors of a hash of its own: equal windows of a group have equal ones, so parts whose anchor
-    no other part of the group has need no place in the order."""
-    cut = [pieces([(k, 0, texts[k]) for k in range(a, min(a + PIECES, len(texts)))], length, ALONE)[:4] for a in range(0, len(texts), PIECES)]
-    low, row, at, n = (np.concatenate(x) for x in zip(*cut))
-    key = _mixed((group[row].view(np.uint64) ^ low) * _U(_BASE))
-    _, which, often = np.unique(key, return_inverse=True, return_counts=True)
-    keep = often[which] > 1
-    row, at, n = row[keep], at[keep], n[keep]
-    parts = [texts[k][a : a + m + length - 1] for k, a, m in zip(row.tolist(), at.tolist(), n.tolist())]
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    text, start = repeated_windows(parts, doc[row], first[row] + at, length)
-    return row[text], at[text] + start
-
-
 def runs_of(starts: np.ndarray) -> list[tuple[int, int]]:
     """Sorted starts as runs [first, last]."""
     if not len(starts):
@@ -254,8 +238,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
         def solve(t: pa.Table) -> pa.RecordBatch:
             doc, first = (t.column(c).to_numpy() for c in ("doc_id", "first"))
             group = t.column("anchor").to_numpy()
+            raw = t.column("bytes").to_pylist()
             rows: list[tuple] = []
-            text, start = shared_windows(t.column("bytes").to_pylist(), group, doc, first, length)
+            text, start = repeated_windows(raw, doc, first, length)
             order = np.lexsort((start, text))
             text, start = text[order], start[order]
             for k in np.unique(text).tolist():
