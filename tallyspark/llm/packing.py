@@ -122,7 +122,7 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
 
     df = ranked(pieces)
     kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != "rank")
-    return df.mapInArrow(lean(place), f"{kinds}, sequence_id long, offset long, padded_length long")
+    return df.mapInArrow(lean(place, "tokens"), f"{kinds}, sequence_id long, offset long, padded_length long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 2, length: int = LENGTH) -> DataFrame:
