@@ -120,3 +120,14 @@ def test_observations(spark):
             observations.validated(table(spark, [observation(**change)]), cutoff)
     with pytest.raises(InputError):
         observations.validated(table(spark, [observation(), observation()]), cutoff)
+
+
+def test_columns_and_constants(spark):
+    from tallyspark.sources import mapped_columns
+
+    rows = spark.createDataFrame([(1, "x")], "a int, b string")
+    got = mapped_columns(rows, {"id": "a", "name": "b"}, {"unit": "base", "currency": None}, ["id", "name", "unit", "currency"])
+    assert got.first().asDict() == {"id": "1", "name": "x", "unit": "base", "currency": None}
+    for columns, constants in (({"id": "a"}, {"name": "n", "unit": "u"}), ({"id": "a", "name": "b"}, {"name": "n", "unit": "u", "currency": None})):
+        with pytest.raises(InputError):
+            mapped_columns(rows, columns, constants, ["id", "name", "unit", "currency"])
