@@ -212,7 +212,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
             before, seq, held, size = before + size, seq + 1, [], 0
             return row
 
-        for names, some in text_arrays(batches):
+        for names, some in text_arrays(batches, 1 << 23):
             ids, bounds = with_end(*coder.encode(some), end_id)
             held.append((names.to_numpy(zero_copy_only=False), np.diff(bounds), ids))
             size += len(ids)
