@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hosts, mil, neardup, packing, repeats, rules, secrets, simple8b, toxic
+from . import decontam, hosts, mil, neardup, packing, repeats, resample, rules, secrets, simple8b, toxic
 from .common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -69,6 +69,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simple8b": op1_simple8b,
     "op2_mil": op2_mil,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_automaton": op8_automaton,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
+    "op12_resample": op12_resample,
 }
 
 SQL: dict[str, str] = {
@@ -138,4 +143,32 @@ SQL: dict[str, str] = {
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op12_resample": r"""
+        WITH RECURSIVE bits(i, k, c) AS (
+            SELECT i, 0, i::BIGINT FROM range(256) r(i)
+            UNION ALL SELECT i, k + 1, CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+        ),
+        steps AS (SELECT list(c ORDER BY i) AS v FROM bits WHERE k = 8),
+        d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents),
+        b AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+        words AS (SELECT w, hex(w) AS h FROM (SELECT w FROM d UNION SELECT w FROM b)),
+        octets AS (SELECT w, list_transform(range(0, length(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT) AS o FROM words),
+        bucket AS (
+            SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, o), lambda c, x: xor(c >> 8, v[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS k FROM octets, steps
+        ),
+        dn AS MATERIALIZED (SELECT doc_id, k, count(*) AS n FROM d JOIN bucket USING (w) GROUP BY ALL),
+        s AS (SELECT k, sum(n) AS n FROM dn GROUP BY k),
+        t AS (SELECT k, count(*) AS n FROM b JOIN bucket USING (w) GROUP BY k),
+        totals AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t),
+        gain AS (SELECT s.k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (totals.s + 10000) / ((s.n + 1)::DOUBLE * (totals.t + 10000))))::BIGINT AS g FROM s LEFT JOIN t USING (k), totals),
+        weights AS (SELECT doc_id, sum(n) AS n, floor(sum(n * g)::DOUBLE / sum(n))::BIGINT AS weight FROM dn JOIN gain USING (k) GROUP BY doc_id),
+        h AS (SELECT doc_id, ('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM documents),
+        score AS (
+            SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+                   coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM h LEFT JOIN weights USING (doc_id)
+        ),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM score)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank FROM ranked
+    """,
 }
