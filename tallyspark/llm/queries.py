@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hosts, mil, neardup, packing, repeats, resample, rules, secrets, simple8b, toxic
-from .common import table
+from . import chat, decontam, hosts, mil, neardup, packing, repeats, resample, rules, secrets, simple8b, toxic
+from .common import staged, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -73,6 +73,14 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are made of control strings."""
+    said = "</s>[INST] ok [/INST]"
+    hostile = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile)
+    return chat.digests(staged(chat.windows(turns), "op13-windows"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simple8b": op1_simple8b,
     "op2_mil": op2_mil,
@@ -85,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
     "op12_resample": op12_resample,
+    "op13_chat": op13_chat,
 }
 
 SQL: dict[str, str] = {
@@ -171,4 +180,41 @@ SQL: dict[str, str] = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM score)
         SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank FROM ranked
     """,
+    "op13_chat": r"""
+        WITH RECURSIVE t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ),
+        n AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role) - 1 AS pos,
+                   len(regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]')) + 2 AS n,
+                   length(text) + length(text) - length(replace(text, '\', '')) + len(regexp_extract_all(text, '<</?SYS>>|</?s>|\[/?INST\]|\[/?TURN\]|\[SAYS\]')) AS body,
+                   length(role) + length(role) - length(replace(role, '\', '')) + len(regexp_extract_all(role, '<</?SYS>>|</?s>|\[/?INST\]|\[/?TURN\]|\[SAYS\]')) AS named
+            FROM t
+        ),
+        c AS (
+            SELECT *, body + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 + named END AS chars, pos = 0 AND role = 'system' AS led FROM n
+        ),
+        p AS MATERIALIZED (
+            SELECT *, (sum(CASE WHEN led THEN 0 ELSE n END) OVER (PARTITION BY conv_id ORDER BY pos) - n)::BIGINT AS start,
+                   greatest(384 - max(CASE WHEN led THEN n ELSE 0 END) OVER (PARTITION BY conv_id), 1) AS room,
+                   max(CASE WHEN led THEN chars ELSE 0 END) OVER (PARTITION BY conv_id) AS lead
+            FROM c
+        ),
+        u AS MATERIALIZED (SELECT *, start // 8192 AS cell FROM p WHERE NOT led),
+        later AS MATERIALIZED (
+            SELECT a.conv_id, a.start, min(b.start) AS up FROM u a JOIN u b ON a.conv_id = b.conv_id AND a.cell = b.cell AND b.start > a.start AND b.start + b.n - a.start > a.room GROUP BY ALL
+        ),
+        w AS (SELECT conv_id, min(start) AS start FROM u GROUP BY conv_id, cell UNION ALL SELECT w.conv_id, up FROM w JOIN later ON later.conv_id = w.conv_id AND later.start = w.start),
+        again AS (SELECT w.conv_id, sum(u.chars) AS chars FROM w JOIN u ON u.conv_id = w.conv_id AND u.start >= w.start - 128 AND u.start < w.start GROUP BY ALL),
+        shown AS (SELECT conv_id, count(*) AS n FROM w GROUP BY conv_id),
+        whole AS (
+            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS said,
+                   coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss, sum(CASE WHEN led THEN 0 ELSE chars END) AS chars, max(lead) AS lead
+            FROM p GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+               (whole.chars + coalesce(again.chars, 0) + lead * coalesce(shown.n, 1))::BIGINT AS formatted_chars
+        FROM whole LEFT JOIN again USING (conv_id) LEFT JOIN shown USING (conv_id)
+    """,
 }
