@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, hosts, mil, neardup, packing, repeats, resample, rules, secrets, simple8b, toxic
+from . import align, chat, decontam, hosts, mil, neardup, packing, repeats, resample, rules, secrets, simple8b, toxic
 from .common import staged, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -69,6 +69,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_automaton": op8_automaton,
     "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
+    "op11_align": op11_align,
     "op12_resample": op12_resample,
     "op13_chat": op13_chat,
 }
