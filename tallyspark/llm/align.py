@@ -19,21 +19,23 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import fetch, lean, partitions, put, slices, staged, texts, work_dir
+from .common import fetch, lean, partitions, put, staged, text_arrays, texts, work_dir
 
-#: Characters of a text that are split at once, chunks that a worker remembers, pairs in a shard, shards that a worker holds. Results don't depend on them.
-PART, REMEMBERED, SHARD, HELD = 1 << 20, 150_000, 1 << 17, 8
+#: Characters of a text that are split at once, chunks that are encoded as one text, chunks that a worker remembers, pairs in a shard, shards that a worker
+#: holds. Results don't depend on them.
+PART, TOGETHER, REMEMBERED, SHARD, HELD = 1 << 20, 400, 500_000, 1 << 17, 8
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: A pair is one number: the first id above these bits.
 BITS = 20
@@ -74,16 +76,52 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in map(self.b.id_to_piece, range(self.b.get_piece_size()))]
         self.a_size, self.b_size = (np.asarray([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
         self.blank = self.b.piece_to_id("▁")
+        #: Ids as text, with the sign behind them inside a group and at the end of its side; their digits.
+        said = [str(i).encode() for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.digits = np.asarray([len(x) for x in said], dtype=np.int64)
+        self.a_said, self.b_said = (np.asarray([[x + b"," for x in said], [x + end for x in said]], dtype=object) for end in (b"|", b";"))
         if any("▁" in p.lstrip("▁") for p in map(self.b.id_to_piece, range(self.b.get_piece_size()))):
             raise ValueError("the second vocabulary joins what stands before a blank with what follows it")
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def each(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of chunks in both vocabularies. The second tokenizer puts a blank before its text: one that the chunk has, or one that is taken off again."""
         ours = [x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        bare = [c[1:] if c[0] == " " else c for c in chunks]
-        theirs = self.b.encode(bare, num_threads=1)
+        theirs = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
         return ours, [[self.blank] if c == " " else ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, theirs)]
 
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of the first tokenizer, how many of each chunk, the same of the second, whether a chunk is given back by both). Chunks that end in no white space are
+        encoded some hundred at a time, as one text that both tokenizers cut between them; a text that isn't given back is taken chunk by chunk."""
+        n = len(chunks)
+        out: list[list] = [[], []]
+        counts, whole = np.zeros((2, n), np.int64), np.zeros(n, bool)
+        sizes = pc.binary_length(pa.array(chunks, pa.large_string())).to_numpy().astype(np.int64)
+        shut = np.asarray([not c[-1].isspace() for c in chunks], bool)
+        runs = [range(n)[k : k + TOGETHER] for k in range(0, n, TOGETHER)] if shut.all() else [[k] for k in range(n)]
+        texts = ["".join(chunks[k] for k in run) for run in runs]
+        for run, text, *ids in zip(runs, texts, *self.each(texts)):
+            if self._gives(text, *ids):
+                at = np.asarray(run)
+                ends = np.cumsum(sizes[at])
+                for side, (size, got) in enumerate(zip((self.a_size, self.b_size), ids)):
+                    got = np.asarray(got, dtype=np.int64)
+                    counts[side, at] = np.diff(np.searchsorted(np.cumsum(size[got]), ends) + 1, prepend=0)
+                    out[side].append(got)
+                whole[at] = True
+            elif len(run) > 1:
+                for k, *own in zip(run, *self.each([chunks[k] for k in run])):
+                    if self._gives(chunks[k], *own):
+                        whole[k] = True
+                        for side, got in enumerate(own):
+                            counts[side, k] = len(got)
+                            out[side].append(np.asarray(got, dtype=np.int64))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+        return a, counts[0], b, counts[1], whole
+
+    def _gives(self, text: str, ours: list[int], theirs: list[int]) -> bool:
+        raw = text.encode()
+        return b"".join([self.a_bytes[i] for i in ours]) == raw == b"".join([self.b_bytes[i] for i in theirs])
+
 
 @dataclass
 class Alignment:
@@ -100,28 +138,29 @@ class Alignment:
 
 
 def align(pair: Pair, chunks: list[str], products: bool = False) -> Alignment:
-    ours, theirs = pair.encode(chunks)
-    n = len(chunks)
-    whole = np.zeros(n, bool)
-    for k, c in enumerate(chunks):
-        raw = c.encode()
-        whole[k] = b"".join([pair.a_bytes[i] for i in ours[k]]) == raw == b"".join([pair.b_bytes[i] for i in theirs[k]])
-    at = np.flatnonzero(whole)
-    n_a, n_b = (np.asarray([len(x) if w else 0 for x, w in zip(ids, whole)], dtype=np.int64) for ids in (ours, theirs))
-    a, b = (np.asarray([i for k in at for i in ids[k]], dtype=np.int64) for ids in (ours, theirs))
+    a, n_a, b, n_b, whole = pair.encode(chunks)
     end_a, end_b = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
     ends = np.union1d(end_a, end_b)  # elementary intervals, by their ends
     of_a, of_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
     closes = (end_a[of_a] == ends) & (end_b[of_b] == ends) if len(ends) else np.zeros(0, bool)
     last_a, last_b = of_a[closes] + 1, of_b[closes] + 1
-    text = [b""] * n
-    chunk_a, chunk_b = np.cumsum(n_a), np.cumsum(n_b)
+    chunk_a = np.cumsum(n_a)
     groups = np.searchsorted(last_a, chunk_a, "right")  # groups up to the end of each chunk
     n_groups = np.diff(groups, prepend=0)
-    names_a, names_b = a.astype("U").tolist(), b.astype("U").tolist()
-    said = [",".join(names_a[p:q]) + "|" + ",".join(names_b[r:s]) for p, q, r, s in zip([0, *last_a.tolist()], last_a.tolist(), [0, *last_b.tolist()], last_b.tolist())]
-    for k in at.tolist():
-        text[k] = ";".join(said[groups[k] - n_groups[k] : groups[k]]).encode()
+    # a group's ids of the first side, then those of the second, each with the sign that follows it
+    flat, length = np.empty(len(a) + len(b), object), np.zeros(len(a) + len(b), np.int64)
+    for ids, last, before, names in ((a, last_a, np.concatenate(([0], last_b[:-1])) if len(last_b) else last_b, pair.a_said), (b, last_b, last_a, pair.b_said)):
+        if len(ids):
+            group = np.searchsorted(last, np.arange(len(ids)), "right")
+            at = np.arange(len(ids)) + before[group]
+            closing = np.zeros(len(ids), np.int64)
+            closing[last - 1] = 1
+            flat[at] = names[closing, ids]
+            length[at] = pair.digits[ids] + 1
+    blob = b"".join(flat.tolist())
+    total = np.concatenate(([0], np.cumsum(length)))
+    stops = total[chunk_a + np.cumsum(n_b)].tolist()
+    text = [blob[p : q - 1] if q > p else b"" for p, q in zip([0, *stops], stops)]
     if products:
         first_a, first_b = last_a - np.diff(last_a, prepend=0), last_b - np.diff(last_b, prepend=0)
         each = (last_a - first_a) * (last_b - first_b)
@@ -138,7 +177,7 @@ class Chunks:
     """Alignments of the chunks that a worker has met, by number. ``pairs`` numbers the pairs of ids in them; with ``shards``, ``count_sum`` and ``n_best`` are
     what a chunk's links add to its document's."""
 
-    def __init__(self, pair: Pair, products: bool, shards: list[tuple[int, str]] | None = None):
+    def __init__(self, pair: Pair, products: bool, shards: tuple[tuple[int, str], ...] | None = None):
         self.pair, self.products, self.shards = pair, products, shards
         self.number: dict[str, int] = {}
         self.pair_number: dict[int, int] = {}
@@ -198,7 +237,7 @@ def _shard(uri: str) -> np.ndarray:
 common.REMEMBERED.extend([("align", _pair.cache_clear), ("align", _shard.cache_clear)])
 
 
-def looked_up(shards: list[tuple[int, str]], pairs: np.ndarray) -> np.ndarray:
+def looked_up(shards: Sequence[tuple[int, str]], pairs: np.ndarray) -> np.ndarray:
     """(count, whether it is the best of the first id) of pairs that all are in the shards, a shard at a time."""
     out = np.zeros((len(pairs), 2), np.int64)
     of = np.searchsorted(np.asarray([f for f, _ in shards], dtype=np.int64), pairs, "right") - 1
@@ -210,31 +249,60 @@ def looked_up(shards: list[tuple[int, str]], pairs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _documents(batches: Iterator[pa.RecordBatch], start: Callable[[], Chunks]) -> Iterator[tuple[Chunks, list[tuple[int, np.ndarray, bool]], bool]]:
-    """Runs of parts of texts, some megabytes at a time: the chunks known so far, each part's document, chunk numbers and whether the document ends with it, and
-    whether this is the last run before the worker forgets its chunks."""
-    chunks, held, total = start(), [], 0
+@lru_cache(maxsize=1)
+def _known(first: str, second: str, products: bool, shards: tuple | None) -> list[Chunks]:
+    """What a worker remembers, for the task after this one too."""
+    return [Chunks(_pair(first, second), products, shards)]
+
+
+common.REMEMBERED.append(("align", _known.cache_clear))
+
+
+def numbered(chunks: Chunks, some: pa.Array) -> list[np.ndarray]:
+    """Chunk numbers of each text. Texts are split at blanks, line ends with a blank put before them, by whole-array operations; those with other white space
+    before a blank or a line end are split by the rule itself."""
+    lists = pc.split_pattern(pc.replace_substring(some.cast(pa.large_string()), "\n", " \n"), " ")
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    numbers = chunks.numbers([w if w[:1] == "\n" else " " + w for w in words])[codes]
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    wide = np.asarray([not w or w[-1].isspace() for w in words], bool)[codes]
+    wide[bounds[1:] - 1] = False  # at a text's end
+    odd = np.add.reduceat(wide.astype(np.int64), bounds[:-1]) > 0
+    out = [numbers[p:q] for p, q in zip(bounds.tolist(), bounds[1:].tolist())]
+    for k in np.flatnonzero(odd).tolist():
+        out[k] = chunks.numbers(_CUT.split(" " + some[k].as_py()))
+    return out
 
-    def run() -> list[tuple[int, np.ndarray, bool]]:
-        numbers = chunks.numbers([c for _, part, _ in held for c in part])
-        ends = np.cumsum([len(part) for _, part, _ in held]).tolist()
-        return [(name, numbers[end - len(part) : end], last) for (name, part, last), end in zip(held, ends)]
 
-    for ids, some in slices(batches):
-        for name, text in zip(ids, some):
-            rows = pieces(" " + text) if text else iter([[]])
+def _documents(batches: Iterator[pa.RecordBatch], known: list[Chunks]) -> Iterator[tuple[Chunks, list[tuple[int, np.ndarray, bool]], bool]]:
+    """Runs of parts of texts, some megabytes at a time: the chunks known so far, each part's document, chunk numbers and whether the document ends with it, and
+    whether this is the last run before the worker forgets its chunks."""
+    for ids, some in text_arrays(batches):
+        size = pc.binary_length(some).to_numpy(zero_copy_only=False)
+        short = np.flatnonzero((size > 0) & (size <= 4 * PART))
+        chunks = known[0]
+        run = [(name, np.zeros(0, np.int64), True) for name in ids.take(pa.array(np.flatnonzero(size == 0))).to_pylist()]
+        if len(short):
+            run += [(name, x, True) for name, x in zip(ids.take(pa.array(short)).to_pylist(), numbered(chunks, some.take(pa.array(short))))]
+        yield chunks, run, _forgets(known)
+        for k in np.flatnonzero(size > 4 * PART).tolist():
+            name, rows = ids[k].as_py(), pieces(" " + some[k].as_py())
             part = next(rows)
             while part is not None:
-                after = next(rows, None)
-                held.append((name, part, after is None))
-                total += 1000 + 10 * len(part)
+                after, chunks = next(rows, None), known[0]
+                yield chunks, [(name, chunks.numbers(part), after is None)], _forgets(known)
                 part = after
-                if total >= PART * 2:
-                    yield chunks, run(), (full := len(chunks.text) > REMEMBERED)
-                    held, total = [], 0
-                    if full:
-                        chunks = start()
-    yield chunks, run(), True
+    yield known[0], [], True
+
+
+def _forgets(known: list[Chunks]) -> bool:
+    """Whether there are too many chunks to remember; the next run starts anew."""
+    if len(known[0].text) <= REMEMBERED:
+        return False
+    known[0] = Chunks(known[0].pair, known[0].products, known[0].shards)
+    return True
 
 
 def pair_counts(docs: DataFrame, first: str, second: str, products: bool = False) -> DataFrame:
@@ -245,7 +313,7 @@ def pair_counts(docs: DataFrame, first: str, second: str, products: bool = False
             return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
 
         seen, whole, total = [], True, np.zeros(0, np.int64)
-        for chunks, parts, forgets in _documents(batches, lambda: Chunks(_pair(first, second), products)):
+        for chunks, parts, forgets in _documents(batches, _known(first, second, products, None)):
             total = np.concatenate((total, np.zeros(len(chunks.pairs) - len(total), np.int64)))
             for _, numbers, last in parts:
                 whole = whole and bool(chunks.whole[numbers].all())
@@ -306,7 +374,7 @@ def aligned(docs: DataFrame, first: str, second: str, products: bool = False) ->
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, whole, digest, parts_of = np.zeros(6, np.int64), True, hashlib.sha256(), 0
-        for chunks, parts, _ in _documents(batches, lambda: Chunks(_pair(first, second), products, shards)):
+        for chunks, parts, _ in _documents(batches, _known(first, second, products, tuple(shards))):
             names, rows, digests = [], [], []
             for name, numbers, last in parts:
                 if len(numbers):
