@@ -7,8 +7,8 @@ from its slices of the runs by a tournament tree that stops at the exact draw co
 different score, and one key of each ``STEP`` rows of the runs.
 
 Cases: null and empty texts have no features, weight 0, and are never drawn. Rows without an id can't be named in a result; their
-features count as the corpus's. Rows that share a doc_id are drawn each for itself; if even their scores tie, the order of the runs
-decides, so exactly the draw count is drawn. Texts are worked on in parts of a megabyte. An empty table gives an empty result, an
+features count as the corpus's. Rows that share a doc_id are drawn each for itself, with the same score by n_features; rows that are equal in
+all columns follow the order of the runs, so exactly the draw count is drawn. Texts are worked on in parts of a megabyte. An empty table gives an empty result, an
 empty target gains from smoothing alone. Extra columns aren't read.
 """
 
@@ -128,7 +128,7 @@ def scored(docs: DataFrame, gain: np.ndarray, n: int = 1, seed: int = 2024) -> D
 
 
 def write_runs(rows: DataFrame, folder: str, size: int = RUN, step: int = STEP) -> DataFrame:
-    """Sorted runs of ``rows`` in ``folder``: run (its file's name), n, and the score, doc_id and place of every ``step``-th row. A repeated task writes the
+    """Sorted runs of ``rows`` in ``folder``: run (its file's name), n, and the score, doc_id, n_features and place of every ``step``-th row. A repeated task writes the
     same files again."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +138,11 @@ def write_runs(rows: DataFrame, folder: str, size: int = RUN, step: int = STEP)
 
         def run() -> pa.RecordBatch:
             table = np.concatenate(held)
-            table = table[np.lexsort((table[:, 1], -table[:, 0]))]
+            table = table[np.lexsort((table[:, 2], table[:, 1], -table[:, 0]))]
             put(f"{folder}/{(name := f'run-{task:07d}-{k:05d}')}", table.astype("<i8").tobytes())
             at = np.arange(0, len(table), step)
-            keys = [pa.array([table[at, c].tolist()], pa.list_(pa.int64())) for c in (0, 1)]
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(table)]), *keys, pa.array([at.tolist()], pa.list_(pa.int64()))], ["run", "n", "scores", "ids", "places"])
+            keys = [pa.array([table[at, c].tolist()], pa.list_(pa.int64())) for c in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(table)]), *keys, pa.array([at.tolist()], pa.list_(pa.int64()))], ["run", "n", "scores", "ids", "features", "places"])
 
         for batch in batches:
             table = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _RUN], axis=1)
@@ -155,30 +155,34 @@ def write_runs(rows: DataFrame, folder: str, size: int = RUN, step: int = STEP)
         if total:
             yield run()
 
-    return rows.select(*_RUN).mapInArrow(lean(write), "run string, n long, scores array<long>, ids array<long>, places array<long>")
+    return rows.select(*_RUN).mapInArrow(lean(write), "run string, n long, scores array<long>, ids array<long>, features array<long>, places array<long>")
 
 
-def _splitters(runs: list, every: int) -> list[tuple[int, int, str, int]]:
-    """Keys that cut the merged order of all runs into ranges of about ``every`` named keys. Rows that tie are told apart by run and place, so a range is
+def _splitters(runs: list, every: int) -> list[tuple[tuple[int, int, int], str, int]]:
+    """(key, run, place) that cut the merged order of all runs into ranges of about ``every`` named keys. Rows that tie are told apart by run and place, so a range is
     bounded whatever ties."""
-    keys = sorted((-s, i, r["run"], p) for r in runs for s, i, p in zip(r["scores"], r["ids"], r["places"]))
-    return keys[every::every]
+    return sorted(((-s, i, f), r["run"], p) for r in runs for s, i, f, p in zip(r["scores"], r["ids"], r["features"], r["places"]))[every::every]
 
 
-def slices(runs: DataFrame, folder: str, splitters: list[tuple[int, int, str, int]]) -> DataFrame:
+def _place(keys: list[np.ndarray], key: tuple[int, ...], side: str) -> int:
+    """Where ``key`` stands among rows sorted by all of ``keys``."""
+    low, high = 0, len(keys[0])
+    for column, value in zip(keys, key):
+        part = column[low:high]
+        low, high = low + int(np.searchsorted(part, value, "left")), low + int(np.searchsorted(part, value, "right"))
+    return high if side == "right" else low
+
+
+def slices(runs: DataFrame, folder: str, splitters: list[tuple[tuple[int, int, int], str, int]]) -> DataFrame:
     """(range, run, low, high): the rows of each run that lie in each range."""
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in batch.column(0).to_pylist():
                 table = np.frombuffer(fetch(f"{folder}/{run}"), "<i8").reshape(-1, len(_RUN))
-                score, name = -table[:, 0], table[:, 1]
-                cuts = [0]
-                for s, i, other, place in splitters:
-                    low, high = np.searchsorted(score, s, "left"), np.searchsorted(score, s, "right")
-                    side = "right" if run < other else "left"
-                    cuts.append(place if run == other else int(low + np.searchsorted(name[low:high], i, side)))
-                at = np.asarray([*cuts, len(table)])
+                keys = [-table[:, 0], table[:, 1], table[:, 2]]
+                cuts = [place if run == other else _place(keys, key, "right" if run < other else "left") for key, other, place in splitters]
+                at = np.asarray([0, *cuts, len(table)])
                 full = np.flatnonzero(np.diff(at))
                 yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([run] * len(full), pa.string()), pa.array(at[full]), pa.array(at[full + 1])], ["range", "run", "low", "high"])
 
@@ -201,13 +205,13 @@ def _rows(blocks: Iterator[np.ndarray]) -> Iterator[tuple]:
 
 
 def tournament(runs: list[Iterator[tuple]], limit: int) -> Iterator[tuple]:
-    """The first ``limit`` rows of sorted runs in order, the earlier run first where keys (the first two values) tie; then what is left, as it comes. A
+    """The first ``limit`` rows of sorted runs in order, the earlier run first where keys (the first three values) tie; then what is left, as it comes. A
     tree of matches keeps each match's loser, so the next row costs one comparison for each level."""
     heads = [next(r, None) for r in runs]
     k = len(runs)
 
     def beats(a: int, b: int) -> bool:
-        return heads[b] is None or heads[a] is not None and (heads[a][:2], a) < (heads[b][:2], b)
+        return heads[b] is None or heads[a] is not None and (heads[a][:3], a) < (heads[b][:3], b)
 
     won, lost = [0] * k + list(range(k)), [0] * k
     for node in range(k - 1, 0, -1):
