@@ -51,9 +51,16 @@ def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(None if r.get(n) is None else cast.get(kinds[n], lambda v: v)(r[n]) for n in names) for r in rows], schema)
 
 
-def _rows(df: DataFrame, most: int = 10_000) -> list[dict]:
-    """Rows of a result that is small by its contract."""
-    return [sinks.clean(r.asDict(recursive=True)) for r in df.limit(most).collect()]
+#: Rows of a result that is written as one JSON document.
+MOST = 10_000
+
+
+def _rows(df: DataFrame) -> list[dict]:
+    """Rows of a result that is small by its contract. A larger one raises: nothing is left out silently."""
+    got = df.limit(MOST + 1).collect()
+    if len(got) > MOST:
+        raise InputError(f"a result has more than {MOST} rows, too many for one document; use the library's tables")
+    return [sinks.clean(r.asDict(recursive=True)) for r in got]
 
 
 @command("run")

@@ -172,9 +172,9 @@ def run(panel: DataFrame, config: dict, factors: DataFrame | None = None, orders
     report.tables["risk"] = risk.summary(main, "path", periods=periods, risk_free=free)
     report.tables["tail"] = risk.expected_shortfall(main.select("path", "date", "r"), "path", alpha=0.95).unionByName(risk.expected_shortfall(main.select("path", "date", "r"), "path", alpha=0.90))
     report.tables["irr"] = ledgers.xirr_roots(backtest.investor_flows(main, value), "path")
-    r = np.asarray([z["r"] for z in main.select("r", "date").orderBy("date").collect()])  # one number a date
-    report.facts["sharpe"] = budget.sharpe_interval(r, seed=seed, periods=periods, risk_free=free)
-    report.facts["holding"] = {y: risk.rolling_holding(main.select("path", "date", "r"), int(y * periods), float(y), "path") for y in budget.YEARS if len(r) >= y * periods}
+    n = main.count()
+    report.facts["sharpe"] = budget.sharpe_interval(main.select("date", "r"), seed=seed, periods=periods, risk_free=free)
+    report.facts["holding"] = {y: risk.rolling_holding(main.select("path", "date", "r"), int(y * periods), float(y), "path") for y in budget.YEARS if n >= y * periods}
     forward = evidence.unknown_fields(dict(config.get("walk_forward") or {}), {"min_train", "test_steps"}, "walk_forward")
     report.facts["walk_forward"], _, report_table = evaluation.walk_forward(panel, forward.get("min_train", 500), forward.get("test_steps", 252), window, limits, plan.rate, periods)
     if report_table is not None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,36 +11,86 @@ from .stage import written
 DIRECT = ("stock", "bond", "cash", "other")
 
 
+#: Levels that a walk may be asked for, and what a fund may leave undisclosed without a row that says so.
+DEPTHS, TINY_WEIGHT = (1, 20), 1e-12
+#: What a row of walks has beside the nodes, edges and weights along it.
+_WALK = ("start", "end", "kind", "reason", "open", "path", "ids", "ws")
+
+
+def _first_walks(edges: DataFrame, sums: DataFrame) -> DataFrame:
+    """Walks of one edge from every fund. A walk is open if it ends at a fund with holdings that it hasn't met; what a fund doesn't disclose is a walk that ends there."""
+    nodes = sums.select(F.col("node").alias("child"), F.lit(True).alias("has"))
+    is_fund = F.col("kind") == "fund"
+    stop = F.when(F.col("child") == F.col("node"), "cycle").when(F.col("has").isNull(), "missing_child")
+    reason = F.when(is_fund, stop).when(F.col("kind") == "unknown", "unknown_kind")
+    step = edges.where("weight > 0").join(nodes, "child", "left").select(
+        F.col("node").alias("start"), F.col("child").alias("end"), "kind", reason.alias("reason"), (is_fund & reason.isNull()).alias("open"),
+        F.array("node", "child").alias("path"), F.array("id").alias("ids"), F.array("weight").alias("ws"),
+    )
+    short = sums.where(1 - F.col("total") > TINY_WEIGHT).select(
+        F.col("node").alias("start"), F.lit("unknown").alias("end"), F.lit("unknown").alias("kind"), F.lit("undisclosed").alias("reason"), F.lit(False).alias("open"),
+        F.array("node").alias("path"), F.array(F.lit(-1).cast("long")).alias("ids"), F.array(1 - F.col("total")).alias("ws"),
+    )
+    return step.unionByName(short)
+
+
+def _extended(walks: DataFrame, by: DataFrame, name: str) -> DataFrame:
+    """``walks`` that are open, each with all of ``by`` that begin where it ends; the others as they are. A walk that comes back to a fund that it has met ends there as a cycle,
+    once, whatever would follow."""
+    ahead = by.select(*(F.col(c).alias(f"n_{c}") for c in _WALK))
+    both = walks.where("open").join(ahead, F.col("end") == F.col("n_start"))
+    tail = F.slice("n_path", F.lit(2), F.size("n_path"))
+    funds = F.when((F.col("n_kind") == "fund") | (F.col("n_reason") == "undisclosed"), tail).otherwise(F.slice("n_path", F.lit(2), F.greatest(F.size("n_path") - 2, F.lit(0))))
+    met = F.when(F.arrays_overlap("path", funds), F.array_position(F.transform(funds, lambda x: F.array_contains("path", x)), F.lit(True))).otherwise(0)
+    both = both.withColumn("met", met.cast("int"))
+    upto = lambda c, n: F.concat(c, F.slice(f"n_{c}", F.lit(1), n))
+    whole, cut = F.size("n_ids"), F.when(F.col("met") > 0, F.col("met")).otherwise(F.size("n_ids"))
+    is_met = F.col("met") > 0
+    step = both.select(
+        "start", F.when(is_met, F.get(tail, F.col("met") - 1)).otherwise(F.col("n_end")).alias("end"),
+        F.when(is_met, "fund").otherwise(F.col("n_kind")).alias("kind"), F.when(is_met, "cycle").otherwise(F.col("n_reason")).alias("reason"), (F.col("n_open") & ~is_met).alias("open"),
+        F.concat("path", F.when(is_met, F.slice(tail, F.lit(1), cut)).otherwise(tail)).alias("path"), upto("ids", cut).alias("ids"), upto("ws", cut).alias("ws"), (is_met & (cut < whole)).alias("shortened"),
+    )
+    step = written(step, name)
+    return walks.where("NOT open").unionByName(step.where("NOT shortened").select(*_WALK)).unionByName(step.where("shortened").select(*_WALK).dropDuplicates(["start", "ids"]))
+
+
 def paths(holdings: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame:
-    """(root, leaf, kind, w, reason, path): what each of ``roots`` (root) holds through the fund edges ``holdings`` (node, child, kind, weight), a join for each level.
+    """(root, leaf, kind, w, reason, path): what each of ``roots`` (root) holds through the fund edges ``holdings`` (node, child, kind, weight).
 
     A path stops, in this order, at a cycle, at ``depth``, at a fund without holdings; what stops so, what is of kind unknown, and what a fund doesn't
     disclose, is unknown with its reason. Weights of a fund that sum to more than 1, or a child of two kinds, raise.
+
+    Walks from all funds are joined with themselves, so each round doubles their length: a depth of 20 takes five doublings, and two joins that add up to 20 from the roots. Doubling
+    ends early once no walk is open. Edges that repeat are paths of their own.
     """
-    if not 1 <= depth <= 20:
-        raise InputError("depth goes from 1 to 20")
-    sums = holdings.groupBy("node").agg(F.sum("weight").alias("total"), F.min("weight").alias("least"))
+    if not DEPTHS[0] <= depth <= DEPTHS[1]:
+        raise InputError(f"depth goes from {DEPTHS[0]} to {DEPTHS[1]}")
+    edges = written(holdings.select("node", "child", "kind", "weight", F.monotonically_increasing_id().alias("id")), "edges")
+    sums = edges.groupBy("node").agg(F.sum("weight").alias("total"), F.min("weight").alias("least"))
     require(sums, above_one=F.col("total") > 1 + 1e-10, negative=F.col("least") < 0)
-    kinds = holdings.where("kind <> 'unknown'").groupBy("child").agg(F.countDistinct("kind").alias("kinds"))
-    require(kinds, two_kinds=F.col("kinds") > 1)
-    nodes = sums.select(F.col("node").alias("child"), F.lit(True).alias("has"))
-    front = roots.select("root", F.col("root").alias("node"), F.lit(1.0).alias("w"), F.array("root").alias("path")).distinct()
-    done: list[DataFrame] = []
-    for level in range(1, depth + 1):
-        edges = front.join(holdings.where("weight > 0"), "node").join(nodes, "child", "left")
-        is_fund = F.col("kind") == "fund"
-        stop = F.when(F.array_contains("path", F.col("child")), "cycle").when(F.lit(level >= depth), "depth_limit").when(F.col("has").isNull(), "missing_child")
-        reason = F.when(is_fund, stop).when(F.col("kind") == "unknown", "unknown_kind")
-        step = edges.select("root", "child", "kind", (F.col("w") * F.col("weight")).alias("w"), F.array_append("path", F.col("child")).alias("path"), reason.alias("reason"))
-        short = front.join(sums, "node").where("1 - total > 1e-12").select("root", F.lit("unknown").alias("child"), F.lit("unknown").alias("kind"), (F.col("w") * (1 - F.col("total"))).alias("w"), "path", F.lit("undisclosed").alias("reason"))
-        step = written(step.unionByName(short), "paths")
-        done.append(step.where("kind <> 'fund' OR reason IS NOT NULL"))
-        front = step.where("kind = 'fund' AND reason IS NULL").select("root", F.col("child").alias("node"), "w", "path")
-        if front.isEmpty():
+    kinds = edges.where("kind <> 'unknown'").groupBy("child").agg(F.min("kind").alias("a"), F.max("kind").alias("b"))
+    require(kinds, two_kinds=F.col("a") != F.col("b"))
+    powers = [_first_walks(edges, sums)]
+    while 2 ** len(powers) <= depth:
+        powers.append(_extended(powers[-1], powers[-1], "walks"))
+        if powers[-1].where("open").isEmpty():
             break
-    every = reduce(DataFrame.unionByName, done)
-    known = F.col("reason").isNull()
-    return every.select("root", F.when(known, F.col("child")).otherwise("unknown").alias("leaf"), F.when(known, F.col("kind")).otherwise("unknown").alias("kind"), "w", "reason", "path")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    found = roots.select(
+        F.col("root").alias("start"), F.col("root").alias("end"), F.lit("fund").alias("kind"), F.lit(None).cast("string").alias("reason"), F.lit(True).alias("open"),
+        F.array("root").alias("path"), none("bigint").alias("ids"), none("double").alias("ws"),
+    ).distinct()
+    done = 2 ** (len(powers) - 1)
+    bits = [k for k in reversed(range(len(powers))) if depth & 2**k] if 2 * done > depth else [len(powers) - 1]
+    for k in bits:
+        found = _extended(found, powers[k], "paths")
+    reason = F.when(F.col("open"), "depth_limit").otherwise(F.col("reason"))
+    known = reason.isNull()
+    w = F.aggregate("ws", F.lit(1.0), lambda a, x: a * x)
+    return found.where("size(ids) > 0").select(
+        F.col("start").alias("root"), F.when(known, F.col("end")).otherwise("unknown").alias("leaf"), F.when(known, F.col("kind")).otherwise("unknown").alias("kind"), w.alias("w"), reason.alias("reason"), "path",
+    )
 
 
 def issuers(leaves: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -59,13 +59,14 @@ def group_weights(panel: DataFrame, groups: int = 5) -> DataFrame:
     return r.select("signal_date", "security", "bucket", (1 / F.count("*").over(Window.partitionBy("signal_date", "bucket"))).alias("w"))
 
 
-def overlaps(windows: DataFrame, block: Column | None = None) -> DataFrame:
-    """``windows`` (start, end) with overlaps: it starts before an earlier one has ended. The latest end is carried from block to block, each in a window of its
-    own; ``block``, by default the day of the start, must not fall as starts grow, and only one row per block is sorted as a whole."""
+def overlaps(windows: DataFrame, *ties: str, block: Column | None = None) -> DataFrame:
+    """``windows`` (start, end) with overlaps: it starts before an earlier one has ended, in the order of start, end and ``ties``. Every window gives a row, those of the
+    same span too. The latest end is carried from block to block, each in a window of its own; ``block``, by default the day of the start, must not fall as
+    starts grow, and only one row per block is sorted as a whole."""
     rows = windows.withColumn("__block", F.to_date("start") if block is None else block)
     earlier = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     carried = rows.groupBy(F.col("__block").alias("__day")).agg(F.max("end").alias("__last")).select("__day", F.max("__last").over(earlier).alias("__carried"))
-    before = Window.partitionBy("__block").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("__block").orderBy("start", "end", *ties).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__own", F.max("end").over(before)).join(carried, F.col("__block").eqNullSafe(F.col("__day")))
     return rows.select(*(f"`{n}`" for n in windows.columns), F.coalesce(F.col("start") < F.greatest("__own", "__carried"), F.lit(False)).alias("overlaps"))
 

@@ -278,23 +278,34 @@ def hac_rows(excess: DataFrame, factors: DataFrame, lags: int | None = None) ->
     return out
 
 
-def binomial_quantile(q: float, n: int, p: float) -> int:
-    """The least k whose distribution function reaches q."""
-    total = 0.0
-    for k in range(n + 1):
-        total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
-        if total >= q - 1e-12:
-            return k
-    return n
+#: Fixed value: fewer values than these say nothing about a quantile.
+LEAST_VALUES = 20
+
+
+def below_chances(n: int, p: float) -> np.ndarray:
+    """For k from 1 to n the chance that fewer than k of n independent values lie below their p quantile: the distribution function of a binomial count."""
+    k = np.arange(n)
+    choose = math.lgamma(n + 1) - np.asarray([math.lgamma(i + 1) + math.lgamma(n - i + 1) for i in k])
+    return np.cumsum(np.exp(choose + k * math.log(p) + (n - k) * math.log1p(-p)))
+
+
+def interval_ranks(n: int, p: float, confidence: float = 0.95) -> tuple[int, int] | None:
+    """Ranks (from 1) of the greatest order statistic that lies above the p quantile, and of the least that lies at or below it, each with no more chance than its half of what the
+    confidence leaves. None where no such rank exists."""
+    if n < LEAST_VALUES:
+        return None
+    chance, spare = below_chances(n, p), (1 - confidence) / 2 + 1e-12
+    low, high = np.flatnonzero(chance <= spare), np.flatnonzero(1 - chance <= spare)
+    return (int(low[-1]) + 1, int(high[0]) + 1) if len(low) and len(high) else None
 
 
 def quantile_interval(values: np.ndarray, p: float, confidence: float = 0.95) -> tuple[float, float]:
-    """Order statistics that hold a quantile with the confidence; raises where the sample can't support the tail."""
-    n, tail = len(values), (1 - confidence) / 2
-    if n < 20 or p**n > tail or (1 - p) ** n > tail:
+    """The order statistics of :func:`interval_ranks`; raises where the sample can't support the tail."""
+    ranks = interval_ranks(len(values), p, confidence)
+    if ranks is None:
         raise InputError("too few values for this quantile")
-    v = np.sort(values)
-    return float(v[max(0, binomial_quantile(tail, n, p) - 1)]), float(v[min(n - 1, binomial_quantile(1 - tail, n, p))])
+    at = np.asarray(ranks) - 1
+    return tuple(np.partition(np.asarray(values, dtype=float), at)[at].tolist())
 
 
 def neutral_scores(values: np.ndarray, industry: list[str], log_cap: np.ndarray, weights: np.ndarray) -> dict:

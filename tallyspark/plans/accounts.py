@@ -21,7 +21,7 @@ def account(s: SparkSession, d: str) -> DataFrame:
     odd = s.createDataFrame([("Fnone", "fund", 500.0, 0.0, "NOWHERE", None), ("U", "unknown", 250.0, 0.0, None, None)], "position_id string, kind string, amount double, frozen_amount double, node string, security string")
     seg = F.col("c_mktsegment")
     kind = F.when(seg == "MACHINERY", "bond").when(seg == "FURNITURE", "cash").otherwise("stock")
-    lots = v.table(s, d, "customer").where("c_custkey % 10 = 1 AND c_acctbal > 0").withColumn("kind", kind)
+    lots = v.table(s, d, "customer").where("c_acctbal > 0").withColumn("kind", kind)
     lots = lots.select(F.concat(F.lit("P"), "c_custkey").alias("position_id"), "kind", F.col("c_acctbal").alias("amount"), F.when(F.col("kind") == "cash", 0.1 * F.col("c_acctbal")).otherwise(0.0).alias("frozen_amount"), F.lit(None).cast("string").alias("node"), F.concat(F.lit("D"), "c_name").alias("security"))
     return funds.unionByName(odd).unionByName(lots).withColumn("economic_lot_id", F.concat(F.lit("L"), "position_id"))
 
@@ -48,7 +48,7 @@ lvl AS (SELECT position_id, e2.child AS security, 'stock' AS kind, amount * e1.w
     UNION ALL SELECT position_id, NULL, 'unknown', amount * (1 - (SELECT sum(weight) FROM edges e WHERE e.node = fnd.node)), 'undisclosed' FROM fnd
     UNION ALL SELECT position_id, NULL, 'unknown', amount * e1.weight * (1 - (SELECT sum(weight) FROM edges e WHERE e.node = e1.child)), 'undisclosed' FROM fnd JOIN edges e1 ON e1.node = fnd.node),
 rws AS (SELECT *, 'fund_disclosure' AS origin FROM lvl UNION ALL SELECT 'Fnone', NULL, 'unknown', 500, 'missing_fund_disclosure', 'fund_disclosure' UNION ALL SELECT 'U', NULL, 'unknown', 250, 'root_classification_unknown', 'direct_account'
-    UNION ALL SELECT 'P' || c_custkey, 'D' || c_name, {KIND}, c_acctbal, NULL, 'direct_account' FROM customer WHERE c_custkey % 10 = 1 AND c_acctbal > 0),
+    UNION ALL SELECT 'P' || c_custkey, 'D' || c_name, {KIND}, c_acctbal, NULL, 'direct_account' FROM customer WHERE c_acctbal > 0),
 told AS (SELECT rws.position_id, rws.security, rws.kind, rws.amount, rws.origin, coalesce(rws.reason, CASE WHEN mst.kind IS NULL THEN 'missing_security_identity_or_kind_evidence' END) AS reason, issuer, industry, duration FROM rws LEFT JOIN mst ON mst.security = rws.security)"""
 
 
@@ -63,7 +63,7 @@ add(
     f"WITH {EXPOSED} SELECT {r('(SELECT sum(0.9 * amount) FROM rws WHERE kind = $$cash$$) AS available', '(SELECT sum(0.1 * amount) FROM rws WHERE kind = $$cash$$) AS frozen', '0 AS fund_cash')}",
     lambda s, d: exposed(s, d)[2],
 )
-add("root_kinds", f"WITH k AS (SELECT 'fund' AS key, 1000.0 * (r_regionkey + 1) AS amount FROM region UNION ALL SELECT 'fund', 500 UNION ALL SELECT 'unknown', 250 UNION ALL SELECT {KIND}, c_acctbal FROM customer WHERE c_custkey % 10 = 1 AND c_acctbal > 0) SELECT 'root_kind' AS level, key, {r('sum(amount) AS amount')} FROM k GROUP BY key", lambda s, d: exposure.root_kinds(account(s, d)))
+add("root_kinds", f"WITH k AS (SELECT 'fund' AS key, 1000.0 * (r_regionkey + 1) AS amount FROM region UNION ALL SELECT 'fund', 500 UNION ALL SELECT 'unknown', 250 UNION ALL SELECT {KIND}, c_acctbal FROM customer WHERE c_acctbal > 0) SELECT 'root_kind' AS level, key, {r('sum(amount) AS amount')} FROM k GROUP BY key", lambda s, d: exposure.root_kinds(account(s, d)))
 add(
     "issuer_mapping",
     f"""WITH RECURSIVE {GRAPH}, m AS (SELECT c_name, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 9 <> 0 THEN n_name END AS issuer FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 4 <> 0)

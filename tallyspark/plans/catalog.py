@@ -239,8 +239,6 @@ def daily_path(s: SparkSession, d: str) -> DataFrame:
 
 
 add("alloc_all", None, alloc_all)
-add("backtest_quarterly", None, lambda s, d: backtest.backtest(daily_path(s, d), EQUAL, rate=0.001, rebalance="quarterly"))
-add("backtest_threshold", None, lambda s, d: backtest.backtest(daily_path(s, d), EQUAL, rate=0.001, threshold=0.1))
 # A ledger that is never traded again is the buy-and-hold path: the first purchase is free of cost at rate 0.
 add("backtest_hold", f"WITH {RET}, p AS (SELECT date, 10 + sum(30 * nav) AS value FROM path GROUP BY date) SELECT date, {r('value', 'value / 100 AS nav')} FROM p", lambda s, d: backtest.backtest(daily_path(s, d), EQUAL).select("date", "value", "nav"))
 # Traded back to its weights every day at no cost, the portfolio's return is the mean of the returns.
@@ -259,12 +257,17 @@ add("panel_ic", f"WITH {PANEL} SELECT signal_date, n::BIGINT AS n, {r('ic', 'ran
 add("panel_buckets", f"WITH {PANEL} SELECT signal_date, bucket::BIGINT AS bucket, count(*)::BIGINT AS n, {r('avg(fwd) AS fwd')} FROM bucketed GROUP BY ALL", lambda s, d: factors.bucket_returns(v.panel(s, d)))
 add("panel_summary", f"WITH {PANEL} SELECT count(rank_ic)::BIGINT AS n_dates, {r('avg(rank_ic) AS mean_rank_ic', 'stddev_samp(rank_ic) AS std_rank_ic', 'avg(spread) AS mean_spread', 'avg(rank_ic) / stddev_samp(rank_ic) AS icir')} FROM info", lambda s, d: factors.panel_summary(factors.information(v.panel(s, d))))
 add("group_weights", f"WITH {PANEL} SELECT signal_date, security, bucket::BIGINT AS bucket, {r('1.0 / count(*) OVER (PARTITION BY signal_date, bucket) AS w')} FROM bucketed", lambda s, d: factors.group_weights(v.panel(s, d)))
-add("series_overlap", "WITH w AS (SELECT l_orderkey AS id, min(l_shipdate)::DATE AS start, max(l_shipdate)::DATE AS e FROM lineitem GROUP BY 1) SELECT id, start, e AS \"end\", coalesce(start < max(e) OVER (ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS overlaps FROM (SELECT min(id) AS id, start, e FROM w GROUP BY start, e)", lambda s, d: factors.overlaps(windows(s, d)))
+add(
+    "series_overlap",
+    """WITH w AS (SELECT l_orderkey AS id, min(l_shipdate)::DATE AS start, max(l_shipdate)::DATE AS e FROM lineitem GROUP BY 1)
+    SELECT id, start, e AS "end", coalesce(start < max(e) OVER (ORDER BY start, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS overlaps FROM w""",
+    lambda s, d: factors.overlaps(windows(s, d), "id"),
+)
 
 
 def windows(s: SparkSession, d: str) -> DataFrame:
-    w = v.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.to_date(F.min("l_shipdate")).alias("start"), F.to_date(F.max("l_shipdate")).alias("end"))
-    return w.groupBy("start", "end").agg(F.min("id").alias("id")).select("id", "start", "end")
+    """The days from the first to the last shipment of every order."""
+    return v.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.to_date(F.min("l_shipdate")).alias("start"), F.to_date(F.max("l_shipdate")).alias("end"))
 
 
 add(
