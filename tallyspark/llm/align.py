@@ -6,9 +6,9 @@ alignment is the same wherever it stands. A worker aligns each chunk that is new
 token ends gives elementary intervals, binary search names the token of either side that owns an interval, each interval is one
 overlapping pair, and an interval that ends where both its tokens do closes a group.
 
-Two passes over the texts. The first counts, for each pair of ids, the documents that hold it linked; each partition adds up its own
-counts before anything is shuffled. The counts are put in order and written as shards in the shared folder, each with the counts of its
-pairs and of the best pair of their first id. The second pass looks up the pairs of new chunks there, a shard at a time.
+Texts are encoded once. What a document has of its own, and its linked pairs of ids with how often it links them, are written to the
+shared folder. Pairs are then counted by document, each partition adding up its own before anything is shuffled, put in order and written
+as shards, each with the counts of its pairs and of the best pair of their first id; documents look their pairs up there, a shard at a time.
 
 Cases: null and empty texts, and texts whose bytes a tokenizer doesn't give back, have no tokens: zeros, no group. Rows without an id
 can't be named in a result and are left out, of the counts too. Rows that share a doc_id are documents of their own. Very long texts are
@@ -34,8 +34,8 @@ from . import common
 from .common import fetch, lean, partitions, put, staged, text_arrays, texts, work_dir
 
 #: Characters of a text that are split at once, chunks that are encoded as one text, chunks that a worker remembers, pairs in a shard, shards that a worker
-#: holds. Results don't depend on them.
-PART, TOGETHER, REMEMBERED, SHARD, HELD = 1 << 20, 400, 500_000, 1 << 17, 8
+#: holds, documents whose pairs are looked up at once. Results don't depend on them.
+PART, TOGETHER, REMEMBERED, SHARD, HELD, ROWS = 1 << 20, 400, 500_000, 1 << 17, 8, 1000
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: A pair is one number: the first id above these bits.
 BITS = 20
@@ -174,18 +174,16 @@ def align(pair: Pair, chunks: list[str], products: bool = False) -> Alignment:
 
 
 class Chunks:
-    """Alignments of the chunks that a worker has met, by number. ``pairs`` numbers the pairs of ids in them; with ``shards``, ``count_sum`` and ``n_best`` are
-    what a chunk's links add to its document's."""
+    """Alignments of the chunks that a worker has met, by number. ``pairs`` numbers the pairs of ids in them."""
 
-    def __init__(self, pair: Pair, products: bool, shards: tuple[tuple[int, str], ...] | None = None):
-        self.pair, self.products, self.shards = pair, products, shards
+    def __init__(self, pair: Pair, products: bool):
+        self.pair, self.products = pair, products
         self.number: dict[str, int] = {}
         self.pair_number: dict[int, int] = {}
         self.pairs = np.zeros(0, np.int64)
-        self.counts = np.zeros((0, 2), np.int64)  # of each pair: its count, 1 if that is its first id's best
         self.text: list[bytes] = []
         self.whole = np.zeros(0, bool)
-        self.sizes = np.zeros((0, 6), np.int64)  # tokens of either side, groups, links, best links, sum of counts
+        self.sizes = np.zeros((0, 4), np.int64)  # tokens of either side, groups, links
         self.links = np.zeros(0, np.int64)  # pair numbers, chunk after chunk
         self.first = np.zeros(1, np.int64)
 
@@ -204,24 +202,18 @@ class Chunks:
         self.pair_number.update(zip(fresh, range(len(self.pairs), len(self.pairs) + len(fresh))))
         self.pairs = np.concatenate((self.pairs, np.asarray(fresh, dtype=np.int64)))
         links = np.fromiter(map(self.pair_number.__getitem__, codes.tolist()), np.int64, len(codes))[at]
-        scores = np.zeros((len(new), 2), np.int64)
-        if self.shards is not None:
-            self.counts = np.concatenate((self.counts, looked_up(self.shards, np.asarray(fresh, dtype=np.int64))))
-            sums = np.concatenate((np.zeros((1, 2), np.int64), np.cumsum(self.counts[links], axis=0)))
-            ends = np.cumsum(got.n_links)
-            scores = sums[ends] - sums[ends - got.n_links]
         self.links = np.concatenate((self.links, links))
         self.text.extend(got.text)
         self.whole = np.concatenate((self.whole, got.whole))
-        self.sizes = np.concatenate((self.sizes, np.stack((got.n_a, got.n_b, got.n_groups, got.n_links, scores[:, 1], scores[:, 0]), axis=1)))
+        self.sizes = np.concatenate((self.sizes, np.stack((got.n_a, got.n_b, got.n_groups, got.n_links), axis=1)))
         self.first = np.concatenate(([0], np.cumsum(self.sizes[:, 3])))
 
-    def linked(self, numbers: np.ndarray) -> np.ndarray:
-        """The different pair numbers of some chunks."""
-        numbers = np.unique(numbers)
+    def linked(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different pairs of some chunks, and how often each is linked there."""
         each = self.sizes[numbers, 3]
         before = np.cumsum(each) - each
-        return np.unique(self.links[np.repeat(self.first[numbers] - before, each) + np.arange(int(each.sum()))])
+        found, times = np.unique(self.links[np.repeat(self.first[numbers] - before, each) + np.arange(int(each.sum()))], return_counts=True)
+        return self.pairs[found], times
 
 
 @lru_cache(maxsize=1)
@@ -250,9 +242,9 @@ def looked_up(shards: Sequence[tuple[int, str]], pairs: np.ndarray) -> np.ndarra
 
 
 @lru_cache(maxsize=1)
-def _known(first: str, second: str, products: bool, shards: tuple | None) -> list[Chunks]:
+def _known(first: str, second: str, products: bool) -> list[Chunks]:
     """What a worker remembers, for the task after this one too."""
-    return [Chunks(_pair(first, second), products, shards)]
+    return [Chunks(_pair(first, second), products)]
 
 
 common.REMEMBERED.append(("align", _known.cache_clear))
@@ -276,62 +268,71 @@ def numbered(chunks: Chunks, some: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _documents(batches: Iterator[pa.RecordBatch], known: list[Chunks]) -> Iterator[tuple[Chunks, list[tuple[int, np.ndarray, bool]], bool]]:
-    """Runs of parts of texts, some megabytes at a time: the chunks known so far, each part's document, chunk numbers and whether the document ends with it, and
-    whether this is the last run before the worker forgets its chunks."""
+def _documents(batches: Iterator[pa.RecordBatch], known: list[Chunks]) -> Iterator[tuple[Chunks, list[tuple[int, np.ndarray, bool]]]]:
+    """Runs of parts of texts, some megabytes at a time: the chunks known so far, and each part's document, chunk numbers and whether the document ends with it."""
     for ids, some in text_arrays(batches):
         size = pc.binary_length(some).to_numpy(zero_copy_only=False)
         short = np.flatnonzero((size > 0) & (size <= 4 * PART))
-        chunks = known[0]
         run = [(name, np.zeros(0, np.int64), True) for name in ids.take(pa.array(np.flatnonzero(size == 0))).to_pylist()]
         if len(short):
-            run += [(name, x, True) for name, x in zip(ids.take(pa.array(short)).to_pylist(), numbered(chunks, some.take(pa.array(short))))]
-        yield chunks, run, _forgets(known)
+            run += [(name, x, True) for name, x in zip(ids.take(pa.array(short)).to_pylist(), numbered(known[0], some.take(pa.array(short))))]
+        yield known[0], run
         for k in np.flatnonzero(size > 4 * PART).tolist():
             name, rows = ids[k].as_py(), pieces(" " + some[k].as_py())
             part = next(rows)
             while part is not None:
-                after, chunks = next(rows, None), known[0]
-                yield chunks, [(name, chunks.numbers(part), after is None)], _forgets(known)
+                after = next(rows, None)
+                yield known[0], [(name, known[0].numbers(part), after is None)]
                 part = after
-    yield known[0], [], True
-
-
-def _forgets(known: list[Chunks]) -> bool:
-    """Whether there are too many chunks to remember; the next run starts anew."""
-    if len(known[0].text) <= REMEMBERED:
-        return False
-    known[0] = Chunks(known[0].pair, known[0].products, known[0].shards)
-    return True
-
-
-def pair_counts(docs: DataFrame, first: str, second: str, products: bool = False) -> DataFrame:
-    """(pair, n): in how many documents a pair of ids is linked."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
-
-        seen, whole, total = [], True, np.zeros(0, np.int64)
-        for chunks, parts, forgets in _documents(batches, _known(first, second, products, None)):
-            total = np.concatenate((total, np.zeros(len(chunks.pairs) - len(total), np.int64)))
-            for _, numbers, last in parts:
-                whole = whole and bool(chunks.whole[numbers].all())
-                found = chunks.linked(numbers)
-                if last and not seen:
-                    total[found] += whole
-                else:  # a text of several parts gives rows of its own
-                    seen = [np.unique(np.concatenate((*seen, chunks.pairs[found])))]
-                    if last and whole:
-                        yield rows(seen[0], np.ones(len(seen[0]), np.int64))
+                _forget(known)
+        _forget(known)
+
+
+def _forget(known: list[Chunks]) -> None:
+    """With too many chunks to remember, the next run starts anew."""
+    if len(known[0].text) > REMEMBERED:
+        known[0] = Chunks(known[0].pair, known[0].products)
+
+
+def linked_documents(docs: DataFrame, first: str, second: str, products: bool = False) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, groups_sha256 of each document, its different linked pairs, and how often it links each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, whole, digest, parts_of, held = np.zeros(4, np.int64), True, hashlib.sha256(), 0, []
+        for chunks, parts in _documents(batches, _known(first, second, products)):
+            names, rows, digests, pairs, times = [], [], [], [], []
+            for name, numbers, last in parts:
+                if len(numbers):
+                    whole = whole and bool(chunks.whole[numbers].all())
+                    sizes = sizes + chunks.sizes[numbers].sum(axis=0)
+                    digest.update(b";" * bool(parts_of) + b";".join([chunks.text[k] for k in numbers.tolist()]))
+                    parts_of += 1
+                    held.append(chunks.linked(numbers))
+                if len(held) > 1:
+                    held = [_summed(held)]
                 if last:
-                    seen, whole = [], True
-            if forgets:
-                at = np.flatnonzero(total)
-                yield rows(chunks.pairs[at], total[at])
-                total = np.zeros(0, np.int64)
+                    good = whole and bool(held)
+                    names.append(name)
+                    rows.append(sizes if good else sizes * 0)
+                    digests.append(digest.hexdigest() if good else "")
+                    pairs.append(held[0][0] if good else np.zeros(0, np.int64))
+                    times.append(held[0][1] if good else np.zeros(0, np.int64))
+                    sizes, whole, digest, parts_of, held = np.zeros(4, np.int64), True, hashlib.sha256(), 0, []
+            for k in range(0, len(names), ROWS):
+                some = slice(k, k + ROWS)
+                table = np.asarray(rows[some], dtype=np.int64)
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in pairs[some]]))), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x[some]))) for x in (pairs, times)]
+                cols = [pa.array(names[some], pa.int64()), *(pa.array(table[:, c].copy()) for c in range(4)), pa.array(digests[some], pa.string()), *lists]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
+
+    kinds = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
+    return texts(docs).mapInArrow(lean(run, "align"), kinds)
+
 
-    return texts(docs).mapInArrow(lean(count, "align"), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    pairs, at = np.unique(np.concatenate([p for p, _ in held]), return_inverse=True)
+    return pairs, np.bincount(at, np.concatenate([n for _, n in held]), len(pairs)).astype(np.int64)
 
 
 def write_shards(counts: DataFrame, folder: str, size: int = SHARD) -> list[tuple[int, str]]:
@@ -366,30 +367,25 @@ def write_shards(counts: DataFrame, folder: str, size: int = SHARD) -> list[tupl
 
 def aligned(docs: DataFrame, first: str, second: str, products: bool = False) -> DataFrame:
     """doc_id, n_a, n_b (tokens), n_groups, n_links, n_best (links whose count is the highest of their first id), count_sum (of all links), groups_sha256 (of the
-    groups as ``a1,a2|b1;a3|b2,b3``). ``first``: a byte-level vocabulary of the tokenizers library, which gets a blank before the text; ``second``: a sentencepiece
-    model that puts one there. With ``products``, all pairs of ids that share a group are links, not only those that overlap."""
+    groups as ``a1,a2|b1;a3|b2,b3``). A pair's count is the number of documents that link it. ``first``: a byte-level vocabulary of the tokenizers library, which gets a
+    blank before the text; ``second``: a sentencepiece model that puts one there. With ``products``, all pairs of ids that share a group are links, not only those that overlap."""
     spark = docs.sparkSession
-    counts = staged(pair_counts(docs, first, second, products), "op11-counts")
+    rows = staged(linked_documents(docs, first, second, products), "op11-documents")
+    counts = rows.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
     shards = write_shards(counts, work_dir(spark, "op11-shards"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, whole, digest, parts_of = np.zeros(6, np.int64), True, hashlib.sha256(), 0
-        for chunks, parts, _ in _documents(batches, _known(first, second, products, tuple(shards))):
-            names, rows, digests = [], [], []
-            for name, numbers, last in parts:
-                if len(numbers):
-                    whole = whole and bool(chunks.whole[numbers].all())
-                    sizes = sizes + chunks.sizes[numbers].sum(axis=0)
-                    digest.update(b";" * bool(parts_of) + b";".join([chunks.text[k] for k in numbers.tolist()]))
-                    parts_of += 1
-                if last:
-                    names.append(name)
-                    rows.append(sizes if whole else sizes * 0)
-                    digests.append(digest.hexdigest() if whole and parts_of else "")
-                    sizes, whole, digest, parts_of = np.zeros(6, np.int64), True, hashlib.sha256(), 0
-            table = np.asarray(rows, dtype=np.int64).reshape(-1, 6)
-            cols = [pa.array(names, pa.int64()), *(pa.array(table[:, c].copy()) for c in range(6)), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(k, ROWS)
+                pairs, times = batch.column("pairs"), batch.column("times")
+                bounds = pairs.offsets.to_numpy() - pairs.offsets[0].as_py()
+                codes, at = np.unique(pairs.flatten().to_numpy(), return_inverse=True)
+                found = looked_up(shards, codes)[at] * times.flatten().to_numpy()[:, None]
+                sums = np.concatenate((np.zeros((1, 2), np.int64), np.cumsum(found, axis=0)))
+                told = sums[bounds[1:]] - sums[bounds[:-1]]
+                own = [batch.column(n) for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(told[:, 1].copy()), pa.array(told[:, 0].copy()), batch.column("groups_sha256")], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     kinds = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    return texts(docs).mapInArrow(lean(judge, "align"), kinds)
+    return rows.mapInArrow(lean(judge, "align"), kinds)

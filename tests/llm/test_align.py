@@ -96,7 +96,7 @@ def test_parts_and_memory_change_nothing(spark, tokenizers, monkeypatch):
         known = [align.Chunks(tokenizers[2], False)]
         first = known[0]
         sizes = {}
-        for chunks, parts, _ in align._documents(iter([batch]), known):
+        for chunks, parts in align._documents(iter([batch]), known):
             for name, numbers, last in parts:
                 rows += last
                 sizes[name] = sizes.get(name, 0) + chunks.sizes[numbers].sum(axis=0)
