@@ -11,7 +11,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .returns import InputError, by_date, require, so_far
+from .returns import InputError, by_date, require
+from .scan import running
 from .stage import written
 
 EVENT = ["scenario", "account", "id", "kind", "date", "amount", "status", "reason"]
@@ -92,11 +93,11 @@ def ledger(happened: DataFrame, positions: DataFrame, scenarios: DataFrame, star
     kinds = ("income", "expense", "release", "sale_net")
     daily = happened.where("status = 'resolved'").groupBy("scenario", "account", "date").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("amount"))), F.lit(0.0)).alias(k) for k in kinds))
     rows = days.join(daily, ["scenario", "account", "date"], "left").fillna(0.0, list(kinds))
-    w = so_far("scenario", "account")
     own = F.col("income") + F.col("release") - F.col("expense")
-    balance = F.col("open_cash") + F.sum(own + F.col("sale_net")).over(w)
-    out = rows.withColumns({"balance": balance, "frozen": F.col("open_frozen") - F.sum("release").over(w), "without_sales": F.col("open_cash") + F.sum(own).over(w)})
-    return out.withColumn("gap", F.greatest(F.lit(0.0), -F.col("balance"))).drop("open_cash", "open_frozen")
+    rows = running(rows, "scenario", "account", sums={"flown": own + F.col("sale_net"), "released": F.col("release"), "flown_alone": own})
+    balance = F.col("open_cash") + F.col("flown")
+    out = rows.withColumns({"balance": balance, "frozen": F.col("open_frozen") - F.col("released"), "without_sales": F.col("open_cash") + F.col("flown_alone")})
+    return out.withColumn("gap", F.greatest(F.lit(0.0), -F.col("balance"))).drop("open_cash", "open_frozen", "flown", "released", "flown_alone")
 
 
 def summary(daily: DataFrame, happened: DataFrame) -> DataFrame:

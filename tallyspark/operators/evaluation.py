@@ -11,6 +11,7 @@ from .backtest import Rules, ledgers
 from .budget import Budget, detailed_budget
 from .returns import InputError, so_far
 from .risk import summary
+from .scan import running
 from .solve import Limits, allocations, shrunk
 
 ESTIMATE = "fold int, method string, asset string, w double"
@@ -82,7 +83,7 @@ def complete_years(dates: DataFrame, years: tuple[int, ...], monthly: bool) -> D
 
 def stitched(parts: DataFrame, *keys: str) -> DataFrame:
     """Ledgers of following folds (keys, date, r, ...) as one: nav is the running product over all of them."""
-    return parts.withColumn("nav", F.product(1 + F.col("r")).over(so_far(*keys)))
+    return running(parts, *keys, products={"nav": 1 + F.col("r")})
 
 
 def budget_walk_forward(panel: DataFrame, plan: Budget, least: int = 752, step: int = 126, train: int | None = None, validation: int = 0, window: int = 500, limits: Limits | None = None, rate: float = 1e-4, most_folds: int = 20, fallback: str = "cash", flows: DataFrame | None = None, value: float = 100_000.0, required_years: tuple[int, ...] = ()) -> dict:

@@ -7,12 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .returns import by_date, so_far
+from .returns import by_date
+from .scan import running
 
 
 def buy_and_hold(returns: DataFrame, weights: DataFrame, value: float) -> DataFrame:
     """(date, value, r) of a portfolio bought once: weights drift by the product of returns, the rest is idle cash."""
-    grown = returns.join(F.broadcast(weights), "asset").withColumn("h", F.col("w") * value * F.product(1 + F.col("r")).over(so_far("asset")))
+    grown = running(returns.join(weights, "asset"), "asset", products={"g": 1 + F.col("r")}).withColumn("h", F.col("w") * value * F.col("g"))
     idle = weights.agg((value * (1 - F.sum("w"))).alias("idle"))
     path = grown.groupBy("date").agg(F.sum("h").alias("held")).join(F.broadcast(idle)).select("date", (F.col("held") + F.col("idle")).alias("value"))
     before = F.coalesce(F.lag("value").over(Window.orderBy("date")), F.lit(value))
@@ -63,7 +64,7 @@ def cash_ledger(flows: DataFrame, days: DataFrame, opening: Column, *keys: str)
     """Balance on every day of ``days`` (keys, date, with or without flows), and gap, what is missing to zero."""
     net = flows.groupBy(*keys, "date").agg(F.sum("amount").alias("net"))
     all_days = days.join(net, [*keys, "date"], "left").withColumn("net", F.coalesce("net", F.lit(0.0)))
-    out = all_days.withColumn("balance", opening + F.sum("net").over(so_far(*keys)))
+    out = running(all_days, *keys, sums={"flown": F.col("net")}).withColumn("balance", opening + F.col("flown")).drop("flown")
     return out.withColumn("gap", F.greatest(F.lit(0.0), -F.col("balance")))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running
+
 
 class InputError(ValueError):
     """Input that breaks its contract."""
@@ -57,10 +59,9 @@ def total_return_index(nav: DataFrame, events: DataFrame) -> DataFrame:
     if not events.join(first_day, ["code", "date"], "left_semi").isEmpty():
         raise InputError("an event falls on the first date, before which nothing was held")
     joined = nav.join(events, ["code", "date"], "left")
-    grown = joined.withColumn("units", F.product(F.coalesce("split", F.lit(1.0)) + F.coalesce("cash", F.lit(0.0)) / F.col("nav")).over(so_far("code")))
-    first = F.first(F.col("units") * F.col("nav")).over(so_far("code"))
-    base = F.first("nav").over(so_far("code"))
-    return grown.select("code", "date", "nav", (F.col("units") * F.col("nav") / base).alias("index"), first.alias("first_value")).drop("first_value")
+    grown = running(joined, "code", products={"units": F.coalesce("split", F.lit(1.0)) + F.coalesce("cash", F.lit(0.0)) / F.col("nav")})
+    base = nav.groupBy("code").agg(F.min_by("nav", "date").alias("base"))
+    return grown.join(base, "code").select("code", "date", "nav", (F.col("units") * F.col("nav") / F.col("base")).alias("index"))
 
 
 def premium(prices: DataFrame, nav: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,19 +7,21 @@ import statistics
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .returns import by_date, so_far
+from .returns import by_date
+from .scan import growth_and_high, running
 
 TINY = 1e-15
 
 
 def nav_path(returns: DataFrame, *keys: str) -> DataFrame:
     """``returns`` with nav, the running product of 1 + r."""
-    return returns.withColumn("nav", F.product(1 + F.col("r")).over(so_far(*keys)))
+    return running(returns, *keys, products={"nav": 1 + F.col("r")})
 
 
 def drawdown_path(returns: DataFrame, *keys: str) -> DataFrame:
     """With nav and underwater: the fall from the running high, which the start at 1 is part of."""
-    return nav_path(returns, *keys).withColumn("underwater", 1 - F.col("nav") / F.greatest(F.lit(1.0), F.max("nav").over(so_far(*keys))))
+    path = growth_and_high(returns, 1 + F.col("r"), *keys)
+    return path.withColumn("underwater", 1 - F.col("nav") / F.greatest(F.lit(1.0), "high")).drop("high")
 
 
 def ratio(a: Column, b: Column) -> Column:
