@@ -85,7 +85,8 @@ def paths(holdings: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame:
     bits = [k for k in reversed(range(len(powers))) if depth & 2**k] if 2 * done > depth else [len(powers) - 1]
     for k in bits:
         found = _extended(found, powers[k], "paths")
-    reason = F.when(F.col("open"), "depth_limit").otherwise(F.col("reason"))
+    # at the depth nobody looks whether a fund has holdings
+    reason = F.when(F.col("open") | (F.col("reason") == "missing_child") & (F.size("ids") == depth), "depth_limit").otherwise(F.col("reason"))
     known = reason.isNull()
     w = F.aggregate("ws", F.lit(1.0), lambda a, x: a * x)
     return found.where("size(ids) > 0").select(

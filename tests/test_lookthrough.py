@@ -63,7 +63,7 @@ def graph(rng, funds=7, leaves=4):
 
 @pytest.mark.parametrize("seed,depth", [(1, 1), (2, 2), (3, 3), (4, 5), (5, 8), (6, 10), (7, 6)])
 def test_graphs_with_cycles(spark, seed, depth):
-    edges = graph(random.Random(seed))
+    edges = graph(random.Random(seed)) + [(f"F{k}", "F8", "fund", 0.1) for k in (0, 2)]  # F8 has no holdings
     roots = ["F0", "F3", "F3", "F9"]
     same(paths(spark, edges, roots, depth), walked(edges, sorted(set(roots)), depth))
 
