@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .returns import InputError, require
@@ -34,8 +34,8 @@ def _first_walks(edges: DataFrame, sums: DataFrame) -> DataFrame:
     return step.unionByName(short)
 
 
-def _extended(walks: DataFrame, by: DataFrame, name: str) -> DataFrame:
-    """``walks`` that are open, each with all of ``by`` that begin where it ends; the others as they are. A walk that comes back to a fund that it has met ends there as a cycle,
+def _extended(walks: DataFrame, by: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``walks`` that are open, each with all of ``by`` that begin where it ends; the others as they are; and how many are open, as the write has seen. A walk that comes back to a fund that it has met ends there as a cycle,
     once, whatever would follow."""
     ahead = by.select(*(F.col(c).alias(f"n_{c}") for c in _WALK))
     both = walks.where("open").join(ahead, F.col("end") == F.col("n_start"))
@@ -51,8 +51,10 @@ def _extended(walks: DataFrame, by: DataFrame, name: str) -> DataFrame:
         F.when(is_met, "fund").otherwise(F.col("n_kind")).alias("kind"), F.when(is_met, "cycle").otherwise(F.col("n_reason")).alias("reason"), (F.col("n_open") & ~is_met).alias("open"),
         F.concat("path", F.when(is_met, F.slice(tail, F.lit(1), cut)).otherwise(tail)).alias("path"), upto("ids", cut).alias("ids"), upto("ws", cut).alias("ws"), (is_met & (cut < whole)).alias("shortened"),
     )
-    step = written(step, name)
-    return walks.where("NOT open").unionByName(step.where("NOT shortened").select(*_WALK)).unionByName(step.where("shortened").select(*_WALK).dropDuplicates(["start", "ids"]))
+    seen = Observation()
+    step = written(step.observe(seen, F.count_if("open").alias("n")), name)
+    once = step.where("shortened").select(*_WALK).dropDuplicates(["start", "ids"])
+    return walks.where("NOT open").unionByName(step.where("NOT shortened").select(*_WALK)).unionByName(once), seen.get["n"]
 
 
 def paths(holdings: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame:
@@ -68,13 +70,15 @@ def paths(holdings: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame:
         raise InputError(f"depth goes from {DEPTHS[0]} to {DEPTHS[1]}")
     edges = written(holdings.select("node", "child", "kind", "weight", F.monotonically_increasing_id().alias("id")), "edges")
     sums = edges.groupBy("node").agg(F.sum("weight").alias("total"), F.min("weight").alias("least"))
-    require(sums, above_one=F.col("total") > 1 + 1e-10, negative=F.col("least") < 0)
     kinds = edges.where("kind <> 'unknown'").groupBy("child").agg(F.min("kind").alias("a"), F.max("kind").alias("b"))
-    require(kinds, two_kinds=F.col("a") != F.col("b"))
+    broken = {"above_one": F.col("total") > 1 + 1e-10, "negative": F.col("least") < 0}
+    told = sums.select(*(c.alias(n) for n, c in broken.items()), F.lit(False).alias("two_kinds"))
+    require(told.unionByName(kinds.select(*(F.lit(False).alias(n) for n in broken), (F.col("a") != F.col("b")).alias("two_kinds"))), **{n: F.col(n) for n in (*broken, "two_kinds")})
     powers = [_first_walks(edges, sums)]
     while 2 ** len(powers) <= depth:
-        powers.append(_extended(powers[-1], powers[-1], "walks"))
-        if powers[-1].where("open").isEmpty():
+        longer, n_open = _extended(powers[-1], powers[-1], "walks")
+        powers.append(longer)
+        if not n_open:
             break
     none = lambda kind: F.array().cast(f"array<{kind}>")
     found = roots.select(
@@ -84,7 +88,7 @@ def paths(holdings: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame:
     done = 2 ** (len(powers) - 1)
     bits = [k for k in reversed(range(len(powers))) if depth & 2**k] if 2 * done > depth else [len(powers) - 1]
     for k in bits:
-        found = _extended(found, powers[k], "paths")
+        found, _ = _extended(found, powers[k], "paths")
     # at the depth nobody looks whether a fund has holdings
     reason = F.when(F.col("open") | (F.col("reason") == "missing_child") & (F.size("ids") == depth), "depth_limit").otherwise(F.col("reason"))
     known = reason.isNull()

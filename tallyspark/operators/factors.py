@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import beside
+from .select import average_ranks
+
 
 def cutoff(rows: DataFrame, available: Column, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """(rows known at the cut-off, rows that are not, with a reason): late rows are kept apart, never dropped silently."""
@@ -29,17 +32,21 @@ def correlation(x: str, y: str) -> Column:
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
-def ranked(panel: DataFrame, groups: int, *more: str) -> DataFrame:
-    """``panel`` with fr and yr, the ranks of factor and return on each date, and bucket 1..groups. Ties never split, so a bucket may be empty."""
+def ranked(panel: DataFrame, groups: int, *more: str, wide: bool = False) -> DataFrame:
+    """``panel`` with fr and yr, the ranks of factor and return on each date, and bucket 1..groups. Ties never split, so a bucket may be empty. A date's securities are sorted in one
+    task, or, with ``wide``, spread over tasks by ranges of values: for cross-sections of very many rows. The ranks are the same."""
     keys = ("signal_date", *more)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    out = panel.withColumn("fr", average_rank("factor", *keys)).withColumn("yr", average_rank("fwd", *keys)).withColumn("n", n)
+    if wide:
+        sizes = panel.groupBy(*keys).agg(F.count("*").alias("n"))
+        out = beside(average_ranks(average_ranks(panel, "factor", "fr", *keys), "fwd", "yr", *keys), sizes, *keys)
+    else:
+        out = panel.withColumn("fr", average_rank("factor", *keys)).withColumn("yr", average_rank("fwd", *keys)).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
     return out.withColumn("bucket", F.least(F.lit(groups), F.floor((F.col("fr") - 1) * groups / F.col("n")) + 1).cast("int"))
 
 
-def information(panel: DataFrame, groups: int = 5, *more: str) -> DataFrame:
-    """Per date: n, ic, rank_ic, spread of the top over the bottom bucket."""
-    r = ranked(panel, groups, *more)
+def information(panel: DataFrame, groups: int = 5, *more: str, wide: bool = False) -> DataFrame:
+    """Per date: n, ic, rank_ic, spread of the top over the bottom bucket; ``wide`` as in :func:`ranked`."""
+    r = ranked(panel, groups, *more, wide=wide)
     mean = lambda b: F.avg(F.when(F.col("bucket") == b, F.col("fwd")))
     return r.groupBy("signal_date", *more).agg(F.count("*").alias("n"), correlation("factor", "fwd").alias("ic"), correlation("fr", "yr").alias("rank_ic"), (mean(groups) - mean(1)).alias("spread"))
 

@@ -21,12 +21,21 @@ def buy_and_hold(returns: DataFrame, weights: DataFrame, value: float) -> DataFr
 
 
 def fixed_notional(periods: DataFrame, returns: DataFrame, trades: DataFrame, cash: float, *keys: str, bps: Column) -> DataFrame:
-    """Equity per period of an account that trades fixed amounts: each trade grows by the returns from its period on, so no state is carried.
-
-    ``periods`` (ix), ``returns`` (ix, security, r), ``trades`` (ix, security, notional) and ``keys`` that are repeated for each, such as a fee rate."""
-    later = trades.select(*keys, F.col("ix").alias("t"), "security", "notional").join(returns, "security").where("ix >= t")
-    own = Window.partitionBy(*keys, "t", "security", "notional").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
-    held = later.withColumn("h", F.col("notional") * F.product(1 + F.col("r")).over(own)).groupBy(*keys, "ix").agg(F.sum("h").alias("held"))
+    """Equity per period of an account that trades fixed amounts: each trade grows by the returns from its period on.
+
+    ``periods`` (ix), ``returns`` (ix, security, r), ``trades`` (ix, security, notional) and ``keys`` that are repeated for each, such as a fee rate. A row for each security and
+    period, however many trades there are: with the growth of a security up to each period, a trade buys its amount over the growth before it in units, and what is held is all
+    units so far times the growth. A return of -1 ends all units, so growth and units start again behind it. ``ix`` is a whole number."""
+    spent = trades.groupBy(*keys, "security", "ix").agg(F.sum("notional").alias("notional"))
+    rows = spent.select(*keys, "security").distinct().join(returns.select("security", "ix", "r"), "security").join(spent, [*keys, "security", "ix"], "full")
+    on = [*keys, "security"]
+    gone = F.coalesce(F.col("r") == -1, F.lit(False))
+    rows = running(rows, *on, order="ix", sums={"ended": gone.cast("int")}).withColumn("ended", F.col("ended").cast("long"))
+    rows = rows.withColumn("g", F.when(gone, 1.0).otherwise(F.coalesce(1 + F.col("r"), F.lit(1.0))))
+    rows = running(rows, *on, "ended", order="ix", products={"grown": F.col("g")})
+    bought = F.when(gone, 0.0).otherwise(F.coalesce("notional", F.lit(0.0))) * F.col("g") / F.col("grown")
+    rows = running(rows, *on, "ended", order="ix", sums={"units": bought})
+    held = rows.where("r IS NOT NULL").groupBy(*keys, "ix").agg(F.sum(F.col("units") * F.col("grown")).alias("held"))
     fees = trades.withColumn("fee", F.abs("notional") * bps / 10_000).groupBy(*keys, "ix").agg(F.sum("notional").alias("spent"), F.sum("fee").alias("fee"))
     w = Window.partitionBy(*keys).orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
     out = periods.join(held, [*keys, "ix"], "left").join(fees, [*keys, "ix"], "left").fillna(0.0, ["held", "spent", "fee"])
@@ -97,8 +106,9 @@ def last_on_or_before(planned: DataFrame, dates: DataFrame, oldest: int | None =
 
 
 def xirr(flows: DataFrame, *keys: str) -> DataFrame:
-    """Percent a year at which dated amounts (date, amount) are worth nothing, by 150 halvings on log(1 + r) in built-in expressions; null unless money first goes
-    out and then comes back with one change of sign."""
+    """Percent a year at which dated amounts (date, amount) are worth nothing, by 60 halvings on log(1 + r) in built-in expressions, which leave less than a double tells apart; null
+    unless money first goes out and then comes back with one change of sign. Amounts are summed by day first, so a key's row holds as many pairs as the calendar has days, whatever the
+    number of its flows."""
     own = Window.partitionBy(*keys)
     days = flows.groupBy(*keys, "date").agg(F.sum("amount").alias("amount")).where("amount <> 0")
     days = days.withColumn("t", F.datediff("date", F.min("date").over(own)) / 365.25).withColumn("turn", (F.signum("amount") != F.lag(F.signum("amount")).over(by_date(*keys))).cast("int"))
@@ -111,7 +121,7 @@ def xirr(flows: DataFrame, *keys: str) -> DataFrame:
         # The money goes out first, so the worth falls as the rate rises.
         return F.when(npv(mid) > 0, F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
 
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(150)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+    root = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
     solvable = (F.col("turns") == 1) & (F.col("first") < 0) & (npv(F.lit(-20.0)) > 0) & (npv(F.lit(20.0)) < 0)
     return one.select(*keys, F.when(solvable, 100 * F.expm1(root)).alias("xirr"))
 

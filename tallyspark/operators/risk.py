@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .returns import by_date
-from .scan import growth_and_high, running
+from .scan import beside, growth_and_high, running
+from .select import order_statistics
+from .stage import written
 
 TINY = 1e-15
 
@@ -52,12 +54,15 @@ def summary(returns: DataFrame, *keys: str, periods: float = 252.0, risk_free: f
 
 
 def expected_shortfall(returns: DataFrame, *keys: str, alpha: float = 0.95, least_tail: float = 30.0) -> DataFrame:
-    """Mean of the worst (1 - alpha) n losses with the boundary loss in part, the interpolated quantile, and whether the tail has ``least_tail`` rows."""
-    sized = returns.withColumn("loss", -F.col("r")).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("loss"), "date"))
-    tail = (1 - alpha) * F.col("n")
-    part = sized.withColumn("part", F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail - (rank - 1))))
-    out = part.groupBy(*keys).agg(F.first("n").alias("n"), (F.sum(F.col("loss") * F.col("part")) / F.sum("part")).alias("es"), F.percentile("loss", F.lit(alpha)).alias("var"))
+    """Mean of the worst (1 - alpha) n losses with the boundary loss in part, the interpolated quantile, and whether the tail has ``least_tail`` rows. Boundary and quantile are
+    order statistics, which need no group to be sorted in one task."""
+    losses = written(returns.select(*keys, (-F.col("r")).alias("loss")), "losses")
+    tail, at = (1 - alpha) * F.col("n"), alpha * (F.col("n") - 1)
+    told = order_statistics(losses, "loss", {"edge": F.col("n") - F.ceil(tail) + 1, "low": F.floor(at) + 1, "high": F.ceil(at) + 1}, *keys)
+    told = told.select(*keys, "n", "edge", tail.alias("tail"), (F.col("low") + (at - F.floor(at)) * (F.col("high") - F.col("low"))).alias("var"))
+    above = F.col("loss") > F.col("edge")
+    sums = beside(losses, told, *keys).groupBy(*keys, "n", "tail", "edge", "var").agg(F.coalesce(F.sum(F.when(above, F.col("loss"))), F.lit(0.0)).alias("s"), F.count_if(above).alias("m"))
+    out = sums.select(*keys, "n", ((F.col("s") + (F.col("tail") - F.col("m")) * F.col("edge")) / F.col("tail")).alias("es"), "var")
     return out.withColumn("status", F.when((1 - alpha) * F.col("n") < least_tail, "insufficient_data").otherwise("ok"))
 
 

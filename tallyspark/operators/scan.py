@@ -26,8 +26,10 @@ def block_of(rows: DataFrame, order: str) -> Column:
     return F.floor(F.col(order) / WIDE)
 
 
-def _joined(rows: DataFrame, carried: DataFrame, on: tuple[str, ...]) -> DataFrame:
-    """Both tables side by side where ``on`` is the same, nulls too."""
+def beside(rows: DataFrame, carried: DataFrame, *on: str) -> DataFrame:
+    """Both tables side by side where ``on`` is the same, nulls too; without ``on`` each row beside each."""
+    if not on:
+        return rows.crossJoin(carried)
     named = carried.select(*(F.col(c).alias(f"__on_{c}") if c in on else F.col(c) for c in carried.columns))
     return rows.join(named, reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on)))
 
@@ -44,7 +46,7 @@ def running(rows: DataFrame, *keys: str, order: str = "date", sums: dict[str, Co
     carried = totals.select(*on, *(F.coalesce(f(f"__t_{n}").over(before), F.lit(z)).alias(f"__c_{n}") for n, (f, _, z) in terms.items()))
     local = cut.withColumns({f"__l_{n}": F.coalesce(f(e).over(own), F.lit(z)) for n, (f, e, z) in terms.items()})
     whole = {n: F.col(f"__c_{n}") + F.col(f"__l_{n}") if n in sums else F.col(f"__c_{n}") * F.col(f"__l_{n}") for n in terms}
-    return _joined(local, carried, on).select(*(f"`{c}`" for c in rows.columns if c not in whole), *(e.alias(n) for n, e in whole.items()))
+    return beside(local, carried, *on).select(*(f"`{c}`" for c in rows.columns if c not in whole), *(e.alias(n) for n, e in whole.items()))
 
 
 def growth_and_high(rows: DataFrame, growth: Column, *keys: str, order: str = "date", block: Column | None = None) -> DataFrame:
@@ -58,4 +60,4 @@ def growth_and_high(rows: DataFrame, growth: Column, *keys: str, order: str = "d
     carried = totals.withColumn("__c", F.coalesce(F.product("__p").over(before), F.lit(1.0))).withColumn("__h", F.max(F.col("__c") * F.col("__top")).over(before))
     inside = local.withColumn("__m", F.max("__l").over(own))
     nav, high = F.col("__c") * F.col("__l"), F.greatest("__h", F.col("__c") * F.col("__m"))
-    return _joined(inside, carried.select(*on, "__c", "__h"), on).select(*(f"`{c}`" for c in rows.columns if c not in ("nav", "high")), nav.alias("nav"), high.alias("high"))
+    return beside(inside, carried.select(*on, "__c", "__h"), *on).select(*(f"`{c}`" for c in rows.columns if c not in ("nav", "high")), nav.alias("nav"), high.alias("high"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions, streaming
+from ..operators import factors
 from ..operators.stage import folder
 from . import views as v
 from .catalog import GRAPH, RET
@@ -49,6 +50,24 @@ add(
 )
 
 
+# One cross-section of every line item: its rows are ranked in ranges of values.
+add(
+    "wide_cross_section",
+    f"""WITH p AS (SELECT year(l_shipdate) // 100 AS century, l_discount AS factor, l_extendedprice / l_quantity AS fwd FROM lineitem),
+    k AS (SELECT *, rank() OVER (PARTITION BY century ORDER BY factor) + (count(*) OVER (PARTITION BY century, factor) - 1) / 2.0 AS fr, rank() OVER (PARTITION BY century ORDER BY fwd) + (count(*) OVER (PARTITION BY century, fwd) - 1) / 2.0 AS yr,
+        count(*) OVER (PARTITION BY century) AS n FROM p),
+    b AS (SELECT *, least(5, floor((fr - 1) * 5 / n) + 1) AS bucket FROM k)
+    SELECT century::BIGINT AS signal_date, count(*)::BIGINT AS n, {r('covar_pop(factor, fwd) / nullif(stddev_pop(factor) * stddev_pop(fwd), 0) AS ic', 'covar_pop(fr, yr) / nullif(stddev_pop(fr) * stddev_pop(yr), 0) AS rank_ic')},
+        round((avg(fwd) FILTER (bucket = 5) - avg(fwd) FILTER (bucket = 1))::DOUBLE, 5) + 0.0 AS spread FROM b GROUP BY century""",
+    lambda s, d: factors.information(lines(s, d), wide=True).withColumn("spread", F.round("spread", 5)),
+)
+
+
+def lines(s: SparkSession, d: str) -> DataFrame:
+    century = F.floor(F.year("l_shipdate") / 100)
+    return v.table(s, d, "lineitem").select(century.alias("signal_date"), F.col("l_orderkey").alias("security"), F.col("l_discount").alias("factor"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("fwd"))
+
+
 def streamed(s: SparkSession, d: str, shape, work, time: str, name: str) -> DataFrame:
     """``work`` over a stream of the table of events in the form that ``shape`` gives, ended by a closing row. A stream follows folders and patterns; the table may be one file."""
     path, at = f"{d}/events.parquet", f"{folder(s)}/{name}-{uuid.uuid4().hex[:12]}"
