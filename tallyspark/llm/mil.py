@@ -11,16 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_batch, lean, slices, texts
+from .common import cut_batch, lean, slices, staged, texts
 from .toxic import part_of
 from .wordhash import PART, Words, parts
 
 PASSAGE = 64
-#: Labelled documents that the layers are learnt from, all passages of each.
-SAMPLE = 4_000
+#: Labelled documents that the layers are learnt from, all passages of each, and passages beyond which no further document is taken: the driver holds 1,080 bytes of each.
+SAMPLE, MOST_PASSAGES = 4_000, 200_000
 HIDDEN, GATE = 16, 8
 #: Places of hashed words; two words share one with a chance of 1 / WORDS, and the layer learns what a place says about quality.
 WORDS = 256
@@ -46,28 +46,35 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _encoded_long(text: bytes) -> np.ndarray:
-    """Passages of one text. Behind the last whole passage of a part, its bytes go to the next part."""
-    out, rest, n = [], b"", 0
+    """Passages of one text, as of the whole. Behind the last whole passage of a part, its words go to the next part; the classes of the signs and blanks behind them, or before the
+    text's first word, are counted and added to the passage that they stand in."""
+    out, rest, n, aside = [], b"", 0, np.zeros(10)
     for part in parts(text, PART):
         rest += part
         words = Words.of([rest])
-        whole = (len(words.begin) - 1) // PASSAGE if len(words.begin) else 0  # the last one may go on
+        if not len(words.begin):
+            aside, rest = aside + np.bincount(_CLASS[words.raw[:-1]], minlength=10), b""
+            continue
+        whole = (len(words.begin) - 1) // PASSAGE  # the last one may go on
         if whole:
             cut = int(words.begin[whole * PASSAGE])
-            out.append(_encoded([rest[:cut]])[0])
-            n, rest = n + whole * PASSAGE, rest[cut:]
-        elif not len(words.begin):
-            rest = rest[-1:]  # without a word only shapes would be lost, of white space and signs
-    last = Words.of([rest])
-    n += len(last.begin)
-    if len(last.begin) or not out:
-        out.append(_encoded([rest])[0])
+            out.append(_encoded([rest[:cut]], aside)[0])
+            n, rest, aside = n + whole * PASSAGE, rest[cut:], np.zeros(10)
+            words = Words.of([rest])
+        end = int(words.end[-1])
+        if len(rest) - end > 1:
+            aside = aside + np.bincount(_CLASS[words.raw[end:-1]], minlength=10)
+            aside[BLANK] -= 1  # for the one that stands for them
+            rest = rest[:end] + b" "
+    n += len(Words.of([rest]).begin)
+    out.append(_encoded([rest], aside)[0])
     x = np.concatenate(out)
     x[:, SHAPES - 1] = np.log1p(n)
     return x
 
 
-def _encoded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _encoded(texts: list[bytes], aside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``aside``: bytes by class that belong to the first passage and don't stand in the texts."""
     words = Words.of(texts)
     per = np.diff(words.first)
     count = np.maximum(1, -(-per // PASSAGE))
@@ -82,6 +89,8 @@ def _encoded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     kinds = _CLASS[words.raw]
     kinds[words.offsets[1:] - 1] = 255  # what stands between texts is of none
     by_class = np.stack([np.add.reduceat(kinds == k, begin, dtype=np.int64) for k in range(10)], axis=1).astype(float)
+    if aside is not None:
+        by_class[0] += aside
     size = np.maximum(1.0, by_class.sum(axis=1))
     passage = bounds[:-1][words.text] + (np.arange(len(words.text)) - words.first[:-1][words.text]) // PASSAGE
     n = np.bincount(passage, minlength=total).astype(float)
@@ -119,7 +128,7 @@ def _encoded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _layers(x: np.ndarray, of: np.ndarray, docs: int, p: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-    h = np.tanh(x @ p["w"] + p["b"])
+    h = np.tanh(x @ p["w"].astype(np.float32) + p["b"])  # passages stay as they are: a copy in doubles would be twice as large
     tan, sig = np.tanh(h @ p["v"]), 1 / (1 + np.exp(-np.clip(h @ p["u"], -30, 30)))
     e = (tan * sig) @ p["a"]
     a = np.exp(e - e.max(initial=0.0))
@@ -157,7 +166,7 @@ def train(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, epochs: int = EPOCHS
         gate = np.outer(de, p["a"])
         d_tan, d_sig = gate * sig * (1 - tan**2), gate * tan * sig * (1 - sig)
         dh = (a[:, None] * dz + d_tan @ p["v"].T + d_sig @ p["u"].T) * (1 - h**2)
-        grads = {"w": x.T @ dh, "b": dh.sum(axis=0), "v": h.T @ d_tan, "u": h.T @ d_sig, "a": (tan * sig).T @ de, "c": z.T @ up, "d": np.asarray([up.sum()])}
+        grads = {"w": x.T @ dh.astype(np.float32), "b": dh.sum(axis=0), "v": h.T @ d_tan, "u": h.T @ d_sig, "a": (tan * sig).T @ de, "c": z.T @ up, "d": np.asarray([up.sum()])}
         for n, g in grads.items():
             g = g + (decay if n == "w" else DECAY_SHAPE) * p[n]
             first[n] = 0.9 * first[n] + 0.1 * g
@@ -174,8 +183,9 @@ def predict(model: dict[str, np.ndarray], x: np.ndarray, bounds: np.ndarray) ->
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), a
 
 
-def fit(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """A model from ``docs`` (doc_id, text) and ``known`` (doc_id, label), whose first ``sample`` ids by hash are used."""
+def fit(docs: DataFrame, known: DataFrame, sample: int = SAMPLE, most: int = MOST_PASSAGES) -> dict[str, np.ndarray]:
+    """A model from ``docs`` (doc_id, text) and ``known`` (doc_id, label), whose first ``sample`` ids by hash are used, as far as they have no more than ``most`` passages
+    together; the first is always taken."""
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # small enough to broadcast
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +197,11 @@ def fit(docs: DataFrame, known: DataFrame, sample: int = SAMPLE) -> dict[str, np
 
     each = docs.join(F.broadcast(few), "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(lean(passages), "doc_id long, label int, x binary")
     once = each.groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("r"))  # a document that rows repeat is taken once
-    got = once.select("doc_id", "r.*").toArrow().sort_by("doc_id")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # of a few thousand numbers
+    once = staged(once.select("doc_id", "r.*"), "op2-passages")
+    held = F.sum(F.octet_length("x") / (4 * FEATURES)).over(order)
+    fits = once.select("doc_id", held.alias("held"), F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("k")).where((F.col("held") <= most) | (F.col("k") == 1))
+    got = once.join(F.broadcast(fits.select("doc_id")), "doc_id").toArrow().sort_by("doc_id")
     bags = [np.frombuffer(b, "<f4").reshape(-1, FEATURES) for b in got.column("x").to_pylist()]
     bounds = np.concatenate(([0], np.cumsum([len(b) for b in bags]))).astype(np.int64)
     return train(np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32), bounds, got.column("label").to_numpy().astype(float))

@@ -7,16 +7,15 @@ an anchor that occurs once share none. Equal pieces under an anchor are one piec
 The pieces under one anchor are a collection whose suffixes are put in order by inserting one symbol of each piece per round,
 from the last column to the first. Each round updates the Burrows-Wheeler transform and the common prefixes of neighbours by
 passes over them in order. Windows that agree are then neighbours with a common prefix of 100 or more. A collection is read
-from a table sorted by anchor, so what one task holds is bounded. Pieces under an anchor that has more than ``HOT`` different ones are cut
-again by anchors of another hash, and again, until each collection is small enough: equal windows have equal anchors under every
-hash, so nothing is lost, and what remains is put in order in the same way.
+from a table sorted by anchor, so what one task holds is bounded. Pieces under an anchor that has more than ``HOT`` different ones aren't
+put in order by one task: each of their windows is a row, and equal windows meet by two hashes in one round.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,13 +52,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def anchors(raw: np.ndarray, length: int, gram: int = GRAM, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``length`` bytes, the least hash of its grams, and whether its first gram has it. Each ``level`` has a hash of its own."""
+def anchors(raw: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of ``length`` bytes, the least hash of its grams, and whether its first gram has it."""
     h, n = _OF_BYTE[raw], 1
     while n < gram:
         h = h[:-n] * _U(_STEP[n]) + h[n:]
         n *= 2
-    low, n, width = _mixed(h ^ _U(level * 0x9E3779B97F4A7C15 % 2**64)), 1, length - gram + 1
+    low, n, width = _mixed(h), 1, length - gram + 1
     h = low
     while 2 * n <= width:
         low = np.minimum(low[:-n], low[n:])
@@ -86,14 +85,14 @@ def units(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[tuple
         yield held
 
 
-def pieces(group: list[tuple[int, int, bytes]], length: int, level: int = 0) -> tuple[np.ndarray, ...]:
+def pieces(group: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
     """(anchor, doc_id, first window, windows, place in the joined bytes) of the pieces, and the joined bytes."""
     sizes = np.asarray([len(b) for _, _, b in group])
     raw = np.frombuffer(b"".join(b for _, _, b in group), dtype=np.uint8)
     none = np.zeros(0, np.int64)
     if len(raw) < length:
         return none.astype(np.uint64), none, none, none, none, raw
-    low, at_first = anchors(raw, length, level=level)
+    low, at_first = anchors(raw, length)
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(group)), sizes)[: len(low)]
     inside = np.arange(len(low)) + length <= ends[owner]
@@ -268,9 +267,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     inside = loaded.where(few).repartition(partitions(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(lean(sort), "anchor long, print long, inside array<struct<begin:long,end:long>>")
     late = staged(inside, "op6-inside")
 
-    if split.where("kinds > %d" % hot).limit(1).count():
-        deep = divided(loaded.where(~few).select("anchor", "print", F.lit(0).cast("long").alias("base"), F.col("anchor").alias("under"), "doc_id", "first", "bytes"), sort, length, hot)
-        late = late.unionByName(deep.groupBy("anchor", "print").agg(F.collect_list(F.struct("begin", "end")).alias("inside")))
+    if not loaded.where(~few).isEmpty():
+        late = late.unionByName(crowded(loaded.where(~few), length))
 
     # Written down, so that the join with all places stands alone and a group of very many copies can be split.
     known = staged(whole.join(late, ["anchor", "print"], "left").where("copies > 1 or inside is not null").select("anchor", "print", "lead", "inside"), "op6-known")
@@ -281,38 +279,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     return spans.select("doc_id", (F.col("first") + F.col("s.begin")).alias("begin"), (F.col("first") + F.col("s.end")).alias("end"))
 
 
-def divided(rows: DataFrame, sort: Callable, length: int, hot: int) -> DataFrame:
-    """(anchor, print, begin, end) of repeated windows inside pieces of crowded collections: ``rows`` (anchor, print, base, under, doc_id, first, bytes) are cut by anchors
-    of further levels, ``base`` is where a part begins in its piece. Equal parts under an anchor are one part with a first place, whose copies are repeats."""
-    spark, out, level = rows.sparkSession, [], 0
-    columns = ["anchor", "print", "base", "under", "mark", "doc_id", "first", "n", "bytes"]
-    while True:
-        level += 1
-
-        def cut(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in cut_batch(batch, "bytes"):
-                    low, row, first, n, at, raw = pieces([(k, 0, b) for k, b in enumerate(part.column("bytes").to_pylist())], length, level)
-                    held = raw.tobytes()
-                    of = {c: part.column(c).to_numpy()[row] for c in ("anchor", "print", "base", "under", "doc_id", "first")}
-                    under = _mixed((of["under"].view(np.uint64) ^ low) * _U(_BASE))
-                    cols = [of["anchor"], of["print"], of["base"] + first, under.view(np.int64), prints(raw, at, n + length - 1).view(np.int64), of["doc_id"], of["first"] + first, n]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([held[a : a + k + length - 1] for a, k in zip(at.tolist(), n.tolist())], pa.binary())], columns)
-
-        parts = staged(rows.mapInArrow(lean(cut), "anchor long, print long, base long, under long, mark long, doc_id long, first long, n long, bytes binary"), "op6-parts")
-        lead = parts.groupBy("under", "mark").agg(F.min(F.struct("doc_id", "first")).alias("lead"))
-        kinds = lead.groupBy("under").agg(F.count("*").alias("kinds"))
-        told = staged(parts.join(lead, ["under", "mark"]).join(kinds, "under").withColumn("leads", F.struct("doc_id", "first") == F.col("lead")), "op6-told")
-        out.append(told.where("not leads").select("anchor", "print", F.col("base").alias("begin"), (F.col("base") + F.col("n") + length - 1).alias("end")))
-        open_ = told.where("leads and kinds > 1")
-        small = open_.where(F.col("kinds") <= hot)
-        found = small.select(F.col("under").alias("anchor"), F.col("mark").alias("print"), "doc_id", "first", "bytes").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
-        found = staged(found.mapInArrow(lean(sort), "anchor long, print long, inside array<struct<begin:long,end:long>>"), "op6-inside")
-        inside = small.select("anchor", "print", "base", "under", "mark").join(found.select(F.col("anchor").alias("under"), F.col("print").alias("mark"), F.explode("inside").alias("s")), ["under", "mark"])
-        out.append(inside.select("anchor", "print", (F.col("base") + F.col("s.begin")).alias("begin"), (F.col("base") + F.col("s.end")).alias("end")))
-        rows = open_.where(F.col("kinds") > hot).select("anchor", "print", "base", "under", "doc_id", "first", "bytes")
-        if rows.isEmpty():
-            return reduce(DataFrame.unionByName, out)
+def crowded(rows: DataFrame, length: int) -> DataFrame:
+    """(anchor, print, inside) of pieces (anchor, print, doc_id, first, bytes) whose collections are too large to be put in order by one task: a row for each window, told by two
+    64-bit hashes, and the first place of each. One round, however many pieces there are; a window that very many pieces share is counted before it is shuffled, and Spark
+    splits its join."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in cut_batch(batch, "bytes"):
+                sizes = np.asarray([len(b) for b in part.column("bytes").to_pylist()], dtype=np.int64)
+                raw = np.frombuffer(b"".join(part.column("bytes").to_pylist()), dtype=np.uint8)
+                each = sizes - length + 1
+                row = np.repeat(np.arange(len(sizes)), each)
+                offset = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+                at = (np.cumsum(sizes) - sizes)[row] + offset
+                wide = np.full(len(at), length)
+                of = {c: part.column(c).to_numpy()[row] for c in ("anchor", "print", "doc_id", "first")}
+                hashes = [prints(x, at, wide).view(np.int64) for x in (raw, raw ^ np.uint8(0x5A))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), *(pa.array(of[c]) for c in ("anchor", "print", "doc_id")), pa.array(of["first"] + offset), pa.array(offset)], ["h", "g", "anchor", "print", "doc_id", "at", "offset"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[{"begin": a, "end": b + length} for a, b in runs_of(np.unique(x))] for x in batch.column("offsets").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("print"), pa.array(found, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], ["anchor", "print", "inside"])
+
+    windows = staged(rows.mapInArrow(lean(cut), "h long, g long, anchor long, print long, doc_id long, at long, offset long"), "op6-windows")
+    lead = windows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    late = windows.join(lead, ["h", "g"]).where(F.struct("doc_id", "at") != F.col("lead"))
+    some = late.groupBy("anchor", "print").agg(F.collect_list("offset").alias("offsets"))
+    return some.mapInArrow(lean(joined), "anchor long, print long, inside array<struct<begin:long,end:long>>")
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:

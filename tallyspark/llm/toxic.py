@@ -152,17 +152,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return w
 
 
-def weighed(key: np.ndarray, toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean: float) -> Model:
-    """Log-odds of what is clearly toxic, from counts of documents and their sums over all features."""
-    both = toxic + clean
-    prior = PRIOR * both / max(1.0, all_toxic + all_clean)
-    n1, n0 = all_toxic + PRIOR, all_clean + PRIOR
-    y1, y0 = toxic + prior, clean + prior
-    odds = np.log(y1 / (n1 - y1)) - np.log(y0 / (n0 - y0))
-    sure = (odds / np.sqrt(1 / (y1 + 0.5) + 1 / (y0 + 0.5)) >= SURE) & (toxic >= SEEN)
-    key, odds = key[sure], np.minimum(odds[sure], MOST)
-    order = np.argsort(key)
-    return Model(key[order], odds[order])
+def weighed(counts: DataFrame, all_toxic: float, all_clean: float) -> DataFrame:
+    """(key, odds): log-odds of what is clearly toxic, from counts of documents (key, toxic, clean) and their sums over all features."""
+    prior = PRIOR * (F.col("toxic") + F.col("clean")) / max(1.0, all_toxic + all_clean)
+    y1, y0 = F.col("toxic") + prior, F.col("clean") + prior
+    odds = F.log(y1 / (all_toxic + PRIOR - y1)) - F.log(y0 / (all_clean + PRIOR - y0))
+    sure = counts.where(F.col("toxic") >= SEEN).select("key", odds.alias("odds"), F.sqrt(1 / (y1 + 0.5) + 1 / (y0 + 0.5)).alias("error"))
+    return sure.where(F.col("odds") / F.col("error") >= SURE).select("key", F.least("odds", F.lit(MOST)).alias("odds"))
+
+
+def held_features(raw: bytes) -> np.ndarray:
+    """The different features of a text, part by part, so that a long text's features are held once."""
+    found = np.zeros(0, np.uint64)
+    for part in parts(raw):
+        found = np.union1d(found, features(Words.of([part]))[0])
+    return found
 
 
 def calibrated(model: Model, n: np.ndarray, found: list[list[tuple]], y: np.ndarray) -> Model:
@@ -181,8 +185,8 @@ def calibrated(model: Model, n: np.ndarray, found: list[list[tuple]], y: np.ndar
 
 
 def fit(labelled: DataFrame) -> Model:
-    """A model from (doc_id, text, toxic 0/1). Counts are of documents that hold a word. The driver gets those of words whose share of toxic documents is above the
-    corpus's and that ``SEEN`` toxic documents hold, which grow with the vocabulary of toxic passages only."""
+    """A model from (doc_id, text, toxic 0/1). Counts are of documents that hold a word, of whatever length. Only what is clearly toxic reaches the driver and the model: it grows
+    with the vocabulary of toxic passages."""
     labelled = staged(labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "op5-labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,18 +201,18 @@ def fit(labelled: DataFrame) -> Model:
             for part in cut_batch(batch, "text"):
                 raw = [(t or "").encode() for t in part.column("text").to_pylist()]
                 label = part.column("toxic").to_numpy(zero_copy_only=False)
-                for some, mine in ((raw, label), *(([p], label[k : k + 1]) for k, r in enumerate(raw) if len(r) > PART for p in parts(r))):
-                    # Parts of a long text count each for itself.
-                    words = Words.of([b"" if len(r) > PART and some is raw else r for r in some])
-                    keys, of = features(words)
-                    text = words.text[of]
-                    order = np.lexsort((text, keys))
-                    keys, text = keys[order], text[order]
-                    new = np.ones(len(keys), dtype=bool)
-                    new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
-                    is_toxic = mine[text[new]] if new.any() else np.zeros(0, int)
-                    held.append((keys[new], is_toxic == 1, is_toxic == 0))
-                    size += int(new.sum())
+                words = Words.of([b"" if len(r) > PART else r for r in raw])
+                keys, of = features(words)
+                text = words.text[of]
+                order = np.lexsort((text, keys))
+                keys, text = keys[order], text[order]
+                new = np.ones(len(keys), dtype=bool)
+                new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+                own = [(keys[new], label[text[new]] if new.any() else np.zeros(0, int))]
+                own += [(found := held_features(r), np.full(len(found), label[k])) for k, r in enumerate(raw) if len(r) > PART]
+                for found, is_toxic in own:
+                    held.append((found, is_toxic == 1, is_toxic == 0))
+                    size += len(found)
                     if size > 1 << 20:
                         held = [merged()]
                         size = len(held[0][0])
@@ -223,8 +227,9 @@ def fit(labelled: DataFrame) -> Model:
     counts = staged(counts, "op5-counts")
     whole = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
     n1, n0 = float(whole["toxic"] or 0), float(whole["clean"] or 0)
-    toxic = counts.where((F.col("toxic") >= SEEN) & (F.col("toxic") * n0 > F.col("clean") * n1)).toArrow()
-    model = weighed(toxic.column("key").to_numpy().view(np.uint64), *(toxic.column(c).to_numpy().astype(float) for c in ("toxic", "clean")), n1, n0)
+    toxic = weighed(counts, n1, n0).toArrow()
+    keys = toxic.column("key").to_numpy().view(np.uint64)
+    model = Model(np.sort(keys), toxic.column("odds").to_numpy()[np.argsort(keys)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

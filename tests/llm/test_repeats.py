@@ -63,6 +63,21 @@ def test_hot_anchors_and_parts(spark, monkeypatch):
     check(spark, sample(random.Random(2)), 34, hot=2)
 
 
+def test_a_crowd_takes_one_round(spark, monkeypatch):
+    """One passage in many texts, twenty times as many as are put in order together, among neighbours that differ: as many tables are written as for a few."""
+    written, real = [], repeats.staged
+    monkeypatch.setattr(repeats, "staged", lambda df, name: written.append(name) or real(df, name))
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 60)))
+    passage = "a licence line that very many texts share, word for word, between what is their own"
+    counts = []
+    for n in (30, 100, 200):
+        docs = [(k, word() + passage + word()) for k in range(n)] + [(1000 + k, word() + passage[: 50 + k % 9] + word()) for k in range(9)]
+        check(spark, docs, 40, hot=5)
+        counts.append(written.count("op6-windows"))
+    assert counts == [1, 2, 3]
+
+
 def test_parts_of_long_texts():
     rng = random.Random(3)
     text = "".join(rng.choice("abc") for _ in range(5000)).encode()

@@ -290,6 +290,39 @@ def test_long_texts_part_by_part(monkeypatch):
     assert decontam.cut(text.decode(), whole_m[0], 1, 1.0) == "".join(_without(text.decode(), whole_m[0]))
 
 
+@pytest.mark.parametrize("part", [1, 7, 40, 200])
+def test_signs_of_long_texts_stay(monkeypatch, part):
+    rng = random.Random(part)
+    bits = ["##### ", "!!!!", " \n \n", "| | |", "Word ", "another,", " one two "]
+    texts = ["# ! " * 300 + "words at last " * 90 + "!!! " * 200, "!" * 900, " " * 500, "".join(rng.choice(bits) for _ in range(900)), "only words " * 64 + "#" * 999]
+    whole = [mil.encode([t.encode()]) for t in texts]
+    monkeypatch.setattr(mil, "PART", part)
+    for t, (x, b) in zip(texts, whole):
+        got, bounds = mil.encode([t.encode()])
+        assert (bounds == b).all() and np.allclose(got, x, atol=1e-6)
+
+
+def test_features_of_long_texts_count_once(monkeypatch):
+    text = " ".join(f"word{k % 40} again beginning{k % 7}" for k in range(500)).encode()
+    keys, _ = toxic.features(toxic.Words.of([text]))
+    monkeypatch.setattr(toxic, "parts", lambda raw, f=toxic.parts: f(raw, 90))
+    assert (toxic.held_features(text) == np.unique(keys)).all()
+
+
+def test_odds_by_definition(spark):
+    rows = [(1, 30, 2), (2, 2, 0), (3, 3, 900), (4, 12, 12), (5, 200, 1)]
+    toxic_sum, clean_sum = 300.0, 2000.0
+    got = {r["key"]: r["odds"] for r in toxic.weighed(spark.createDataFrame(rows, "key long, toxic long, clean long"), toxic_sum, clean_sum).collect()}
+    want = {}
+    for key, t, c in rows:
+        prior = toxic.PRIOR * (t + c) / (toxic_sum + clean_sum)
+        y1, y0 = t + prior, c + prior
+        odds = np.log(y1 / (toxic_sum + toxic.PRIOR - y1)) - np.log(y0 / (clean_sum + toxic.PRIOR - y0))
+        if t >= toxic.SEEN and odds / np.sqrt(1 / (y1 + 0.5) + 1 / (y0 + 0.5)) >= toxic.SURE:
+            want[key] = min(odds, toxic.MOST)
+    assert got == pytest.approx(want) and 0 < len(want) < 5
+
+
 def _without(text, spans):
     places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))]
     at = 0
@@ -340,3 +373,17 @@ def test_repeated_rows_teach_once(spark):
     known = labels.select("doc_id", "quality").withColumnRenamed("quality", "label")
     a, b = mil.fit(once.select("doc_id", "text"), known), mil.fit(often.select("doc_id", "text"), known)
     assert all(np.array_equal(a[n], b[n]) for n in a)
+
+
+def test_passages_are_bounded(spark):
+    docs = [(k, f"word{k} " * 640) for k in range(20)]  # ten passages each
+    known = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, label int")
+    taken = []
+    real = mil.train
+    try:
+        mil.train = lambda x, bounds, y: taken.append((len(x), len(y))) or real(x, bounds, y, epochs=1)
+        for most in (1, 35, 1000):
+            mil.fit(frame(spark, docs).select("doc_id", "text"), known, most=most)
+    finally:
+        mil.train = real
+    assert taken == [(10, 1), (30, 3), (200, 20)]
