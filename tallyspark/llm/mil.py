@@ -24,8 +24,9 @@ SAMPLE, MOST_PASSAGES = 4_000, 200_000
 HIDDEN, GATE = 16, 8
 #: Places of hashed words; two words share one with a chance of 1 / WORDS, and the layer learns what a place says about quality.
 WORDS = 256
-#: How strongly the weights of shapes and of words are held near zero.
-DECAY_SHAPE, DECAY_WORDS = 1e-5, 3e-2
+#: How strongly the weights of shapes and of words are held near zero. That of words is the one of 0.001, 0.003, 0.01, 0.03 and 0.1 with the least log loss on a fifth of the training rows
+#: (those whose crc32 of the id, divided by 4, is a multiple of 5), learnt from the others.
+DECAY_SHAPE, DECAY_WORDS = 1e-5, 1e-2
 EPOCHS, RATE = 120, 0.03
 
 #: Classes of bytes.
