@@ -47,13 +47,19 @@ WORDS = (
 FOR = r"(?i)(^|[^a-z])(key|apikey|api_key|token|secret|password|passwd|pwd|auth|bearer|credential|credentials|authorization|access_key|private)([^a-z]|$)"
 AGAINST = r"(?i)(^|[^a-z])(commit|sha|sha1|sha256|md5|hash|digest|checksum|uuid|guid|revision|version|card|phone|order|invoice|isbn|serial|tracking|id)([^a-z]|$)"
 
-#: A value assigned within a word, links left out; the end of a word after which a value stands; a value's quotes and what encloses it.
-INSIDE = r"(?<=[A-Za-z0-9_][\"'`]{0,1}[=:])(?!//)(?:[\"'`][^\"'`]{%d,}[\"'`]|[^\"'`&;,<>=:][^\"'`&;,<>]{%d,})" % (NAMED, NAMED - 1)
+#: What keys of well-known makers begin with.
+PREFIX = r"^(AKIA[0-9A-Z]|ASIA[0-9A-Z]|gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|npm_|hf_|pypi-|SG\.)"
+#: A value assigned within a word, links left out, up to a sign that no value goes on behind (& only before another name); a password in a link; the end of a word after which a value
+#: stands; a value's quotes and what encloses it.
+INSIDE = r"(?<=[A-Za-z0-9_][\"'`]{0,1}[=:])(?!//)(?:[\"'`][^\"'`]{%d,}[\"'`]|[^\"'`&;,<>=:](?:[^\"'`&;,<>]|&(?![A-Za-z0-9_.-]{1,60}=)){%d,})" % (NAMED, NAMED - 1)
+LINKED = r"://[^/:@?#]*:([^/@]{%d,})@[A-Za-z0-9]" % (NAMED - 2)
+#: What every text with a candidate has.
+GATE = r"(?i)[=:]|[A-Za-z0-9_+/=.~-]{%d,}|key|token|secret|passw|pwd|auth|bearer|credential|private" % SHORTEST
 ASSIGNS = r"[=:][\"'`]?$"
 QUOTED = r"[\"'`]([^\"'`]{%d,})[\"'`]" % NAMED
 AROUND = r"^[\"'`(<\[{]+|[\"'`)>\]},;.:]+$"
 
-FEATURES = ("length", "digits", "upper", "hexadecimal", "only_digits", "distinct", "changes", "dictionary", "slashes", "dots", "quoted", "assigned", "neighbour_for", "neighbour_against", "in_word")
+FEATURES = ("length", "digits", "upper", "hexadecimal", "only_digits", "distinct", "changes", "dictionary", "slashes", "dots", "quoted", "assigned", "neighbour_for", "neighbour_against", "in_word", "prefixed", "linked")
 
 
 def _share(c: Column, kind: str) -> Column:
@@ -78,8 +84,10 @@ def features(core: Column, word: Column, before: Column, after: Column) -> dict[
         "quoted": flag(word.rlike(r"[\"'`]")),
         "assigned": flag(F.concat_ws(" ", before, word).rlike(r"[=:]\s*[\"'`]?" + CORE) | F.concat_ws(" ", before, F.split_part(word, core, F.lit(1))).rlike(r"[=:]\s*[\"'`]?$")),
         "neighbour_for": flag(F.concat_ws(" ", before, F.replace(word, core, F.lit(" "))).rlike(FOR) | word.rlike(r"(?i)(key|token|secret|password|auth)[\"']?[=:]")),
-        "neighbour_against": flag(F.concat_ws(" ", before, after).rlike(AGAINST)),
+        "neighbour_against": flag(F.concat_ws(" ", before, F.replace(word, core, F.lit(" ")), after).rlike(AGAINST)),
         "in_word": (F.length(word) - F.length(core)).cast("double"),
+        "prefixed": flag(core.rlike(PREFIX)),
+        "linked": flag(F.contains(word, F.concat(F.lit(":"), core, F.lit("@"))) & F.contains(word, F.lit("://"))),
     }
 
 
@@ -192,6 +200,19 @@ def made_findings(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
         (word, F.concat(prose, F.lit(" "), naming), prose, 0),
         (F.concat(pick("status=", "name:", "mode=", "title="), F.substring(low, 1, 10)), prose, prose, 0),
     ]
+    mixed = F.concat(F.upper(F.substring(h, 1, 9)), F.substring(h, 10, 12), F.upper(F.substring(h, 22, 15)))
+    server = F.concat(F.lit("db"), F.substring(num, 1, 2), F.lit(".example.com:5432/"), word)
+    cases += [
+        (F.concat(pick("ghp_", "sk-", "glpat-", "gho_", "hf_"), mixed), prose, prose, 1),
+        (F.concat(pick("AKIA", "ASIA", "AKIA"), F.upper(F.substring(h, 5, 16))), prose, prose, 1),
+        (F.concat(pick("postgres", "mysql", "https", "amqp"), F.lit("://"), word, F.lit(":"), F.substring(b64, 3, 12), F.lit("@"), server), prose, prose, 1),
+        (F.concat(pick("postgres", "redis", "https", "ftp"), F.lit("://"), F.lit("admin:"), F.substring(low, 3, 10), F.lit("@"), server), prose, prose, 1),
+        (F.concat(pick("postgres", "mysql", "https", "amqp"), F.lit("://"), server), prose, prose, 0),
+        (F.substring(low, 1, 22), F.concat(prose, F.lit(" "), pick("secret =", "password =", "passwd:", "secret key =")), prose, 1),
+        (F.concat(F.lit('"'), pick("sha1", "commit", "digest", "checksum", "md5"), F.lit('":"'), F.substring(h, 1, 40), F.lit('"')), prose, prose, 0),
+        (F.concat(F.lit('"'), pick("token", "secret", "api_key", "password"), F.lit('":"'), F.substring(h, 1, 40), F.lit('"')), prose, prose, 1),
+        (F.concat(pick("password=", "DB_PASSWORD=", "secret=", "pwd="), F.substring(b64, 1, 9), F.lit("&"), F.substring(num, 1, 1)), prose, prose, 1),
+    ]
     out = None
     for k, (w, before, after, label) in enumerate(cases):
         case = F.struct(w.alias("word"), before.alias("before"), after.alias("after"), F.lit(label).alias("secret"))
@@ -202,7 +223,7 @@ def made_findings(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
 def fit(findings: DataFrame, sample: int = SAMPLE) -> list[Node]:
     """A forest from labelled findings (id, word, before, after, secret); the first ``sample`` by hash are used, those without a label or a candidate not."""
     word = F.col("word")
-    core = F.when(word.rlike(CORE), F.regexp_extract(word, CORE, 0)).otherwise(F.get(_values(word, F.lit(True)), F.lit(0)))
+    core = F.when(word.rlike(CORE) & ~word.rlike(LINKED), F.regexp_extract(word, CORE, 0)).otherwise(F.get(_values(word, F.lit(True)), F.lit(0)))
     findings = findings.withColumn("core", core)
     f = features(F.col("core"), word, F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))
     few = findings.where(F.col("secret").isNotNull() & F.col("core").isNotNull()).orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -215,8 +236,8 @@ def _values(word: Column, named: Column) -> Column:
     """The values assigned within a word, or else the word as a whole if it is ``named`` by what stands before it; without quotes, NAMED characters at least."""
     inside = F.transform(F.regexp_extract_all(word, F.lit(INSIDE), F.lit(0)), lambda x: F.regexp_replace(x, AROUND, ""))
     bare = F.when(word.rlike(QUOTED), F.regexp_extract(word, QUOTED, 1)).otherwise(F.regexp_replace(word, AROUND, ""))
-    every = F.when(word.rlike(INSIDE), inside).when(named, F.array(bare)).otherwise(F.array().cast("array<string>"))
-    return F.filter(every, lambda x: F.length(x) >= NAMED)
+    every = F.when(word.rlike(LINKED), F.array(F.regexp_extract(word, LINKED, 1))).when(word.rlike(INSIDE), inside).when(named, F.array(bare)).otherwise(F.array().cast("array<string>"))
+    return F.filter(every, lambda x: (F.length(x) >= NAMED) | word.rlike(LINKED))
 
 
 def _runs(parts: Column) -> Column:
@@ -236,18 +257,23 @@ def _runs(parts: Column) -> Column:
         right = F.regexp_extract(F.split_part(f["word"], core, F.lit(2)), f"^[^{BREAK}]*", 0)
         return F.struct(f["place"].alias("place"), F.lit(True).alias("named"), core.alias("core"), F.concat(left, core, right).alias("word"), f["before"].alias("before"), f["after"].alias("after"))
 
+    def outgrown(core: Column) -> Column:
+        """A run that ends inside a value which it assigns, and which goes on behind it with other signs."""
+        tail = F.substring_index(core, "=", -1)
+        return F.contains(core, F.lit("=")) & (tail != "") & F.exists(parts["values"], lambda x: F.startswith(x, tail) & (F.length(x) > F.length(tail)))
+
     lone = F.filter(F.array_distinct(parts["values"]), lambda x: ~F.exists(cores, lambda c: F.contains(c, x)))
-    return F.concat(F.transform(cores, run), F.transform(lone, value))
+    return F.concat(F.filter(F.transform(cores, run), lambda r: ~outgrown(r["core"])), F.transform(lone, value))
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with __found: for each candidate the place of its word among the words, itself, what stands beside it in the word, and its neighbours."""
     words = F.split(F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES)), r"[\x20\x09-\x0D]+")
-    held = docs.withColumn("__words", words)
+    held = docs.withColumn("__words", F.when(F.col(text).rlike(GATE), words).otherwise(F.array().cast("array<string>")))
     near = lambda i, *steps: F.concat_ws(" ", *(F.get("__words", i + s) for s in steps))
     long = lambda w: (F.length(w) >= SHORTEST) & w.rlike("[0-9]") & w.rlike(CORE)
     named = lambda i: near(i, -1).rlike(ASSIGNS) | near(i, -2, -1).rlike(FOR)
-    at = F.transform("__words", lambda w, i: F.when((F.length(w) >= NAMED) & (long(w) | w.rlike(INSIDE) | named(i)), i))
+    at = F.transform("__words", lambda w, i: F.when((F.length(w) >= NAMED) & (long(w) | w.rlike(INSIDE) | w.rlike(LINKED) | named(i)), i))
     held = held.withColumn("__at", F.filter(at, lambda i: i.isNotNull()))
     held = held.withColumn("__found", F.transform("__at", lambda i: F.struct(i.alias("place"), F.get("__words", i).alias("word"), near(i, -3, -2, -1).alias("before"), near(i, 1, 2).alias("after"), named(i).alias("named"))))
     none = F.array().cast("array<string>")
@@ -261,7 +287,10 @@ def findings(docs: DataFrame, forest: list[Node], limit: float = 0.5) -> DataFra
     rows = with_candidates(texts(docs)).select("doc_id", F.explode_outer("__found").alias("f")).where("f is not null")  # outer: else a filter on the array's size would be pushed down
     core = F.col("f.core")
     rows = rows.select("doc_id", F.col("f.place").cast("long").alias("place"), F.concat(F.substring(core, 1, 4), F.lit("…")).alias("masked"), F.length(core).cast("long").alias("length"), *(c.cast("double").alias(f"__{n}") for n, c in features(core, F.col("f.word"), F.col("f.before"), F.col("f.after")).items()))
-    return rows.withColumn("score", probability(forest, lambda n: F.col(f"__{n}"))).select("doc_id", "place", "masked", "length", "score", (F.col("score") >= limit).alias("secret"))
+    # within a lambda, as the forest's conditions are more code than one compiled method may have
+    vector = F.array(F.struct(*(F.col(f"__{n}").alias(n) for n in FEATURES)))
+    score = F.transform(vector, lambda v: probability(forest, lambda n: v[n]))[0]
+    return rows.withColumn("score", score).select("doc_id", "place", "masked", "length", "score", (F.col("score") >= limit).alias("secret"))
 
 
 def redacted(docs: DataFrame, forest: list[Node], limit: float = 0.5) -> DataFrame:

@@ -226,6 +226,11 @@ def test_each_run_of_a_word_is_a_candidate(spark, text, clean, found):
         ("so password=Ab3!xY9@kLm2 it", "so password=[SECRET] it"),
         ("the  secret: kQwZrtXvBnmPlKjHgFdSaYui\n now", "the  secret: [SECRET]\n now"),
         ('{"user":"bob","password":"S3cr3tPw1"}', '{"user":"bob","password":"[SECRET]"}'),
+        ("ghp_16C7e42F292c6912E7710c838347Ae178B4a is live", "[SECRET] is live"),
+        ("at postgres://admin:S3cretPassw0rd@db1.example.com:5432/app now", "at postgres://admin:[SECRET]@db1.example.com:5432/app now"),
+        ("so secret = correcthorsebatterystaple it", "so secret = [SECRET] it"),
+        ("DB_PASSWORD=Tr0ub4dor&3", "DB_PASSWORD=[SECRET]"),
+        ("see https://www.example.com:8080/path?first=1&second=2 there", None),
         ("the password protection and key features are private property", None),
         ("as follows: something, title: mountains and status=finished", None),
     ],
@@ -235,6 +240,14 @@ def test_values_that_neighbours_name_are_candidates(spark, text, clean):
     assert secrets.redacted(frame(spark, [(1, text)]), forest).first()["text"] == (clean or text)
 
 
+def test_secrets_planted_in_the_table(spark):
+    """All that is planted (forty hexadecimal digits in quotes behind ``token =``) is found, and nothing else is taken for a secret."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = Counter((r["doc_id"], m[1][:4] + "…", 40) for r in docs.collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r["text"] or ""))
+    found = secrets.findings(docs, secrets.fit(secrets.made_findings(spark))).collect()
+    assert Counter((r["doc_id"], r["masked"], r["length"]) for r in found if r["secret"]) == planted and sum(planted.values()) > 10 and len(found) > 2 * sum(planted.values())
+
+
 # Bounds, borders and brute force
 
 
