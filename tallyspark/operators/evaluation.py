@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .backtest import Rules, ledgers
 from .budget import Budget, detailed_budget
 from .returns import InputError, so_far
+from .moments import rolling_covariances
 from .risk import summary
 from .scan import running
-from .solve import Limits, allocations, shrunk
+from .solve import Limits, allocations
 
 ESTIMATE = "fold int, method string, asset string, w double"
 
@@ -29,19 +30,19 @@ def folds(n: int, least: int, step: int, shortest: int = 10) -> list[tuple[int,
     return [(i, a, min(a + step, n)) for i, a in enumerate(range(least, n, step))] if n - least >= shortest else []
 
 
-def estimates(panel: DataFrame, starts: list[tuple[int, int]], window: int, limits: Limits | None = None) -> DataFrame:
-    """(fold, method, asset, w): allocations on the shrunk covariance of the last ``window`` dates before each of ``starts`` (fold, row). Folds are fitted in parallel; a row goes
-    to the folds whose window it lies in."""
-    spark = panel.sparkSession
-    at = spark.createDataFrame([(f, s) for f, s in starts], "fold int, start int")
-    rows = panel.join(F.broadcast(numbered(panel)), "date").join(F.broadcast(at), (F.col("k") < F.col("start")) & (F.col("k") >= F.col("start") - window))
+def estimates(panel: DataFrame, spans: list[tuple[int, int, int]], limits: Limits | None = None) -> DataFrame:
+    """(fold, method, asset, w): allocations on the shrunk covariance of rows ``first`` to ``end`` - 1 for each of ``spans`` (fold, first, end). Covariances come from sums that
+    the windows share, and folds are fitted in parallel from a matrix of assets each. A method that fails has one row without an asset."""
 
     def run(one: pd.DataFrame) -> pd.DataFrame:
-        wide = one.pivot(index="date", columns="asset", values="r").sort_index()
-        found, _ = allocations(shrunk(wide.to_numpy())[0], limits)
-        return pd.DataFrame([(int(one["fold"].iloc[0]), m, a, float(x)) for m, w in found.items() for a, x in zip(wide.columns, w)], columns=["fold", "method", "asset", "w"])
+        cov = one.pivot(index="i", columns="j", values="v").sort_index()
+        cov = cov[cov.index]
+        found, failed = allocations(cov.to_numpy(), limits)
+        fold = int(one["fold"].iloc[0])
+        rows = [(fold, m, a, float(x)) for m, w in found.items() for a, x in zip(cov.index, w)] + [(fold, m, None, None) for m in failed]
+        return pd.DataFrame(rows, columns=["fold", "method", "asset", "w"])
 
-    return rows.select("fold", "date", "asset", "r").groupBy("fold").applyInPandas(run, ESTIMATE)
+    return rolling_covariances(panel, numbered(panel), spans).select("fold", "i", "j", "v").groupBy("fold").applyInPandas(run, ESTIMATE)
 
 
 def common_methods(estimate: DataFrame, n: int) -> DataFrame:
@@ -55,7 +56,8 @@ def walk_forward(panel: DataFrame, least: int = 500, step: int = 252, window: in
     plan = folds(len(dates), least, step)
     if not plan:
         return "insufficient_data", None, None
-    estimate = estimates(panel, [(f, a) for f, a, _ in plan], window, limits).toPandas()  # folds x methods x assets
+    spans = [(f, max(0, a - window), a) for f, a, _ in plan]
+    estimate = estimates(panel, spans, limits).where("asset IS NOT NULL").toPandas()  # folds x methods x assets
     if set(estimate["fold"]) != {f for f, _, _ in plan}:
         return "infeasible", None, None
     spark = panel.sparkSession
@@ -91,13 +93,14 @@ def budget_walk_forward(panel: DataFrame, plan: Budget, least: int = 752, step:
     weights goes along. What a fold ends with, the next one starts with, so folds follow each other.
 
     The result has folds (rows), ledger (paths actual and baseline), status counts, and breaches of the budget in whole test windows. ``validation`` dates at the end of the training
-    rows are kept for the simulation; fitting doesn't see them.
+    rows are kept for the simulation; fitting doesn't see them. All folds are fitted at once; what follows goes fold by fold, with the returns of one calibration window on the driver,
+    which without ``train`` grows with the folds.
     """
     if fallback not in ("cash", "previous_target") or most_folds < 1 or least - validation < 30 or 0 < validation < 30 or (train is not None and train - validation < 30) or plan.horizon != step:
         raise InputError("windows of 30 dates at least, a horizon of one test window, and a known fallback")
     spark = panel.sparkSession
-    rows = panel.toPandas().pivot(index="date", columns="asset", values="r").sort_index()  # dates x assets of one portfolio
-    assets, dates, x = rows.columns.tolist(), rows.index.tolist(), rows.to_numpy()
+    dates = numbered(panel).orderBy("k").toPandas()["date"].tolist()
+    assets = sorted(r["asset"] for r in panel.select("asset").distinct().collect())
     every = folds(len(dates), least, step)
     if not every:
         raise InputError("too few dates for a test")
@@ -107,18 +110,26 @@ def budget_walk_forward(panel: DataFrame, plan: Budget, least: int = 752, step:
     ends = {p: (value, dict.fromkeys(assets, 0.0)) for p in ("actual", "baseline")}
     last = dict.fromkeys(assets, 0.0)
     told, parts = [], []
+    begin = {fold: max(0, a - train) if train else 0 for fold, a, _ in every}
+    spans = [(fold, max(begin[fold], a - validation - window), a - validation) for fold, a, _ in every[:most_folds]]
+    fits: dict[int, tuple[dict, set]] = {fold: ({}, set()) for fold, *_ in spans}
+    for r in estimates(panel, spans, limits).collect():  # folds x methods x assets
+        if r["asset"] is None:
+            fits[r["fold"]][1].add(r["method"])
+        else:
+            fits[r["fold"]][0].setdefault(r["method"], dict.fromkeys(assets, 0.0))[r["asset"]] = r["w"]
     for fold, a, b in every[:most_folds]:
-        prior = x[max(0, a - train) if train else 0 : a]
-        fitted, calibration = (prior[:-validation], prior[-validation:]) if validation else (prior, prior)
-        found, failed = allocations(shrunk(fitted[-window:])[0], limits)
-        covered = complete_years(spark.createDataFrame([(d,) for d in dates[a - len(calibration) : a]], "date date"), required_years, False) if required_years else None
+        start = a - validation if validation else begin[fold]
+        found, failed = {m: np.asarray([w[s] for s in assets]) for m, w in fits[fold][0].items()}, fits[fold][1]
+        covered = complete_years(spark.createDataFrame([(d,) for d in dates[start:a]], "date date"), required_years, False) if required_years else None
         if covered is not None and not covered.where("NOT complete").isEmpty():
             status, chosen, table = "insufficient_data", None, []
         elif not found:
             status, chosen, table = "infeasible", None, []
         else:
             own = Budget(**{**vars(plan), "seed": plan.seed + 1009 * fold, "rate": rate, "initial": tuple(ends["actual"][1][s] for s in assets)})
-            table, chosen, status, _ = detailed_budget(spark, calibration, found, own)
+            window_rows = panel.where(F.col("date").between(F.lit(dates[start]), F.lit(dates[a - 1]))).toPandas().pivot(index="date", columns="asset", values="r").sort_index()
+            table, chosen, status, _ = detailed_budget(spark, window_rows[assets].to_numpy(), found, own)
         target = dict(zip(assets, found[chosen])) if chosen else last if fallback == "previous_target" else dict.fromkeys(assets, 0.0)
         last = target if chosen else last
         name = next((m for m in ("equal_weight", "constrained_equal_reference") if m in found), None)
@@ -134,7 +145,7 @@ def budget_walk_forward(panel: DataFrame, plan: Budget, least: int = 752, step:
         nav = np.append(1.0, np.cumprod(1 + got[got["path"] == "actual"].sort_values("date")["r"].to_numpy()))
         worst = float((1 - nav / np.maximum.accumulate(nav)).max())
         whole = b - a == step
-        told.append({"fold": fold, "test_start": dates[a], "test_end": dates[b - 1], "fit_rows": len(fitted), "calibration_rows": len(calibration), "status": status, "selected": chosen, "candidates": len(found), "failed": len(failed), "max_drawdown": worst, "breach": worst > plan.limit if chosen and whole else None, "whole": whole, "baseline": name})
+        told.append({"fold": fold, "test_start": dates[a], "test_end": dates[b - 1], "fit_rows": a - validation - begin[fold], "calibration_rows": a - start, "status": status, "selected": chosen, "candidates": len(found), "failed": len(failed), "max_drawdown": worst, "breach": worst > plan.limit if chosen and whole else None, "whole": whole, "baseline": name})
     ledger = spark.createDataFrame(pd.concat(parts)[["path", "date", "fold", "value", "cash", "flow", "cost", "turnover", "r"]], "path string, date date, fold int, value double, cash double, flow double, cost double, turnover double, r double")
     eligible = [r["breach"] for r in told if r["breach"] is not None]
     return {"folds": told, "ledger": stitched(ledger, "path"), "complete": len(told) == len(every), "no_solution_rate": sum(r["selected"] is None for r in told) / len(told), "breaches": sum(eligible), "eligible": len(eligible), "breach_rate": sum(eligible) / len(eligible) if eligible else None, "statuses": pd.Series([r["status"] for r in told]).value_counts().to_dict(), "selections": pd.Series([r["selected"] for r in told if r["selected"]], dtype=object).value_counts().to_dict()}
