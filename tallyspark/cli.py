@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import demo, engine, sinks, sources
-from .operators import candles, demand, evaluation, exposure, factors, ledgers, network, returns
+from .operators import budget, candles, demand, evaluation, exposure, factors, ledgers, network, returns
 from .operators.budget import Budget
 from .operators.returns import InputError
 from .sources import nav, observations
@@ -34,7 +34,8 @@ def command(name: str):
 
 
 def _json(path: str) -> dict:
-    got = sources.strict_json(sources.local_input(path))
+    """A JSON object from a file, or from the standard input for ``-``."""
+    got = sources.strict_json(sys.stdin.buffer.read(sources.LARGEST + 1) if path == "-" else sources.local_input(path))
     if not isinstance(got, dict):
         raise InputError("an input is a JSON object")
     return got
@@ -134,11 +135,10 @@ def convert(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
-@command("cash-demand")
-def needs(spark: SparkSession, a: argparse.Namespace) -> int:
-    spec = _json(a.input)
+def _needs(spark: SparkSession, spec: dict) -> dict[str, DataFrame]:
+    """The tables of one account's dated cash needs."""
     told = lambda rows: [{"account": "account", **r} for r in rows]
-    tables = {
+    return {
         "positions": _table(spark, told(spec["positions"]), "account string, position_id string, kind string, amount double, frozen_amount double"),
         "flows": _table(spark, told(spec["cashflows"]), "account string, id string, kind string, date date, amount double"),
         "releases": _table(spark, told(spec["frozen_releases"]), "account string, id string, position_id string, amount double, date date, condition_met boolean"),
@@ -146,8 +146,13 @@ def needs(spark: SparkSession, a: argparse.Namespace) -> int:
         "liquidity": _table(spark, told(spec["liquidity"]), "account string, position_id string, can_sell boolean, haircut double, fee_rate double, fee_timing string, settlement_days int, settlement_day_basis string, earliest_sale_date date, source string"),
         "scenarios": _table(spark, spec["scenarios"], "scenario string, income_multiplier double, income_change_from date, additional_haircut double, settlement_delay_days int, freeze_release_enabled boolean"),
     }
+
+
+@command("cash-demand")
+def needs(spark: SparkSession, a: argparse.Namespace) -> int:
+    spec = _json(a.input)
     overrides = _table(spark, spec.get("overrides", []), "scenario string, id string, condition_met boolean")
-    sinks.save_demand(*demand.cash_demand(**tables, start=nav.day(spec["valuation_date"]), end=nav.day(spec["horizon_end"]), overrides=overrides), a.output)
+    sinks.save_demand(*demand.cash_demand(**_needs(spark, spec), start=nav.day(spec["valuation_date"]), end=nav.day(spec["horizon_end"]), overrides=overrides), a.output)
     return 0
 
 
@@ -190,9 +195,35 @@ def factor(spark: SparkSession, a: argparse.Namespace) -> int:
     elif a.action == "stability":
         result = {"groups": _rows(factors.stability(_table(spark, spec["rows"], "at date, grp string, ic double")))}
     elif a.action == "exposure":
-        result = {"exposure": _rows(factors.exposure(_table(spark, spec["holdings"], "security string, kind string, w double"), _table(spark, spec["values"], "security string, v double")))}
+        result = {"exposure": _rows(factors.exposure(_table(spark, spec["holdings"], "security string, kind string, weight double"), _table(spark, spec["values"], "security string, value double")))}
     elif a.action == "trials":
         result = {"trials": _rows(factors.trial_audit(_table(spark, spec["rows"], "status string, selected boolean, test_touched boolean, train_end date, label_end date, test_start date")))}
+    elif a.action == "series":
+        rows = _table(spark, spec["rows"], PANEL + ", start date, end date")
+        panel = rows.drop("start", "end")
+        spans = rows.groupBy("signal_date").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        groups = int(spec.get("groups", 5))
+        result = {"dates": _rows(factors.information(panel, groups)), "windows": _rows(factors.overlaps(spans, "signal_date")), "weights": _rows(factors.group_weights(panel, groups))}
+    elif a.action in ("cost", "budget"):
+        rates = _table(spark, [{"bps": b} for b in spec["bps"]], "bps double")
+        periods, trades = _table(spark, spec["periods"], "ix int"), _table(spark, spec["trades"], "ix int, security string, notional double")
+        cash = float(spec["cash"])
+        path = ledgers.fixed_notional(rates.crossJoin(periods), _table(spark, spec["returns"], "ix int, security string, r double"), trades.crossJoin(rates), cash, "bps", bps=F.col("bps"))
+        if a.action == "cost":
+            result = {"periods": _rows(path), "drawdown": _rows(ledgers.net_drawdown(path, cash, "bps"))}
+        else:
+            told = budget.screened(budget.net_returns(path, cash, "bps"), float(spec["limit"]), int(spec["horizon"]), int(spec.get("paths", 200)), float(spec.get("block", 10)), int(spec.get("seed", 11)), key="bps")
+            result = {"rates": _rows(told)}
+    elif a.action == "cashfit":
+        tables, span = _needs(spark, spec), {"start": nav.day(spec["valuation_date"]), "end": nav.day(spec["horizon_end"])}
+        plans = _table(spark, [{"account": "account", **p} for p in spec["plans"]], "account string, id string, can_trade boolean, date date, amount double")
+        extra = plans.select("account", "id", F.lit("necessary_expense").alias("kind"), "date", "amount")
+        before, after = demand.cash_demand(**tables, **span)[2], demand.cash_demand(**(tables | {"flows": tables["flows"].unionByName(extra)}), **span)[2]
+        result = {"scenarios": _rows(demand.cash_fit(before, after, plans.select("account", "id", "can_trade")))}
+    elif a.action == "multi":
+        names = [str(n) for n in spec["factors"]]
+        rows = _table(spark, spec["rows"], "security string, " + "".join(f"{n} double, " for n in names) + "industry string, market_cap double")
+        result = {"scores": _rows(factors.multi_scores(rows, names, {n: float(w) for n, w in spec["weights"].items()}, bool(spec.get("neutralize", True)), bool(spec.get("orthogonalize", False))))}
     else:
         raise InputError(f"unknown action {a.action}")
     sinks.save_review(spec, {"conclusion": f"factor {a.action}", **result}, a.output)

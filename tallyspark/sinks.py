@@ -67,7 +67,7 @@ def table(rows: list[dict]) -> str:
 
 
 def page(title: str, statements: list[str], sections: dict[str, str], limits: list[str]) -> str:
-    """One page without scripts: statements, sections that are HTML already, and what the results don't cover."""
+    """One page: statements, sections that are HTML already, and what the results don't cover."""
     items = lambda some: "".join(f"<li>{html.escape(s)}</li>" for s in some)
     body = "".join(f"<h2>{html.escape(n)}</h2>{s}" for n, s in sections.items())
     return f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{html.escape(title)}</title><style>body{{max-width:60rem;margin:2rem auto;font:16px/1.5 sans-serif}}td,th{{padding:.3rem .6rem;border-bottom:1px solid #ccc;text-align:left}}</style><h1>{html.escape(title)}</h1><ul>{items(statements)}</ul>{body}<h2>Limits</h2><ul>{items(limits)}</ul></html>'
@@ -98,8 +98,30 @@ def save_demand(events: DataFrame, ledger: DataFrame, summary: DataFrame, target
     return publish(tables, {"title": "cash_demand"}, target, texts, {n: "csv" if n.startswith("ledger-") else "json" for n in tables})
 
 
+#: For a page's tables: a row stays if it holds what is typed, a click on a heading sorts by its column, and what is shown can be saved as CSV.
+HANDLING = """<script>
+for (const table of document.querySelectorAll("table")) {
+  const rows = () => [...table.rows].slice(1), text = (row, k) => row.cells[k].textContent;
+  const bar = document.createElement("p"), sought = document.createElement("input"), save = document.createElement("button");
+  sought.placeholder = "filter"; save.textContent = "save as CSV"; bar.append(sought, " ", save); table.before(bar);
+  sought.oninput = () => rows().forEach(row => { row.hidden = !row.textContent.toLowerCase().includes(sought.value.toLowerCase()); });
+  [...table.rows[0].cells].forEach((head, k) => { let up = false; head.onclick = () => {
+    up = !up;
+    const order = (a, b) => (Number(a) - Number(b) || a.localeCompare(b)) * (up ? 1 : -1);
+    rows().sort((a, b) => order(text(a, k), text(b, k))).forEach(row => row.parentNode.append(row));
+  }; });
+  save.onclick = () => {
+    const quoted = cell => '"' + cell.textContent.replaceAll('"', '""') + '"';
+    const csv = [...table.rows].filter(row => !row.hidden).map(row => [...row.cells].map(quoted).join(",")).join("\n");
+    const link = document.createElement("a");
+    link.href = URL.createObjectURL(new Blob([csv], {type: "text/csv"})); link.download = "table.csv"; link.click();
+  };
+}
+</script>"""
+
+
 def save_exposure(exposures: DataFrame, unknown: DataFrame, rollups: DataFrame, target: str) -> str:
-    texts = {"report.html": page("Exposure", [], {"By level": shown(rollups), "Unknown": shown(unknown)}, ["Declared amounts joined to disclosures of other days; unknown is kept, not spread."])}
+    texts = {"report.html": page("Exposure", [], {"By level": shown(rollups), "Unknown": shown(unknown) + HANDLING}, ["Declared amounts joined to disclosures of other days; unknown is kept, not spread."])}
     return publish({"exposures": exposures, "unknown": unknown, "rollups": rollups}, {"title": "exposure"}, target, texts, {"unknown": "json", "rollups": "json"})
 
 
