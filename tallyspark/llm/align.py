@@ -385,7 +385,8 @@ def aligned(docs: DataFrame, first: str, second: str, products: bool = False) ->
                 sums = np.concatenate((np.zeros((1, 2), np.int64), np.cumsum(found, axis=0)))
                 told = sums[bounds[1:]] - sums[bounds[:-1]]
                 own = [batch.column(n) for n in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(told[:, 1].copy()), pa.array(told[:, 0].copy()), batch.column("groups_sha256")], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(told[:, 1].copy()), pa.array(told[:, 0].copy()), batch.column("groups_sha256")],
+                    ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     kinds = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     return rows.mapInArrow(lean(judge, "align"), kinds)

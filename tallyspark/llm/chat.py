@@ -130,7 +130,8 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         until = F.coalesce(F.get("starts", k + 1), F.lit(2**62))
         held = F.filter("turns", lambda t: (t["kind"] == 0) | (t["start"] >= start - history) & (t["start"] < until))
         fresh = lambda t: F.when(t["kind"] == 0, (F.col("cell") == 0) & (k == 0)).otherwise((t["kind"] == 2) & (t["start"] >= start))
-        return F.transform(held, lambda t: F.struct(t["pos"].alias("pos"), t["n"].alias("n"), t["open"].alias("open"), t["body"].alias("body"), t["shown"].alias("shown"), t["target"].alias("target"), fresh(t).alias("new")))
+        return F.transform(held, lambda t: F.struct(t["pos"].alias("pos"), t["n"].alias("n"), t["open"].alias("open"), t["body"].alias("body"), t["shown"].alias("shown"),
+            t["target"].alias("target"), fresh(t).alias("new")))
 
     out = cells.select("conv_id", F.explode(F.transform("starts", window)).alias("w"))
     nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))

@@ -71,10 +71,12 @@ class Automaton:
                     state = self.link[state]
                 self.whole.setdefault(state, []).append((len(seq), k))
                 self.least = min(self.least, len(seq))
-        #: The nearest state, itself or on the way to the root, with whole items.
-        self.short = [0] * len(self.next)
-        if self.whole:
-            for s in sorted(range(1, len(self.next)), key=self.size.__getitem__):
+        #: The nearest state, itself or on the way to the root, with whole items, and the last one on that way whose pieces are as long as a window.
+        self.short, self.top = [0] * len(self.next), list(range(len(self.next)))
+        for s in sorted(range(1, len(self.next)), key=self.size.__getitem__):
+            if self.size[self.link[s]] >= window:
+                self.top[s] = self.top[self.link[s]]
+            if self.whole:
                 self.short[s] = s if s in self.whole else self.short[self.link[s]]
 
     def _copy(self, p: int, q: int, a: int) -> int:
@@ -120,7 +122,7 @@ class Automaton:
         spans: list[tuple[int, int]] = []
         states: set[int] = set()
         found: set[int] = set()
-        nxt, link, size, window, short, whole = self.next, self.link, self.size, self.window, self.short, self.whole
+        nxt, link, size, window, short, whole, top = self.next, self.link, self.size, self.window, self.short, self.whole, self.top
 
         def hit(begin: int, end: int) -> None:
             while spans and begin <= spans[-1][1]:
@@ -140,10 +142,7 @@ class Automaton:
                     length += 1
                 if length >= window:
                     hit(i + 1 - window, i + 1)
-                    s = state
-                    while size[link[s]] >= window:
-                        s = link[s]
-                    states.add(s)
+                    states.add(top[state])
                 s = short[state]
                 while s:
                     for t, k in whole.get(s, ()):
@@ -247,7 +246,8 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"],
             )
 
-    return texts(docs).mapInArrow(lean(scan), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<begin:long,end:long>>, items array<string>")
+    return texts(docs).mapInArrow(lean(scan),
+        "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<begin:long,end:long>>, items array<string>")
 
 
 def cut(text: str, spans: list[tuple[int, int]], longest: int, coverage: float) -> str | None:

@@ -32,7 +32,8 @@ EPOCHS, RATE = 120, 0.03
 #: Classes of bytes.
 LOWER, UPPER, DIGIT, BLANK, LINE, HIGH, STOP, SYMBOL, BANG, OTHER = range(10)
 _CLASS = np.full(256, OTHER, dtype=np.uint8)
-for _c, _of in ((b"abcdefghijklmnopqrstuvwxyz", LOWER), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", UPPER), (b"0123456789", DIGIT), (b" \t\r\x0b\x0c", BLANK), (b"\n", LINE), (bytes(range(128, 256)), HIGH), (b".,", STOP), (b"#*$%&|<>", SYMBOL), (b"!", BANG)):
+for _c, _of in ((b"abcdefghijklmnopqrstuvwxyz", LOWER), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", UPPER), (b"0123456789", DIGIT), (b" \t\r\x0b\x0c", BLANK), (b"\n", LINE),
+    (bytes(range(128, 256)), HIGH), (b".,", STOP), (b"#*$%&|<>", SYMBOL), (b"!", BANG)):
     _CLASS[list(_c)] = _of
 SHAPES = 14
 FEATURES = SHAPES + WORDS

@@ -241,7 +241,8 @@ def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
             for _, some in slices(iter([batch.filter(pa.array(keep, pa.bool_()))]), SLICE):
                 sets = {set_key(h): h for h in shingles(some, words)}
                 ends = np.cumsum([0, *map(len, sets.values())]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(sets.values())).view(np.int64)))], ["set_key", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(sets.values())).view(np.int64)))],
+                    ["set_key", "hashes"])
 
     rows = docs.mapInArrow(lean(whole), "set_key binary, hashes array<long>").join(classes.select("set_key", "rep"), "set_key")
     return staged(rows.groupBy("set_key").agg(F.first("rep").alias("rep"), F.first("hashes").alias("hashes")).drop("set_key"), "op9-sets")
@@ -271,7 +272,8 @@ def remaining(lists: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
     less = F.ceil(4 * F.col("n") / 5)
     large = split.withColumn("band", F.explode(F.sequence(band(less), band(F.least("n", "reach")))))
     large = large.select("value", "band", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("reach").alias("ra"), F.col("minor").alias("ma"))
-    small = split.where("reach >= n").select("value", band(F.col("n")).alias("band"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("reach").alias("rb"), F.col("minor").alias("mb"))
+    small = split.where("reach >= n").select("value", band(F.col("n")).alias("band"), F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("reach").alias("rb"),
+        F.col("minor").alias("mb"))
     fits = "la <> lb and na >= nb and nb <= ra and na <= rb and (na > nb or a < b or not ma or not mb)"
     at = ["value", "band"]
     minors = small.where("mb")

@@ -72,7 +72,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 2, length
             took = np.minimum(length, sizes[of] - start)
             at = 4 * (bounds[:-1][of] + start)
             crc = [zlib.crc32(view[a : a + n]) for a, n in zip(at.tolist(), (4 * took).tolist())]
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), pa.array(start), pa.array(took), pa.array(crc, pa.int64()), pa.array(sizes[of])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(of)), pa.array(start), pa.array(took), pa.array(crc, pa.int64()), pa.array(sizes[of])],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return texts(docs).mapInArrow(lean(cut, "tokens"), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
@@ -118,7 +119,8 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
             rank = batch.column("rank").to_numpy(zero_copy_only=False)
             k = np.searchsorted(key, (batch.column("length").to_numpy(zero_copy_only=False) << 44) + rank, side="right") - 1
             out = [c for n, c in zip(batch.schema.names, batch.columns) if n != "rank"]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(base[k] + rank), pa.array(at[k]), pa.array(pad[k])], [*(n for n in batch.schema.names if n != "rank"), "sequence_id", "offset", "padded_length"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(base[k] + rank), pa.array(at[k]), pa.array(pad[k])],
+                [*(n for n in batch.schema.names if n != "rank"), "sequence_id", "offset", "padded_length"])
 
     df = ranked(pieces)
     kinds = ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != "rank")

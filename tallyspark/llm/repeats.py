@@ -211,7 +211,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             anchor, doc, first, n, at, raw = pieces(group, length)
             keep = passing(common, anchor)
             anchor, doc, first, n, at = (x[keep] for x in (anchor, doc, first, n, at))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(prints(raw, at, n + length - 1).view(np.int64)), pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int32())], ["anchor", "print", "doc_id", "first", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(prints(raw, at, n + length - 1).view(np.int64)), pa.array(doc, pa.int64()),
+                pa.array(first, pa.int64()), pa.array(n, pa.int32())], ["anchor", "print", "doc_id", "first", "n"])
 
     places = staged(docs.mapInArrow(lean(placed), "anchor long, print long, doc_id long, first long, n int"), "op6-places")
     whole = staged(places.groupBy("anchor", "print").agg(F.min(F.struct("doc_id", "first")).alias("lead"), F.count("*").alias("copies")), "op6-pieces")
@@ -225,7 +226,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             keep = passing(spots, anchor)
             anchor, doc, first, n, at = (x[keep] for x in (anchor, doc, first, n, at))
             held = raw.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array([held[a : a + k + length - 1] for a, k in zip(at.tolist(), n.tolist())], pa.binary())], ["anchor", "doc_id", "first", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(doc, pa.int64()), pa.array(first, pa.int64()),
+                pa.array([held[a : a + k + length - 1] for a, k in zip(at.tolist(), n.tolist())], pa.binary())], ["anchor", "doc_id", "first", "bytes"])
 
     loaded = docs.mapInArrow(lean(cut), "anchor long, doc_id long, first long, bytes binary").join(split, ["anchor", "doc_id", "first"])
     few = F.col("kinds") <= hot
@@ -245,7 +247,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
             for k in np.unique(text).tolist():
                 lo, hi = np.searchsorted(text, [k, k + 1])
                 rows.append((int(group[k]), int(t.column("print")[k].as_py()), [{"begin": a, "end": b + length} for a, b in runs_of(start[lo:hi])]))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], ["anchor", "print", "inside"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                pa.array([r[2] for r in rows], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], ["anchor", "print", "inside"])
 
         for batch in batches:
             held.append(batch)
@@ -296,12 +299,14 @@ def crowded(rows: DataFrame, length: int) -> DataFrame:
                 wide = np.full(len(at), length)
                 of = {c: part.column(c).to_numpy()[row] for c in ("anchor", "print", "doc_id", "first")}
                 hashes = [prints(x, at, wide).view(np.int64) for x in (raw, raw ^ np.uint8(0x5A))]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), *(pa.array(of[c]) for c in ("anchor", "print", "doc_id")), pa.array(of["first"] + offset), pa.array(offset)], ["h", "g", "anchor", "print", "doc_id", "at", "offset"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), *(pa.array(of[c]) for c in ("anchor", "print", "doc_id")), pa.array(of["first"] + offset), pa.array(offset)],
+                    ["h", "g", "anchor", "print", "doc_id", "at", "offset"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [[{"begin": a, "end": b + length} for a, b in runs_of(np.unique(x))] for x in batch.column("offsets").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("print"), pa.array(found, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], ["anchor", "print", "inside"])
+            yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("print"), pa.array(found, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))],
+                ["anchor", "print", "inside"])
 
     windows = staged(rows.mapInArrow(lean(cut), "h long, g long, anchor long, print long, doc_id long, at long, offset long"), "op6-windows")
     lead = windows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")

@@ -53,10 +53,13 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = docs.withColumns({"__words": words, "__lines": lines, "n_symbols": _count(t, "#*$%&|<>"), "n_upper": _count(t, "A-Z"), "n_digits": _count(t, "0-9"), "n_bangs": _count(t, "!")})
     n = F.size("__words")
-    hashed = F.when(n >= WINDOW, F.transform(F.slice("__words", 1, n - (WINDOW - 1)), lambda w, i: F.xxhash64(w, *(F.get("__words", i + k) for k in range(1, WINDOW))))).otherwise(F.array().cast("array<bigint>"))
-    counted = counted.withColumns({"__hashed": hashed, "n_words": n.cast("long"), "word_chars": F.length(F.array_join("__words", "")).cast("long"), "n_lines": F.size("__lines").cast("long"), "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")})
+    hashed = F.when(n >= WINDOW, F.transform(F.slice("__words", 1, n - (WINDOW - 1)), lambda w,
+        i: F.xxhash64(w, *(F.get("__words", i + k) for k in range(1, WINDOW))))).otherwise(F.array().cast("array<bigint>"))
+    counted = counted.withColumns({"__hashed": hashed, "n_words": n.cast("long"), "word_chars": F.length(F.array_join("__words", "")).cast("long"), "n_lines": F.size("__lines").cast("long"),
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")})
     # Hashes with their places in order: equal ones are neighbours.
-    placed = F.when(F.size(F.array_distinct("__hashed")) < F.size("__hashed"), F.sort_array(F.transform("__hashed", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+    placed = F.when(F.size(F.array_distinct("__hashed")) < F.size("__hashed"),
+        F.sort_array(F.transform("__hashed", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
     counted = counted.withColumn("__placed", placed)
     same = lambda s, k: F.coalesce(F.get("__placed", k)["h"] == s["h"], F.lit(False))
     again = F.sort_array(F.transform(F.filter("__placed", lambda s, k: same(s, k - 1) | same(s, k + 1)), lambda s: s["i"]))
@@ -150,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # small enough to broadcast
     names = list(RATES)
-    rows = with_statistics(texts(docs).join(F.broadcast(few), "doc_id")).select("doc_id", "quality", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0).alias("prune"), *(rate(n).alias(n) for n in names))
+    rows = with_statistics(texts(docs).join(F.broadcast(few), "doc_id")).select("doc_id", "quality", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0).alias("prune"),
+        *(rate(n).alias(n) for n in names))
     rows = [r["r"] for r in rows.groupBy("doc_id").agg(F.min(F.struct(*rows.columns)).alias("r")).collect()]  # a document that rows repeat is taken once
     rows.sort(key=lambda r: r["doc_id"])
     x = np.asarray([[r[n] for n in names] for r in rows], dtype=float).reshape(-1, len(names))
@@ -174,7 +178,8 @@ def base_failed() -> Column:
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept of every row; null and empty texts have no word and fail."""
-    return with_statistics(texts(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
+    return with_statistics(texts(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"),
+        (~base_failed() & verdict(rules)).alias("kept"))
 
 
 def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -59,7 +59,8 @@ ASSIGNS = r"[=:][\"'`]?$"
 QUOTED = r"[\"'`]([^\"'`]{%d,})[\"'`]" % NAMED
 AROUND = r"^[\"'`(<\[{]+|[\"'`)>\]},;.:]+$"
 
-FEATURES = ("length", "digits", "upper", "hexadecimal", "only_digits", "distinct", "changes", "dictionary", "slashes", "dots", "quoted", "assigned", "neighbour_for", "neighbour_against", "in_word", "prefixed", "linked")
+FEATURES = ("length", "digits", "upper", "hexadecimal", "only_digits", "distinct", "changes", "dictionary", "slashes", "dots", "quoted", "assigned", "neighbour_for", "neighbour_against",
+    "in_word", "prefixed", "linked")
 
 
 def _share(c: Column, kind: str) -> Column:
@@ -157,7 +158,8 @@ def made_findings(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
     rows = rows.withColumn("b64", F.translate(F.base64(F.unhex("h")), "=", "")).withColumn("num", F.rpad(F.regexp_replace(F.conv(F.substring("h", 1, 15), 16, 10), "[^0-9]", ""), 16, "4"))
     pick = lambda *words: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.col("r"), F.lit(len(words))) + 1).cast("int"))
     h, num, b64 = F.col("h"), F.col("num"), F.col("b64")
-    word = F.concat(F.element_at(F.array(*map(F.lit, WORDS)), (F.pmod(F.col("r"), F.lit(len(WORDS))) + 1).cast("int")), F.lit("_"), F.element_at(F.array(*map(F.lit, WORDS)), (F.pmod(F.col("r") * 7, F.lit(len(WORDS))) + 1).cast("int")))
+    word = F.concat(F.element_at(F.array(*map(F.lit, WORDS)), (F.pmod(F.col("r"), F.lit(len(WORDS))) + 1).cast("int")), F.lit("_"),
+        F.element_at(F.array(*map(F.lit, WORDS)), (F.pmod(F.col("r") * 7, F.lit(len(WORDS))) + 1).cast("int")))
     quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     prose = pick("the", "of it", "and this", "that was", "in a")
     cases = [
@@ -171,11 +173,13 @@ def made_findings(spark: SparkSession, n: int = SAMPLE) -> DataFrame:
         (F.concat(F.lit("+1"), F.substring(num, 1, 16)), F.concat(prose, F.lit(" phone")), prose, 0),
         (F.substring(h, 1, 40), F.concat(prose, F.lit(" "), pick("commit", "sha1", "revision", "checksum")), prose, 0),
         (h, F.concat(prose, F.lit(" "), pick("sha256 =", "digest:", "hash =", "checksum")), prose, 0),
-        (F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), F.concat(prose, F.lit(" "), pick("uuid", "request id", "order", "guid")), prose, 0),
+        (F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)),
+            F.concat(prose, F.lit(" "), pick("uuid", "request id", "order", "guid")), prose, 0),
         (F.concat(F.lit("https://www.example.com/"), word, F.lit("/"), F.substring(num, 1, 6), F.lit("/"), word), prose, prose, 0),
         (F.concat(F.lit("src/"), word, F.lit("/v2/"), word, F.lit("_"), F.substring(num, 1, 2), F.lit(".py")), prose, prose, 0),
         (F.concat(word, F.lit("-"), F.substring(num, 1, 1), F.lit("."), F.substring(num, 2, 2), F.lit(".0-release")), prose, prose, 0),
-        (quote(F.concat(pick("your_api_key_here_", "xxxxxxxxxxxxxxxx", "example_token_", "changeme_secret_", "000000000000000"), F.substring(num, 1, 2))), pick("token =", "key =", "secret ="), prose, 0),
+        (quote(F.concat(pick("your_api_key_here_", "xxxxxxxxxxxxxxxx", "example_token_", "changeme_secret_", "000000000000000"), F.substring(num, 1, 2))),
+            pick("token =", "key =", "secret ="), prose, 0),
         (F.concat(F.lit("2024-0"), F.substring(num, 1, 1), F.lit("-11T10:20:3"), F.substring(num, 2, 1), F.lit("Z-backup")), prose, prose, 0),
         (F.concat(word, F.lit("."), F.substring(num, 1, 2), F.lit("@mail"), F.substring(num, 1, 1), F.lit(".example.com")), prose, prose, 0),
     ]
@@ -250,7 +254,8 @@ def _runs(parts: Column) -> Column:
         left, right = F.get(rests, k), F.get(rests, k + 1)
         left = F.when(k > 0, F.regexp_replace(left, f"^[^{BREAK}]*[{BREAK}]", "")).otherwise(left)
         right = F.when(k < last, F.regexp_extract(right, f"^[^{BREAK}]*", 0)).otherwise(right)
-        return F.struct(f["place"].alias("place"), F.lit(False).alias("named"), core.alias("core"), F.concat(left, core, right).alias("word"), F.concat_ws(" ", f["before"], F.get(cores, k - 1)).alias("before"), F.concat_ws(" ", F.get(cores, k + 1), f["after"]).alias("after"))
+        return F.struct(f["place"].alias("place"), F.lit(False).alias("named"), core.alias("core"), F.concat(left, core, right).alias("word"),
+            F.concat_ws(" ", f["before"], F.get(cores, k - 1)).alias("before"), F.concat_ws(" ", F.get(cores, k + 1), f["after"]).alias("after"))
 
     def value(core: Column) -> Column:
         left = F.regexp_extract(F.split_part(f["word"], core, F.lit(1)), f"[^{BREAK}]*$", 0)
@@ -275,9 +280,11 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     named = lambda i: near(i, -1).rlike(ASSIGNS) | near(i, -2, -1).rlike(FOR)
     at = F.transform("__words", lambda w, i: F.when((F.length(w) >= NAMED) & (long(w) | w.rlike(INSIDE) | w.rlike(LINKED) | named(i)), i))
     held = held.withColumn("__at", F.filter(at, lambda i: i.isNotNull()))
-    held = held.withColumn("__found", F.transform("__at", lambda i: F.struct(i.alias("place"), F.get("__words", i).alias("word"), near(i, -3, -2, -1).alias("before"), near(i, 1, 2).alias("after"), named(i).alias("named"))))
+    held = held.withColumn("__found", F.transform("__at",
+        lambda i: F.struct(i.alias("place"), F.get("__words", i).alias("word"), near(i, -3, -2, -1).alias("before"), near(i, 1, 2).alias("after"), named(i).alias("named"))))
     none = F.array().cast("array<string>")
-    parts = F.transform("__found", lambda f: F.struct(f.alias("f"), F.when(long(f["word"]), F.regexp_extract_all(f["word"], F.lit(CORE), F.lit(0))).otherwise(none).alias("cores"), F.split(f["word"], CORE, -1).alias("rests"), _values(f["word"], f["named"]).alias("values")))
+    parts = F.transform("__found", lambda f: F.struct(f.alias("f"), F.when(long(f["word"]), F.regexp_extract_all(f["word"], F.lit(CORE), F.lit(0))).otherwise(none).alias("cores"),
+        F.split(f["word"], CORE, -1).alias("rests"), _values(f["word"], f["named"]).alias("values")))
     return held.withColumn("__found", F.flatten(F.transform(parts, _runs))).drop("__words", "__at")
 
 
@@ -286,7 +293,8 @@ def findings(docs: DataFrame, forest: list[Node], limit: float = 0.5) -> DataFra
     empty texts have none."""
     rows = with_candidates(texts(docs)).select("doc_id", F.explode_outer("__found").alias("f")).where("f is not null")  # outer: else a filter on the array's size would be pushed down
     core = F.col("f.core")
-    rows = rows.select("doc_id", F.col("f.place").cast("long").alias("place"), F.concat(F.substring(core, 1, 4), F.lit("…")).alias("masked"), F.length(core).cast("long").alias("length"), *(c.cast("double").alias(f"__{n}") for n, c in features(core, F.col("f.word"), F.col("f.before"), F.col("f.after")).items()))
+    rows = rows.select("doc_id", F.col("f.place").cast("long").alias("place"), F.concat(F.substring(core, 1, 4), F.lit("…")).alias("masked"), F.length(core).cast("long").alias("length"),
+        *(c.cast("double").alias(f"__{n}") for n, c in features(core, F.col("f.word"), F.col("f.before"), F.col("f.after")).items()))
     # within a lambda, as the forest's conditions are more code than one compiled method may have
     vector = F.array(F.struct(*(F.col(f"__{n}").alias(n) for n in FEATURES)))
     score = F.transform(vector, lambda v: probability(forest, lambda n: v[n]))[0]
@@ -298,9 +306,11 @@ def redacted(docs: DataFrame, forest: list[Node], limit: float = 0.5) -> DataFra
     names = docs.columns
     spare = docs.select(*(F.col(f"`{n}`").alias(f"__c{k}") for k, n in enumerate(names)), F.col("text").alias("__text"))
     held = with_candidates(spare, "__text")
-    vector = F.transform("__found", lambda f: F.struct(f["core"].alias("core"), f["place"].alias("place"), f["named"].alias("named"), *(c.cast("double").alias(n) for n, c in features(f["core"], f["word"], f["before"], f["after"]).items())))
+    vector = F.transform("__found", lambda f: F.struct(f["core"].alias("core"), f["place"].alias("place"), f["named"].alias("named"),
+        *(c.cast("double").alias(n) for n, c in features(f["core"], f["word"], f["before"], f["after"]).items())))
     held = held.withColumn("__vectors", vector)
-    held = held.withColumn("__sure", F.transform(F.filter("__vectors", lambda v: probability(forest, lambda n: v[n]) >= limit), lambda v: F.struct(v["core"].alias("core"), v["place"].alias("place"), v["named"].alias("named"))))
+    held = held.withColumn("__sure", F.transform(F.filter("__vectors", lambda v: probability(forest, lambda n: v[n]) >= limit),
+        lambda v: F.struct(v["core"].alias("core"), v["place"].alias("place"), v["named"].alias("named"))))
     # Longest first: else one that is part of another would leave the rest of it.
     cores = lambda found: F.array_sort(F.array_distinct(F.transform(found, lambda v: v["core"])), lambda a, b: F.length(b) - F.length(a))
     masked = lambda text, found: F.aggregate(cores(found), text, lambda t, s: F.replace(t, s, F.lit(MARK)))

@@ -243,7 +243,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 begins = np.cumsum(sizes) - sizes
                 view = memoryview(seg.ids().astype("<u4").tobytes())
                 crc = [zlib.crc32(view[4 * a : 4 * (a + n)]) for a, n in zip(begins.tolist(), sizes.tolist())]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(seg.doc_ids, pa.int64()), "start": pa.array(begins + base[row["part"]] + row["before"], pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(seg.doc_ids, pa.int64()), "start": pa.array(begins + base[row["part"]] + row["before"], pa.int64()),
+                    "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     return manifest.select("part", "path", "before").repartition(partitions(spark)).mapInArrow(lean(read, "tokens"), "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -103,7 +103,8 @@ class WordIds:
                 for sign in (before, after):
                     if sign not in signs:
                         signs[sign] = self._bytes(self.full.encode(sign, add_special_tokens=False).ids)
-                out[piece] = signs[before] + words[word] + signs[after] if word else self._bytes(self.full.encode(piece, add_special_tokens=False).ids) if before and after else signs[before] or signs[after]
+                out[piece] = signs[before] + words[word] + signs[after] if word else self._bytes(self.full.encode(piece,
+                    add_special_tokens=False).ids) if before and after else signs[before] or signs[after]
             else:
                 out[piece] = words[word]
         for piece, got in zip(other, self.full.encode_batch_fast(other, add_special_tokens=False)):

@@ -105,7 +105,8 @@ class Model:
         bounds = np.searchsorted(place, words.first)
         for j, k in enumerate(few):
             mine = slice(bounds[j], bounds[j + 1])
-            out[k] = int(words.first[j + 1] - words.first[j]), self._found(place[mine] - words.first[j], odds[mine], words.begin[place[mine]] - words.offsets[j], words.end[place[mine]] - words.offsets[j])
+            out[k] = int(words.first[j + 1] - words.first[j]), self._found(place[mine] - words.first[j], odds[mine], words.begin[place[mine]] - words.offsets[j],
+                words.end[place[mine]] - words.offsets[j])
         for k, text in enumerate(texts):
             if out[k] is None:
                 n = at = 0
@@ -235,7 +236,8 @@ def fit(labelled: DataFrame) -> Model:
         for batch in batches:
             for part in cut_batch(batch, "text"):
                 got = model.segments([(t or "").encode() for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([g[0] for g in got], pa.int64()), pa.array([[s for s, *_ in g[1]] for g in got], pa.list_(pa.float64()))], ["doc_id", "toxic", "n", "scores"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([g[0] for g in got], pa.int64()),
+                    pa.array([[s for s, *_ in g[1]] for g in got], pa.list_(pa.float64()))], ["doc_id", "toxic", "n", "scores"])
 
     some = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)  # small enough to broadcast
     scanned = labelled.join(F.broadcast(some), "doc_id").mapInArrow(lean(scan), "doc_id long, toxic int, n long, scores array<double>")

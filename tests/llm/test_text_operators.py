@@ -50,6 +50,16 @@ def test_decontamination(spark, block):
     assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == sorted(want)
 
 
+def test_an_item_of_one_word_again_and_again():
+    """As many steps for each word of a text, however long the item: the last state on the way to the root is kept, not sought."""
+    for n in (40, 400):
+        automaton = decontam.Automaton([("i", [b"w"] * n), ("j", [b"w"] * 12 + [b"x"])], 10)
+        words = [b"w"] * 1000
+        spans, items = automaton.match(words)
+        assert spans == [(0, 1000)] and len(items) == 2
+        assert set(automaton.top[s] for s in range(len(automaton.top)) if automaton.size[s] >= 10) <= {s for s in range(len(automaton.top)) if automaton.size[automaton.link[s]] < 10}
+
+
 def test_cut():
     assert decontam.cut("Keep this, a b c and that.", [(2, 5)], 2, 0.9) == "Keep this,  and that."
     assert decontam.cut("a b c", [(0, 3)], 1, 0.5) is None
