@@ -96,9 +96,11 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> int:
     panel, spec = sources.read_wide(spark, a.returns, a.kind), _json(a.config)
     fold, boot = dict(spec.get("m2_walk_forward", {})), dict(spec.get("bootstrap", {}))
     step = fold.get("test_steps", 126)
-    plan = Budget(boot.get("budget", 0.25), step, boot.get("paths", 2000), boot.get("max_paths", 8000), tuple(boot.get("block_lengths", (10, 20, 40, 60))), every=boot.get("rebalance_every", 63), tolerance=boot.get("mc_tolerance", 0.01), strict=boot.get("strict", True), seed=spec.get("seed", 42))
+    plan = Budget(boot.get("budget", 0.25), step, boot.get("paths", 2000), boot.get("max_paths", 8000), tuple(boot.get("block_lengths", (10, 20, 40, 60))),
+        every=boot.get("rebalance_every", 63), tolerance=boot.get("mc_tolerance", 0.01), strict=boot.get("strict", True), seed=spec.get("seed", 42))
     years = engine.BEAR_YEARS if spec.get("require_china_bear_coverage", True) else ()
-    got = evaluation.budget_walk_forward(panel, plan, fold.get("min_train", 752), step, fold.get("train_steps"), fold.get("validation_steps", 0), spec.get("covariance_window", 500), rate=spec.get("costs", 1e-4), most_folds=fold.get("max_folds", 20), fallback=fold.get("no_solution_policy", "cash"), value=spec.get("initial_value", 100_000.0), required_years=years)
+    got = evaluation.budget_walk_forward(panel, plan, fold.get("min_train", 752), step, fold.get("train_steps"), fold.get("validation_steps", 0), spec.get("covariance_window", 500),
+        rate=spec.get("costs", 1e-4), most_folds=fold.get("max_folds", 20), fallback=fold.get("no_solution_policy", "cash"), value=spec.get("initial_value", 100_000.0), required_years=years)
     sinks.save_evaluation(got, a.output)
     return 0
 
@@ -130,7 +132,8 @@ def account(spark: SparkSession, a: argparse.Namespace) -> int:
 @command("convert-lookthrough")
 def convert(spark: SparkSession, a: argparse.Namespace) -> int:
     spec = _json(a.input)
-    edges = exposure.fund_input(_table(spark, spec["holdings"], "node string, kind string, ident string, weight double"), _table(spark, spec.get("securities", []), "ident string, security string"), _table(spark, spec["weights"], "node string, weight double"))
+    edges = exposure.fund_input(_table(spark, spec["holdings"], "node string, kind string, ident string, weight double"),
+        _table(spark, spec.get("securities", []), "ident string, security string"), _table(spark, spec["weights"], "node string, weight double"))
     sources.publish({"edges": edges, "leaves": ledgers.lookthrough(edges, "account")}, {"title": "lookthrough"}, a.output, formats={"edges": "json", "leaves": "json"})
     return 0
 
@@ -143,8 +146,10 @@ def _needs(spark: SparkSession, spec: dict) -> dict[str, DataFrame]:
         "flows": _table(spark, told(spec["cashflows"]), "account string, id string, kind string, date date, amount double"),
         "releases": _table(spark, told(spec["frozen_releases"]), "account string, id string, position_id string, amount double, date date, condition_met boolean"),
         "sales": _table(spark, told(spec["planned_liquidations"]), "account string, id string, position_id string, book_amount double, trade_date date"),
-        "liquidity": _table(spark, told(spec["liquidity"]), "account string, position_id string, can_sell boolean, haircut double, fee_rate double, fee_timing string, settlement_days int, settlement_day_basis string, earliest_sale_date date, source string"),
-        "scenarios": _table(spark, spec["scenarios"], "scenario string, income_multiplier double, income_change_from date, additional_haircut double, settlement_delay_days int, freeze_release_enabled boolean"),
+        "liquidity": _table(spark, told(spec["liquidity"]),
+            "account string, position_id string, can_sell boolean, haircut double, fee_rate double, fee_timing string, settlement_days int, settlement_day_basis string, earliest_sale_date date, source string"),
+        "scenarios": _table(spark, spec["scenarios"],
+            "scenario string, income_multiplier double, income_change_from date, additional_haircut double, settlement_delay_days int, freeze_release_enabled boolean"),
     }
 
 
@@ -170,7 +175,8 @@ def planned(spark: SparkSession, a: argparse.Namespace) -> int:
     spec = _json(a.input)
     values = _table(spark, spec["nav"], "date date, nav double")
     dates = _table(spark, [{"date": d} for d in spec["planned"]], "date date")
-    sources.publish({"path": ledgers.scheduled(values, dates, float(spec["amount"]), float(spec.get("fee", 0.0)), longest=spec.get("max_delay_days"))}, {"title": "scheduled"}, a.output, formats={"path": "csv"})
+    sources.publish({"path": ledgers.scheduled(values, dates, float(spec["amount"]), float(spec.get("fee", 0.0)), longest=spec.get("max_delay_days"))}, {"title": "scheduled"}, a.output,
+        formats={"path": "csv"})
     return 0
 
 
@@ -212,7 +218,8 @@ def factor(spark: SparkSession, a: argparse.Namespace) -> int:
         if a.action == "cost":
             result = {"periods": _rows(path), "drawdown": _rows(ledgers.net_drawdown(path, cash, "bps"))}
         else:
-            told = budget.screened(budget.net_returns(path, cash, "bps"), float(spec["limit"]), int(spec["horizon"]), int(spec.get("paths", 200)), float(spec.get("block", 10)), int(spec.get("seed", 11)), key="bps")
+            told = budget.screened(budget.net_returns(path, cash, "bps"), float(spec["limit"]), int(spec["horizon"]), int(spec.get("paths", 200)), float(spec.get("block", 10)),
+                int(spec.get("seed", 11)), key="bps")
             result = {"rates": _rows(told)}
     elif a.action == "cashfit":
         tables, span = _needs(spark, spec), {"start": nav.day(spec["valuation_date"]), "end": nav.day(spec["horizon_end"])}
@@ -281,7 +288,8 @@ def cnn(spark: SparkSession, a: argparse.Namespace) -> int:
 @command("nav")
 def values(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.action == "demo":
-        req = {"id": "demo", "source": nav.SOURCE, "fundCode": "000001", "start": "2024-01-01", "end": "2024-12-31", "asOf": "2024-12-31", "currency": nav.CURRENCY, "frequency": nav.FREQUENCY, "fields": nav.COLUMNS}
+        req = {"id": "demo", "source": nav.SOURCE, "fundCode": "000001", "start": "2024-01-01", "end": "2024-12-31", "asOf": "2024-12-31", "currency": nav.CURRENCY,
+            "frequency": nav.FREQUENCY, "fields": nav.COLUMNS}
         got, raw = nav.parsed(nav.teaching_response(), req, origin="teaching"), nav.teaching_response()
     elif a.action == "collect":
         got, raw = nav.fetched(_json(a.input), a.online), None

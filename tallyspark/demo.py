@@ -40,7 +40,9 @@ def factors(spark: SparkSession, seed: int = 42, days: int = 1500) -> DataFrame:
 def config(seed: int = 42, fast: bool = True) -> dict:
     """A configuration that goes with :func:`panel`; ``fast`` simulates fewer paths."""
     paths = {"paths": 250, "max_paths": 500, "block_lengths": [10, 20]} if fast else {}
-    return {"data": {"return_type": "synthetic_total_return", "source": "made", "currency": "CNY"}, "seed": seed, "costs": 0.0005, "require_china_bear_coverage": False, "bootstrap": {"budget": 0.3, "mc_tolerance": 0.05, **paths}, "current_holdings": {"bond": 20_000, "gold": 5_000, "stock_a": 60_000, "stock_b": 15_000}, "walk_forward": {"min_train": 500, "test_steps": 252}}
+    return {"data": {"return_type": "synthetic_total_return", "source": "made", "currency": "CNY"}, "seed": seed, "costs": 0.0005, "require_china_bear_coverage": False,
+        "bootstrap": {"budget": 0.3, "mc_tolerance": 0.05, **paths}, "current_holdings": {"bond": 20_000, "gold": 5_000, "stock_a": 60_000, "stock_b": 15_000},
+            "walk_forward": {"min_train": 500, "test_steps": 252}}
 
 
 def bars(spark: SparkSession, seed: int = 17, securities: int = 4, days: int = 60) -> DataFrame:
@@ -74,9 +76,11 @@ def statistical_cases(spark: SparkSession) -> list[dict]:
     tail = expected_shortfall(short, "path").first()
     best = repeated_selection(spark).first()
     day = lambda k: dt.date(2024, 1, k)
-    audit = trial_audit(spark.createDataFrame([("done", True, True, day(1), day(2), day(3)), ("done", False, False, day(1), day(2), day(3))], "status string, selected boolean, test_touched boolean, train_end date, label_end date, test_start date")).first()
+    audit = trial_audit(spark.createDataFrame([("done", True, True, day(1), day(2), day(3)), ("done", False, False, day(1), day(2), day(3))],
+        "status string, selected boolean, test_touched boolean, train_end date, label_end date, test_start date")).first()
     return [
         {"case": "sparse_tail", "status": tail["status"], "figure": tail["es"], "says": "an expected shortfall of three rows is no estimate"},
-        {"case": "repeated_selection", "status": "biased" if best["best"] > 1 else "ok", "figure": best["best"], "says": f"the best of {best['trials']} trials without skill; their mean is {best['mean']:.2f}"},
+        {"case": "repeated_selection", "status": "biased" if best["best"] > 1 else "ok", "figure": best["best"],
+            "says": f"the best of {best['trials']} trials without skill; their mean is {best['mean']:.2f}"},
         {"case": "test_isolation", "status": "broken" if audit["leaks"] else "ok", "figure": float(audit["leaks"]), "says": "a trial that has touched its test tests nothing"},
     ]

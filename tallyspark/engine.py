@@ -17,7 +17,9 @@ from .operators import backtest, budget, evaluation, evidence, ledgers, migratio
 from .operators.returns import InputError
 
 #: Fields of a configuration: fixed values of the contract.
-FIELDS = {"data", "periods_per_year", "train_fraction", "costs", "seed", "risk_free_annual", "covariance_window", "min_weight", "max_weight", "groups", "black_litterman", "bootstrap", "require_china_bear_coverage", "cashflows", "initial_value", "rebalance", "threshold", "flow_rule", "current_holdings", "current_cash", "new_funds", "locked", "migration_penalty", "initial_weights", "walk_forward", "stress"}
+FIELDS = {"data", "periods_per_year", "train_fraction", "costs", "seed", "risk_free_annual", "covariance_window", "min_weight", "max_weight", "groups", "black_litterman", "bootstrap",
+    "require_china_bear_coverage", "cashflows", "initial_value", "rebalance", "threshold", "flow_rule", "current_holdings", "current_cash", "new_funds", "locked", "migration_penalty",
+        "initial_weights", "walk_forward", "stress"}
 BOOTSTRAP = {"budget", "horizon", "paths", "block_lengths", "rebalance_every", "mc_tolerance", "max_paths", "strict"}
 BEAR_YEARS = (2015, 2018)
 
@@ -106,7 +108,8 @@ def run(panel: DataFrame, config: dict, factors: DataFrame | None = None, orders
 
     # M2: the drawdown budget on training rows.
     x = train.toPandas().pivot(index="date", columns="asset", values="r").sort_index()[assets].to_numpy()  # dates x assets of one portfolio
-    plan = budget.Budget(boot.get("budget", 0.25), boot.get("horizon", 252), boot.get("paths", 2000), boot.get("max_paths", 8000), tuple(boot.get("block_lengths", (10, 20, 40, 60))), float(np.max(fees if not isinstance(fees, dict) else list(fees.values()))), boot.get("rebalance_every", 63), boot.get("mc_tolerance", 0.01), boot.get("strict", True), seed, periods)
+    plan = budget.Budget(boot.get("budget", 0.25), boot.get("horizon", 252), boot.get("paths", 2000), boot.get("max_paths", 8000), tuple(boot.get("block_lengths", (10, 20, 40, 60))),
+        float(np.max(fees if not isinstance(fees, dict) else list(fees.values()))), boot.get("rebalance_every", 63), boot.get("mc_tolerance", 0.01), boot.get("strict", True), seed, periods)
     table, selected, status, blocks = budget.detailed_budget(spark, x, found, plan)
     covered = evaluation.complete_years(train.select("date").distinct(), BEAR_YEARS, kind == "monthly")
     if config.get("require_china_bear_coverage", True) and not covered.where("NOT complete").isEmpty():
@@ -158,7 +161,8 @@ def run(panel: DataFrame, config: dict, factors: DataFrame | None = None, orders
         rates = np.asarray([fees[a] for a in assets]) if isinstance(fees, dict) else fees
         report.rows["M4"] = []
         for mode in migration.MODES:
-            got = migration.plan(now, found[reference], config.get("current_cash", 0.0), config.get("new_funds", 0.0), rates, tuple(assets.index(a) for a in config.get("locked") or ()), mode, config.get("migration_penalty", 1.0))
+            got = migration.plan(now, found[reference], config.get("current_cash", 0.0), config.get("new_funds", 0.0), rates, tuple(assets.index(a) for a in config.get("locked") or ()),
+                mode, config.get("migration_penalty", 1.0))
             if got["status"] == "ok":
                 after = got["holdings"] / (got["holdings"].sum() + got["cash"])
                 got |= {"final_volatility": float(np.sqrt(after @ cov @ after * periods)), "target_volatility": float(np.sqrt(found[reference] @ cov @ found[reference] * periods))}

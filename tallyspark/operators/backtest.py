@@ -147,7 +147,8 @@ def _walk(rows: pd.DataFrame, rules: Rules, assets: list[str]) -> pd.DataFrame:
         end = account.total
         nav *= end / opening
         moved = [{"reason": reason, "cost": fee, "notionals": change.tolist()} for reason, fee, change in account.trades]
-        out.append((rows["path"].iloc[0], date, end, account.cash, flow, sum(t["cost"] for t in moved), sum(np.abs(t["notionals"]).sum() for t in moved), end / opening - 1, nav, (account.held / end).tolist(), moved))
+        out.append((rows["path"].iloc[0], date, end, account.cash, flow, sum(t["cost"] for t in moved), sum(np.abs(t["notionals"]).sum() for t in moved), end / opening - 1, nav,
+            (account.held / end).tolist(), moved))
     return pd.DataFrame(out, columns=["path", "date", "value", "cash", "flow", "cost", "turnover", "r", "nav", "weights", "trades"])
 
 
@@ -211,7 +212,8 @@ def ledgers(panel: DataFrame, rules: Rules | dict[str, Rules], flows: DataFrame
     return days(panel, assets, flows, orders, schedule).groupBy("path").applyInPandas(run, LEDGER)
 
 
-def backtest(panel: DataFrame, targets: dict[str, float], value: float = 100.0, rate: float | dict[str, float] = 0.0, rebalance: str = "never", every: int | None = None, threshold: float | None = None, flows: DataFrame | None = None, cash_return: float = 0.0, **more) -> DataFrame:
+def backtest(panel: DataFrame, targets: dict[str, float], value: float = 100.0, rate: float | dict[str, float] = 0.0, rebalance: str = "never", every: int | None = None,
+    threshold: float | None = None, flows: DataFrame | None = None, cash_return: float = 0.0, **more) -> DataFrame:
     """:func:`ledgers` by one set of rules, in plain columns."""
     return ledgers(panel, Rules(targets, value, rate, rebalance, every, threshold, cash_return, **more), flows).drop("weights", "trades")
 
@@ -249,5 +251,6 @@ def counterfactual(panel: DataFrame, rules: Rules, orders: DataFrame, flows: Dat
     ledger = ledgers(told, paths, flows, orders)
     last = ledger.groupBy().agg(*(F.max_by(F.when(F.col("path") == p, F.col("value")), F.when(F.col("path") == p, F.col("date"))).alias(p) for p in paths))
     net, gross = F.col("A_actual") - F.col("B_hold"), F.col("gross_actual") - F.col("gross_hold")
-    told = last.select(net.alias("a_minus_b"), (F.col("A_actual") - F.col("C_mechanical")).alias("a_minus_c"), (F.col("C_mechanical") - F.col("B_hold")).alias("c_minus_b"), gross.alias("gross"), net.alias("net"), (gross - net).alias("drag"))
+    told = last.select(net.alias("a_minus_b"), (F.col("A_actual") - F.col("C_mechanical")).alias("a_minus_c"), (F.col("C_mechanical") - F.col("B_hold")).alias("c_minus_b"),
+        gross.alias("gross"), net.alias("net"), (gross - net).alias("drag"))
     return ledger, told

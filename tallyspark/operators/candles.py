@@ -13,7 +13,8 @@ def own() -> Window:
 def metrics(bars: DataFrame) -> DataFrame:
     """``bars`` with span, body, upper, lower, body_ratio (null without a span) and sign."""
     top, low = F.greatest("open", "close"), F.least("open", "close")
-    return bars.withColumns({"span": F.col("high") - F.col("low"), "body": F.abs(F.col("close") - F.col("open")), "upper": F.col("high") - top, "lower": low - F.col("low"), "sign": F.signum(F.col("close") - F.col("open"))}).withColumn("body_ratio", F.col("body") / F.nullif(F.col("span"), F.lit(0.0)))
+    return bars.withColumns({"span": F.col("high") - F.col("low"), "body": F.abs(F.col("close") - F.col("open")), "upper": F.col("high") - top, "lower": low - F.col("low"),
+        "sign": F.signum(F.col("close") - F.col("open"))}).withColumn("body_ratio", F.col("body") / F.nullif(F.col("span"), F.lit(0.0)))
 
 
 def rules(bars: DataFrame, trend: int = 3, doji: float = 0.1, small: float = 0.3, long: float = 0.6, shadow: float = 2.0) -> DataFrame:
@@ -42,12 +43,15 @@ def rules(bars: DataFrame, trend: int = 3, doji: float = 0.1, small: float = 0.3
         ("shooting_star", -1, star, c("t1"), up),
         ("bullish_engulfing", 1, (c("sign1") < 0) & (c("sign") > 0) & covers, c("t2"), down),
         ("bearish_engulfing", -1, (c("sign1") > 0) & (c("sign") < 0) & covers, c("t2"), up),
-        ("morning_star", 1, (c("sign2") < 0) & (c("body_ratio2") >= long) & (c("body_ratio1") <= small) & (top1 < c("close2")) & (c("sign") > 0) & (c("close") > half2) & (c("open") > top1), c("t3"), down),
-        ("evening_star", -1, (c("sign2") > 0) & (c("body_ratio2") >= long) & (c("body_ratio1") <= small) & (low1 > c("close2")) & (c("sign") < 0) & (c("close") < half2) & (c("open") < low1), c("t3"), up),
+        ("morning_star", 1, (c("sign2") < 0) & (c("body_ratio2") >= long) & (c("body_ratio1") <= small) & (top1 < c("close2")) & (c("sign") > 0) & (c("close") > half2) & (c("open") > top1),
+            c("t3"), down),
+        ("evening_star", -1, (c("sign2") > 0) & (c("body_ratio2") >= long) & (c("body_ratio1") <= small) & (low1 > c("close2")) & (c("sign") < 0) & (c("close") < half2) & (c("open") < low1),
+            c("t3"), up),
         ("three_white_soldiers", 1, three(1), c("t3"), down),
         ("three_black_crows", -1, three(-1), c("t3"), up),
     ]
-    rows = F.array(*(F.struct(F.lit(n).alias("pattern"), F.lit(d).alias("direction"), F.coalesce(shape, F.lit(False)).alias("matched"), (F.lit(True) if test is any_trend else test(t)).alias("context")) for n, d, shape, t, test in table))
+    rows = F.array(*(F.struct(F.lit(n).alias("pattern"), F.lit(d).alias("direction"), F.coalesce(shape, F.lit(False)).alias("matched"),
+        (F.lit(True) if test is any_trend else test(t)).alias("context")) for n, d, shape, t, test in table))
     out = m.select("security", "at", F.explode(rows).alias("p")).select("security", "at", "p.*")
     status = F.when(~F.col("matched"), "not-matched").when(F.col("context").isNull(), "context-unknown").when(F.col("context"), "matched").otherwise("context-not-matched")
     return out.withColumn("status", status)
@@ -74,7 +78,8 @@ def geometry(bars: DataFrame) -> DataFrame:
     """Causal channels of each bar: body, upper and lower shadow over the close, gap to the close before, change over two bars."""
     m, w = metrics(bars), own()
     last = F.lag("close").over(w)
-    return m.select("security", "at", ((F.col("close") - F.col("open")) / F.col("close")).alias("body"), (F.col("upper") / F.col("close")).alias("upper"), (F.col("lower") / F.col("close")).alias("lower"), (F.col("open") / last - 1).alias("gap"), (F.col("close") / F.lag("close", 2).over(w) - 1).alias("change2"))
+    return m.select("security", "at", ((F.col("close") - F.col("open")) / F.col("close")).alias("body"), (F.col("upper") / F.col("close")).alias("upper"),
+        (F.col("lower") / F.col("close")).alias("lower"), (F.col("open") / last - 1).alias("gap"), (F.col("close") / F.lag("close", 2).over(w) - 1).alias("change2"))
 
 
 def purged_splits(samples: DataFrame, stages: list[tuple[str, str, str]], embargo_days: int) -> DataFrame:

@@ -27,7 +27,8 @@ def terms_reason(prefix: str = "") -> Column:
     """Why terms of liquidity don't tell what a sale brings: explicitly_not_sellable, or unknown_liquidity with the fields that miss."""
     c = lambda n: F.col(prefix + n)
     fields = ["can_sell", "haircut", "fee_rate", "settlement_days", "earliest_sale_date", "source"]
-    missing = F.array_compact(F.array(*(F.when(c(n).isNull(), n) for n in fields), F.when(F.coalesce(c("settlement_day_basis") != "calendar", F.lit(True)), "settlement_day_basis"), F.when(F.coalesce(c("fee_timing") != "deduct_from_settlement_proceeds", F.lit(True)), "fee_timing")))
+    missing = F.array_compact(F.array(*(F.when(c(n).isNull(), n) for n in fields), F.when(F.coalesce(c("settlement_day_basis") != "calendar", F.lit(True)), "settlement_day_basis"),
+        F.when(F.coalesce(c("fee_timing") != "deduct_from_settlement_proceeds", F.lit(True)), "fee_timing")))
     return F.when(c("can_sell") == F.lit(False), "explicitly_not_sellable").when(F.size(missing) > 0, F.concat(F.lit("unknown_liquidity:"), F.array_join(missing, ",")))
 
 
@@ -37,9 +38,12 @@ def checked(flows: DataFrame, releases: DataFrame, sales: DataFrame, positions:
         raise InputError("a horizon has 1 to 3660 days")
     a, b = F.lit(start), F.lit(end)
     share = lambda n: (F.col(n) < 0) | (F.col(n) > 1) | F.isnan(n)
-    require(flows, kind=~F.col("kind").isin("income", "necessary_expense"), amount=F.coalesce(F.col("amount") < 0, F.lit(False)), date=F.coalesce((F.col("date") <= a) | (F.col("date") > b), F.lit(False)))
-    require(scenarios, multiplier=share("income_multiplier"), haircut=share("additional_haircut"), delay=(F.col("settlement_delay_days") < 0) | (F.col("settlement_delay_days") > 3660), change=(F.col("income_multiplier") != 1) & F.col("income_change_from").isNull(), release=F.col("freeze_release_enabled").isNull())
-    require(liquidity, haircut=F.coalesce(share("haircut"), F.lit(False)), fee=F.coalesce(share("fee_rate"), F.lit(False)), days=F.coalesce(F.col("settlement_days") < 0, F.lit(False)), earliest=F.coalesce(F.col("earliest_sale_date") <= a, F.lit(False)))
+    require(flows, kind=~F.col("kind").isin("income", "necessary_expense"), amount=F.coalesce(F.col("amount") < 0, F.lit(False)),
+        date=F.coalesce((F.col("date") <= a) | (F.col("date") > b), F.lit(False)))
+    require(scenarios, multiplier=share("income_multiplier"), haircut=share("additional_haircut"), delay=(F.col("settlement_delay_days") < 0) | (F.col("settlement_delay_days") > 3660),
+        change=(F.col("income_multiplier") != 1) & F.col("income_change_from").isNull(), release=F.col("freeze_release_enabled").isNull())
+    require(liquidity, haircut=F.coalesce(share("haircut"), F.lit(False)), fee=F.coalesce(share("fee_rate"), F.lit(False)), days=F.coalesce(F.col("settlement_days") < 0, F.lit(False)),
+        earliest=F.coalesce(F.col("earliest_sale_date") <= a, F.lit(False)))
     ids = flows.select("account", "id").unionByName(releases.select("account", "id")).unionByName(sales.select("account", "id"))
     if not ids.groupBy("account", "id").count().where("count > 1").isEmpty():
         raise InputError("an event is entered twice")
@@ -61,7 +65,8 @@ def events(flows: DataFrame, releases: DataFrame, sales: DataFrame, liquidity: D
     income = F.col("kind") == "income"
     pressed = F.col("amount") * F.when(income & (F.col("date") >= F.col("income_change_from")), F.col("income_multiplier")).otherwise(1.0)
     gap = F.col("amount").isNull() | F.col("date").isNull()
-    out = flows.crossJoin(few).select("scenario", "account", "id", F.when(income, "income").otherwise("expense").alias("kind"), "date", pressed.alias("amount"), F.when(gap, "unknown").otherwise(late(F.col("date"))).alias("status"), F.when(gap, "unknown_cashflow_amount_or_date").alias("reason"))
+    out = flows.crossJoin(few).select("scenario", "account", "id", F.when(income, "income").otherwise("expense").alias("kind"), "date", pressed.alias("amount"),
+        F.when(gap, "unknown").otherwise(late(F.col("date"))).alias("status"), F.when(gap, "unknown_cashflow_amount_or_date").alias("reason"))
 
     told = releases.crossJoin(few)
     condition = F.col("condition_met")
@@ -81,14 +86,16 @@ def events(flows: DataFrame, releases: DataFrame, sales: DataFrame, liquidity: D
     net = F.col("book_amount") * net_factor(F.col("haircut"), F.col("additional_haircut"), F.col("fee_rate"))
     status = F.when(F.col("why") == "explicitly_not_sellable", "blocked").when(~known, "unknown").otherwise(late(arrival))
     reason = F.coalesce("why", F.when(arrival > F.lit(end), "not_available_within_horizon"))
-    return out.unionByName(sold.select("scenario", "account", "id", F.lit("sale_net").alias("kind"), F.when(known, arrival).alias("date"), F.when(known, net).alias("amount"), status.alias("status"), reason.alias("reason")))
+    return out.unionByName(sold.select("scenario", "account", "id", F.lit("sale_net").alias("kind"), F.when(known, arrival).alias("date"), F.when(known, net).alias("amount"),
+        status.alias("status"), reason.alias("reason")))
 
 
 def ledger(happened: DataFrame, positions: DataFrame, scenarios: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """(scenario, account, date, income, expense, release, sale_net, balance, frozen, gap, without_sales) on every day of the horizon from the account's available cash."""
     cash = F.col("kind") == "cash"
     frozen = F.coalesce("frozen_amount", F.lit(0.0))
-    opening = positions.groupBy("account").agg(F.coalesce(F.sum(F.when(cash, F.col("amount") - frozen)), F.lit(0.0)).alias("open_cash"), F.coalesce(F.sum(F.when(cash, frozen)), F.lit(0.0)).alias("open_frozen"))
+    opening = positions.groupBy("account").agg(F.coalesce(F.sum(F.when(cash, F.col("amount") - frozen)), F.lit(0.0)).alias("open_cash"),
+        F.coalesce(F.sum(F.when(cash, frozen)), F.lit(0.0)).alias("open_frozen"))
     days = opening.crossJoin(F.broadcast(scenarios.select("scenario"))).withColumn("date", F.explode(F.sequence(F.lit(start), F.lit(end))))
     kinds = ("income", "expense", "release", "sale_net")
     daily = happened.where("status = 'resolved'").groupBy("scenario", "account", "date").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("amount"))), F.lit(0.0)).alias(k) for k in kinds))
@@ -123,17 +130,20 @@ def liquidation(positions: DataFrame, sales: DataFrame, liquidity: DataFrame, sc
     """For every position that isn't cash in every scenario: what all of it would bring, when at the earliest, whether that is in time for the first gap, and the book
     amount that alone would cover the peak need. A comparison position by position, not a plan."""
     planned = sales.groupBy("account", "position_id").agg(F.sum("book_amount").alias("planned"))
-    rows = positions.where("kind <> 'cash'").select("account", "position_id", F.col("amount").alias("book")).join(planned, ["account", "position_id"], "left").join(liquidity, ["account", "position_id"], "left").crossJoin(F.broadcast(scenarios))
+    rows = positions.where("kind <> 'cash'").select("account", "position_id", F.col("amount").alias("book")).join(planned, ["account", "position_id"], "left").join(liquidity,
+        ["account", "position_id"], "left").crossJoin(F.broadcast(scenarios))
     rows = rows.withColumn("reason", terms_reason()).join(found.select("scenario", "account", "first_gap", "peak"), ["scenario", "account"])
     known = F.col("reason").isNull()
     factor = F.when(known, net_factor(F.col("haircut"), F.col("additional_haircut"), F.col("fee_rate")))
     receipt = F.when(known, F.date_add("earliest_sale_date", (F.col("settlement_days") + F.col("settlement_delay_days")).cast("int")))
     left = F.col("book") - F.coalesce("planned", F.lit(0.0))
     need = F.when((F.col("peak") > 0) & (factor > 0) & (receipt <= F.col("first_gap")), F.col("peak") / factor)
-    return rows.select("scenario", "account", "position_id", (F.col("book") * factor).alias("net_value"), left.alias("remaining"), receipt.alias("receipt"), (receipt <= F.col("first_gap")).alias("in_time"), need.alias("needed"), (need <= left).alias("sufficient"), F.coalesce("reason", F.lit("explicit_input_assumptions_only")).alias("reason"))
+    return rows.select("scenario", "account", "position_id", (F.col("book") * factor).alias("net_value"), left.alias("remaining"), receipt.alias("receipt"),
+        (receipt <= F.col("first_gap")).alias("in_time"), need.alias("needed"), (need <= left).alias("sufficient"), F.coalesce("reason", F.lit("explicit_input_assumptions_only")).alias("reason"))
 
 
-def cash_demand(positions: DataFrame, flows: DataFrame, releases: DataFrame, sales: DataFrame, liquidity: DataFrame, scenarios: DataFrame, start: dt.date, end: dt.date, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def cash_demand(positions: DataFrame, flows: DataFrame, releases: DataFrame, sales: DataFrame, liquidity: DataFrame, scenarios: DataFrame, start: dt.date, end: dt.date,
+    overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(events, ledger, summary), see there."""
     checked(flows, releases, sales, positions, liquidity, scenarios, start, end)
     happened = written(events(flows, releases, sales, liquidity, scenarios, end, overrides), "events")  # read by the ledger and by the summary
@@ -150,7 +160,8 @@ def cash_fit(before: DataFrame, after: DataFrame, plans: DataFrame) -> DataFrame
     rows = a.join(b, ["scenario", "account"]).join(doubt, "account", "left").fillna(0, ["doubts"])
     sure = (F.col("u") == 0) & (F.col("doubts") == 0)
     added = F.when(sure & (F.col("ub") == 0), F.greatest(F.lit(0.0), F.col("peak_after") - F.col("peak_before")))
-    return rows.select("scenario", "account", F.when(sure, "conditional_on_declared_inputs").otherwise("unknown").alias("status"), F.when(sure, F.col("peak_after")).alias("conflict"), added.alias("added"))
+    return rows.select("scenario", "account", F.when(sure, "conditional_on_declared_inputs").otherwise("unknown").alias("status"), F.when(sure, F.col("peak_after")).alias("conflict"),
+        added.alias("added"))
 
 
 def consecutive(periods: DataFrame, *keys: str) -> DataFrame:

@@ -50,7 +50,8 @@ def common_methods(estimate: DataFrame, n: int) -> DataFrame:
     return estimate.groupBy("method").agg(F.countDistinct("fold").alias("n")).where(F.col("n") == n).select("method")
 
 
-def walk_forward(panel: DataFrame, least: int = 500, step: int = 252, window: int = 500, limits: Limits | None = None, rate: float = 1e-4, periods: float = 252.0) -> tuple[str, DataFrame | None, DataFrame | None]:
+def walk_forward(panel: DataFrame, least: int = 500, step: int = 252, window: int = 500, limits: Limits | None = None, rate: float = 1e-4, periods: float = 252.0) -> tuple[str,
+    DataFrame | None, DataFrame | None]:
     """(status, schedule, results): methods are estimated anew before each fold and traded to at its first date, in one ledger for each method that all folds have."""
     dates = numbered(panel).orderBy("k").toPandas()["date"].tolist()
     plan = folds(len(dates), least, step)
@@ -88,7 +89,8 @@ def stitched(parts: DataFrame, *keys: str) -> DataFrame:
     return running(parts, *keys, products={"nav": 1 + F.col("r")})
 
 
-def budget_walk_forward(panel: DataFrame, plan: Budget, least: int = 752, step: int = 126, train: int | None = None, validation: int = 0, window: int = 500, limits: Limits | None = None, rate: float = 1e-4, most_folds: int = 20, fallback: str = "cash", flows: DataFrame | None = None, value: float = 100_000.0, required_years: tuple[int, ...] = ()) -> dict:
+def budget_walk_forward(panel: DataFrame, plan: Budget, least: int = 752, step: int = 126, train: int | None = None, validation: int = 0, window: int = 500, limits: Limits | None = None,
+    rate: float = 1e-4, most_folds: int = 20, fallback: str = "cash", flows: DataFrame | None = None, value: float = 100_000.0, required_years: tuple[int, ...] = ()) -> dict:
     """Before each fold candidates are fitted and held to the drawdown budget, the chosen one is traded until the next; without one, cash or the last target. A reference of equal
     weights goes along. What a fold ends with, the next one starts with, so folds follow each other.
 
@@ -136,7 +138,8 @@ def budget_walk_forward(panel: DataFrame, plan: Budget, least: int = 752, step:
         reference = dict(zip(assets, found[name])) if name else dict.fromkeys(assets, 0.0)
         test = panel.where(F.col("date").between(F.lit(dates[a]), F.lit(dates[b - 1]))).withColumn("path", F.explode(F.array(F.lit("actual"), F.lit("baseline"))))
         now = [(d, v) for d, v in paid.items() if dates[a] <= d <= dates[b - 1]]
-        rules = {p: Rules({s: float(w) for s, w in t.items()}, ends[p][0], rate, every=plan.every or 0, initial={s: float(w) for s, w in ends[p][1].items()}) for p, t in (("actual", target), ("baseline", reference))}
+        rules = {p: Rules({s: float(w) for s, w in t.items()}, ends[p][0], rate, every=plan.every or 0, initial={s: float(w) for s, w in ends[p][1].items()}) for p,
+            t in (("actual", target), ("baseline", reference))}
         got = ledgers(test, rules, spark.createDataFrame(now, "date date, amount double") if now else None).toPandas()  # one window of two paths
         got["fold"] = fold
         parts.append(got.drop(columns=["trades"]))
@@ -145,10 +148,14 @@ def budget_walk_forward(panel: DataFrame, plan: Budget, least: int = 752, step:
         nav = np.append(1.0, np.cumprod(1 + got[got["path"] == "actual"].sort_values("date")["r"].to_numpy()))
         worst = float((1 - nav / np.maximum.accumulate(nav)).max())
         whole = b - a == step
-        told.append({"fold": fold, "test_start": dates[a], "test_end": dates[b - 1], "fit_rows": a - validation - begin[fold], "calibration_rows": a - start, "status": status, "selected": chosen, "candidates": len(found), "failed": len(failed), "max_drawdown": worst, "breach": worst > plan.limit if chosen and whole else None, "whole": whole, "baseline": name})
-    ledger = spark.createDataFrame(pd.concat(parts)[["path", "date", "fold", "value", "cash", "flow", "cost", "turnover", "r"]], "path string, date date, fold int, value double, cash double, flow double, cost double, turnover double, r double")
+        told.append({"fold": fold, "test_start": dates[a], "test_end": dates[b - 1], "fit_rows": a - validation - begin[fold], "calibration_rows": a - start, "status": status,
+            "selected": chosen, "candidates": len(found), "failed": len(failed), "max_drawdown": worst, "breach": worst > plan.limit if chosen and whole else None, "whole": whole, "baseline": name})
+    ledger = spark.createDataFrame(pd.concat(parts)[["path", "date", "fold", "value", "cash", "flow", "cost", "turnover", "r"]],
+        "path string, date date, fold int, value double, cash double, flow double, cost double, turnover double, r double")
     eligible = [r["breach"] for r in told if r["breach"] is not None]
-    return {"folds": told, "ledger": stitched(ledger, "path"), "complete": len(told) == len(every), "no_solution_rate": sum(r["selected"] is None for r in told) / len(told), "breaches": sum(eligible), "eligible": len(eligible), "breach_rate": sum(eligible) / len(eligible) if eligible else None, "statuses": pd.Series([r["status"] for r in told]).value_counts().to_dict(), "selections": pd.Series([r["selected"] for r in told if r["selected"]], dtype=object).value_counts().to_dict()}
+    return {"folds": told, "ledger": stitched(ledger, "path"), "complete": len(told) == len(every), "no_solution_rate": sum(r["selected"] is None for r in told) / len(told),
+        "breaches": sum(eligible), "eligible": len(eligible), "breach_rate": sum(eligible) / len(eligible) if eligible else None,
+            "statuses": pd.Series([r["status"] for r in told]).value_counts().to_dict(), "selections": pd.Series([r["selected"] for r in told if r["selected"]], dtype=object).value_counts().to_dict()}
 
 
 #: Named spans of falls, as days: fixed values.
@@ -171,9 +178,12 @@ def stress(panel: DataFrame, weights: dict[str, float], spans: dict[str, tuple[s
     w = so_far("path")
     path = ledger.withColumn("high", F.greatest(F.lit(1.0), F.max("nav").over(w))).withColumn("fall", 1 - F.col("nav") / F.col("high"))
     inside = path.where("date <= end")
-    trough = inside.groupBy("path").agg(F.max(F.struct("fall", (-F.unix_date("date")).alias("k"), "high")).alias("t"), F.sum("cost").alias("cost")).select("path", F.date_from_unix_date(-F.col("t.k")).alias("trough"), F.col("t.high").alias("peak"), "cost")
+    trough = inside.groupBy("path").agg(F.max(F.struct("fall", (-F.unix_date("date")).alias("k"), "high")).alias("t"), F.sum("cost").alias("cost")).select("path",
+        F.date_from_unix_date(-F.col("t.k")).alias("trough"), F.col("t.high").alias("peak"), "cost")
     back = path.join(trough, "path").where("date >= trough AND nav >= peak - 1e-12").groupBy("path").agg(F.min("date").alias("recovered"))
     months = inside.groupBy("path", F.trunc("date", "MM").alias("m")).agg((F.product(1 + F.col("r")) - 1).alias("g")).groupBy("path").agg(F.min("g").alias("worst_month"))
-    out = told.select("path", "start", "end", "covered").join(summary(inside, "path", periods=periods), "path", "left").join(trough, "path", "left").join(back, "path", "left").join(months, "path", "left")
+    out = told.select("path", "start", "end", "covered").join(summary(inside, "path", periods=periods), "path", "left").join(trough, "path", "left").join(back, "path", "left").join(months,
+        "path", "left")
     status = F.when(~F.col("covered"), "insufficient_data").when(F.col("recovered").isNull(), "right_censored").otherwise("recovered")
-    return out.select(F.col("path").alias("scenario"), status.alias("status"), "n", "twr", "max_drawdown", "cost", "worst_month", "trough", "recovered", (F.datediff("recovered", "trough") / 30.4375).alias("months"))
+    return out.select(F.col("path").alias("scenario"), status.alias("status"), "n", "twr", "max_drawdown", "cost", "worst_month", "trough", "recovered",
+        (F.datediff("recovered", "trough") / 30.4375).alias("months"))

@@ -187,7 +187,8 @@ def binding_reason(document: Column, pointer: Column, value: Column, scale: Colu
 def tradeoff(gain: Column, reduction: Column, is_baseline: Column, band: float = 1e-8) -> Column:
     """How a result compares with the baseline in return gained and drawdown reduced."""
     more, less, safer, riskier = gain > band, gain < -band, reduction > band, reduction < -band
-    return F.when(is_baseline, "baseline").when(more & safer, "better_both").when(less & safer, "less_drawdown_less_return").when(more & riskier, "more_return_more_drawdown").when(less & riskier, "worse_both").otherwise("mixed")
+    return F.when(is_baseline, "baseline").when(more & safer, "better_both").when(less & safer, "less_drawdown_less_return").when(more & riskier,
+        "more_return_more_drawdown").when(less & riskier, "worse_both").otherwise("mixed")
 
 
 def trailing(df: DataFrame, n: int, *keys: str) -> DataFrame:

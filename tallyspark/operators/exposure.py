@@ -49,7 +49,8 @@ def _extended(walks: DataFrame, by: DataFrame, name: str) -> tuple[DataFrame, in
     step = both.select(
         "start", F.when(is_met, F.get(tail, F.col("met") - 1)).otherwise(F.col("n_end")).alias("end"),
         F.when(is_met, "fund").otherwise(F.col("n_kind")).alias("kind"), F.when(is_met, "cycle").otherwise(F.col("n_reason")).alias("reason"), (F.col("n_open") & ~is_met).alias("open"),
-        F.concat("path", F.when(is_met, F.slice(tail, F.lit(1), cut)).otherwise(tail)).alias("path"), upto("ids", cut).alias("ids"), upto("ws", cut).alias("ws"), (is_met & (cut < whole)).alias("shortened"),
+        F.concat("path", F.when(is_met, F.slice(tail, F.lit(1), cut)).otherwise(tail)).alias("path"), upto("ids", cut).alias("ids"), upto("ws", cut).alias("ws"),
+            (is_met & (cut < whole)).alias("shortened"),
     )
     seen = Observation()
     step = written(step.observe(seen, F.count_if("open").alias("n")), name)
@@ -94,7 +95,8 @@ def paths(holdings: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame:
     known = reason.isNull()
     w = F.aggregate("ws", F.lit(1.0), lambda a, x: a * x)
     return found.where("size(ids) > 0").select(
-        F.col("start").alias("root"), F.when(known, F.col("end")).otherwise("unknown").alias("leaf"), F.when(known, F.col("kind")).otherwise("unknown").alias("kind"), w.alias("w"), reason.alias("reason"), "path",
+        F.col("start").alias("root"), F.when(known, F.col("end")).otherwise("unknown").alias("leaf"), F.when(known, F.col("kind")).otherwise("unknown").alias("kind"), w.alias("w"),
+            reason.alias("reason"), "path",
     )
 
 
@@ -133,9 +135,12 @@ def account_exposure(positions: DataFrame, holdings: DataFrame, master: DataFram
     funds = positions.where("kind = 'fund'")
     known = holdings.select(F.col("node")).distinct()
     walked = paths(holdings, funds.select(F.col("node").alias("root")).join(known, F.col("root") == F.col("node"), "left_semi"), depth)
-    through = funds.select("position_id", F.col("node").alias("root"), "amount").join(walked, "root").select("position_id", F.col("leaf").alias("security"), "kind", (F.col("amount") * F.col("w")).alias("amount"), "reason", F.lit("fund_disclosure").alias("origin"))
-    blind = funds.join(known, "node", "left_anti").select("position_id", F.lit(None).cast("string").alias("security"), F.lit("unknown").alias("kind"), "amount", F.lit("missing_fund_disclosure").alias("reason"), F.lit("fund_disclosure").alias("origin"))
-    own = positions.where(F.col("kind") != "fund").select("position_id", "security", "kind", "amount", F.when(F.col("kind") == "unknown", "root_classification_unknown").alias("reason"), F.lit("direct_account").alias("origin"))
+    through = funds.select("position_id", F.col("node").alias("root"), "amount").join(walked, "root").select("position_id", F.col("leaf").alias("security"), "kind",
+        (F.col("amount") * F.col("w")).alias("amount"), "reason", F.lit("fund_disclosure").alias("origin"))
+    blind = funds.join(known, "node", "left_anti").select("position_id", F.lit(None).cast("string").alias("security"), F.lit("unknown").alias("kind"), "amount",
+        F.lit("missing_fund_disclosure").alias("reason"), F.lit("fund_disclosure").alias("origin"))
+    own = positions.where(F.col("kind") != "fund").select("position_id", "security", "kind", "amount", F.when(F.col("kind") == "unknown", "root_classification_unknown").alias("reason"),
+        F.lit("direct_account").alias("origin"))
     rows = through.unionByName(blind).unionByName(own)
     told = rows.join(master.select("security", F.col("kind").alias("told"), "issuer", "industry", "duration"), "security", "left")
     told = told.withColumn("reason", F.coalesce("reason", F.when(F.col("told").isNull(), "missing_security_identity_or_kind_evidence")))

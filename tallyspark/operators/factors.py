@@ -99,7 +99,8 @@ def stability(records: DataFrame, least: int = 2) -> DataFrame:
     r = r.withColumn("length", F.sum((F.col("ic") <= 0).cast("int")).over(Window.partitionBy("grp", "island", "run")))
     r = r.withColumn("path", F.sum("ic").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     r = r.withColumn("fall", F.greatest(F.lit(0.0), F.max("path").over(own.rowsBetween(Window.unboundedPreceding, 0))) - F.col("path"))
-    out = r.groupBy("grp").agg(F.count("*").alias("n"), F.avg((F.col("ic") > 0).cast("double")).alias("positive_share"), F.coalesce(F.sum("flip"), F.lit(0)).alias("flips"), F.max("length").alias("longest_non_positive"), F.max("fall").alias("greatest_fall"))
+    out = r.groupBy("grp").agg(F.count("*").alias("n"), F.avg((F.col("ic") > 0).cast("double")).alias("positive_share"), F.coalesce(F.sum("flip"), F.lit(0)).alias("flips"),
+        F.max("length").alias("longest_non_positive"), F.max("fall").alias("greatest_fall"))
     enough = F.col("n") >= least
     return out.select("grp", "n", *(F.when(enough, F.col(c)).alias(c) for c in ("positive_share", "flips", "longest_non_positive", "greatest_fall")))
 
@@ -109,8 +110,10 @@ def exposure(holdings: DataFrame, values: DataFrame) -> DataFrame:
     j = holdings.join(values, "security", "left")
     cash, known = F.col("kind") == "cash", (F.col("kind") != "cash") & F.col("value").isNotNull()
     w = F.col("weight")
-    out = j.agg(F.sum(F.when(known, w)).alias("known"), F.sum(F.when(~cash & F.col("value").isNull(), w)).alias("unknown"), F.sum(F.when(cash, w)).alias("cash"), F.sum(F.when(known, w * F.col("value"))).alias("contribution"))
-    return out.select("known", F.coalesce("unknown", F.lit(0.0)).alias("unknown"), F.coalesce("cash", F.lit(0.0)).alias("cash"), "contribution", (F.col("contribution") / F.col("known")).alias("normalised"), F.when(F.coalesce("unknown", F.lit(0.0)) <= 1e-12, F.col("contribution")).alias("complete"))
+    out = j.agg(F.sum(F.when(known, w)).alias("known"), F.sum(F.when(~cash & F.col("value").isNull(), w)).alias("unknown"), F.sum(F.when(cash, w)).alias("cash"),
+        F.sum(F.when(known, w * F.col("value"))).alias("contribution"))
+    return out.select("known", F.coalesce("unknown", F.lit(0.0)).alias("unknown"), F.coalesce("cash", F.lit(0.0)).alias("cash"), "contribution",
+        (F.col("contribution") / F.col("known")).alias("normalised"), F.when(F.coalesce("unknown", F.lit(0.0)) <= 1e-12, F.col("contribution")).alias("complete"))
 
 
 def mid_percentile(universe: DataFrame, target: Column) -> DataFrame:
@@ -197,7 +200,8 @@ def multi_scores(rows: DataFrame, names: list[str], weights: dict[str, float], n
     def run(one: pd.DataFrame) -> pd.DataFrame:
         used, status, score, inflation = solve(one)
         left = len(one) - len(used)
-        out = pd.DataFrame({"security": used["security"].astype(str), "status": status, "score": score if score is not None else None, "inflation": inflation, "n_used": len(used), "n_excluded": left}) if score is not None else pd.DataFrame({"security": [None], "status": [status], "score": [None], "inflation": [None], "n_used": [len(used)], "n_excluded": [left]})
+        out = pd.DataFrame({"security": used["security"].astype(str), "status": status, "score": score if score is not None else None, "inflation": inflation, "n_used": len(used),
+            "n_excluded": left}) if score is not None else pd.DataFrame({"security": [None], "status": [status], "score": [None], "inflation": [None], "n_used": [len(used)], "n_excluded": [left]})
         for k in keys:
             out[k] = one[k].iloc[0]
         return out[[*keys, "security", "status", "score", "inflation", "n_used", "n_excluded"]]

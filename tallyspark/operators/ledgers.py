@@ -54,7 +54,8 @@ def lookthrough(holdings: DataFrame, root: str, depth: int = 10) -> DataFrame:
 def rollups(exposure: DataFrame) -> DataFrame:
     """(level, key, amount) sums by security, issuer, industry and kind of (security, issuer, industry, kind, amount) in one pass; what has no issuer or
     industry is its own bucket, and cash has neither."""
-    e = exposure.withColumn("issuer", F.when(F.col("kind") != "cash", F.coalesce("issuer", F.lit("unmapped")))).withColumn("industry", F.when(F.col("kind") != "cash", F.coalesce("industry", F.lit("unmapped"))))
+    e = exposure.withColumn("issuer", F.when(F.col("kind") != "cash", F.coalesce("issuer", F.lit("unmapped")))).withColumn("industry",
+        F.when(F.col("kind") != "cash", F.coalesce("industry", F.lit("unmapped"))))
     cols = ["security", "issuer", "industry", "kind"]
     g = e.groupingSets([[c] for c in cols], *cols).agg(F.sum("amount").alias("amount"), *(F.grouping(c).alias(f"g_{c}") for c in cols))
     level = F.coalesce(*(F.when(F.col(f"g_{c}") == 0, F.lit(c)) for c in cols))
@@ -66,7 +67,8 @@ def rate_scenarios(exposure: DataFrame, shocks: DataFrame) -> DataFrame:
     """First-order change of bonds with a declared duration for each shock; null where nothing is eligible."""
     bond = F.col("kind") == "bond"
     able = bond & F.col("duration").isNotNull()
-    return exposure.join(F.broadcast(shocks)).groupBy("scenario").agg(F.sum(F.when(able, -F.col("shock") * F.col("duration") * F.col("amount"))).alias("change"), F.sum(F.when(able, F.col("amount"))).alias("covered"), F.sum(F.when(bond & F.col("duration").isNull(), F.col("amount"))).alias("unestimated"))
+    return exposure.join(F.broadcast(shocks)).groupBy("scenario").agg(F.sum(F.when(able, -F.col("shock") * F.col("duration") * F.col("amount"))).alias("change"),
+        F.sum(F.when(able, F.col("amount"))).alias("covered"), F.sum(F.when(bond & F.col("duration").isNull(), F.col("amount"))).alias("unestimated"))
 
 
 def cash_ledger(flows: DataFrame, days: DataFrame, opening: Column, *keys: str) -> DataFrame:
@@ -79,7 +81,8 @@ def cash_ledger(flows: DataFrame, days: DataFrame, opening: Column, *keys: str)
 
 def first_gap(ledger: DataFrame, *keys: str) -> DataFrame:
     w = F.col("gap") > 0
-    return ledger.groupBy(*keys).agg(F.min(F.when(w, F.col("date"))).alias("first_gap"), F.min_by("gap", F.when(w, F.col("date"))).alias("first_amount"), F.max("gap").alias("peak_gap"), F.max_by("balance", "date").alias("ending"))
+    return ledger.groupBy(*keys).agg(F.min(F.when(w, F.col("date"))).alias("first_gap"), F.min_by("gap", F.when(w, F.col("date"))).alias("first_amount"), F.max("gap").alias("peak_gap"),
+        F.max_by("balance", "date").alias("ending"))
 
 
 def first_on_or_after(planned: DataFrame, dates: DataFrame, longest: int | None = None) -> DataFrame:
@@ -170,7 +173,8 @@ def observed(obs: DataFrame, *keys: str) -> DataFrame:
     """Time-weighted return, profit and net flow of valuations (date, before, flow, after)."""
     w = by_date(*keys)
     r = obs.withColumn("r", F.col("before") / F.lag("after").over(w) - 1)
-    return r.groupBy(*keys).agg((F.product(1 + F.coalesce("r", F.lit(0.0))) - 1).alias("twr"), F.sum("flow").alias("net_flow"), F.min_by("after", "date").alias("opening"), F.max_by("after", "date").alias("ending"), F.min_by("flow", "date").alias("first_flow")).select(
+    return r.groupBy(*keys).agg((F.product(1 + F.coalesce("r", F.lit(0.0))) - 1).alias("twr"), F.sum("flow").alias("net_flow"), F.min_by("after", "date").alias("opening"),
+        F.max_by("after", "date").alias("ending"), F.min_by("flow", "date").alias("first_flow")).select(
         *keys, "twr", (F.col("net_flow") - F.col("first_flow")).alias("net_flow"), "opening", "ending", (F.col("ending") - F.col("opening") - F.col("net_flow") + F.col("first_flow")).alias("profit")
     )
 
@@ -225,14 +229,16 @@ def exit_cash(flows: DataFrame, *keys: str) -> DataFrame:
     paid, got = F.sum(F.when(F.col("amount") < 0, -F.col("amount"))), F.sum(F.when(F.col("amount") > 0, F.col("amount")))
     totals = flows.groupBy(*keys).agg(paid.alias("paid"), got.alias("received"), F.sum("amount").alias("net"))
     out = totals.join(sign_changes(flows, *keys), list(keys)).join(xirr(flows, *keys), list(keys), "left")
-    return out.select(*keys, "paid", "received", "net", (F.col("received") / F.nullif(F.col("paid"), F.lit(0.0))).alias("multiple"), "changes", F.when(F.col("conventional"), F.col("xirr")).alias("xirr"))
+    return out.select(*keys, "paid", "received", "net", (F.col("received") / F.nullif(F.col("paid"), F.lit(0.0))).alias("multiple"), "changes",
+        F.when(F.col("conventional"), F.col("xirr")).alias("xirr"))
 
 
 def under_scenarios(flows: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Flows (owner, date, amount, kind) under each scenario (scenario, income_multiplier, change_from, extra_haircut, delay_days): income after a date is
     multiplied, sales lose the haircut and settle later. Scenarios are few and broadcast; nothing else is multiplied."""
     income, sale = F.col("kind") == "income", F.col("kind") == "sale"
-    amount = F.when(income & (F.col("date") >= F.col("change_from")), F.col("amount") * F.col("income_multiplier")).when(sale, F.col("amount") * (1 - F.least(F.lit(1.0), F.col("extra_haircut")))).otherwise(F.col("amount"))
+    amount = F.when(income & (F.col("date") >= F.col("change_from")), F.col("amount") * F.col("income_multiplier")).when(sale,
+        F.col("amount") * (1 - F.least(F.lit(1.0), F.col("extra_haircut")))).otherwise(F.col("amount"))
     date = F.when(sale, F.date_add("date", F.col("delay_days"))).otherwise(F.col("date"))
     return flows.crossJoin(F.broadcast(scenarios)).select("scenario", "owner", "kind", date.alias("date"), amount.alias("amount"))
 
@@ -305,5 +311,6 @@ def compared_paths(path: DataFrame, reference: DataFrame, tolerance: float = 1e-
     side = lambda df, tag: df.select("date", *(F.col(f).alias(f"{tag}_{f}") for f in fields), F.lit(True).alias(tag))
     joined = side(path, "a").join(side(reference, "b"), "date", "full")
     sums = joined.agg(F.count_if(F.col("a").isNull()).alias("missing"), F.count_if(F.col("b").isNull()).alias("extra"), *(F.max(F.abs(F.col(f"a_{f}") - F.col(f"b_{f}"))).alias(f) for f in fields))
-    each = sums.select("missing", "extra", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("largest")) for f in fields))).alias("s")).select("s.field", "missing", "extra", "s.largest")
+    each = sums.select("missing", "extra", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("largest")) for f in fields))).alias("s")).select("s.field", "missing",
+        "extra", "s.largest")
     return each.withColumn("agrees", (F.col("missing") == 0) & (F.col("extra") == 0) & F.coalesce(F.col("largest") <= tolerance, F.lit(False)))

@@ -12,7 +12,8 @@ from .returns import InputError
 MODES = ("buy_only", "minimum_trade", "one_step")
 
 
-def plan(current: np.ndarray, target: np.ndarray, cash: float = 0.0, new_funds: float = 0.0, costs: float | np.ndarray = 1e-4, locked: tuple[int, ...] = (), mode: str = "minimum_trade", penalty: float = 1.0, improvement: float | None = None) -> dict:
+def plan(current: np.ndarray, target: np.ndarray, cash: float = 0.0, new_funds: float = 0.0, costs: float | np.ndarray = 1e-4, locked: tuple[int, ...] = (), mode: str = "minimum_trade",
+    penalty: float = 1.0, improvement: float | None = None) -> dict:
     """Buys and sells with the least costs plus ``penalty`` times the distance from the target in money; one_step must reach the target, buy_only sells nothing, and
     what is ``locked`` is never sold. Of plans that cost the same, the one with the least squared distances is taken. ``improvement`` is the expected
     gain a year as a part of the account, for the years until the costs are earned."""
@@ -97,4 +98,5 @@ def obstacles(holdings: DataFrame, *keys: str) -> DataFrame:
     need = F.when(F.col("target") > 0, F.col("amount") / F.col("target") - F.col("total"))
     each = holdings.join(total, list(keys)).withColumn("above", above).withColumn("need", need)
     never = F.bool_or(F.col("above") & F.col("need").isNull())
-    return each.groupBy(*keys).agg(F.count_if("above").alias("n_obstacles"), F.when(~F.coalesce(never, F.lit(False)), F.greatest(F.lit(0.0), F.coalesce(F.max(F.when(F.col("above"), F.col("need"))), F.lit(0.0)))).alias("additional_funds"))
+    return each.groupBy(*keys).agg(F.count_if("above").alias("n_obstacles"),
+        F.when(~F.coalesce(never, F.lit(False)), F.greatest(F.lit(0.0), F.coalesce(F.max(F.when(F.col("above"), F.col("need"))), F.lit(0.0)))).alias("additional_funds"))

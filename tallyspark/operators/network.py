@@ -126,14 +126,16 @@ class Net:
             dh[:, k : k + x.shape[1]] += db[:, :, k]
         dh = dh[:, 1:-1] * (h > 0)
         flat = lambda left, right: np.tensordot(left, right, axes=((0, 1), (0, 1)))
-        return float(((out - y) ** 2).mean()), {"w1": flat(a, dh).reshape(p["w1"].shape), "b1": dh.sum(axis=(0, 1)), "w2": flat(b, dg).reshape(p["w2"].shape), "b2": dg.sum(axis=(0, 1)), "w3": m.T @ off, "b3": np.asarray([off.sum()])}
+        return float(((out - y) ** 2).mean()), {"w1": flat(a, dh).reshape(p["w1"].shape), "b1": dh.sum(axis=(0, 1)), "w2": flat(b, dg).reshape(p["w2"].shape), "b2": dg.sum(axis=(0, 1)),
+            "w3": m.T @ off, "b3": np.asarray([off.sum()])}
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self.forward(self.scaled(x))[0] * self.target_scale + self.target_mean
 
     def dumped(self, **more: object) -> str:
         """JSON with the architecture and a digest of everything else."""
-        body = {"architecture": ARCHITECTURE, "parts": {k: v.tolist() for k, v in self.parts.items()}, "mean": self.mean.tolist(), "scale": self.scale.tolist(), "target_mean": self.target_mean, "target_scale": self.target_scale, **more}
+        body = {"architecture": ARCHITECTURE, "parts": {k: v.tolist() for k, v in self.parts.items()}, "mean": self.mean.tolist(), "scale": self.scale.tolist(),
+            "target_mean": self.target_mean, "target_scale": self.target_scale, **more}
         return json.dumps(body | {"digest": hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()}, sort_keys=True)
 
     @classmethod
@@ -148,7 +150,8 @@ class Net:
         parts = {k: np.asarray(v, dtype=float) for k, v in body["parts"].items()}
         net = cls(parts, np.asarray(body["mean"], dtype=float), np.asarray(body["scale"], dtype=float), body["target_mean"], body["target_scale"])
         want = {k: v.shape for k, v in cls.drawn(len(net.mean), 0).parts.items()}
-        if {k: v.shape for k, v in parts.items()} != want or net.scale.shape != net.mean.shape or not all(np.isfinite(v).all() for v in (*parts.values(), net.mean, net.scale)) or (net.scale <= 0).any() or net.target_scale <= 0:
+        if {k: v.shape for k, v in parts.items()} != want or net.scale.shape != net.mean.shape or not all(np.isfinite(v).all()
+            for v in (*parts.values(), net.mean, net.scale)) or (net.scale <= 0).any() or net.target_scale <= 0:
             raise InputError("the model's weights don't fit")
         return net
 
@@ -198,7 +201,8 @@ def fit_folds(staged: DataFrame, epochs: int = 20, rate: float = 0.01, seed: int
         got = net.predict(_arrays(part["test"]))
         mse = lambda v: float(((v - y["test"]) ** 2).mean())
         scores = [{"id": str(i), "score": float(v)} for i, v in zip(part["test"]["id"], got)]
-        return pd.DataFrame({"fold": [rows["fold"].iloc[0]], "model": [net.dumped(epoch=epoch, seed=seed)], "epoch": [epoch], "train_loss": [train_loss], "validation_loss": [validation_loss], "test_mse": [mse(got)], "baseline_mse": [mse(net.target_mean)], "scores": [scores]})
+        return pd.DataFrame({"fold": [rows["fold"].iloc[0]], "model": [net.dumped(epoch=epoch, seed=seed)], "epoch": [epoch], "train_loss": [train_loss],
+            "validation_loss": [validation_loss], "test_mse": [mse(got)], "baseline_mse": [mse(net.target_mean)], "scores": [scores]})
 
     return staged.groupBy("fold").applyInPandas(run, FIT)
 

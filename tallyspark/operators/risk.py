@@ -48,7 +48,8 @@ def summary(returns: DataFrame, *keys: str, periods: float = 252.0, risk_free: f
     cagr = F.expm1(F.col("logs") * periods / F.col("n"))
     root = periods**0.5
     return base.select(
-        *keys, "n", F.expm1("logs").alias("twr"), cagr.alias("cagr"), (F.col("std") * root).alias("volatility"), ratio(F.col("mean") * root, F.col("std")).alias("sharpe"), ratio(F.col("mean") * root, F.col("down")).alias("sortino"),
+        *keys, "n", F.expm1("logs").alias("twr"), cagr.alias("cagr"), (F.col("std") * root).alias("volatility"), ratio(F.col("mean") * root, F.col("std")).alias("sharpe"),
+            ratio(F.col("mean") * root, F.col("down")).alias("sortino"),
         ratio(cagr, F.col("max_drawdown")).alias("calmar"), "max_drawdown", F.sqrt(F.col("depth") / (F.col("n") + 1)).alias("ulcer"),
     )
 
@@ -75,7 +76,8 @@ def rolling_holding(returns: DataFrame, span: int, years: float, *keys: str) ->
     """Annualised returns of all overlapping spans: n, p05, median, p95, share of losses."""
     w = by_date(*keys).rowsBetween(1 - span, 0)
     full = returns.withColumn("logs", F.sum(F.log1p("r")).over(w)).withColumn("n", F.count("*").over(w)).where(F.col("n") == span).withColumn("held", F.expm1(F.col("logs") / years))
-    return full.groupBy(*keys).agg(F.count("*").alias("n"), *(F.percentile("held", F.lit(q)).alias(n) for q, n in ((0.05, "p05"), (0.5, "median"), (0.95, "p95"))), F.avg((F.col("held") < 0).cast("double")).alias("loss_share"))
+    return full.groupBy(*keys).agg(F.count("*").alias("n"), *(F.percentile("held", F.lit(q)).alias(n) for q, n in ((0.05, "p05"), (0.5, "median"), (0.95, "p95"))),
+        F.avg((F.col("held") < 0).cast("double")).alias("loss_share"))
 
 
 def covariance(returns: DataFrame) -> DataFrame:
@@ -90,12 +92,14 @@ def ledoit_wolf(returns: DataFrame) -> DataFrame:
     centred = returns.join(means, "asset").select("date", "asset", (F.col("r") - F.col("m")).alias("x"))
     a, b = centred.select("date", F.col("asset").alias("i"), "x"), centred.select("date", F.col("asset").alias("j"), F.col("x").alias("y"))
     s = a.join(b, "date").groupBy("i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("s"), F.avg(F.pow(F.col("x") * F.col("y"), F.lit(2))).alias("q"), F.count("*").alias("n"))
-    one = s.agg(F.sqrt(F.count("*").cast("double")).alias("p"), F.sum(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("trace"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum("q").alias("qq"), F.max("n").alias("n"))
+    one = s.agg(F.sqrt(F.count("*").cast("double")).alias("p"), F.sum(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("trace"), F.sum(F.col("s") * F.col("s")).alias("ss"),
+        F.sum("q").alias("qq"), F.max("n").alias("n"))
     mu = F.col("trace") / F.col("p")
     delta = (F.col("ss") - F.col("p") * mu * mu) / F.col("p")
     beta = F.least((F.col("qq") - F.col("ss")) / (F.col("p") * F.col("n")), delta)
     one = one.select(mu.alias("mu"), F.when(beta <= 0, 0.0).otherwise(beta / delta).alias("shrinkage"))
-    return s.select("i", "j", "s").join(F.broadcast(one)).select("i", "j", ((1 - F.col("shrinkage")) * F.col("s") + F.when(F.col("i") == F.col("j"), F.col("shrinkage") * F.col("mu")).otherwise(0.0)).alias("v"), "shrinkage")
+    return s.select("i", "j", "s").join(F.broadcast(one)).select("i", "j",
+        ((1 - F.col("shrinkage")) * F.col("s") + F.when(F.col("i") == F.col("j"), F.col("shrinkage") * F.col("mu")).otherwise(0.0)).alias("v"), "shrinkage")
 
 
 def risk_contributions(cov: DataFrame, weights: DataFrame) -> DataFrame:
@@ -109,7 +113,8 @@ def risk_contributions(cov: DataFrame, weights: DataFrame) -> DataFrame:
 def concentration(cov: DataFrame, weights: DataFrame) -> DataFrame:
     """Effective numbers of assets by weight and by risk, diversification ratio, cash weight."""
     shares = risk_contributions(cov, weights)
-    risk = shares.agg(F.when(F.min("share") >= -1e-12, 1 / F.sum(F.col("share") * F.col("share"))).alias("risk_assets"), (F.pow(F.sum("w"), F.lit(2)) / F.sum(F.col("w") * F.col("w"))).alias("weight_assets"), (1 - F.sum("w")).alias("cash"))
+    risk = shares.agg(F.when(F.min("share") >= -1e-12, 1 / F.sum(F.col("share") * F.col("share"))).alias("risk_assets"),
+        (F.pow(F.sum("w"), F.lit(2)) / F.sum(F.col("w") * F.col("w"))).alias("weight_assets"), (1 - F.sum("w")).alias("cash"))
     own = cov.where("i = j").join(weights.withColumnRenamed("asset", "i"), "i").agg(F.sum(F.col("w") * F.sqrt("v")).alias("alone"))
     wi, wj = weights.select(F.col("asset").alias("i"), F.col("w").alias("wi")), weights.select(F.col("asset").alias("j"), F.col("w").alias("wj"))
     whole = cov.join(wi, "i").join(wj, "j").agg(F.sum(F.col("wi") * F.col("v") * F.col("wj")).alias("variance"))
@@ -122,7 +127,8 @@ def two_asset_weights(cov: DataFrame, first: str, second: str) -> DataFrame:
     one = cov.agg(pick(first, first).alias("a"), pick(second, second).alias("b"), pick(first, second).alias("c"))
     gmv = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("b") - F.col("c")) / (F.col("a") + F.col("b") - 2 * F.col("c"))))
     inverse = F.sqrt("b") / (F.sqrt("a") + F.sqrt("b"))
-    rows = F.array(*(F.struct(F.lit(m).alias("method"), F.lit(x).alias("asset"), w.alias("w")) for m, w1 in (("min_variance", gmv), ("risk_parity", inverse), ("max_diversification", inverse)) for x, w in ((first, w1), (second, 1 - w1))))
+    rows = F.array(*(F.struct(F.lit(m).alias("method"), F.lit(x).alias("asset"), w.alias("w")) for m,
+        w1 in (("min_variance", gmv), ("risk_parity", inverse), ("max_diversification", inverse)) for x, w in ((first, w1), (second, 1 - w1))))
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
@@ -147,12 +153,14 @@ def recovery(returns: DataFrame, start: str, end: str, *keys: str) -> DataFrame:
     again, which may lie beyond the end; else right_censored."""
     path = drawdown_path(returns.where(F.col("date") >= F.lit(start).cast("date")), *keys)
     inside = path.where(F.col("date") <= F.lit(end).cast("date"))
-    trough = inside.groupBy(*keys).agg(F.max("underwater").alias("max_drawdown"), F.max(F.struct("underwater", (-F.unix_date("date")).alias("k"))).alias("t")).withColumn("trough", F.date_from_unix_date(-F.col("t.k")))
+    trough = inside.groupBy(*keys).agg(F.max("underwater").alias("max_drawdown"), F.max(F.struct("underwater", (-F.unix_date("date")).alias("k"))).alias("t")).withColumn("trough",
+        F.date_from_unix_date(-F.col("t.k")))
     peak = path.join(trough.select(*keys, "trough"), list(keys)).where("date <= trough").groupBy(*keys).agg(F.greatest(F.lit(1.0), F.max("nav")).alias("high"))
     marked = trough.join(peak, list(keys)).select(*keys, "max_drawdown", "trough", "high")
     back = path.join(marked, list(keys)).where((F.col("date") > F.col("trough")) & (F.col("nav") >= F.col("high") - 1e-12)).groupBy(*keys).agg(F.min("date").alias("recovered"))
     out = marked.join(back, list(keys), "left")
-    return out.select(*keys, "max_drawdown", "trough", "recovered", (F.datediff("recovered", "trough") / 30.4375).alias("months"), F.when(F.col("recovered").isNull(), "right_censored").otherwise("recovered").alias("status"))
+    return out.select(*keys, "max_drawdown", "trough", "recovered", (F.datediff("recovered", "trough") / 30.4375).alias("months"),
+        F.when(F.col("recovered").isNull(), "right_censored").otherwise("recovered").alias("status"))
 
 
 def rate_shock(duration: Column, convexity: Column, change: Column) -> Column:

@@ -274,7 +274,8 @@ def hac_rows(excess: DataFrame, factors: DataFrame, lags: int | None = None) ->
     out = []
     for i, name in enumerate(["alpha", *names]):
         t = float(beta[i] / error[i]) if error[i] > 0 else float("nan")
-        out.append({"term": name, "status": status, "beta": float(beta[i]), "error": float(error[i]), "t": t, "p": 2 * norm.cdf(-abs(t)), "low": float(beta[i] - Z * error[i]), "high": float(beta[i] + Z * error[i]), "inflation": float(inflation[i - 1]) if i else None, "r2": 1 - left / total if total > 0 else None, "lags": q})
+        out.append({"term": name, "status": status, "beta": float(beta[i]), "error": float(error[i]), "t": t, "p": 2 * norm.cdf(-abs(t)), "low": float(beta[i] - Z * error[i]),
+            "high": float(beta[i] + Z * error[i]), "inflation": float(inflation[i - 1]) if i else None, "r2": 1 - left / total if total > 0 else None, "lags": q})
     return out
 
 

@@ -16,7 +16,8 @@ DIGITS = 7
 
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to DIGITS places, and no negative zero, as sums in another order differ in the last bits."""
-    return df.select(*((F.round(F.col(n), DIGITS) + F.lit(0.0)).alias(n) if t == "double" else F.col(n).cast("long").alias(n) if t in ("int", "bigint", "tinyint", "smallint") else F.col(n) for n, t in df.dtypes))
+    return df.select(*((F.round(F.col(n), DIGITS) + F.lit(0.0)).alias(n) if t == "double" else F.col(n).cast("long").alias(n) if t in ("int", "bigint", "tinyint", "smallint") else F.col(n)
+        for n, t in df.dtypes))
 
 
 def add(name: str, sql: str | None, query: Query) -> None:

@@ -29,13 +29,17 @@ def rolled(s: SparkSession, d: str) -> DataFrame:
 add(
     "rolling_covariance",
     f"""WITH {RET}, nb AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM ret)),
-    f AS (SELECT fold, greatest(0, (fold + 2) * (n // {SHARE}) - 3 * n // {SHARE}) AS lo, (fold + 2) * (n // {SHARE}) AS hi FROM (SELECT DISTINCT n FROM nb), range({FOLDS}) x(fold)),
+    f AS (SELECT fold, greatest(0, (fold + 2) * (n // {SHARE}) - 3 * n // {SHARE}) AS lo, (fold + 2) * (n // {SHARE}) AS hi FROM (SELECT DISTINCT n
+    FROM nb), range({FOLDS}) x(fold)),
     w AS (SELECT fold, asset, ret.date, r - avg(r) OVER (PARTITION BY fold, asset) AS x FROM ret JOIN nb ON nb.date = ret.date JOIN f ON k >= lo AND k < hi),
-    c AS (SELECT a.fold, a.asset AS i, b.asset AS j, avg(a.x * b.x) AS s, avg((a.x * b.x) ** 2) AS q, count(*) AS n FROM w a JOIN w b ON a.fold = b.fold AND a.date = b.date GROUP BY ALL),
+    c AS (SELECT a.fold, a.asset AS i, b.asset AS j, avg(a.x * b.x) AS s, avg((a.x * b.x) ** 2) AS q, count(*) AS n FROM w a JOIN w b ON a.fold = b.fold AND a.date = b.date
+    GROUP BY ALL),
     m AS (SELECT fold, sqrt(count(*)) AS p, sum(CASE WHEN i = j THEN s END) / sqrt(count(*)) AS mu, sum(q - s * s) AS e, max(n) AS n FROM c GROUP BY fold),
-    g AS (SELECT m.fold, mu, greatest(0, e) / (max(m.n) * max(p)) AS noise, sum((s - CASE WHEN i = j THEN mu ELSE 0 END) ** 2) / max(p) AS apart FROM c JOIN m ON m.fold = c.fold GROUP BY m.fold, mu, e),
+    g AS (SELECT m.fold, mu, greatest(0, e) / (max(m.n) * max(p)) AS noise, sum((s - CASE WHEN i = j THEN mu ELSE 0 END) ** 2) / max(p) AS apart FROM c JOIN m ON m.fold = c.fold
+    GROUP BY m.fold, mu, e),
     h AS (SELECT *, CASE WHEN apart > 0 THEN least(noise, apart) / apart ELSE 0 END AS shrinkage FROM g)
-    SELECT c.fold::BIGINT AS fold, i, j, {r('1e4 * ((1 - shrinkage) * s + CASE WHEN i = j THEN shrinkage * mu ELSE 0 END) AS v', 'shrinkage')}, n::BIGINT AS n FROM c JOIN h ON h.fold = c.fold""",
+    SELECT c.fold::BIGINT AS fold, i, j, {r('1e4 * ((1 - shrinkage) * s + CASE WHEN i = j THEN shrinkage * mu ELSE 0 END) AS v', 'shrinkage')}, n::BIGINT AS n FROM c
+    JOIN h ON h.fold = c.fold""",
     rolled,
 )
 
@@ -62,11 +66,13 @@ add(
     h AS (SELECT a.ix, sum(10 * a.g / b.g * (1 + b.r)) AS held FROM cum b JOIN cum a ON a.security = b.security AND a.ix >= b.ix WHERE b.ix % 12 = 1 GROUP BY a.ix),
     t AS (SELECT ix, 10.0 * count(*) AS spent FROM y WHERE ix % 12 = 1 GROUP BY ix),
     e AS (SELECT bps AS account, i.ix, 400 - sum(coalesce(spent, 0)) OVER w + coalesce(held, 0) - sum(coalesce(spent, 0) * bps / 10000) OVER w AS net
-        FROM (SELECT DISTINCT ix FROM y) i LEFT JOIN h ON h.ix = i.ix LEFT JOIN t ON t.ix = i.ix, (SELECT unnest([0, 40, 900]) AS bps) WINDOW w AS (PARTITION BY bps ORDER BY i.ix)),
+        FROM (SELECT DISTINCT ix FROM y) i LEFT JOIN h ON h.ix = i.ix LEFT JOIN t ON t.ix = i.ix, (SELECT unnest([0, 40, 900]) AS bps)
+        WINDOW w AS (PARTITION BY bps ORDER BY i.ix)),
     rr AS (SELECT account, net / coalesce(lag(net) OVER w, 400) - 1 AS r, row_number() OVER w - 1 AS row_ix FROM e WINDOW w AS (PARTITION BY account ORDER BY ix)),
     cells AS (SELECT p AS path, st AS step FROM range(200) a(p), range(24) b(st)),
     jm AS (SELECT path, step, CASE WHEN step = 0 OR {U.format(t='restart')} < 1 / 10.0 THEN step END AS s, floor({U.format(t='start')} * {N}) AS u FROM cells),
-    kk AS (SELECT *, max(s) OVER (PARTITION BY path ORDER BY step) AS b FROM jm), boot AS (SELECT kk.path, kk.step, ((o.u + kk.step - kk.b)::BIGINT % {N}) AS row_ix FROM kk JOIN kk o ON o.path = kk.path AND o.step = kk.b),
+    kk AS (SELECT *, max(s) OVER (PARTITION BY path ORDER BY step) AS b FROM jm), boot AS (SELECT kk.path, kk.step, ((o.u + kk.step - kk.b)::BIGINT % {N}) AS row_ix FROM kk
+    JOIN kk o ON o.path = kk.path AND o.step = kk.b),
     nv AS (SELECT account, path, step, exp(sum(ln(1 + r)) OVER (PARTITION BY account, path ORDER BY step)) AS nav FROM boot JOIN rr ON rr.row_ix = boot.row_ix),
     dd AS (SELECT *, 1 - nav / greatest(1, max(nav) OVER (PARTITION BY account, path ORDER BY step)) AS fall FROM nv),
     each AS (SELECT account, path, max(fall) AS fall, arg_max(nav, step) AS growth FROM dd GROUP BY ALL),

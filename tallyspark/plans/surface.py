@@ -54,10 +54,12 @@ add(
 add(
     "wide_cross_section",
     f"""WITH p AS (SELECT year(l_shipdate) // 100 AS century, l_discount AS factor, l_extendedprice / l_quantity AS fwd FROM lineitem),
-    k AS (SELECT *, rank() OVER (PARTITION BY century ORDER BY factor) + (count(*) OVER (PARTITION BY century, factor) - 1) / 2.0 AS fr, rank() OVER (PARTITION BY century ORDER BY fwd) + (count(*) OVER (PARTITION BY century, fwd) - 1) / 2.0 AS yr,
+    k AS (SELECT *, rank() OVER (PARTITION BY century ORDER BY factor) + (count(*) OVER (PARTITION BY century,
+    factor) - 1) / 2.0 AS fr, rank() OVER (PARTITION BY century ORDER BY fwd) + (count(*) OVER (PARTITION BY century, fwd) - 1) / 2.0 AS yr,
         count(*) OVER (PARTITION BY century) AS n FROM p),
     b AS (SELECT *, least(5, floor((fr - 1) * 5 / n) + 1) AS bucket FROM k)
-    SELECT century::BIGINT AS signal_date, count(*)::BIGINT AS n, {r('covar_pop(factor, fwd) / nullif(stddev_pop(factor) * stddev_pop(fwd), 0) AS ic', 'covar_pop(fr, yr) / nullif(stddev_pop(fr) * stddev_pop(yr), 0) AS rank_ic')},
+    SELECT century::BIGINT AS signal_date, count(*)::BIGINT AS n,
+    {r('covar_pop(factor, fwd) / nullif(stddev_pop(factor) * stddev_pop(fwd), 0) AS ic', 'covar_pop(fr, yr) / nullif(stddev_pop(fr) * stddev_pop(yr), 0) AS rank_ic')},
         round((avg(fwd) FILTER (bucket = 5) - avg(fwd) FILTER (bucket = 1))::DOUBLE, 5) + 0.0 AS spread FROM b GROUP BY century""",
     lambda s, d: factors.information(lines(s, d), wide=True).withColumn("spread", F.round("spread", 5)),
 )
@@ -65,7 +67,8 @@ add(
 
 def lines(s: SparkSession, d: str) -> DataFrame:
     century = F.floor(F.year("l_shipdate") / 100)
-    return v.table(s, d, "lineitem").select(century.alias("signal_date"), F.col("l_orderkey").alias("security"), F.col("l_discount").alias("factor"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("fwd"))
+    return v.table(s, d, "lineitem").select(century.alias("signal_date"), F.col("l_orderkey").alias("security"), F.col("l_discount").alias("factor"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("fwd"))
 
 
 def streamed(s: SparkSession, d: str, shape, work, time: str, name: str) -> DataFrame:
@@ -89,7 +92,8 @@ def valued(table: DataFrame) -> DataFrame:
 
 add(
     "stream_bars",
-    f"""SELECT event_type AS security, date_trunc('hour', ts) AS at, {r('arg_min(value, (ts, event_id)) AS open', 'max(value) AS high', 'min(value) AS low', 'arg_max(value, (ts, event_id)) AS close')}, count(*)::BIGINT AS volume
+    f"""SELECT event_type AS security, date_trunc('hour', ts) AS at,
+    {r('arg_min(value, (ts, event_id)) AS open', 'max(value) AS high', 'min(value) AS low', 'arg_max(value, (ts, event_id)) AS close')}, count(*)::BIGINT AS volume
     FROM events GROUP BY ALL""",
     lambda s, d: streamed(s, d, events, streaming.bars, "ts", "bars"),
 )

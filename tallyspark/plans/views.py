@@ -31,18 +31,21 @@ def ret(spark: SparkSession, d: str) -> DataFrame:
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """(signal_date, security, factor, fwd): by month and supplier, mean discount and the change of revenue to the supplier's next month."""
-    months = table(spark, d, "lineitem").groupBy(F.trunc("l_shipdate", "MM").alias("signal_date"), F.col("l_suppkey").alias("security")).agg(F.avg("l_discount").alias("factor"), F.sum("l_extendedprice").alias("v"))
+    months = table(spark, d, "lineitem").groupBy(F.trunc("l_shipdate", "MM").alias("signal_date"), F.col("l_suppkey").alias("security")).agg(F.avg("l_discount").alias("factor"),
+        F.sum("l_extendedprice").alias("v"))
     return months.withColumn("fwd", F.lead("v").over(Window.partitionBy("security").orderBy("signal_date")) / F.col("v") - 1).where("fwd is not null").drop("v")
 
 
 def bars(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("k", F.struct("ts", "event_id"))
-    return e.groupBy(F.col("event_type").alias("security"), F.date_trunc("hour", "ts").alias("at")).agg(F.min_by("value", "k").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "k").alias("close"), F.count("*").alias("volume"))
+    return e.groupBy(F.col("event_type").alias("security"), F.date_trunc("hour", "ts").alias("at")).agg(F.min_by("value", "k").alias("open"), F.max("value").alias("high"),
+        F.min("value").alias("low"), F.max_by("value", "k").alias("close"), F.count("*").alias("volume"))
 
 
 def graph(spark: SparkSession, d: str) -> DataFrame:
     """Fund edges: world, regions, nations, customers; a tenth of each fund isn't disclosed."""
-    c = table(spark, d, "customer").where("c_acctbal > 0").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = table(spark, d, "customer").where("c_acctbal > 0").join(F.broadcast(table(spark, d, "nation")),
+        F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
 
     def edges(node, child, kind: str) -> DataFrame:
         sums = c.groupBy(node.alias("node"), child.alias("child")).agg(F.sum("c_acctbal").alias("s"))
@@ -56,7 +59,8 @@ def positions(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").where("c_acctbal > 0").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     seg = F.col("c_mktsegment")
     kind = F.when(seg == "MACHINERY", "bond").when(seg == "FURNITURE", "cash").otherwise("stock")
-    return c.select(F.col("c_name").alias("security"), F.when(F.col("c_custkey") % 7 != 0, F.col("n_name")).alias("issuer"), F.when(F.col("c_custkey") % 5 != 0, seg).alias("industry"), kind.alias("kind"), F.col("c_acctbal").alias("amount"), F.when(F.col("c_custkey") % 3 != 0, (F.col("c_custkey") % 10).cast("double")).alias("duration"))
+    return c.select(F.col("c_name").alias("security"), F.when(F.col("c_custkey") % 7 != 0, F.col("n_name")).alias("issuer"), F.when(F.col("c_custkey") % 5 != 0, seg).alias("industry"),
+        kind.alias("kind"), F.col("c_acctbal").alias("amount"), F.when(F.col("c_custkey") % 3 != 0, (F.col("c_custkey") % 10).cast("double")).alias("duration"))
 
 
 def invested(spark: SparkSession, d: str) -> DataFrame:
@@ -76,6 +80,7 @@ def valuations(spark: SparkSession, d: str) -> DataFrame:
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
     """(period, segment, wp, wb, rp, rb): by year and return flag, weights of revenue and of quantity, mean discount and tax as returns."""
-    s = table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("period"), F.col("l_returnflag").alias("segment")).agg(F.sum("l_extendedprice").alias("v"), F.sum("l_quantity").alias("q"), F.avg("l_discount").alias("rp"), F.avg("l_tax").alias("rb"))
+    s = table(spark, d, "lineitem").groupBy(F.year("l_shipdate").alias("period"), F.col("l_returnflag").alias("segment")).agg(F.sum("l_extendedprice").alias("v"),
+        F.sum("l_quantity").alias("q"), F.avg("l_discount").alias("rp"), F.avg("l_tax").alias("rb"))
     w = Window.partitionBy("period")
     return s.select("period", "segment", (F.col("v") / F.sum("v").over(w)).alias("wp"), (F.col("q") / F.sum("q").over(w)).alias("wb"), "rp", "rb")

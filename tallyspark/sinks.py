@@ -81,7 +81,8 @@ def shown(df: DataFrame) -> str:
 def save_report(report, target: str, title: str = "Portfolio report") -> str:
     """A run's report: report.json, report.html, ledger and transactions as CSV, its other tables as Parquet."""
     rows = {k: v for k, v in report.rows.items()}
-    body = {"status": report.status, "reference": report.reference, "selected": report.selected, "rows": rows, "facts": {k: v for k, v in report.facts.items() if k != "holding"}, "warnings": report.warnings, "conclusions": report.conclusions}
+    body = {"status": report.status, "reference": report.reference, "selected": report.selected, "rows": rows, "facts": {k: v for k, v in report.facts.items() if k != "holding"},
+        "warnings": report.warnings, "conclusions": report.conclusions}
     sections = {"Value": line(report.tables["ledger"])} if "ledger" in report.tables else {}
     sections |= {n: shown(report.tables[n]) for n in ("risk", "held_out", "rebalancing", "stress") if n in report.tables}
     texts = {"report.json": json_text(body), "report.html": page(title, report.conclusions, sections, report.warnings)}
@@ -92,7 +93,8 @@ def save_report(report, target: str, title: str = "Portfolio report") -> str:
 def save_demand(events: DataFrame, ledger: DataFrame, summary: DataFrame, target: str) -> str:
     """Dated cash needs: the daily ledger as CSV, a folder for each scenario, events and summary as JSON, a page."""
     tables = {"events": events, "summary": summary}
-    texts = {"report.html": page("Dated cash needs", [], {"Summary": shown(summary)}, ["Conditional on the declared inputs; unknown events change no balance.", "Nothing is sold that wasn't planned."])}
+    texts = {"report.html": page("Dated cash needs", [], {"Summary": shown(summary)},
+        ["Conditional on the declared inputs; unknown events change no balance.", "Nothing is sold that wasn't planned."])}
     for r in ledger.select("scenario").distinct().collect():  # at most ten
         tables[f"ledger-{r['scenario']}"] = ledger.where(F.col("scenario") == r["scenario"])
     return publish(tables, {"title": "cash_demand"}, target, texts, {n: "csv" if n.startswith("ledger-") else "json" for n in tables})
@@ -121,14 +123,16 @@ for (const table of document.querySelectorAll("table")) {
 
 
 def save_exposure(exposures: DataFrame, unknown: DataFrame, rollups: DataFrame, target: str) -> str:
-    texts = {"report.html": page("Exposure", [], {"By level": shown(rollups), "Unknown": shown(unknown) + HANDLING}, ["Declared amounts joined to disclosures of other days; unknown is kept, not spread."])}
+    texts = {"report.html": page("Exposure", [], {"By level": shown(rollups), "Unknown": shown(unknown) + HANDLING},
+        ["Declared amounts joined to disclosures of other days; unknown is kept, not spread."])}
     return publish({"exposures": exposures, "unknown": unknown, "rollups": rollups}, {"title": "exposure"}, target, texts, {"unknown": "json", "rollups": "json"})
 
 
 def save_evaluation(result: dict, target: str) -> str:
     """A rolling evaluation: folds as JSON, the ledgers of both paths as CSV, a page."""
     body = {k: v for k, v in result.items() if k != "ledger"}
-    texts = {"evaluation.json": json_text(body), "report.html": page("Rolling evaluation", [], {"Folds": table([clean(f) for f in result["folds"]])}, ["One run is no correction for many trials and no proof of control."])}
+    texts = {"evaluation.json": json_text(body),
+        "report.html": page("Rolling evaluation", [], {"Folds": table([clean(f) for f in result["folds"]])}, ["One run is no correction for many trials and no proof of control."])}
     ledger = result["ledger"]
     return publish({p: ledger.where(F.col("path") == p) for p in ("actual", "baseline")}, {"title": "evaluation"}, target, texts, {"actual": "csv", "baseline": "csv"})
 
@@ -138,5 +142,7 @@ def save_review(spec: dict, result: dict, target: str, title: str = "Review", me
     from .sources import digest
 
     bound = {**clean(result), "input_digest": digest(clean(spec)), "method": result.get("method", method)}
-    texts = {"input.json": json_text(spec), "result.json": json_text(bound), "report.html": page(title, [str(result.get("conclusion", ""))], {"Result": table([{"field": k, "value": v} for k, v in bound.items() if not isinstance(v, (dict, list))])}, [str(x) for x in result.get("limits", [])])}
+    texts = {"input.json": json_text(spec), "result.json": json_text(bound),
+        "report.html": page(title, [str(result.get("conclusion", ""))], {"Result": table([{"field": k, "value": v} for k, v in bound.items() if not isinstance(v, (dict, list))])},
+            [str(x) for x in result.get("limits", [])])}
     return publish({}, {"title": title, "input_digest": bound["input_digest"], "method": bound["method"]}, target, texts)

@@ -132,7 +132,8 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     root = folder.rstrip("/").removeprefix("file:")
     name = F.regexp_replace(F.col("path"), r"^file:/*", "/")
-    return files.select(F.expr("1").alias("one"), name.alias("full"), F.sha2("content", 256).alias("sha256"), "length").select(F.substring(F.col("full"), F.lit(len(root) + 2), F.length("full")).alias("path"), "sha256", "length")
+    return files.select(F.expr("1").alias("one"), name.alias("full"), F.sha2("content", 256).alias("sha256"),
+        "length").select(F.substring(F.col("full"), F.lit(len(root) + 2), F.length("full")).alias("path"), "sha256", "length")
 
 
 def verify(recorded: DataFrame, actual: DataFrame) -> DataFrame:

@@ -148,7 +148,8 @@ def from_native(native: dict, req: dict, raw: bytes | None = None) -> dict:
         if len(match) != 1 or native.get("asOf") != req["asOf"] or (match[0].get("history") and match[0].get("historyBasis") != "nav-with-distributions"):
             raise InputError("a bundle needs one fund row of the code, its day, and net asset values")
         row = match[0]
-        return record(req, row.get("history") or [], name=(row.get("identity") or {}).get("name"), retrieved_at=row.get("retrievedAt"), raw=raw, origin="workbench-native", failure=None if row.get("history") else str(row.get("errors") or "no history"))
+        return record(req, row.get("history") or [], name=(row.get("identity") or {}).get("name"), retrieved_at=row.get("retrievedAt"), raw=raw, origin="workbench-native",
+            failure=None if row.get("history") else str(row.get("errors") or "no history"))
     if native.get("type") == "portfolio-source-archive":
         match = [r for r in native.get("results") or [] if r.get("code", (r.get("request") or {}).get("code")) == req["fundCode"]]
         if len(match) != 1:

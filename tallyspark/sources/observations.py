@@ -9,7 +9,8 @@ from ..operators import evidence as e
 from ..operators.returns import InputError
 
 #: Fields and values of the format: fixed values.
-FIELDS = ["id", "entity", "metric", "value", "unit", "currency", "basis", "periodStart", "periodEnd", "observedAt", "publishedAt", "availableAt", "retrievedAt", "sourceUrl", "sourceVersion", "locator", "verification"]
+FIELDS = ["id", "entity", "metric", "value", "unit", "currency", "basis", "periodStart", "periodEnd", "observedAt", "publishedAt", "availableAt", "retrievedAt", "sourceUrl", "sourceVersion",
+    "locator", "verification"]
 TEXT = ["id", "entity", "metric", "unit", "basis", "sourceUrl", "sourceVersion", "locator"]
 CURRENCIES = ("CNY", "USD", "HKD")
 DECLARED = "declared-not-original-verified"

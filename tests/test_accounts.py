@@ -96,11 +96,14 @@ POSITION = "position_id string, economic_lot_id string, kind string, amount doub
 
 
 def test_exposure_conserves_amounts(spark):
-    positions = spark.createDataFrame([("1", "l1", "fund", 100.0, None, "f", None), ("2", "l2", "cash", 50.0, 20.0, None, "cny"), ("3", "l3", "bond", 30.0, None, None, "b"), ("4", "l4", "fund", 10.0, None, "gone", None)], POSITION)
+    positions = spark.createDataFrame([("1", "l1", "fund", 100.0, None, "f", None), ("2", "l2", "cash", 50.0, 20.0, None, "cny"), ("3", "l3", "bond", 30.0, None, None, "b"),
+        ("4", "l4", "fund", 10.0, None, "gone", None)], POSITION)
     edges = spark.createDataFrame([("f", "s", "stock", 0.6), ("f", "cny", "cash", 0.1), ("f", "z", "stock", 0.2)], EDGE)
-    master = spark.createDataFrame([("s", "stock", "i", "x", None, "list"), ("cny", "cash", None, None, None, "list"), ("b", "bond", None, None, 4.0, "list"), ("z", "stock", "i", "x", None, "")], "security string, kind string, issuer string, industry string, duration double, source string")
+    master = spark.createDataFrame([("s", "stock", "i", "x", None, "list"), ("cny", "cash", None, None, None, "list"), ("b", "bond", None, None, 4.0, "list"),
+        ("z", "stock", "i", "x", None, "")], "security string, kind string, issuer string, industry string, duration double, source string")
     known, unknown, cash = exposure.account_exposure(positions, edges, master)
-    assert {(r["security"], r["origin"]): round(r["amount"], 6) for r in known.collect()} == {("s", "fund_disclosure"): 60.0, ("cny", "fund_disclosure"): 10.0, ("cny", "direct_account"): 50.0, ("b", "direct_account"): 30.0}
+    assert {(r["security"], r["origin"]): round(r["amount"], 6) for r in known.collect()} == {("s", "fund_disclosure"): 60.0, ("cny", "fund_disclosure"): 10.0,
+        ("cny", "direct_account"): 50.0, ("b", "direct_account"): 30.0}
     assert {r["reason"]: round(r["amount"], 6) for r in unknown.collect()} == {"missing_security_identity_or_kind_evidence": 20.0, "undisclosed": 10.0, "missing_fund_disclosure": 10.0}
     row = cash.first()
     assert (row["available"], row["frozen"], round(row["fund_cash"], 6)) == (30.0, 20.0, 10.0)
@@ -118,8 +121,10 @@ def inputs(spark, condition=True, fee=0.01):
         "flows": one([("x", "i", "income", d(5), 30.0), ("x", "e", "necessary_expense", d(3), 150.0)], "account string, id string, kind string, date date, amount double"),
         "releases": one([("x", "r", "c", 40.0, d(2), condition)], "account string, id string, position_id string, amount double, date date, condition_met boolean"),
         "sales": one([("x", "q", "s", 100.0, d(4))], "account string, id string, position_id string, book_amount double, trade_date date"),
-        "liquidity": one([("x", "s", True, 0.1, fee, "deduct_from_settlement_proceeds", 2, "calendar", d(1), "terms")], "account string, position_id string, can_sell boolean, haircut double, fee_rate double, fee_timing string, settlement_days int, settlement_day_basis string, earliest_sale_date date, source string"),
-        "scenarios": one([("n", 1.0, None, 0.0, 0, True), ("s", 0.5, d(1), 0.2, 30, False)], "scenario string, income_multiplier double, income_change_from date, additional_haircut double, settlement_delay_days int, freeze_release_enabled boolean"),
+        "liquidity": one([("x", "s", True, 0.1, fee, "deduct_from_settlement_proceeds", 2, "calendar", d(1), "terms")],
+            "account string, position_id string, can_sell boolean, haircut double, fee_rate double, fee_timing string, settlement_days int, settlement_day_basis string, earliest_sale_date date, source string"),
+        "scenarios": one([("n", 1.0, None, 0.0, 0, True), ("s", 0.5, d(1), 0.2, 30, False)],
+            "scenario string, income_multiplier double, income_change_from date, additional_haircut double, settlement_delay_days int, freeze_release_enabled boolean"),
     }
 
 

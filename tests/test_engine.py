@@ -78,9 +78,11 @@ def test_regression_by_sums_is_the_dense_one(spark):
     x, e = rng.normal(size=(300, 2)), rng.normal(size=300)
     y = 0.5 + x @ np.asarray([1.0, -2.0]) + e + np.append(0, e[:-1])
     days = [dt.date(2020, 1, 1) + dt.timedelta(days=k) for k in range(300)]
-    rows = solve.hac_rows(spark.createDataFrame([(d, float(v)) for d, v in zip(days, y)], "date date, y double"), spark.createDataFrame([(d, n, float(v)) for d, r in zip(days, x) for n, v in zip("ab", r)], "date date, asset string, r double"))
+    rows = solve.hac_rows(spark.createDataFrame([(d, float(v)) for d, v in zip(days, y)], "date date, y double"),
+        spark.createDataFrame([(d, n, float(v)) for d, r in zip(days, x) for n, v in zip("ab", r)], "date date, asset string, r double"))
     want = solve.hac_regression(y, x)
-    assert [r["beta"] for r in rows] == pytest.approx([want["alpha"], *want["beta"]]) and [r["error"] for r in rows] == pytest.approx(list(want["error"])) and rows[0]["r2"] == pytest.approx(want["r2"])
+    assert [r["beta"] for r in rows] == pytest.approx([want["alpha"], *want["beta"]]) and [r["error"]
+        for r in rows] == pytest.approx(list(want["error"])) and rows[0]["r2"] == pytest.approx(want["r2"])
     assert [r["inflation"] for r in rows][1:] == pytest.approx(list(want["inflation"]))
 
 
@@ -98,7 +100,8 @@ def samples(spark, n=60):
 
 def folds(spark):
     d = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
-    return spark.createDataFrame([("f", d(0), d(29), d(30), d(39), d(40), d(59))], "fold string, train_start date, train_end date, validation_start date, validation_end date, test_start date, test_end date")
+    return spark.createDataFrame([("f", d(0), d(29), d(30), d(39), d(40), d(59))],
+        "fold string, train_start date, train_end date, validation_start date, validation_end date, test_start date, test_end date")
 
 
 def test_network_gradients():
@@ -178,3 +181,56 @@ def test_wide_files(spark, tmp_path):
     with pytest.raises(InputError):
         sources.local_input(f"{tmp_path}/link.json")
     assert sinks.clean({"a": float("nan"), "b": [np.float64(1.5), dt.date(2024, 1, 1)]}) == {"a": None, "b": [1.5, "2024-01-01"]}
+
+
+def reviewed(spark, tmp_path, name, action, spec):
+    (tmp_path / f"{name}.json").write_text(json.dumps(spec))
+    assert cli.main(["factor", action, "--input", f"{tmp_path}/{name}.json", "--output", f"{tmp_path}/{name}"], spark) == 0
+    return json.loads((tmp_path / name / "result.json").read_text())
+
+
+def test_factor_actions(spark, tmp_path):
+    rows = [{"signal_date": f"2024-01-{d:02}", "security": f"s{k}", "factor": k, "fwd": k / 10, "start": f"2024-01-{d:02}", "end": f"2024-01-{d + 3:02}"} for d in (1, 3, 9) for k in range(10)]
+    got = reviewed(spark, tmp_path, "series", "series", {"rows": rows})
+    assert [w["overlaps"] for w in sorted(got["windows"], key=lambda w: w["start"])] == [False, True, False] and all(d["rank_ic"] == pytest.approx(1) for d in got["dates"])
+    account = {"periods": [{"ix": k} for k in (1, 2, 3)], "returns": [{"ix": k, "security": "a", "r": 0.1} for k in (1, 2, 3)], "trades": [{"ix": 1, "security": "a", "notional": 50}],
+        "cash": 100, "bps": [0, 100]}
+    got = reviewed(spark, tmp_path, "cost", "cost", account)
+    assert {(r["bps"], r["ix"]): r["net"] for r in got["periods"]}[100.0, 3] == pytest.approx(50 + 50 * 1.1**3 - 0.5)
+    got = reviewed(spark, tmp_path, "budget", "budget", account | {"limit": 0.5, "horizon": 5, "paths": 20})
+    assert [r["chosen"] for r in sorted(got["rates"], key=lambda r: r["bps"])] == [True, False]
+    need = {"positions": [{"position_id": "cash", "kind": "cash", "amount": 100, "frozen_amount": 0}], "cashflows": [{"id": "i", "kind": "income", "date": "2024-02-01", "amount": 10}],
+        "frozen_releases": [], "planned_liquidations": [], "liquidity": []}
+    need |= {"scenarios": [{"scenario": "normal", "income_multiplier": 1, "additional_haircut": 0, "settlement_delay_days": 0, "freeze_release_enabled": True}],
+        "valuation_date": "2024-01-01", "horizon_end": "2024-03-01"}
+    got = reviewed(spark, tmp_path, "fit", "cashfit", need | {"plans": [{"id": "p", "can_trade": True, "date": "2024-01-10", "amount": 130}]})
+    assert got["scenarios"][0]["conflict"] == pytest.approx(30) and got["scenarios"][0]["added"] == pytest.approx(30)
+    rng = np.random.default_rng(1)
+    many = [{"security": f"s{k}", "value": float(rng.normal()), "size": float(rng.normal()), "industry": "ab"[k % 2], "market_cap": float(rng.random() + 1)} for k in range(20)]
+    got = reviewed(spark, tmp_path, "multi", "multi", {"rows": many, "factors": ["value", "size"], "weights": {"value": 0.5, "size": 0.5}})
+    assert len(got["scores"]) == 20 and {r["status"] for r in got["scores"]} <= {"ok", "degraded"}
+    got = reviewed(spark, tmp_path, "exposed", "exposure",
+        {"holdings": [{"security": "a", "kind": "stock", "weight": 0.7}, {"security": "b", "kind": "stock", "weight": 0.3}], "values": [{"security": "a", "value": 2}]})
+    assert got["exposure"][0]["contribution"] == pytest.approx(1.4) and got["exposure"][0]["unknown"] == pytest.approx(0.3)
+
+
+def test_standard_input(spark, tmp_path, monkeypatch):
+    import io
+    import types
+
+    spec = {"flows": [{"case": "a", "date": "2020-01-01", "kind": "buy", "amount": -100}, {"case": "a", "date": "2021-01-01", "kind": "sale", "amount": 110}]}
+    monkeypatch.setattr(cli.sys, "stdin", types.SimpleNamespace(buffer=io.BytesIO(json.dumps(spec).encode())))
+    assert cli.main(["exit-cash", "--input", "-", "--output", f"{tmp_path}/exit"], spark) == 0
+
+
+def test_large_results_raise(spark):
+    assert len(cli._rows(spark.range(cli.MOST))) == cli.MOST
+    with pytest.raises(InputError):
+        cli._rows(spark.range(cli.MOST + 1))
+
+
+def test_exposure_page_can_be_handled(spark, tmp_path):
+    rows = spark.createDataFrame([("stock", "<a>", 1.0)], "level string, key string, amount double")
+    sinks.save_exposure(rows, rows, rows, f"{tmp_path}/page")
+    text = (tmp_path / "page" / "report.html").read_text()
+    assert all(x in text for x in ("filter", "save as CSV", "onclick", "&lt;a&gt;")) and "<a>" not in text.split("<script>")[0]

@@ -30,12 +30,14 @@ def test_days_do_not_depend_on_the_session(spark):
 
 def test_text(spark):
     assert one(spark, *(e.decimal_text(F.lit(x)) for x in ("1.500", "100", "0.0", "-1", "x", "100.0"))) == ("1.5", "100", None, None, None, "100")
-    assert one(spark, *(e.url_ok(F.lit(x)) for x in ("https://a.b/c", "http://a.b", "https://u:p@a.b/", "https://a.b:8443/", "https://a.b:443/x", "https://a b/", "no"))) == (True, False, False, False, True, False, False)
+    assert one(spark, *(e.url_ok(F.lit(x)) for x in ("https://a.b/c", "http://a.b", "https://u:p@a.b/", "https://a.b:8443/", "https://a.b:443/x", "https://a b/", "no"))) == (True, False,
+        False, False, True, False, False)
 
 
 def test_pointers(spark):
     doc = F.lit(json.dumps({"a/b": [{"x~y": 2.5, "m": {"n": 3}}]}))
-    got = one(spark, *(e.binding_reason(doc, F.lit(p), F.lit(v), F.lit(s), F.lit(None).cast("date")) for p, v, s in (("/a~1b/0/x~0y", 2500.0, 1000.0), ("/a~1b/0/m/n", 3.0, 1.0), ("/a~1b/1/m", 3.0, 1.0), ("/a~1b/0/m/n", 3.1, 1.0), ("a", 1.0, 1.0), ("/a~1b/0/m/n", 3.0, 0.0))))
+    got = one(spark, *(e.binding_reason(doc, F.lit(p), F.lit(v), F.lit(s), F.lit(None).cast("date")) for p, v,
+        s in (("/a~1b/0/x~0y", 2500.0, 1000.0), ("/a~1b/0/m/n", 3.0, 1.0), ("/a~1b/1/m", 3.0, 1.0), ("/a~1b/0/m/n", 3.1, 1.0), ("a", 1.0, 1.0), ("/a~1b/0/m/n", 3.0, 0.0))))
     assert got == (None, None, "no_field", "other_value", "no_pointer", "no_scale")
 
 
@@ -102,7 +104,9 @@ def test_nav_source(spark):
 
 
 def observation(**change):
-    row = {"id": "1", "entity": "e", "metric": "m", "value": "1.50", "unit": "u", "currency": None, "basis": "b", "periodStart": "2024-01-01", "periodEnd": "2024-02-01", "observedAt": None, "publishedAt": "2024-02-02T00:00:00Z", "availableAt": "2024-02-03T00:00:00+08:00", "retrievedAt": "2024-02-05T00:00:00Z", "sourceUrl": "https://x.example", "sourceVersion": "1", "locator": "p", "verification": observations.DECLARED}
+    row = {"id": "1", "entity": "e", "metric": "m", "value": "1.50", "unit": "u", "currency": None, "basis": "b", "periodStart": "2024-01-01", "periodEnd": "2024-02-01", "observedAt": None,
+        "publishedAt": "2024-02-02T00:00:00Z", "availableAt": "2024-02-03T00:00:00+08:00", "retrievedAt": "2024-02-05T00:00:00Z", "sourceUrl": "https://x.example", "sourceVersion": "1",
+            "locator": "p", "verification": observations.DECLARED}
     return row | change
 
 
@@ -115,7 +119,8 @@ def test_observations(spark):
     rows = [observation(), observation(id="2", availableAt=None, publishedAt=None), observation(id="3", retrievedAt="2024-03-01T00:00:00Z")]
     late, unknown = observations.validated(table(spark, rows), cutoff)
     assert [r["id"] for r in late.collect()] == ["3"] and [r["id"] for r in unknown.collect()] == ["2"]
-    for change in ({"value": "x"}, {"currency": "EUR"}, {"periodEnd": "2023-01-01"}, {"retrievedAt": None}, {"retrievedAt": "2024-02-05"}, {"sourceUrl": "http://x"}, {"unit": " "}, {"availableAt": "2024-01-01T00:00:00Z"}):
+    for change in ({"value": "x"}, {"currency": "EUR"}, {"periodEnd": "2023-01-01"}, {"retrievedAt": None}, {"retrievedAt": "2024-02-05"}, {"sourceUrl": "http://x"}, {"unit": " "},
+        {"availableAt": "2024-01-01T00:00:00Z"}):
         with pytest.raises(InputError):
             observations.validated(table(spark, [observation(**change)]), cutoff)
     with pytest.raises(InputError):

@@ -70,7 +70,8 @@ def test_graphs_with_cycles(spark, seed, depth):
 
 def ladder(levels):
     """Two funds on each level, each of which holds both of the next one."""
-    return [(f"L{k}{a}", f"L{k + 1}{b}", "fund", 0.5) for k in range(levels - 1) for a in "xy" for b in ("x", "y") if k < 6 or (a, b) in (("x", "x"), ("y", "y"))] + [(f"L{levels - 1}{a}", f"leaf{a}", "stock", 1.0) for a in "xy"]
+    return [(f"L{k}{a}", f"L{k + 1}{b}", "fund", 0.5) for k in range(levels - 1) for a in "xy" for b in ("x", "y") if k < 6
+        or (a, b) in (("x", "x"), ("y", "y"))] + [(f"L{levels - 1}{a}", f"leaf{a}", "stock", 1.0) for a in "xy"]
 
 
 @pytest.mark.parametrize("levels", [20, 21])

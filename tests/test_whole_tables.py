@@ -34,7 +34,8 @@ def test_series_overlap_judges_every_order(spark):
 
 def test_overlaps_carries_the_latest_end(spark):
     day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(days=k)
-    spans = [(day(0), day(9)), (day(2), day(3)), (day(8), day(8)), (day(9), day(9)), (day(9), day(12)), (day(9), day(14)), (day(20), day(21)), (day(20), day(22)), (day(20), day(22)), (day(30), day(30)), (day(30), day(30))]
+    spans = [(day(0), day(9)), (day(2), day(3)), (day(8), day(8)), (day(9), day(9)), (day(9), day(12)), (day(9), day(14)), (day(20), day(21)), (day(20), day(22)), (day(20), day(22)),
+        (day(30), day(30)), (day(30), day(30))]
     rows = [(a, b, k) for k, (a, b) in enumerate(spans)]
     got = factors.overlaps(spark.createDataFrame(rows, "start date, end date, id int"), "id").collect()
     assert {(r["start"], r["end"], r["id"]): r["overlaps"] for r in got} == flags(rows) and len(got) == len(rows)
@@ -105,7 +106,8 @@ def test_cash_knows_all_flows(spark):
     assert got == pytest.approx(want, abs=0.02)
     for r in catalog.QUERIES["cash_first_gap"](spark, TABLES).collect():
         at, amount, peak = gaps.get(r["owner"], (None, None, 0.0))
-        assert r["first_gap"] == at and r["first_amount"] == pytest.approx(amount, abs=0.02) and r["peak_gap"] == pytest.approx(peak, abs=0.02) and r["ending"] == pytest.approx(want[r["owner"], last], abs=0.02)
+        assert r["first_gap"] == at and r["first_amount"] == pytest.approx(amount, abs=0.02) and r["peak_gap"] == pytest.approx(peak,
+            abs=0.02) and r["ending"] == pytest.approx(want[r["owner"], last], abs=0.02)
 
 
 def test_scenarios_know_all_flows(spark):
