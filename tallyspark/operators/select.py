@@ -25,15 +25,15 @@ def order_statistics(rows: DataFrame, value: str, ranks: dict[str, Column], *key
     finite; null ones are not counted. ``rows`` are read once a round, so they should be cheap to read; groups and ranks are few beside them."""
     rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
     ends = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__x").alias("__low"), F.max("__x").alias("__high"))
-    each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), k.cast("long").alias("k")) for name, k in ranks.items())))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("__name"), k.cast("long").alias("k")) for name, k in ranks.items())))
     # what is left of each rank: values from low to high, of which it is the __k-th
-    todo = ends.select(*keys, "n", "__low", "__high", each.alias("r")).select(*keys, "n", "r.name", F.when(F.col("r.k").between(1, F.col("n")), F.col("r.k")).alias("__k"), "__low", "__high")
+    todo = ends.select(*keys, "n", "__low", "__high", each.alias("__r")).select(*keys, "n", "__r.__name", F.when(F.col("__r.k").between(1, F.col("n")), F.col("__r.k")).alias("__k"), "__low", "__high")
     is_open = F.col("__k").isNotNull() & (F.col("__low") < F.col("__high"))
     done = []
     for _ in range(ROUNDS):
         seen = Observation()
         todo = written(todo.observe(seen, F.count_if(is_open).alias("n")), "ranks")
-        done.append(todo.where(~is_open).select(*keys, "n", "name", F.when(F.col("__k").isNotNull(), F.col("__low")).alias("value")))
+        done.append(todo.where(~is_open).select(*keys, "n", "__name", F.when(F.col("__k").isNotNull(), F.col("__low")).alias("__value")))
         if not seen.get["n"]:
             break
         left = todo.where(is_open)
@@ -44,11 +44,11 @@ def order_statistics(rows: DataFrame, value: str, ranks: dict[str, Column], *key
         hist = inside.groupBy(*span, part.alias("__p")).agg(F.count("*").alias("__m"), F.min("__x").alias("__a"), F.max("__x").alias("__b"))
         hist = hist.withColumn("__upto", F.sum("__m").over(Window.partitionBy(*span).orderBy("__p")))
         found = beside(left, hist, *span).where("__k > __upto - __m AND __k <= __upto")
-        todo = found.select(*keys, "n", "name", (F.col("__k") - F.col("__upto") + F.col("__m")).alias("__k"), F.col("__a").alias("__low"), F.col("__b").alias("__high"))
+        todo = found.select(*keys, "n", "__name", (F.col("__k") - F.col("__upto") + F.col("__m")).alias("__k"), F.col("__a").alias("__low"), F.col("__b").alias("__high"))
     else:
         raise InputError("order statistics need finite values")
     every = reduce(DataFrame.unionByName, done)
-    return every.groupBy(*keys).agg(F.first("n").alias("n"), *(F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in ranks))
+    return every.groupBy(*keys).agg(F.first("n").alias("n"), *(F.max(F.when(F.col("__name") == name, F.col("__value"))).alias(name) for name in ranks))
 
 
 def quantiles(rows: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
