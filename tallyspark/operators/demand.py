@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .returns import InputError, by_date, require
+from .returns import few as sized
 from .scan import running
 from .stage import written
 
@@ -60,7 +61,7 @@ def checked(flows: DataFrame, releases: DataFrame, sales: DataFrame, positions:
 def events(flows: DataFrame, releases: DataFrame, sales: DataFrame, liquidity: DataFrame, scenarios: DataFrame, end: dt.date, overrides: DataFrame | None = None) -> DataFrame:
     """Every event in every scenario, with status resolved, unknown, blocked or after_horizon and the reason. ``overrides`` (scenario, id, condition_met) take the place of a
     release's own condition."""
-    few = F.broadcast(scenarios)
+    few = sized(scenarios, "scenarios")
     late = lambda date: F.when(date > F.lit(end), "after_horizon").otherwise("resolved")
     income = F.col("kind") == "income"
     pressed = F.col("amount") * F.when(income & (F.col("date") >= F.col("income_change_from")), F.col("income_multiplier")).otherwise(1.0)
@@ -71,7 +72,7 @@ def events(flows: DataFrame, releases: DataFrame, sales: DataFrame, liquidity: D
     told = releases.crossJoin(few)
     condition = F.col("condition_met")
     if overrides is not None:
-        told = told.join(F.broadcast(overrides.select("scenario", "id", F.col("condition_met").alias("__told"), F.lit(True).alias("__has"))), ["scenario", "id"], "left")
+        told = told.join(overrides.select("scenario", "id", F.col("condition_met").alias("__told"), F.lit(True).alias("__has")), ["scenario", "id"], "left")
         condition = F.when(F.col("__has"), F.col("__told")).otherwise(condition)
     off = ~F.col("freeze_release_enabled") | F.coalesce(~condition, F.lit(False))
     open_ = condition.isNull() | F.col("date").isNull()
@@ -96,7 +97,7 @@ def ledger(happened: DataFrame, positions: DataFrame, scenarios: DataFrame, star
     frozen = F.coalesce("frozen_amount", F.lit(0.0))
     opening = positions.groupBy("account").agg(F.coalesce(F.sum(F.when(cash, F.col("amount") - frozen)), F.lit(0.0)).alias("open_cash"),
         F.coalesce(F.sum(F.when(cash, frozen)), F.lit(0.0)).alias("open_frozen"))
-    days = opening.crossJoin(F.broadcast(scenarios.select("scenario"))).withColumn("date", F.explode(F.sequence(F.lit(start), F.lit(end))))
+    days = opening.crossJoin(sized(scenarios.select("scenario"), "scenarios")).withColumn("date", F.explode(F.sequence(F.lit(start), F.lit(end))))
     kinds = ("income", "expense", "release", "sale_net")
     daily = happened.where("status = 'resolved'").groupBy("scenario", "account", "date").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("amount"))), F.lit(0.0)).alias(k) for k in kinds))
     rows = days.join(daily, ["scenario", "account", "date"], "left").fillna(0.0, list(kinds))
@@ -131,7 +132,7 @@ def liquidation(positions: DataFrame, sales: DataFrame, liquidity: DataFrame, sc
     amount that alone would cover the peak need. A comparison position by position, not a plan."""
     planned = sales.groupBy("account", "position_id").agg(F.sum("book_amount").alias("planned"))
     rows = positions.where("kind <> 'cash'").select("account", "position_id", F.col("amount").alias("book")).join(planned, ["account", "position_id"], "left").join(liquidity,
-        ["account", "position_id"], "left").crossJoin(F.broadcast(scenarios))
+        ["account", "position_id"], "left").crossJoin(sized(scenarios, "scenarios"))
     rows = rows.withColumn("reason", terms_reason()).join(found.select("scenario", "account", "first_gap", "peak"), ["scenario", "account"])
     known = F.col("reason").isNull()
     factor = F.when(known, net_factor(F.col("haircut"), F.col("additional_haircut"), F.col("fee_rate")))

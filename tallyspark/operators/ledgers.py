@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .returns import by_date
+from .returns import by_date, few
 from .scan import running
 
 
@@ -67,7 +67,7 @@ def rate_scenarios(exposure: DataFrame, shocks: DataFrame) -> DataFrame:
     """First-order change of bonds with a declared duration for each shock; null where nothing is eligible."""
     bond = F.col("kind") == "bond"
     able = bond & F.col("duration").isNotNull()
-    return exposure.join(F.broadcast(shocks)).groupBy("scenario").agg(F.sum(F.when(able, -F.col("shock") * F.col("duration") * F.col("amount"))).alias("change"),
+    return exposure.join(few(shocks, "shocks")).groupBy("scenario").agg(F.sum(F.when(able, -F.col("shock") * F.col("duration") * F.col("amount"))).alias("change"),
         F.sum(F.when(able, F.col("amount"))).alias("covered"), F.sum(F.when(bond & F.col("duration").isNull(), F.col("amount"))).alias("unestimated"))
 
 
@@ -240,7 +240,7 @@ def under_scenarios(flows: DataFrame, scenarios: DataFrame) -> DataFrame:
     amount = F.when(income & (F.col("date") >= F.col("change_from")), F.col("amount") * F.col("income_multiplier")).when(sale,
         F.col("amount") * (1 - F.least(F.lit(1.0), F.col("extra_haircut")))).otherwise(F.col("amount"))
     date = F.when(sale, F.date_add("date", F.col("delay_days"))).otherwise(F.col("date"))
-    return flows.crossJoin(F.broadcast(scenarios)).select("scenario", "owner", "kind", date.alias("date"), amount.alias("amount"))
+    return flows.crossJoin(few(scenarios, "scenarios")).select("scenario", "owner", "kind", date.alias("date"), amount.alias("amount"))
 
 
 def scheduled(nav: DataFrame, planned: DataFrame, amount: float, fee: float, *, longest: int | None = None) -> DataFrame:
@@ -262,7 +262,7 @@ def contributions(days: DataFrame, plans: DataFrame) -> DataFrame:
     units), distribution (reinvest or cash), amount and fee, which is part of what is paid. On a day the event comes first, for the units that were held, then what is due for
     reinvestment, then contributions. Plans are few, each is one task.
     """
-    rows = days.crossJoin(F.broadcast(plans))
+    rows = days.crossJoin(few(plans, "plans"))
 
     def run(one: pd.DataFrame) -> pd.DataFrame:
         one = one.sort_values("date")

@@ -20,6 +20,13 @@ def require(df: DataFrame, **violations: Column) -> DataFrame:
     return df
 
 
+def few(df: DataFrame, what: str, most: int = 1_000) -> DataFrame:
+    """``df`` with a hint to broadcast it, after a look at its size: more than ``most`` rows raise."""
+    if df.limit(most + 1).count() > most:
+        raise InputError(f"more than {most} {what}")
+    return F.broadcast(df)
+
+
 def by_date(*keys: str) -> Window:
     return Window.partitionBy(*keys).orderBy("date")
 

@@ -18,7 +18,7 @@ ret AS (SELECT date, asset, r FROM (SELECT date, asset, greatest(-0.2, least(0.2
 path AS (SELECT *, 1 - nav / greatest(1, max(nav) OVER w) AS underwater FROM (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY asset ORDER BY date)) AS nav FROM ret)
     WINDOW w AS (PARTITION BY asset ORDER BY date))"""
 PANEL = """panel AS (SELECT * EXCLUDE v FROM (SELECT *, lead(v) OVER (PARTITION BY security ORDER BY signal_date) / v - 1 AS fwd
-    FROM (SELECT date_trunc('month', l_shipdate)::DATE AS signal_date, l_suppkey AS security, avg(l_discount) AS factor, sum(l_extendedprice) AS v FROM lineitem GROUP BY ALL))
+    FROM (SELECT date_trunc('month', l_shipdate)::DATE AS signal_date, l_suppkey AS security, round(avg(l_discount), 10) AS factor, sum(l_extendedprice) AS v FROM lineitem GROUP BY ALL))
     WHERE fwd IS NOT NULL),
 ranked AS (SELECT *, rank() OVER (PARTITION BY signal_date ORDER BY factor) + (count(*) OVER (PARTITION BY signal_date,
     factor) - 1) / 2.0 AS fr, rank() OVER (PARTITION BY signal_date ORDER BY fwd) + (count(*) OVER (PARTITION BY signal_date,

@@ -30,8 +30,8 @@ def ret(spark: SparkSession, d: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
-    """(signal_date, security, factor, fwd): by month and supplier, mean discount and the change of revenue to the supplier's next month."""
-    months = table(spark, d, "lineitem").groupBy(F.trunc("l_shipdate", "MM").alias("signal_date"), F.col("l_suppkey").alias("security")).agg(F.avg("l_discount").alias("factor"),
+    """(signal_date, security, factor, fwd): by month and supplier, mean discount (to ten places, so that equal means tie whatever the order of their terms) and the change of revenue to the supplier's next month."""
+    months = table(spark, d, "lineitem").groupBy(F.trunc("l_shipdate", "MM").alias("signal_date"), F.col("l_suppkey").alias("security")).agg(F.round(F.avg("l_discount"), 10).alias("factor"),
         F.sum("l_extendedprice").alias("v"))
     return months.withColumn("fwd", F.lead("v").over(Window.partitionBy("security").orderBy("signal_date")) / F.col("v") - 1).where("fwd is not null").drop("v")
 
