@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .returns import InputError, few, require
+from .returns import InputError, require
+from .returns import few as sized
 
 FILTERS, WIDTH = 8, 3
 ARCHITECTURE = "conv1d-8x8-average"
@@ -66,7 +67,7 @@ def staged_samples(samples: DataFrame, folds: DataFrame, embargo_days: int = 0)
     d = F.to_date("signal_at")
     inside = lambda s: d.between(F.col(f"{s}_start"), F.col(f"{s}_end"))
     require(folds, order=~((F.col("train_start") <= F.col("train_end")) & (F.col("train_end") < F.col("validation_start")) & (F.col("validation_start") <= F.col("validation_end")) & (F.col("validation_end") < F.col("test_start")) & (F.col("test_start") <= F.col("test_end"))))
-    rows = samples.crossJoin(few(folds, "folds")).withColumn("stage", F.when(inside("train"), "train").when(inside("validation"), "validation").when(inside("test"), "test")).where("stage IS NOT NULL")
+    rows = samples.crossJoin(sized(folds, "folds")).withColumn("stage", F.when(inside("train"), "train").when(inside("validation"), "validation").when(inside("test"), "test")).where("stage IS NOT NULL")
     next_start = F.when(F.col("stage") == "train", F.col("validation_start")).when(F.col("stage") == "validation", F.col("test_start"))
     late = F.coalesce(F.to_date("available_at") >= F.date_sub(next_start, embargo_days), F.lit(False))
     kept = rows.where(~late).select("fold", "stage", *samples.columns)
