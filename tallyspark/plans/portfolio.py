@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import backtest, budget, evaluation, evidence, ledgers, migration, network, risk, solve
 from . import views as v
-from .catalog import EQUAL, QUERIES, RET, SQL, daily_path
+from .catalog import EQUAL, RET, daily_path
 from .registry import add, r
 
 COST = 0.001
@@ -58,8 +58,16 @@ def path_sql(paths: str, **more: str) -> str:
     return f"WITH RECURSIVE {recursion(paths, **more)} SELECT path, date, {LEDGER} FROM led WHERE k >= 0"
 
 
-SQL["backtest_quarterly"] = path_sql("('demo', 0.001, true, NULL::DOUBLE, false, true)")
-SQL["backtest_threshold"] = path_sql("('demo', 0.001, false, 0.1, false, true)")
+add(
+    "backtest_quarterly",
+    path_sql("('demo', 0.001, true, NULL::DOUBLE, false, true)"),
+    lambda s, d: backtest.backtest(daily_path(s, d), EQUAL, rate=0.001, rebalance="quarterly"),
+)
+add(
+    "backtest_threshold",
+    path_sql("('demo', 0.001, false, 0.1, false, true)"),
+    lambda s, d: backtest.backtest(daily_path(s, d), EQUAL, rate=0.001, threshold=0.1),
+)
 
 
 def quarter_flows(s: SparkSession, d: str) -> DataFrame:
