@@ -116,14 +116,17 @@ def test_packing(spark, plain):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=60), st.integers(40, 50))
 def test_packs_as_one_by_one(lengths, size):
-    """Each length into the pack with the fewest tokens if it fits there, else into a new one; packs of as many tokens are alike."""
+    """Longest first, each into the pack with the fewest tokens of those that longer ones have opened, if it fits there, else into a new one; packs of as many tokens are alike."""
     packs = []
-    for n in sorted(lengths, reverse=True):
-        k = min(range(len(packs)), key=lambda k: sum(packs[k]), default=None)
-        if k is not None and sum(packs[k]) + n <= size:
-            packs[k].append(n)
-        else:
-            packs.append([n])
+    for n in sorted(set(lengths), reverse=True):
+        opened = []
+        for _ in range(lengths.count(n)):
+            k = min(range(len(packs)), key=lambda k: sum(packs[k]), default=None)
+            if k is not None and sum(packs[k]) + n <= size:
+                packs[k].append(n)
+            else:
+                opened.append([n])
+        packs += opened
     histogram = {n: lengths.count(n) for n in lengths}
     got = [content for count, content in packing.shortest_pack_first(histogram, size) for _ in range(count)]
     assert sorted(sum(c) for c in got) == sorted(map(sum, packs)) and sorted(n for c in got for n in c) == sorted(lengths)
