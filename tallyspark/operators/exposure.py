@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .returns import InputError, require
+from .select import counted_up
 from .stage import written
 
 DIRECT = ("stock", "bond", "cash", "other")
@@ -185,12 +186,14 @@ def complete_universe(members: DataFrame, values: DataFrame, *keys: str) -> Data
 
 
 def percentile_in(targets: DataFrame, members: DataFrame, values: DataFrame, key: str) -> DataFrame:
-    """(key, target, percentile): 100 times the share of the universe below a target and half of what equals it; null for a universe with a member without value."""
-    whole = complete_universe(members, values, key)
-    u = members.join(values, [key, "security"]).groupBy(key, "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key).orderBy("value")
-    ranked = u.withColumns({"below": F.sum("n").over(w) - F.col("n"), "all": F.sum("n").over(Window.partitionBy(key))})
-    at = targets.join(ranked, key).where("value <= target").groupBy(key, "target").agg(F.max_by(F.struct("value", "below", "n", "all"), "value").alias("m"))
-    place = F.when(F.col("m.value") == F.col("target"), F.col("m.below") + F.col("m.n") / 2).otherwise(F.col("m.below") + F.col("m.n"))
-    out = targets.join(at, [key, "target"], "left").join(whole, key)
-    return out.select(key, "target", F.when(F.col("complete"), F.coalesce(100 * place / F.col("m.all"), F.lit(0.0))).alias("percentile"))
+    """(key, target, percentile): 100 times the share of the universe below a target and half of what equals it; null for a universe with a member without value.
+    Targets take their place among the values in one running count, so no target is put beside each value below it."""
+    u = members.join(values, [key, "security"], "left").groupBy(key, "value").agg(F.count("*").alias("n"))
+    u = written(u, "universe")
+    whole = u.groupBy(key).agg((F.count_if(F.col("value").isNull()) == 0).alias("complete"), F.sum("n").alias("all"))
+    asked = targets.where("target is not null").select(key, F.col("target").alias("value"), F.lit(0).cast("long").alias("n"))
+    each = u.where("value is not null").unionByName(asked).groupBy(key, "value").agg(F.sum("n").alias("n"))
+    at = counted_up(each, "value", "n", "upto", key).withColumnRenamed("value", "target")
+    place = F.col("upto") - F.col("n") / 2
+    out = targets.select(key, "target").join(at, [key, "target"], "left").join(whole, key)
+    return out.select(key, "target", F.when(F.col("complete"), F.coalesce(100 * place / F.col("all"), F.lit(0.0))).alias("percentile"))

@@ -59,18 +59,24 @@ def quantiles(rows: DataFrame, value: str, shares: dict[str, float], *keys: str)
     return found.select(*keys, "n", *(between(name, x).alias(name) for name, x in at.items()))
 
 
+def counted_up(counts: DataFrame, value: str, n: str, name: str, *keys: str) -> DataFrame:
+    """``counts``, a row for each different value of ``keys``, with ``name``: the sum of ``n`` up to and with the value. Values are cut into ranges that may cut a group; what earlier ranges
+    come to is carried over. Rows are sorted in ranges, so a group of any size is not sorted in one task, and no value is put beside another."""
+    ranged = counts.repartitionByRange(*keys, value).withColumn("__part", F.spark_partition_id())
+    ranged = written(ranged, "ranges")
+    own = Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranged.groupBy(*keys, "__part").agg(F.sum(n).alias("__t")).select(*keys, "__part", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__c"))
+    placed = beside(ranged.withColumn("__upto", F.sum(n).over(own)), carried, *keys, "__part")
+    return placed.select(*(f"`{c}`" for c in counts.columns), (F.col("__c") + F.col("__upto")).alias(name))
+
+
 def average_ranks(rows: DataFrame, value: str, name: str, *keys: str) -> DataFrame:
     """``rows`` with ``name``, their rank by ``value`` from 1 within ``keys``; equal values share their mean rank, null ones have none. Equal values are counted first, so what is put in
-    order is one row for each different value, cut into ranges that may cut a group; counts of earlier ranges are carried over. The join back deals rows by value, and Spark splits a value
-    that very many rows have."""
+    order is one row for each different value, by :func:`counted_up`. The join back deals rows by value, and Spark splits a value that very many rows have."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    ranged = counts.repartitionByRange(*keys, "__v").withColumn("__part", F.spark_partition_id())
-    ranged = written(ranged, "ranges")
-    own = Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ranged.groupBy(*keys, "__part").agg(F.sum("__n").alias("__t")).select(*keys, "__part", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__c"))
-    placed = beside(ranged.withColumn("__upto", F.sum("__n").over(own)), carried, *keys, "__part")
-    rank = (F.col("__c") + F.col("__upto") - (F.col("__n") - 1) / 2).alias(name)
+    placed = counted_up(counts, "__v", "__n", "__all", *keys)
+    rank = (F.col("__all") - (F.col("__n") - 1) / 2).alias(name)
     ranks = placed.select(*(F.col(k).alias(f"__on_{k}") for k in keys), "__v", rank)
     on: Column = F.col(value) == F.col("__v")
     for k in keys:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import budget, evaluation, factors, ledgers, moments, risk, scan, select, solve
+from tallyspark.operators import budget, evaluation, exposure, factors, ledgers, moments, risk, scan, select, solve
 from tallyspark.operators.returns import InputError
 
 DAY = dt.date(2020, 1, 1)
@@ -228,6 +228,21 @@ def test_equity_becomes_returns_after_fees_once(spark):
     assert [r["r"] for r in budget.net_returns(equity, 100.0, "account").orderBy("ix").collect()] == pytest.approx([0.1, -0.1])
 
 
+def test_percentiles_put_no_target_beside_the_values_below_it(spark):
+    rng = random.Random(11)
+    values = [(g, k, rng.choice([0.5, 1.5, round(rng.uniform(-9, 9), 1)])) for g in ("a", "b") for k in range(300)] + [("c", 1, None), ("c", 2, 1.0)]
+    targets = [(g, t) for g in ("a", "b", "c") for t in (-10.0, 0.5, 0.55, 2.0, 10.0, None)] + [("d", 1.0)]
+    rows = spark.createDataFrame(values, "grp string, security long, value double").repartition(8)
+    got = exposure.percentile_in(spark.createDataFrame(targets, "grp string, target double"), rows.select("grp", "security"), rows, "grp")
+    assert "LessThanOrEqual" not in got._jdf.queryExecution().optimizedPlan().toJSON()
+    have = {(r["grp"], r["target"]): r["percentile"] for r in got.collect()}
+    assert len(have) == len(targets) - 1
+    for g, t in targets[:-1]:
+        mine = [v for h, _, v in values if h == g]
+        below = [sum(v < t for v in mine), sum(v == t for v in mine)] if t is not None and g != "c" else [0, 0]
+        assert have[g, t] == (None if g == "c" else 100 * (below[0] + below[1] / 2) / len(mine))
+
+
 # Intervals
 
 
