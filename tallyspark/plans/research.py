@@ -264,9 +264,10 @@ add("observation_contract", """WITH k AS (SELECT DISTINCT l_orderkey * 10 + l_li
 def late(s: SparkSession, d: str) -> DataFrame:
     from ..sources import observations
 
-    good = observations.reason(observed(s, d)).where("reason IS NULL").drop("reason")
-    rest = [c for c in good.columns if c not in ("id", "periodStart")]
-    good = good.groupBy("id").agg(F.min(F.struct("periodStart", *rest)).alias("r")).select("id", "r.*")  # the earliest row of an id
+    rest = [c for c in observations.FIELDS if c not in ("id", "periodStart")]
+    # The earliest row of an id that holds. A filter by reason would be drawn below the columns that make the texts, and make them again for each rule.
+    first = F.min(F.when(F.col("reason").isNull(), F.struct("periodStart", *rest))).alias("r")
+    good = observations.reason(observed(s, d)).groupBy("id").agg(first).where("r IS NOT NULL").select("id", "r.*")
     out, unknown = observations.validated(good, F.lit(dt.datetime(1998, 6, 1)))
     return out.withColumn("kind", F.lit("excluded")).unionByName(unknown.withColumn("kind", F.lit("unknown"))).groupBy("kind").agg(F.count("*").alias("n"))
 

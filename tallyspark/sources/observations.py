@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as e
 from ..operators.returns import InputError
+from ..operators.stage import written
 
 #: Fields and values of the format: fixed values.
 FIELDS = ["id", "entity", "metric", "value", "unit", "currency", "basis", "periodStart", "periodEnd", "observedAt", "publishedAt", "availableAt", "retrievedAt", "sourceUrl", "sourceVersion",
@@ -17,18 +18,18 @@ DECLARED = "declared-not-original-verified"
 TIMES = ["observedAt", "publishedAt", "availableAt", "retrievedAt"]
 
 
-def reason(rows: DataFrame) -> DataFrame:
-    """``rows`` with reason: the first rule that a row breaks, or null."""
+def _read(rows: DataFrame) -> DataFrame:
+    """``rows`` with reason and, as ``__`` and its name, the instant that each time states, which several rules ask for and which is parsed once."""
     if set(rows.columns) != set(FIELDS):
         raise InputError(f"an observation has the fields {FIELDS}")
     c = F.col
-    at = {t: e.instant(c(t)) for t in TIMES}
+    at = {t: c(f"__{t}") for t in TIMES}
     broken = lambda t: c(t).isNotNull() & at[t].isNull()
     blank = ~e.has_text(TEXT[0])
     for name in TEXT[1:]:
         blank = blank | ~e.has_text(name)
     period = lambda p: c(p).isNotNull() & e.strict_day(p).isNull()
-    return rows.withColumn(
+    return rows.withColumns({f"__{t}": e.instant(c(t)) for t in TIMES}).withColumn(
         "reason",
         e.first_reason(
             (blank, "blank_field"),
@@ -43,12 +44,18 @@ def reason(rows: DataFrame) -> DataFrame:
     )
 
 
+def reason(rows: DataFrame) -> DataFrame:
+    """``rows`` with reason: the first rule that a row breaks, or null."""
+    return _read(rows).drop(*(f"__{t}" for t in TIMES))
+
+
 def validated(rows: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]:
     """(ids that the cut-off leaves out, ids whose availability is unknown) of rows that all hold and whose ids are unique; others raise."""
-    told = reason(rows)
+    late = (F.col("__retrievedAt") > cutoff) | F.coalesce(F.col("__availableAt") > cutoff, F.lit(False))
+    # Rows are judged once: what they cost to make, and to parse, is not paid again by each check and each result.
+    told = written(_read(rows).select("id", "reason", late.alias("late"), F.col("availableAt").isNull().alias("unknown")), "observations")
     if bad := told.where("reason IS NOT NULL").groupBy("reason").count().collect():
         raise InputError(f"rows that break a rule: { {r['reason']: r['count'] for r in bad} }")
-    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+    if not told.groupBy("id").count().where("count > 1").isEmpty():
         raise InputError("an id is repeated")
-    late = (e.instant("retrievedAt") > cutoff) | F.coalesce(e.instant("availableAt") > cutoff, F.lit(False))
-    return rows.where(late).select("id"), rows.where("availableAt IS NULL").select("id")
+    return told.where("late").select("id"), told.where("unknown").select("id")

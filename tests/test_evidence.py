@@ -127,6 +127,19 @@ def test_observations(spark):
         observations.validated(table(spark, [observation(), observation()]), cutoff)
 
 
+def test_observations_are_made_and_judged_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = table(spark, [observation(id=str(k), availableAt=None if k % 2 else "2024-02-03T00:00:00Z") for k in range(20)])
+    late, unknown = observations.validated(rows.mapInArrow(counted, rows.schema), F.lit("2024-01-10 00:00:00").cast("timestamp"))
+    assert late.count() == 20 and unknown.count() == 10 and made.value == 20
+
+
 def test_columns_and_constants(spark):
     from tallyspark.sources import mapped_columns
 
