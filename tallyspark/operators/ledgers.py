@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,39 +133,98 @@ def xirr(flows: DataFrame, *keys: str) -> DataFrame:
 ROOTS = "status string, value double, roots array<double>"
 
 
-def discount_roots(times: np.ndarray, amounts: np.ndarray) -> tuple[str, list[float]]:
-    """(status, rates) at which dated amounts are worth nothing: changes of sign of their worth on a grid of log(1 + r) from -20 to 20, each closed in by halving. ok with
-    one root, multiple_solutions with more, no_solution without."""
-    if not len(times) or times.max() <= 0 or not ((amounts > 0).any() and (amounts < 0).any()):
-        return "no_solution", []
-    worth = lambda y: np.exp(np.clip(-np.outer(y, times), -700, 700)) @ amounts
-    grid = np.linspace(-20, 20, 2001)
-    at = worth(grid)
-    exact = grid[:-1][at[:-1] == 0]
-    turn = np.flatnonzero((at[:-1] != 0) & (np.sign(at[:-1]) != np.sign(at[1:])))
-    low, high, sign = grid[turn], grid[turn + 1], np.sign(at[turn])
+#: Rates, as log(1 + r), whose worths are looked at for changes of sign; flows of a round of closing in, or of keys at once.
+GRID, BESIDE = np.linspace(-20, 20, 2001), 1 << 18
+_WIDE, _STEP = 64, 0.02
+#: The grid as sums of coarse and fine rates; zero is a sum of zeros.
+_COARSE, _FINE = np.arange(-16, 16) * _WIDE * _STEP, np.arange(_WIDE) * _STEP
+
+
+def _worth(y: np.ndarray, times: np.ndarray, amounts: np.ndarray) -> np.ndarray:
+    return np.exp(np.clip(-np.outer(y, times), -700, 700)) @ amounts
+
+
+def _on_grid(times: np.ndarray, amounts: np.ndarray) -> np.ndarray:
+    """Worths on the grid. exp(-(a + b) t) is a product, so the grid is one product of matrices of coarse and fine rates; what is nothing but rounding there is worked out by itself."""
+    if times.max() > 34:  # beyond what a double holds at -20.48
+        return _worth(GRID, times, amounts)
+    coarse, fine = np.exp(-np.outer(_COARSE, times)), np.exp(-np.outer(times, _FINE))
+    first = -1000 + 16 * _WIDE
+    at = ((coarse * amounts) @ fine).ravel()[first : first + len(GRID)]
+    scale = ((coarse * np.abs(amounts)) @ fine).ravel()[first : first + len(GRID)]
+    near = np.flatnonzero(np.abs(at) <= 1e-10 * scale)
+    at[near] = _worth(GRID[near], times, amounts)
+    return at
+
+
+def _closed_in(low: np.ndarray, high: np.ndarray, sign: np.ndarray, sizes: np.ndarray, times: np.ndarray, amounts: np.ndarray) -> np.ndarray:
+    """Roots between ``low`` and ``high``, where the worth has ``sign`` at ``low``, by 60 halvings of all at once; each has ``sizes`` flows of ``times`` and ``amounts``."""
+    starts = np.cumsum(sizes) - sizes
     for _ in range(60):
         mid = (low + high) / 2
-        same = np.sign(worth(mid)) == sign if len(mid) else np.zeros(0, bool)
+        same = np.sign(np.add.reduceat(amounts * np.exp(np.clip(-np.repeat(mid, sizes) * times, -700, 700)), starts)) == sign
         low, high = np.where(same, mid, low), np.where(same, high, mid)
-    roots = np.unique(np.round(np.concatenate([exact, (low + high) / 2]), 10))
-    return ("ok" if len(roots) == 1 else "multiple_solutions" if len(roots) else "no_solution"), np.expm1(roots).tolist()
+    return (low + high) / 2
+
+
+def discount_roots_of(times: list[np.ndarray], amounts: list[np.ndarray]) -> list[tuple[str, list[float]]]:
+    """(status, rates) of each list of dated amounts, at which they are worth nothing: changes of sign of their worth on a grid of log(1 + r) from -20 to 20, each closed in by
+    halving. ok with one root, multiple_solutions with more, no_solution without."""
+    exact: list[np.ndarray] = [GRID[:0]] * len(times)
+    found: list[list[np.ndarray]] = [[] for _ in times]
+    todo: list[tuple[int, float, float, float]] = []
+
+    def close_in() -> None:
+        if todo:
+            of, low, high, sign = (np.asarray(x) for x in zip(*todo))
+            roots = _closed_in(low, high, sign, np.asarray([len(times[k]) for k in of]), np.concatenate([times[k] for k in of]), np.concatenate([amounts[k] for k in of]))
+            for k, root in zip(of, roots):
+                found[k].append(root)
+            todo.clear()
+
+    waiting = 0
+    for k, (t, a) in enumerate(zip(times, amounts)):
+        if not len(t) or t.max() <= 0 or not ((a > 0).any() and (a < 0).any()):
+            continue
+        at = _on_grid(t, a)
+        exact[k] = GRID[:-1][at[:-1] == 0]
+        sign = np.sign(at)
+        for i in np.flatnonzero((at[:-1] != 0) & (sign[:-1] != sign[1:])).tolist():
+            todo.append((k, GRID[i], GRID[i + 1], sign[i]))
+            waiting += len(t)
+            if waiting >= BESIDE:
+                close_in()
+                waiting = 0
+    close_in()
+    out = []
+    for e, f in zip(exact, found):
+        roots = np.unique(np.round(np.concatenate([e, f]), 10)) if len(e) or f else GRID[:0]
+        out.append(("ok" if len(roots) == 1 else "multiple_solutions" if len(roots) else "no_solution", np.expm1(roots).tolist()))
+    return out
+
+
+def discount_roots(times: np.ndarray, amounts: np.ndarray) -> tuple[str, list[float]]:
+    """:func:`discount_roots_of` one list of dated amounts."""
+    return discount_roots_of([times], [amounts])[0]
 
 
 def xirr_roots(flows: DataFrame, *keys: str) -> DataFrame:
     """keys, status, value (where there is one root) and all roots of dated amounts (date, amount), as rates a year of 365.25 days. Amounts of a day are summed before they
-    reach Python, a key in one row."""
+    reach Python, a key in one row; rows without a date or an amount are not known."""
     own = Window.partitionBy(*keys)
     days = flows.groupBy(*keys, "date").agg(F.sum("amount").alias("amount")).withColumn("t", F.datediff("date", F.min("date").over(own)) / 365.25)
     one = days.groupBy(*keys).agg(F.collect_list(F.struct("t", "amount")).alias("f"))
 
-    @F.pandas_udf(ROOTS)
-    def solved(f: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in f:
-            status, roots = discount_roots(np.asarray([r["t"] for r in x], dtype=float), np.asarray([r["amount"] for r in x], dtype=float))
-            rows.append((status, roots[0] if len(roots) == 1 else None, roots))
-        return pd.DataFrame(rows, columns=["status", "value", "roots"])
+    @F.arrow_udf(ROOTS)
+    def solved(f: pa.Array) -> pa.Array:
+        flows, sizes = f.flatten(), f.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        t, a = (flows.field(n).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False) for n in ("t", "amount"))
+        ends = np.cumsum(sizes)
+        some = [slice(end - n, end) for end, n in zip(ends.tolist(), sizes.tolist())]
+        known = ~(np.isnan(t) | np.isnan(a))
+        told = discount_roots_of([t[x][known[x]] for x in some], [a[x][known[x]] for x in some])
+        each = [pa.array([status for status, _ in told], pa.string()), pa.array([r[0] if len(r) == 1 else None for _, r in told], pa.float64()), pa.array([r for _, r in told], pa.list_(pa.float64()))]
+        return pa.StructArray.from_arrays(each, ["status", "value", "roots"])
 
     return one.withColumn("s", solved("f")).select(*keys, "s.status", "s.value", "s.roots")
 

@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from tallyspark import functions
 from tallyspark.operators import backtest, demand, exposure, ledgers, migration
 from tallyspark.operators.returns import InputError
 
@@ -80,6 +81,37 @@ def test_several_rates_of_return():
     assert ledgers.discount_roots(np.asarray([0.0, 1.0]), np.asarray([100.0, 110.0])) == ("no_solution", [])
 
 
+def test_roots_of_many_owners_at_once(spark):
+    rng = np.random.default_rng(3)
+    times = [np.arange(n) * 0.25 for n in rng.integers(0, 20, 200)] + [np.asarray([0.0, 20.0, 60.0])]
+    amounts = [rng.normal(0, 1000, len(t)) for t in times[:-1]] + [np.asarray([-1.0, 3.0, -1.0])]
+    for t, a, (status, roots) in zip(times, amounts, ledgers.discount_roots_of(times, amounts)):
+        at = ledgers._worth(ledgers.GRID, t, a)
+        able = len(t) > 1 and (a > 0).any() and (a < 0).any()
+        assert len(roots) == (np.sign(at[:-1]) != np.sign(at[1:])).sum() * able and (status == "ok") == (len(roots) == 1)
+        assert all(abs(np.exp(-np.log1p(x) * t) @ a) <= 1e-6 * (np.exp(-np.log1p(x) * t) @ abs(a)) for x in roots)
+
+
+def test_amounts_that_are_not_known_make_no_roots(spark):
+    day = dt.date(2020, 1, 1)
+    rows = [("a", day, -100.0), ("a", day.replace(month=3), None), ("a", day.replace(year=2021), 120.0), ("b", day, None)]
+    got = {r["k"]: r for r in ledgers.xirr_roots(spark.createDataFrame(rows, "k string, date date, amount double"), "k").collect()}
+    assert got["a"]["status"] == "ok" and got["a"]["value"] == pytest.approx(0.2, abs=1e-3) and got["b"]["status"] == "no_solution"
+
+
+def test_a_rate_takes_few_steps(spark, monkeypatch):
+    rng, calls, exp = np.random.default_rng(4), [], np.exp
+    monkeypatch.setattr(functions.np, "exp", lambda x: calls.append(1) or exp(x))
+    for n in (1, 2, 12, 400):
+        days = np.sort(rng.choice(2000, n + 1, replace=False))
+        amounts = np.append(-rng.uniform(1, 1000, n), 5000.0 * n)
+        calls.clear()
+        rate = functions.rate_of_return(days, amounts)
+        assert len(calls) <= 20
+        t = (days - days[0]) / 365.25
+        assert exp(-np.log1p(rate / 100) * t) @ amounts == pytest.approx(0, abs=1e-7 * n)
+
+
 EDGE = "node string, child string, kind string, weight double"
 
 
