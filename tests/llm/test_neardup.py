@@ -114,3 +114,26 @@ def test_one_row_of_a_group(spark):
     got = neardup.deduplicated(spark.createDataFrame(rows, SCHEMA), 5)
     assert got.columns == ["doc_id", "text", "value", "label"]
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == sorted([(0, a), (3, a), (5, b), (8, c), (9, ""), (10, "")])
+
+
+def test_members_that_few_others_hold_are_joined_before_pairs_are_made(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(200)]
+
+    def changed(n, who):
+        at = set(rng.sample(range(200), n))
+        return " ".join(f"x{who}y{k % 7}" if k in at else w for k, w in enumerate(words))
+
+    # The last 60 are similar to the plain ones at most; the others, which have one label already, to each other.
+    texts = [" ".join(words), changed(1, 0), *(changed(5, k) for k in range(1, 100)), *(changed(10, k) for k in range(100, 160))]
+    hashes = [s.view(np.int64).tolist() for s in neardup.shingles(texts, 2)]
+    full = spark.createDataFrame(list(enumerate(hashes)), "rep long, hashes array<long>")
+    labels = spark.createDataFrame([(k, 0) for k in range(101)], "node long, label long")
+    placed = neardup.placed_values(spark.createDataFrame([(1, k, 0.0) for k in range(len(texts))], "value long, rep long, own double"), labels, full)
+    split = neardup.split_values(placed, labels)
+    scouted, every = neardup.scouted(split), neardup.remaining(split)
+    joined = neardup.merged(neardup.confirmed(scouted, full, 80), labels)
+    left = neardup.remaining(neardup.split_values(placed, joined))
+    assert scouted.count() < every.count() / 4 and left.count() < every.count() / 10
+    last = neardup.merged(neardup.confirmed(left, full, 80), joined)
+    assert {r["label"] for r in last.collect()} == {0} and last.count() == len(texts)
