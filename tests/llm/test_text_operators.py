@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tallyspark.llm import decontam, hosts, mil, rules, secrets, toxic
 
@@ -199,6 +200,15 @@ def test_quality(spark):
 # Secrets
 
 
+def test_training_findings_are_made_once(spark, monkeypatch):
+    plans, kind = [], type(spark.range(1))
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), collect(df))[1])
+    word = F.concat(F.lit("marker="), F.sha2(F.col("id").cast("string"), 256))
+    secrets.fit(spark.range(40).select("id", word.alias("word"), F.lit("").alias("before"), F.lit("").alias("after"), (F.col("id") % 2).alias("secret")))
+    assert len(plans) == 1 and plans[0].count("marker=") == 1  # a filter that is pushed down would repeat it
+
+
 def test_secrets(spark):
     forest = secrets.fit(secrets.made_findings(spark))
     docs = [(1, 'so token = "3c4226790fc3f8022bcc4434e93601b2005f1325" it was'), (2, "the card 4464761703690345 here"), (3, "see https://www.example.com/images/201234/photo"), (4, "use secret: Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MA now"), *[(10 + i, t) for i, t in ODD if i]]
