@@ -1,7 +1,7 @@
 """Running figures from streams of files: an extension, with results equal to the batch operators once the watermark has passed.
 
 - :func:`bars`: opening, highest, lowest and closing value and number of events of each event-time window.
-- :func:`unit_nav`: the value of a unit of each account after each valuation, with state for each account.
+- :func:`unit_nav`: the value of a unit of each account after each valuation, with state for each bucket of accounts.
 
 Rows may come out of order by as much as ``late``; later ones are left out. :func:`followed` runs a stream over what files there are, appends to a table and keeps its place in a
 checkpoint, so that a stopped or failed run goes on where it was, each row counted once. What lies within ``late`` of the latest event isn't told yet; :func:`closing` makes
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: State that doesn't fit in an executor's memory is kept on its disk and in the checkpoint.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-NAV = "account long, at timestamp, id long, before double, flow double, nav double"
+NAV = "account long, us long, id long, before double, flow double, nav double"
+#: Groups of accounts that share a state: a call for each account and batch costs more than its rows do. Fixed for the life of a checkpoint.
+BUCKETS = 1024
+#: A waiting valuation (us: microseconds), and an account's value after its last flow with its unit's, as they are packed in the state.
+WAITING = np.dtype([("account", "<i8"), ("us", "<i8"), ("id", "<i8"), ("before", "<f8"), ("flow", "<f8")])
+LAST = np.dtype([("account", "<i8"), ("after", "<f8"), ("nav", "<f8")])
 
 
 def bars(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -33,48 +39,66 @@ def bars(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> Dat
 
 
 class UnitNav(StatefulProcessor):
-    """Valuations of an account wait until the watermark has passed them, and are then taken in order of (at, id). State is the last value after a flow, the unit's value, and
-    what waits. Each batch sets one timer, behind its last row."""
+    """Valuations of a bucket's accounts wait until the watermark has passed them, and are then taken in order of (account, at, id). State is each account's last value after a flow and
+    its unit's value, in order of accounts, and what waits. A timer stands behind the first row that waits of each batch, and of what was left."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "after double, nav double")
-        self.waiting = handle.getListState("waiting", "at long, id long, before double, flow double")
+        self.last = handle.getValueState("last", "rows binary")
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
+        first = []
         for batch in rows:
-            at = batch["at"].to_numpy().astype("datetime64[us]").astype("int64")
-            new += list(zip(at.tolist(), batch["id"].astype("int64").tolist(), batch["before"].tolist(), batch["flow"].tolist()))
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(max(row[0] for row in new) // 1000 + 1)
+            new = np.empty(len(batch), WAITING)
+            for name in WAITING.names:
+                new[name] = batch[name].to_numpy()
+            self.waiting.appendValue((new.tobytes(),))
+            first.append(int(new["us"].min()))
+        if first:
+            self.handle.registerTimer(min(first) // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(self.waiting.get())
-        due, rest = [r for r in rows if r[0] < until], [r for r in rows if r[0] >= until]
-        if not due:
+        rows = np.frombuffer(b"".join(bytes(r[0]) for r in self.waiting.get()), WAITING)
+        due, rest = rows[rows["us"] < until], rows[rows["us"] >= until]
+        if not len(due):
             return
-        after, nav = self.last.get() if self.last.exists() else (None, 1.0)
-        out = []
-        for at, id_, before, flow in due:
-            nav = nav if after is None else nav * before / after
-            after = before + flow
-            out.append((int(key[0]), pd.Timestamp(at, unit="us"), id_, before, flow, nav))
-        self.last.update((after, nav))
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        yield pd.DataFrame(out, columns=["account", "at", "id", "before", "flow", "nav"])
+        last = np.frombuffer(bytes(self.last.get()[0]) if self.last.exists() else b"", LAST)
+        due = due[np.lexsort([due[n] for n in ("flow", "before", "id", "us", "account")])]
+        after = due["before"] + due["flow"]
+        starts = np.flatnonzero(np.concatenate(([True], due["account"][1:] != due["account"][:-1])))
+        grown = np.ones(len(due))
+        grown[1:] = due["before"][1:] / after[:-1]
+        grown[starts] = 1.0
+        _, here, there = np.intersect1d(due["account"][starts], last["account"], assume_unique=True, return_indices=True)
+        grown[starts[here]] = last["nav"][there] * due["before"][starts[here]] / last["after"][there]
+        nav = pd.Series(grown).groupby(np.repeat(starts, np.diff(np.append(starts, len(due))))).cumprod().to_numpy()
+        ends = np.append(starts[1:], len(due)) - 1
+        told = np.empty(len(ends), LAST)
+        told["account"], told["after"], told["nav"] = due["account"][ends], after[ends], nav[ends]
+        told = np.concatenate((np.delete(last, there), told))
+        self.last.update((told[np.argsort(told["account"])].tobytes(),))
+        if len(rest):
+            self.waiting.put([(rest.tobytes(),)])
+            self.handle.registerTimer(int(rest["us"].min()) // 1000 + 1)
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame({**{n: due[n] for n in WAITING.names}, "nav": nav})
 
     def close(self) -> None:
         pass
 
 
-def unit_nav(valuations: DataFrame, late: str = "2 hours") -> DataFrame:
+def unit_nav(valuations: DataFrame, late: str = "2 hours", buckets: int = BUCKETS) -> DataFrame:
     """(account, at, id, before, flow, nav) of a stream of valuations (account, at, id, before, flow; none of them null): a unit is worth 1 at an account's first valuation and grows by what the account is
-    worth before a flow over what it was worth after the last one."""
-    return valuations.withWatermark("at", late).groupBy("account").transformWithStateInPandas(statefulProcessor=UnitNav(), outputStructType=NAV, outputMode="Append", timeMode="EventTime")
+    worth before a flow over what it was worth after the last one. Accounts are dealt over ``buckets`` by hash; a task holds what waits in one of them."""
+    bucket = F.pmod(F.xxhash64(F.col("account").cast("long")), F.lit(buckets)).alias("bucket")
+    held = valuations.withWatermark("at", late).select(bucket, "at", F.unix_micros("at").alias("us"), *(F.col(n).cast("long").alias(n) for n in ("account", "id")),
+        *(F.col(n).cast("double").alias(n) for n in ("before", "flow")))
+    told = held.groupBy("bucket").transformWithStateInPandas(statefulProcessor=UnitNav(), outputStructType=NAV, outputMode="Append", timeMode="EventTime")
+    return told.select("account", F.timestamp_micros("us").alias("at"), "id", "before", "flow", "nav")
 
 
 def unit_nav_batch(valuations: DataFrame) -> DataFrame:

@@ -64,5 +64,21 @@ def test_unit_nav_goes_on_after_a_stop(spark, tmp_path):
         assert a[k][:3] == row[:3] and a[k][3] == pytest.approx(row[3])
 
 
+def test_accounts_share_state_and_all_are_told(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(k % 1500, START + dt.timedelta(minutes=rng.randint(0, 2000), seconds=k), k, 100 + rng.random() * 20, rng.choice([0.0, 5.0])) for k in range(4500)]
+    batch = streaming.unit_nav_batch(spark.createDataFrame(rows, VALUE))
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(rows, VALUE).write.parquet(folder)
+    streaming.closing(spark.createDataFrame(rows, VALUE), "at").write.mode("append").parquet(folder)
+    rounded = lambda df: df.withColumn("nav", F.round("nav", 9))
+    for more in ({}, {"buckets": 1}):  # in one bucket all wait beside the closing row, which is never told
+        out = str(tmp_path / f"out{len(more)}")
+        got = streaming.followed(spark, streaming.unit_nav(spark.readStream.schema(VALUE).parquet(folder), **more), out, out + "-at")
+        assert got.count() == len(rows) and rounded(got).exceptAll(rounded(batch)).count() == 0
+        held = spark.read.format("statestore").option("path", out + "-at").option("stateVarName", "last").load().count()
+        assert held <= more.get("buckets", 1024)  # not a state for each of 1,500 accounts
+
+
 def test_closing_row_of_nothing(spark):
     assert streaming.closing(spark.createDataFrame([], EVENT), "ts").select(F.col("ts").isNull()).first()[0]
