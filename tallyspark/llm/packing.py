@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, partitions, staged, text_arrays, texts
+from .common import arrow_rows, lean, partitions, staged, text_arrays, texts
 from .tokens import with_end, word_ids
 
 LENGTH = 4096
+#: Texts that Spark passes to Python at once, and bytes of text that are encoded at once.
+ROWS = 1000
+SLICE = 1 << 20
 
 
 def shortest_pack_first(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, tuple[int, ...]]]:
@@ -62,9 +65,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 2, length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(tokenizer)
-        for names, some in text_arrays(batches):
+        for names, some in text_arrays(batches, SLICE):
             ids, bounds = with_end(*coder.encode(some), end_id)
-            view = memoryview(ids.astype("<u4").tobytes())
+            view = memoryview(ids.astype("<u4", copy=False)).cast("B")
             sizes = np.diff(bounds)
             cuts = -(-sizes // length)
             of = np.repeat(np.arange(len(sizes)), cuts)
@@ -128,4 +131,6 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int | None = 2, length: int = LENGTH) -> DataFrame:
-    return pack(staged(token_pieces(docs, tokenizer, end_id, length), "op10-pieces"), length)
+    with arrow_rows(docs.sparkSession, ROWS):
+        pieces = staged(token_pieces(docs, tokenizer, end_id, length), "op10-pieces")
+    return pack(pieces, length)

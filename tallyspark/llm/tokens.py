@@ -15,8 +15,10 @@ import pyarrow.compute as pc
 
 from . import common
 
-#: Most words of each of the two generations that a worker remembers. Results don't depend on it.
-REMEMBERED = 400_000
+#: Pieces after which the younger of the two generations that a worker remembers becomes the older one, and pieces that go to the tokenizer at once. Results don't depend on
+#: either.
+REMEMBERED = 100_000
+RUN = 20_000
 #: Signs, a Latin word, signs: parts that the vocabulary file's rule splits in any case (no apostrophe before the word, which could take its first letters).
 _PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
 
@@ -42,58 +44,38 @@ class WordIds:
         for token, i in self.full.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
         self.signs: dict[str, bytes] = {"": b""}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        #: Pieces and their ids, as bytes in Arrow's arrays: an entry takes some 40 bytes, where a dictionary of Python's takes 200.
+        self.none = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.young = self.old = self.none
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def _plain(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of lower-case Latin words. Words of the older generation that are met again move to the younger one."""
-        young, old = self.young, self.old
-        if len(young) > REMEMBERED:
-            self.old, self.young = young, {}
-            young, old = self.young, self.old
-        out, new = {}, []
-        for w in words:
-            ids = young.get(w)
-            if ids is None:
-                ids = old.get(w)
-                if ids is None:
-                    new.append(w)
-                    continue
-                young[w] = ids
-            out[w] = ids
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            ids = np.asarray(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) != len(part):  # a model whose words don't all close: ask for each
-                got = {w: self._bytes(self.full.encode(w, add_special_tokens=False).ids) for w in part}
-            else:
-                raw, stops = ids.tobytes(), (ends * 4).tolist()
-                got = {w: raw[a:b] for w, a, b in zip(part, [0, *stops], stops)}
-            out.update(got)
-            young.update(got)
-        return out
+    def _plain(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of different lower-case Latin words."""
+        if not words:
+            return {}
+        ids = np.asarray(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words):  # a model whose words don't all close: ask for each
+            return {w: self._bytes(self.full.encode(w, add_special_tokens=False).ids) for w in words}
+        raw, stops = ids.tobytes(), (ends * 4).tolist()
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *stops], stops)}
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of different blank-separated pieces."""
         parts: list[tuple[str, str, str, str]] = []
         other: list[str] = []
         out: dict[str, bytes] = {}
-        young = self.young.get
         for piece in pieces:
-            if (ids := young(piece)) is not None:  # a lower-case word
-                out[piece] = ids
-            elif piece.isalpha() and piece.isascii():
+            if piece.isalpha() and piece.isascii():
                 parts.append((piece, "", piece.lower(), ""))
             elif "<|" not in piece and (m := _PLAIN.fullmatch(piece)):
                 parts.append((piece, m[1], m[2].lower(), m[3]))
             else:
                 other.append(piece)
-        words = self._plain({p[2] for p in parts if p[2]})
+        words = self._plain(list({p[2] for p in parts if p[2]}))
         words[""] = b""
         signs = self.signs
         if len(signs) > REMEMBERED:
@@ -111,20 +93,37 @@ class WordIds:
             out[piece] = self._bytes(got.ids)
         return [out[p] for p in pieces]
 
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Places of different pieces in the younger generation, after those that it lacked have been put there: from the older one, or from the tokenizer."""
+        if len(self.young[0]) > REMEMBERED:
+            self.old, self.young = self.young, self.none
+        (young, young_ids), (old, old_ids) = self.young, self.old
+        places = pc.index_in(pieces, value_set=young).fill_null(-1).to_numpy().astype(np.int64)
+        lacked = np.flatnonzero(places < 0)
+        if len(lacked):
+            pieces = pieces.take(pa.array(lacked))
+            before = pc.index_in(pieces, value_set=old)
+            again, new = before.is_valid(), pieces.filter(before.is_null())
+            raw = [pa.array(self._ids(new[k : k + RUN].to_pylist()), pa.large_binary()) for k in range(0, len(new), RUN)]
+            self.young = pa.concat_arrays([young, pieces.filter(again), new]), pa.concat_arrays([young_ids, old_ids.take(before.drop_null()), *raw])
+            places[lacked[np.argsort(before.is_null().to_numpy(zero_copy_only=False), kind="stable")]] = np.arange(len(young), len(self.young[0]))
+        return places
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and each text's first place among them, with the end. What the texts share is looked up once, so a few
-        megabytes at a time are best."""
+        megabytes at a time are best. Free memory of the call before goes back first."""
+        common.give_back()
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
         split = pc.split_pattern(pc.replace_substring(_lowered(texts.cast(pa.large_string())), "\n", " "), " ")
         coded = split.flatten().dictionary_encode()
-        ids = self._ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        each = sizes[codes]
-        total = np.concatenate(([0], np.cumsum(each)))
-        out = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - total[:-1], each) + np.arange(total[-1])]
         bounds = split.offsets.to_numpy()
-        return out, total[bounds - bounds[0]]
+        del split
+        places = self._places(coded.dictionary)
+        each = self.young[1].take(pa.array(places[coded.indices.to_numpy()]))
+        _, ends, raw = each.buffers()
+        total = np.frombuffer(ends, np.int64, len(each) + 1) // 4
+        return np.frombuffer(raw or b"", "<u4", total[-1]), total[bounds - bounds[0]]
 
 
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:

@@ -1,3 +1,5 @@
+import gc
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -7,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tallyspark.llm import packing, simple8b
+from tallyspark.llm import packing, simple8b, tokens
 from tallyspark.llm.queries import vocabulary
 from tallyspark.llm.tokens import WordIds
 
@@ -51,6 +53,40 @@ def _pair(coder, plain):
     test_ids_equal_the_library.pair = (coder, plain)
 
 
+def test_generations_keep_ids(plain, monkeypatch):
+    """Pieces that have grown old, come again or are forgotten get the same ids."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    monkeypatch.setattr(tokens, "RUN", 3)
+    coder = WordIds(vocabulary())
+    for k in [0, 1, 2, 0, 9, 1, 0, 0, 3]:
+        some = ["", f"a{k}b Word, wörd. {k} plain " + " ".join(chr(97 + k + j) * 2 for j in range(9)), "plain\n", f"<|endoftext|> x{k}"]
+        assert ids(coder, *some) == [i for t in some for i in plain.encode(t, add_special_tokens=False).ids]
+    assert coder.encode(pa.array([], pa.string()))[1].tolist() == [0] and ids(coder, "", "") == []
+
+
+def test_remembered_words_are_small():
+    """A worker that has met many words holds little for each: dictionaries of Python's took about 200 bytes."""
+    coder = WordIds(vocabulary())
+    words = ["".join(chr(97 + k // 26**j % 26) for j in range(5)) for k in range(0, 11_000_000, 137)]
+    ids(coder, "warm")
+    tracemalloc.start()
+    held = pa.total_allocated_bytes()
+    for k in range(0, len(words), 8000):
+        ids(coder, " ".join(words[k : k + 8000]))
+    gc.collect()
+    held = pa.total_allocated_bytes() - held + tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 80 * len(words)
+
+
+def test_packing_passes_few_texts_at_once(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    monkeypatch.setattr(packing, "staged", lambda df, name: seen.append(int(spark.conf.get(key))) or df)
+    before = spark.conf.get(key)
+    packing.pack_documents(spark.createDataFrame([(1, "one two")], "doc_id long, text string"), vocabulary()).collect()
+    assert seen[0] <= 1000 and spark.conf.get(key) == before
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50_000), st.integers(0, 2**64 - 1)), max_size=400), st.sampled_from([1, 7, 64, 1024]))
 def test_round_trip(ids, block):
