@@ -97,3 +97,54 @@ def test_parts_of_long_texts():
 
 def test_no_rows(spark):
     assert repeats.without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_only_what_may_be_shared_is_put_in_order(monkeypatch):
+    """Of forty pieces under one anchor two share windows: no others are put in order, and the gram of the anchor, which all have, is one symbol."""
+    put, real = [], repeats.ordered_suffixes
+    monkeypatch.setattr(repeats, "ordered_suffixes", lambda texts: put.extend(texts) or real(texts))
+    rng = random.Random(8)
+    some = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    left, right, texts, anchor = some(30), some(58), [], []
+    for gram in (some(repeats.GRAM), some(repeats.GRAM)):
+        texts += [some(40) + gram + some(58) for _ in range(40)] + [some(10) + left + gram + right for _ in range(2)]
+        anchor += 42 * [int(repeats.grams(np.frombuffer(gram, dtype=np.uint8)).view(np.int64)[0])]
+    rows = np.arange(84)
+    text, start = repeats.repeated_windows(texts, np.asarray(anchor), rows, rows * 0, 100)
+    # Around both grams stand the same bytes: those windows differ in the gram only, and are no repeats of each other.
+    assert sorted(zip(text.tolist(), start.tolist())) == [(k, s) for k in (41, 83) for s in range(10, 31)]
+    assert len(put) == 4 and max(map(len, put)) <= 130 - repeats.GRAM + 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab", min_size=1, max_size=5).map(lambda x: x * 8), min_size=1, max_size=12), st.integers(0, 8))
+def test_shared_windows_against_brute_force(words, cut):
+    """Short periods: the gram stands in a piece more than once, and windows of the same text meet."""
+    raw = "".join(words).encode()
+    docs = [(1, 0, raw), (2, 0, raw[cut:] + b"c" + raw[: 3 * cut])]
+    anchor, doc, first, n, at, joined = repeats.pieces(docs, 36)
+    texts = [joined[a : a + k + 35].tobytes() for a, k in zip(at.tolist(), n.tolist())]
+    text, start = repeats.repeated_windows(texts, anchor.view(np.int64), doc, first, 36) if texts else ([], [])
+    seen, want = set(), set()
+    for i, _, t in docs:
+        for k in range(len(t) - 35):
+            want |= {(i, k)} if t[k : k + 36] in seen else set()
+            seen.add(t[k : k + 36])
+    assert {(int(doc[t]), int(first[t] + s)) for t, s in zip(text, start)} == want
+
+
+def test_blocks_change_nothing(monkeypatch):
+    raw = np.frombuffer(bytes(random.Random(4).choice(b"abc") for _ in range(3000)), dtype=np.uint8)
+    begins, sizes = np.arange(0, 2900, 7), np.full(415, 80)
+    whole, told = repeats.anchors(raw, 40), repeats.prints(raw, begins, sizes)
+    monkeypatch.setattr(repeats, "BLOCK", 64)
+    assert all((a == b).all() for a, b in zip(whole, repeats.anchors(raw, 40))) and (repeats.prints(raw, begins, sizes) == told).all()
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 30), st.integers(1, 9)), max_size=20))
+def test_spans_are_merged(spans):
+    row, begin, size = (np.asarray([x[k] for x in spans], dtype=np.int64) for k in range(3))
+    got = list(zip(*(x.tolist() for x in repeats.merged(row, begin, begin + size))))
+    covered = {(r, b) for r, a, n in spans for b in range(a, a + n)}
+    assert {(r, b) for r, lo, hi in got for b in range(lo, hi)} == covered
+    assert all(p[0] < q[0] or p[2] < q[1] for p, q in zip(got, got[1:]))
